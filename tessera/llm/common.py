@@ -46,5 +46,5 @@ def small(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
 
     ``df`` has to be a written table (see ``written``), for which Spark's statistics give the size of the files.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if size <= limit else df

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import quality_rules, sql
+from tessera.llm import mixing, quality_rules, sql
 
 QUERIES = {
     "op5_quality_rules": quality_rules.query,
+    "op7_mixing": mixing.query,
 }
 
 ORACLES = {
     "op5_quality_rules": sql.QUALITY_RULES,
+    "op7_mixing": sql.MIXING,
 }
