@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import mixing, quality_rules, sql
+from tessera.llm import mixing, quality_rules, sql, token_output
 
 QUERIES = {
+    "op3_token_output": token_output.query,
     "op5_quality_rules": quality_rules.query,
     "op7_mixing": mixing.query,
 }
