@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm import quality_rules as rules
+from tessera.llm import secrets
 
 #: White-space separated words of a text.
 WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
@@ -67,3 +68,24 @@ WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text,
 SELECT j.doc_id, j.size, j.source_size, j.target, CAST(passes * j.size + coalesce(part, 0) AS BIGINT) AS taken
 FROM j LEFT JOIN part ON part.doc_id IS NOT DISTINCT FROM j.doc_id AND part.start = j.start AND part.nth = j.nth AND part.shard = j.shard AND j.size > 0
 """
+
+
+def _spans(nth: int, r: secrets.Rule) -> str:
+    pattern = r.pattern.replace("'", "''")
+    return f"""SELECT id, {nth} AS nth, '{r.kind}' AS kind, stop - len(m[i]) AS start, stop FROM (
+        SELECT id, i, m, g, CAST(list_sum([len(x) FOR x IN m[1:i]]) + list_sum([len(x) FOR x IN p[1:i]]) AS BIGINT) AS stop FROM (
+            SELECT id, unnest(range(1, len(m) + 1)) AS i, m, g, p FROM (
+                SELECT id, regexp_extract_all(text, '{pattern}') AS m, regexp_extract_all(text, '{pattern}', {r.group}) AS g,
+                       string_split_regex(text, '{pattern}') AS p FROM d WHERE regexp_matches(text, '{pattern}'))))
+        WHERE len(g[i]) >= {r.least}"""
+
+
+SECRETS = f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+     f AS ({' UNION ALL '.join(_spans(i, r) for i, r in enumerate(secrets.RULES))}),
+     g AS (SELECT id, {', '.join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secrets.BASE)},
+                  string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY start, nth) FILTER (nth < {len(secrets.BASE)}) AS base,
+                  string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY start, nth) AS spans FROM f GROUP BY id)
+SELECT doc_id, {', '.join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (id)
+"""
