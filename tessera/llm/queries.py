@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import mixing, quality_rules, secrets, sql, token_output
+from tessera.llm import mixing, quality_rules, secrets, simhash, sql, token_output
 
 QUERIES = {
     "op1_secrets": secrets.query,
     "op3_token_output": token_output.query,
     "op5_quality_rules": quality_rules.query,
     "op7_mixing": mixing.query,
+    "op9_simhash": simhash.query,
 }
 
 ORACLES = {
