@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import mixing, quality_rules, secrets, simhash, sql, token_output
+from tessera.llm import decontaminate, mixing, quality_rules, secrets, simhash, sql, token_output
 
 QUERIES = {
     "op1_secrets": secrets.query,
     "op3_token_output": token_output.query,
     "op5_quality_rules": quality_rules.query,
+    "op6_decontaminate": decontaminate.query,
     "op7_mixing": mixing.query,
     "op9_simhash": simhash.query,
 }
