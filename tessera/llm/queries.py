@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, mixing, quality_rules, secrets, simhash, sql, token_output
+from tessera.llm import decontaminate, mixing, quality_rules, secrets, simhash, sql, token_output, toxicity
 
 QUERIES = {
     "op1_secrets": secrets.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_quality_rules": quality_rules.query,
     "op6_decontaminate": decontaminate.query,
     "op7_mixing": mixing.query,
+    "op8_toxicity": toxicity.query,
     "op9_simhash": simhash.query,
 }
 
