@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, mixing, quality_rules, secrets, simhash, sql, token_output, toxicity
+from tessera.llm import decontaminate, mixing, pseudo_likelihood, quality_rules, secrets, simhash, sql, token_output, toxicity
 
 QUERIES = {
+    "op10_pseudo_likelihood": pseudo_likelihood.query,
     "op1_secrets": secrets.query,
     "op3_token_output": token_output.query,
     "op5_quality_rules": quality_rules.query,
