@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import co_training, decontaminate, mixing, pseudo_likelihood, quality_rules, secrets, simhash, sql, token_output, toxicity
+from tessera.llm import co_training, decontaminate, mixing, pseudo_likelihood, quality_rules, secrets, simhash, sql, suffix_dedup, token_output, toxicity
 
 QUERIES = {
     "op10_pseudo_likelihood": pseudo_likelihood.query,
     "op1_secrets": secrets.query,
     "op2_co_training": co_training.query,
     "op3_token_output": token_output.query,
+    "op4_suffix_dedup": suffix_dedup.query,
     "op5_quality_rules": quality_rules.query,
     "op6_decontaminate": decontaminate.query,
     "op7_mixing": mixing.query,
