@@ -10,9 +10,8 @@ pages it needs, a query on lengths reads none of the ids. ``offsets`` gives each
 Work: one range exchange of the documents by ``doc_id``, a sort inside each partition, and one Arrow pass that
 encodes. Prefix sums are within a part plus one row for each part; nothing else is gathered.
 
-Speed: white space always separates tokens of this tokenizer's kind, so that each distinct chunk is encoded once for
-each worker and kept in a table of bounded size; a text's ids are the ids of its chunks. A tokenizer for which that
-does not hold is recognised by its file and encodes whole texts.
+Speed: a word is encoded once for each worker and kept in a table of bounded size; see ``Encoder``. A tokenizer for
+which that does not hold is recognised by its file and encodes whole texts.
 
 Cases: a null or empty text has the end id alone. Repeated rows are separate documents next to one another. A null
 ``doc_id`` comes first. An empty table gives an empty folder and an empty result.
@@ -20,6 +19,7 @@ Cases: a null or empty text has the end id alone. Repeated rows are separate doc
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import zlib
@@ -35,8 +35,8 @@ from tessera.llm.common import scratch_dir, small, table, written
 #: Rows of a parquet page, bytes of a row group and of a page.
 WRITER = {"parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "compression": "zstd"}
 
-#: Chunks that a worker remembers before it starts anew, and the length from which a chunk is not remembered.
-REMEMBERED, LONG_CHUNK = 400_000, 64
+#: Words that a worker remembers before it starts anew, and the length from which one is not remembered.
+REMEMBERED, LONG = 400_000, 64
 
 SCHEMA = "part int, doc_id long, before long, n_tokens int, ids array<int>"
 
@@ -47,47 +47,97 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: The pattern by which the tokenizer splits a text into words, and the end of a special token's name.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPECIAL = "|>"
+
+#: The same pattern on lower-cased texts of ASCII and Latin-1 letters, for which no normal form changes a thing.
+PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
+WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t-\ra-zß-öø-ÿ0-9]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in a byte-level vocabulary: itself if printable, else the next from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class Encoder:
-    """ids of texts as numpy arrays; ``end`` is appended to each."""
+    """ids of texts as bytes of int32, with ``end`` appended to each.
+
+    For a tokenizer that splits by ``SPLIT`` the words are cut here and each is encoded once while it is remembered.
+    Texts with other letters are cut at white space, where that tokenizer always cuts. Others are encoded whole.
+    """
 
     def __init__(self, path: str, end: int):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.known = Tokenizer.from_file(path), np.array([end], dtype=np.int32).tobytes(), {}
+        self.tokenizer, self.end = Tokenizer.from_file(path), np.array([end], dtype=np.int32).tobytes()
+        self.words: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {"": b""}
+        self.letters = byte_letters()
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
-        # white space is dropped before any token is made, and no added token holds some
-        kinds = json.dumps([said.get("normalizer"), said.get("pre_tokenizer")])
-        self.by_chunk = '"Removed"' in kinds and "^\\\\s" in kinds and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] for t in said["added_tokens"])
+        parts = said["pre_tokenizer"].get("pretokenizers", []) if said["pre_tokenizer"] else []
+        split = parts[0].get("pattern", {}).get("Regex") if parts else None
+        norm = [x["type"] for x in (said["normalizer"] or {}).get("normalizers", [])]
+        added = said["added_tokens"]
+        self.by_word = split == SPLIT and norm == ["NFC", "Replace", "Lowercase"] and len(parts) == 2 and not any(t["lstrip"] or t["rstrip"] or not t["content"].endswith(SPECIAL) for t in added)
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.int32).tobytes()
 
+    def _word(self, word: str) -> bytes:
+        letters = self.letters
+        spelled = word if word.isascii() and word.isalnum() else "".join(letters[b] for b in word.encode())
+        got = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], dtype=np.int32).tobytes()
+        if len(word) < LONG:
+            if len(self.words) >= REMEMBERED:
+                self.words.clear()
+            self.words[word] = got
+        return got
+
+    def _plain(self, text: str) -> list[bytes]:
+        known, word = self.words.get, self._word
+        return [known(w) or word(w) for w in WORD.findall(text.lower())]
+
+    def _chunk(self, chunk: str) -> bytes:
+        got = b"".join(self._plain(chunk)) if PLAIN.fullmatch(chunk) and SPECIAL not in chunk else self._encode(chunk)
+        if len(chunk) < LONG:
+            if len(self.chunks) >= REMEMBERED // 4:
+                self.chunks = {"": b""}
+            self.chunks[chunk] = got
+        return got
+
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return self.end
-        if not self.by_chunk:
+        if not self.by_word:
             return self._encode(text) + self.end
-        known, parts = self.known, []
-        for c in text.replace("\n", " ").split(" "):
-            got = known.get(c)
-            if got is None:
-                got = self._encode(c) if c else b""
-                if len(c) < LONG_CHUNK:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[c] = got
-            parts.append(got)
+        if PLAIN.fullmatch(text) and SPECIAL not in text:
+            parts = self._plain(text)
+        else:
+            parts = []
+            for c in text.replace("\n", " ").split(" "):
+                got = self.chunks.get(c)
+                parts.append(self._chunk(c) if got is None else got)
         parts.append(self.end)
         return b"".join(parts)
 
 
+@functools.lru_cache(maxsize=2)
+def encoder(path: str, end: int) -> Encoder:
+    """One for each worker process, which its tasks share."""
+    return Encoder(path, end)
+
+
 def encoded(docs: DataFrame, path: str, end: int, parts: int) -> DataFrame:
     """``docs`` (doc_id, text) as rows of the file format, in order in and between partitions."""
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, before = Encoder(path, end), 0
+        encode, before = encoder(path, end), 0
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 rows = batch.slice(at, 512)

@@ -21,8 +21,8 @@ ENCODE = t.Encoder(PATH, 1)
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60))
-def test_chunks_give_the_ids_of_the_whole(text):
-    assert ENCODE.by_chunk
+def test_words_give_the_ids_of_the_whole(text):
+    assert ENCODE.by_word
     assert np.frombuffer(ENCODE(text), dtype=np.int32).tolist() == plain(text)
 
 
