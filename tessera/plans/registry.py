@@ -1,4 +1,485 @@
-"""All queries of the library by name, with the SQL that gives the same rows."""
+"""All queries of the library by name, with the SQL that gives the same rows.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+``@query(name, sql)`` registers a function of (spark, sf_dir). Every query runs over whole tables.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.operators import findings as fi
+from tessera.operators import graph, insights
+from tessera.plans import tables as t
+from tessera.sources import files as src
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def long(*names: str):
+    return [F.col(n).cast("long").alias(n) for n in names]
+
+
+# --- sources
+
+
+@query("src_language_counts", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def language_counts(spark, d):
+    return t.document_files(spark, d).groupBy("lang").agg(F.count("*").alias("n"))
+
+
+EXCLUDED = ["**/fr/**", "*.net/**", "m.*/*/?2*"]
+
+
+@query("src_glob_filter", f"WITH {t.PAGES} SELECT file_id, path FROM p WHERE NOT regexp_matches(path, '^(?:.*/)?fr/.*$') AND NOT regexp_matches(path, '^[^/]*\\.net/.*$') AND NOT regexp_matches(path, '^m\\.[^/]*/[^/]*/[^/]2[^/]*$')")
+def glob_filter(spark, d):
+    return t.page_files(spark, d).where(src.not_excluded(F.col("path"), EXCLUDED)).select("file_id", "path")
+
+
+@query("src_lines", f"WITH {t.LINES} SELECT file_id, line, text FROM lines")
+def lines(spark, d):
+    return src.lines(t.document_files(spark, d)).select("file_id", *long("line"), "text")
+
+
+OWNERS = f"""WITH RECURSIVE {t.PAGES}, f AS (SELECT file_id, path, regexp_replace(path, '/?[^/]*$', '') AS folder FROM p),
+  projects AS (SELECT DISTINCT host AS project FROM p UNION SELECT DISTINCT regexp_replace(path, '/?[^/]*$', '') FROM p),
+  up(file_id, folder) AS (SELECT file_id, folder FROM f UNION SELECT file_id, regexp_replace(folder, '/?[^/]*$', '') FROM up WHERE folder <> '')"""
+
+
+def projects(spark, d):
+    p = t.page_files(spark, d)
+    return p.select(F.col("host").alias("project")).union(p.select(src.directory(F.col("path")))).distinct()
+
+
+@query("src_project_owners", OWNERS + " SELECT up.file_id, project FROM up JOIN projects ON up.folder = project")
+def project_owners(spark, d):
+    return src.owners(t.page_files(spark, d), projects(spark, d))
+
+
+@query("src_project_nearest", OWNERS + " SELECT up.file_id, arg_max(project, length(project)) AS project FROM up JOIN projects ON up.folder = project GROUP BY up.file_id")
+def project_nearest(spark, d):
+    return src.nearest_owner(t.page_files(spark, d), projects(spark, d))
+
+
+@query("src_json_leaves", "SELECT event_id AS file_id, 'k' AS path, props ->> '$.k' AS value FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
+def json_leaves(spark, d):
+    return src.json_leaves(t.commits(spark, d).select(F.col("commit").alias("file_id"), F.col("props").alias("text")))
+
+
+# --- rules over text lines and relations
+
+
+def duplicate_literals(lines: DataFrame, min_length: int = 10, least: int = 3) -> DataFrame:
+    """Every line but the first among equal lines of a file that holds at least ``least`` of them."""
+    from pyspark.sql import Window
+
+    same = Window.partitionBy("file_id", "text")
+    out = lines.where(F.length("text") >= min_length).withColumns({"n": F.count("*").over(same), "nth": F.row_number().over(same.orderBy("line"))})
+    return out.where((F.col("n") >= least) & (F.col("nth") > 1))
+
+
+DUPLICATES = t.LINES + """, dup AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY file_id, text) AS n, row_number() OVER (PARTITION BY file_id, text ORDER BY line) AS nth
+  FROM lines WHERE length(text) >= 10) WHERE n >= 3 AND nth > 1)"""
+
+
+@query("rule_duplicate_literal", f"WITH {DUPLICATES} SELECT file_id, line, n, nth FROM dup")
+def duplicate_literal(spark, d):
+    return duplicate_literals(src.lines(t.document_files(spark, d))).select("file_id", *long("line", "n", "nth"))
+
+
+CREDENTIAL = r"(?:password|passwd|secret|token|credential|api_?key)[A-Za-z0-9_]*\s*[:=]\s*[^\s]"
+
+
+@query("rule_credential_line", f"WITH {t.LINES} SELECT file_id, line FROM lines WHERE regexp_matches(lower(text), '{CREDENTIAL}')")
+def credential_line(spark, d):
+    return src.lines(t.document_files(spark, d)).where(F.lower("text").rlike(CREDENTIAL)).select("file_id", *long("line"))
+
+
+IPV4 = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
+
+
+@query(
+    "rule_endpoint_ipv4",
+    f"WITH {t.LINES}, m AS (SELECT file_id, line, unnest(regexp_extract_all(text, '{IPV4}')) AS address FROM lines WHERE regexp_matches(text, '{IPV4}')) "
+    "SELECT file_id, line, address FROM m WHERE list_max([CAST(x AS INT) FOR x IN string_split(address, '.')]) <= 255",
+)
+def endpoint_ipv4(spark, d):
+    found = F.explode(F.regexp_extract_all("text", F.lit(IPV4), F.lit(0))).alias("address")
+    out = src.lines(t.document_files(spark, d)).where(F.col("text").rlike(IPV4)).select("file_id", *long("line"), found)
+    return out.where(F.array_max(F.transform(F.split("address", r"\."), lambda x: x.cast("int"))) <= 255)
+
+
+URL = "https?://[A-Za-z0-9.-]+"
+
+
+@query(
+    "rule_endpoint_url",
+    f"WITH u AS (SELECT page_id, unnest(regexp_extract_all(url, '({URL})', 1)) AS endpoint FROM pages) SELECT page_id, endpoint FROM u WHERE regexp_replace(endpoint, '^https?://', '') NOT IN (SELECT host FROM (SELECT regexp_replace(unnest(regexp_extract_all(url, '({URL})', 1)), '^https?://', '') AS host FROM pages) GROUP BY host HAVING count(*) >= 5)",
+)
+def endpoint_url(spark, d):
+    """Endpoints on hosts that few pages share; common hosts are taken as well known."""
+    each = t.table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("url", F.lit(URL), F.lit(0))).alias("endpoint"))
+    each = each.withColumn("host", F.regexp_replace("endpoint", "^https?://", ""))
+    known = each.groupBy("host").agg(F.count("*").alias("n")).where("n >= 5").select("host")
+    return each.join(known, "host", "left_anti").select("page_id", "endpoint")
+
+
+REFERENCES = """refs AS (SELECT l_orderkey, l_linenumber, rc.r_name AS own, rs.r_name AS target FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  JOIN customer ON o_custkey = c_custkey JOIN nation nc ON c_nationkey = nc.n_nationkey JOIN region rc ON nc.n_regionkey = rc.r_regionkey
+  JOIN supplier ON l_suppkey = s_suppkey JOIN nation ns ON s_nationkey = ns.n_nationkey JOIN region rs ON ns.n_regionkey = rs.r_regionkey)"""
+LAYERS = [("ASIA", "EUROPE"), ("AFRICA", "AMERICA"), ("EUROPE", "MIDDLE EAST")]
+VALUES = ", ".join(f"('{a}', '{b}')" for a, b in LAYERS)
+
+
+def references(spark, d):
+    """A line item as a reference from its customer's region (layer) to its supplier's."""
+    names = t.table(spark, d, "nation").join(F.broadcast(t.table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
+    c = t.table(spark, d, "customer").join(F.broadcast(names), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("r_name").alias("own"))
+    s = t.table(spark, d, "supplier").join(F.broadcast(names), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("r_name").alias("target"))
+    o = t.table(spark, d, "orders").select("o_orderkey", "o_custkey").join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "own")
+    li = t.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    return li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", *long("l_linenumber"), "own", "target")
+
+
+def layer_edges(spark):
+    return F.broadcast(spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(a).alias("own"), F.lit(b).alias("target")) for a, b in LAYERS))).alias("x")).select("x.*"))
+
+
+@query("rule_layer_violation", f"WITH {REFERENCES} SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, own, target FROM refs WHERE own <> target AND (own, target) IN (VALUES {VALUES})")
+def layer_violation(spark, d):
+    return references(spark, d).join(layer_edges(spark), ["own", "target"], "left_semi").select("l_orderkey", "l_linenumber", "own", "target")
+
+
+@query("rule_allowlist_violation", f"WITH {REFERENCES} SELECT own, target, count(*) AS n FROM refs WHERE own <> target AND (own, target) NOT IN (VALUES {VALUES}) GROUP BY own, target")
+def allowlist_violation(spark, d):
+    return references(spark, d).where("own <> target").join(layer_edges(spark), ["own", "target"], "left_anti").groupBy("own", "target").agg(F.count("*").alias("n"))
+
+
+@query(
+    "rule_longest_prefix",
+    f"""WITH {t.FILES}, pre AS (SELECT DISTINCT source AS prefix FROM files UNION SELECT DISTINCT concat_ws('/', source, lang) FROM files),
+    m AS (SELECT file_id, prefix, row_number() OVER (PARTITION BY file_id ORDER BY length(prefix) DESC, prefix) AS k FROM files JOIN pre ON starts_with(path, prefix))
+    SELECT file_id, prefix FROM m WHERE k = 1""",
+)
+def longest_prefix(spark, d):
+    f = t.document_files(spark, d)
+    pre = f.select(F.col("source").alias("prefix")).union(f.select(F.concat_ws("/", "source", "lang"))).distinct().withColumn("ord", F.lit(0))
+    return src.longest_prefix(f.select("file_id", "path"), "path", pre).select("file_id", "prefix")
+
+
+LIFETIMES = """reg AS (SELECT l_partkey AS service, arg_max(l_suppkey, l_orderkey * 10 + l_linenumber) AS impl,
+    arg_max(CASE l_linestatus WHEN 'O' THEN CASE WHEN l_returnflag = 'N' THEN 1 ELSE 2 END ELSE 3 END, l_orderkey * 10 + l_linenumber) AS lifetime FROM lineitem GROUP BY l_partkey)"""
+
+
+def registrations(spark, d):
+    """Parts as services: the last line item is the registration that holds; its status is the lifetime (1 short, 3 long)."""
+    life = F.when(F.col("l_linestatus") == "O", F.when(F.col("l_returnflag") == "N", 1).otherwise(2)).otherwise(3)
+    order = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    return t.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("service")).agg(F.max_by("l_suppkey", order).alias("impl"), F.max_by(life, order).alias("lifetime"))
+
+
+@query(
+    "rule_captive_dependency",
+    f"""WITH {LIFETIMES}, used AS (SELECT DISTINCT impl, service AS needs, lifetime AS need_life FROM reg)
+    SELECT a.service, u.needs, CASE WHEN a.lifetime = 3 AND need_life = 2 THEN 'L2' WHEN a.lifetime = 3 THEN 'L3' ELSE 'L4' END AS rule_id
+    FROM reg a JOIN used u ON a.impl = u.impl AND a.lifetime > u.need_life""",
+)
+def captive_dependency(spark, d):
+    """Services whose implementation also serves shorter-lived ones."""
+    reg = registrations(spark, d)
+    used = reg.select(F.col("impl").alias("_impl"), F.col("service").alias("needs"), F.col("lifetime").alias("need_life")).distinct()
+    both = reg.join(used, (F.col("impl") == F.col("_impl")) & (F.col("lifetime") > F.col("need_life")))
+    rule = F.when((F.col("lifetime") == 3) & (F.col("need_life") == 2), "L2").when(F.col("lifetime") == 3, "L3").otherwise("L4")
+    return both.select("service", "needs", rule.alias("rule_id"))
+
+
+@query("rule_unregistered", "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '^[A-Za-z]') AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity > 45)")
+def unregistered(spark, d):
+    used = t.table(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity > 45").select("l_partkey")
+    parts = t.table(spark, d, "part").where(F.col("p_name").rlike("^[A-Za-z]"))
+    return parts.join(used, F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey")
+
+
+@query(
+    "rule_unknown_key",
+    f"""WITH {t.FILES}, {t.PAGES}, big AS (SELECT lang, source FROM files WHERE length(text) > 12000), known AS (SELECT DISTINCT lang AS key FROM big UNION SELECT DISTINCT lang || ':' || source FROM big),
+    used AS (SELECT file_id, regexp_replace(regexp_extract(path, '^[^/]+/([^/]+/[0-9])', 1), '/', ':src') AS key FROM p)
+    SELECT file_id, key FROM used WHERE key <> '' AND NOT EXISTS (SELECT 1 FROM known WHERE known.key = used.key)""",
+)
+def unknown_key(spark, d):
+    known = src.with_prefixes(t.document_files(spark, d).where("length(text) > 12000").select(F.lit(1).alias("project"), F.concat_ws(":", "lang", "source").alias("path")).distinct())
+    used = t.page_files(spark, d).select("file_id", F.regexp_replace(F.regexp_extract("path", "^[^/]+/([^/]+/[0-9])", 1), "/", ":src").alias("key")).where("key <> ''")
+    return used.join(known, "key", "left_anti").select("file_id", "key")
+
+
+@query("rule_unused_after", "SELECT o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM orders u WHERE u.o_custkey = o.o_custkey AND u.o_orderdate > o.o_orderdate)")
+def unused_after(spark, d):
+    """Orders that no later one of the same customer follows: an anti-join with a range, as a maximum."""
+    o = t.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    last = o.groupBy(F.col("o_custkey").alias("_c")).agg(F.max("o_orderdate").alias("last"))
+    return o.join(last, (F.col("o_custkey") == F.col("_c")) & (F.col("o_orderdate") == F.col("last"))).select("o_orderkey")
+
+
+PREDICATES = {
+    "P1": "l_discount = 0 AND l_tax = 0",
+    "P2": "l_quantity = 1 AND l_extendedprice > 1500",
+    "P3": "l_returnflag = 'R' AND l_linestatus = 'O'",
+    "P4": "l_shipdate IS NULL OR l_quantity > 49",
+}
+
+
+@query("rule_simple_filters", " UNION ALL ".join(f"SELECT '{k}' AS rule_id, l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber FROM lineitem WHERE {p}" for k, p in PREDICATES.items()))
+def simple_filters(spark, d):
+    """Several predicates in one scan: each row carries the ids it meets."""
+    li = t.table(spark, d, "lineitem")
+    met = F.array_compact(F.array(*(F.when(F.expr(p), F.lit(k)) for k, p in PREDICATES.items())))
+    return li.select(F.explode(met).alias("rule_id"), "l_orderkey", *long("l_linenumber"))
+
+
+CC = {"<div[ >]": 1, "<li[ >]": 1, "<table[ >]": 2, "<a[ >]": 1, "<script[ >]": 3}
+
+
+@query("complexity_score", "SELECT page_id, CAST(" + " + ".join(f"{w} * len(regexp_extract_all(html, '{p}'))" for p, w in CC.items()) + " AS BIGINT) AS score FROM pages")
+def complexity_score(spark, d):
+    score = sum((w * F.size(F.regexp_extract_all("html", F.lit(p), F.lit(0))) for p, w in CC.items()), F.lit(0))
+    return t.table(spark, d, "pages").select("page_id", score.cast("long").alias("score"))
+
+
+# --- engine
+
+SEVERITY_SETTINGS = [("rule", "click", "off"), ("rule", "view", " WARN "), ("category", "standard", "hint"), ("session", "view", "error"), ("rule", "purchase", "loud")]
+SETTINGS_SQL = "s(scope, key, value) AS (VALUES ('rule', 'click', 'off'), ('rule', 'view', 'warning'), ('category', 'standard', 'hint'), ('session', 'view', 'error'))"
+RULES_SQL = "r AS (SELECT DISTINCT event_type AS rule_id, CASE WHEN event_type < 'l' THEN 'standard' ELSE 'other' END AS category, 'information' AS default_severity FROM events)"
+EFFECTIVE = f"""{SETTINGS_SQL}, {RULES_SQL}, eff AS (SELECT rule_id, category, coalesce((SELECT max(value) FROM s WHERE scope = 'session' AND key = rule_id), (SELECT max(value) FROM s WHERE scope = 'rule' AND key = rule_id),
+    (SELECT max(value) FROM s WHERE scope = 'category' AND key = category), default_severity) AS severity FROM r)"""
+
+
+def rules(spark, d):
+    kinds = t.commits(spark, d).select("rule_id").distinct()
+    table = kinds.select("rule_id", F.when(F.col("rule_id") < "l", "standard").otherwise("other").alias("category"), F.lit("information").alias("default_severity"))
+    said = spark.range(1).select(F.explode(F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("scope", "key", "value"), s, strict=True))) for s in SEVERITY_SETTINGS))).alias("x")).select("x.*")
+    return fi.effective_severities(table, said)
+
+
+@query("engine_severity", f"WITH {EFFECTIVE} SELECT rule_id, category, severity FROM eff")
+def engine_severity(spark, d):
+    return rules(spark, d).select("rule_id", "category", "severity")
+
+
+@query("engine_skipped", f"WITH {EFFECTIVE} SELECT rule_id, 'disabled by configuration' AS reason FROM eff WHERE severity = 'off'")
+def engine_skipped(spark, d):
+    return fi.skipped(rules(spark, d))
+
+
+@query("engine_stamped", f"WITH {EFFECTIVE} SELECT user_id AS file, e.event_type AS rule_id, severity, category, count(*) AS n FROM events e JOIN eff ON event_type = rule_id WHERE severity <> 'off' GROUP BY ALL")
+def engine_stamped(spark, d):
+    return fi.stamped(t.commits(spark, d), rules(spark, d)).groupBy("file", "rule_id", "severity", "category").agg(F.count("*").alias("n"))
+
+
+def text_findings(spark, d):
+    """Duplicated lines and credential lines of the documents as raw findings."""
+    f = t.document_files(spark, d)
+    lines = src.lines(f)
+    dup = duplicate_literals(lines).select("file_id", "line", F.lit("DUP").alias("rule_id"), F.lit("duplicated line").alias("message"))
+    cred = lines.where(F.lower("text").rlike(CREDENTIAL)).select("file_id", "line", F.lit("CRED").alias("rule_id"), F.lit("credential in text").alias("message"))
+    return dup.unionByName(cred).join(f.select("file_id", "path"), "file_id"), lines
+
+
+FINDINGS = DUPLICATES + f""", found AS (SELECT file_id, path, line, 'DUP' AS rule_id, 'duplicated line' AS message, text FROM dup
+    UNION ALL SELECT file_id, path, line, 'CRED', 'credential in text', text FROM lines WHERE regexp_matches(lower(text), '{CREDENTIAL}')),
+  printed AS (SELECT *, row_number() OVER (PARTITION BY rule_id, path, message, anchor ORDER BY line, file_id) - 1 AS ordinal
+    FROM (SELECT * EXCLUDE (text), trim(text, ' ' || chr(9) || chr(13)) AS anchor FROM found)),
+  fp AS (SELECT *, substr(sha256(concat_ws(chr(10), rule_id, path, message, anchor, CAST(ordinal AS VARCHAR))), 1, 16) AS fingerprint FROM printed)"""
+
+
+@query("engine_fingerprint", f"WITH {FINDINGS} SELECT path, rule_id, line, ordinal, fingerprint FROM fp")
+def engine_fingerprint(spark, d):
+    found, lines = text_findings(spark, d)
+    return fi.fingerprinted(found, lines).select("path", "rule_id", *long("line", "ordinal"), "fingerprint")
+
+
+MARK = "secret"
+
+
+@query(
+    "engine_suppression",
+    f"""WITH {FINDINGS}, marked AS (SELECT file_id, line FROM lines WHERE regexp_matches(lower(text), '{MARK}') UNION SELECT file_id, line + 1 FROM lines WHERE regexp_matches(lower(text), '{MARK}'))
+    SELECT path, rule_id, line FROM found WHERE NOT EXISTS (SELECT 1 FROM marked m WHERE m.file_id = found.file_id AND m.line = found.line)""",
+)
+def engine_suppression(spark, d):
+    """The documents hold no markers of ours; a word of theirs stands in for one."""
+    found, lines = text_findings(spark, d)
+    return fi.unsuppressed(found, fi.suppressions(lines, MARK)).select("path", "rule_id", *long("line"))
+
+
+def baselined(spark, d):
+    found, lines = text_findings(spark, d)
+    printed = fi.fingerprinted(found, lines)
+    accepted = printed.where("rule_id = 'DUP' and line < 20").select(F.upper("fingerprint").alias("fingerprint"))
+    return fi.split_by_baseline(printed, accepted)
+
+
+BASE = FINDINGS + ", base AS (SELECT DISTINCT fingerprint FROM fp WHERE rule_id = 'DUP' AND line < 20)"
+
+
+@query("engine_baselined", f"WITH {BASE} SELECT path, rule_id, line, fingerprint FROM fp WHERE fingerprint IN (SELECT fingerprint FROM base)")
+def engine_baselined(spark, d):
+    return baselined(spark, d)[1].select("path", "rule_id", *long("line"), "fingerprint")
+
+
+@query("engine_reportable", f"WITH {BASE} SELECT path, rule_id, line, fingerprint FROM fp WHERE fingerprint NOT IN (SELECT fingerprint FROM base)")
+def engine_reportable(spark, d):
+    return baselined(spark, d)[0].select("path", "rule_id", *long("line"), "fingerprint")
+
+
+@query("engine_gate", f"WITH {EFFECTIVE} SELECT count(*) FILTER (severity IN ('error')) AS errors, count(*) FILTER (severity IN ('error', 'warning')) AS warnings, count(*) FILTER (severity <> 'off') AS n FROM events JOIN eff ON event_type = rule_id")
+def engine_gate(spark, d):
+    stamped = fi.stamped(t.commits(spark, d), rules(spark, d))
+    level = fi.rank(F.col("severity"))
+    return stamped.agg(F.count_if(level >= 4).alias("errors"), F.count_if(level >= 3).alias("warnings"), F.count("*").alias("n"))
+
+
+@query(
+    "engine_suggest",
+    """WITH u AS (SELECT DISTINCT p_brand AS word FROM part), k AS (SELECT DISTINCT p_brand || 'x' AS word FROM part WHERE p_size > 25),
+    d AS (SELECT u.word, k.word AS suggestion, levenshtein(lower(u.word), lower(k.word)) AS distance FROM u, k)
+    SELECT word, suggestion, CAST(distance AS BIGINT) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, lower(suggestion), suggestion) AS i FROM d WHERE distance <= 2) WHERE i = 1""",
+)
+def engine_suggest(spark, d):
+    p = t.table(spark, d, "part")
+    return fi.suggestions(p.select(F.col("p_brand").alias("word")).distinct(), p.where("p_size > 25").select(F.concat("p_brand", F.lit("x")).alias("word")).distinct())
+
+
+# --- insights
+
+
+@query("graph_fan_in", f"WITH {t.EDGES} SELECT callee, count(*) AS n_calls, count(DISTINCT caller) AS n_callers FROM edges GROUP BY callee")
+def graph_fan_in(spark, d):
+    return graph.fan_in(t.calls(spark, d))
+
+
+@query("graph_callers_topk", f"WITH {t.EDGES}, n AS (SELECT callee, caller, count(*) AS n FROM edges GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY callee ORDER BY n DESC, caller) AS place FROM n QUALIFY place <= 3")
+def graph_callers_topk(spark, d):
+    return graph.top_callers(t.calls(spark, d), 3).select("callee", "caller", "n", *long("place"))
+
+
+@query("graph_ambiguous", "SELECT p_name AS key, count(*) AS n FROM part GROUP BY p_name HAVING count(*) > 1")
+def graph_ambiguous(spark, d):
+    return graph.ambiguous(t.table(spark, d, "part").select(F.col("p_name").alias("key")))
+
+
+ROOTS = "SELECT n_nationkey FROM nation WHERE n_regionkey = 1"
+
+
+@query(
+    "graph_reach",
+    f"""WITH RECURSIVE {t.EDGES}, e AS (SELECT DISTINCT callee, caller FROM edges),
+    r(root, key, depth) AS (SELECT CAST(n_nationkey AS BIGINT), CAST(n_nationkey AS BIGINT), 0 FROM nation WHERE n_regionkey = 1 UNION SELECT root, caller, depth + 1 FROM r JOIN e ON key = callee WHERE depth < 3)
+    SELECT root, key, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY root, key""",
+)
+def graph_reach(spark, d):
+    roots = t.table(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").cast("long").alias("key"))
+    return graph.reach(roots, t.calls(spark, d), 3).select("root", "key", *long("depth"))
+
+
+@query(
+    "graph_scc",
+    f"""WITH RECURSIVE {t.EDGES}, e AS (SELECT DISTINCT caller AS a, callee AS b FROM edges WHERE callee <> caller),
+    c(a, b) AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a),
+    m AS (SELECT x.a AS node, least(x.a, min(x.b)) AS component FROM c x JOIN c y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a)
+    SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM m""",
+)
+def graph_scc(spark, d):
+    return graph.cycles(t.calls(spark, d))
+
+
+CHURNED = "ch AS (SELECT user_id AS file, count(*) AS churn FROM events WHERE ts >= (SELECT max(ts) - INTERVAL 10 DAY FROM events) GROUP BY user_id)"
+
+
+def churned(spark, d):
+    c = t.commits(spark, d)
+    newest = c.agg(F.max("ts").alias("ts")).first()[0]
+    return insights.churn(c, F.lit(newest) - F.expr("interval 10 days"))
+
+
+@query("churn_since", f"WITH {CHURNED} SELECT file, churn FROM ch")
+def churn_since(spark, d):
+    return churned(spark, d)
+
+
+@query("hotspots", f"WITH {CHURNED}, cx AS (SELECT user_id AS file, CAST(floor(sum(value)) AS BIGINT) AS complexity FROM events GROUP BY user_id) SELECT file, complexity, churn, complexity * churn AS score FROM cx JOIN ch USING (file) WHERE complexity > 0 AND churn > 0 ORDER BY score DESC, complexity DESC, file LIMIT 20")
+def hotspots(spark, d):
+    cx = t.commits(spark, d).groupBy("file").agg(F.floor(F.sum("value")).cast("long").alias("complexity"))
+    return insights.hotspots(cx, churned(spark, d), 20)
+
+
+DEBT = """b AS (SELECT o_orderkey AS fingerprint, o_orderpriority AS rule_id, CASE WHEN o_orderstatus = 'O' THEN NULL ELSE o_orderdate END AS introduced FROM orders),
+  c AS (SELECT l_orderkey AS fingerprint, count(*) AS churn FROM lineitem GROUP BY ALL), now AS (SELECT max(o_orderdate) AS ts FROM orders),
+  debt AS (SELECT b.fingerprint, rule_id, CAST(coalesce(greatest(0, datesub('day', introduced, now.ts)), 0) AS BIGINT) AS age_days, CAST(coalesce(churn, 0) AS BIGINT) AS churn FROM b LEFT JOIN c USING (fingerprint), now)"""
+
+
+def debt(spark, d):
+    o = t.table(spark, d, "orders").withColumnRenamed("o_orderkey", "fingerprint")
+    now = o.agg(F.max("o_orderdate")).first()[0]
+    when = o.where("o_orderstatus <> 'O'").select("fingerprint", F.col("o_orderdate").alias("introduced"))
+    churn = t.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("fingerprint")).agg(F.count("*").alias("churn"))
+    return insights.debt(o.select("fingerprint", F.col("o_orderpriority").alias("rule_id")), when, churn, F.lit(now))
+
+
+@query("debt_ranking", f"WITH {DEBT} SELECT fingerprint, rule_id, age_days, churn, age_days * churn AS score FROM debt")
+def debt_ranking(spark, d):
+    return debt(spark, d).select("fingerprint", "rule_id", "age_days", "churn", "score")
+
+
+@query("debt_over_age", f"WITH {DEBT} SELECT rule_id, count(*) AS n, max(age_days) AS oldest FROM debt WHERE age_days > 365 GROUP BY rule_id")
+def debt_over_age(spark, d):
+    return insights.over_age(debt(spark, d), 365).groupBy("rule_id").agg(F.count("*").alias("n"), F.max("age_days").alias("oldest"))
+
+
+@query("trend_totals", "WITH n AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS snapshot, count(*) AS total FROM orders GROUP BY ALL) SELECT snapshot, total, total - lag(total, 1, total) OVER (ORDER BY snapshot) AS delta FROM n")
+def trend_totals(spark, d):
+    return insights.trend(t.table(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("snapshot")))
+
+
+@query("trend_by_rule", "SELECT strftime(o_orderdate, '%Y-%m') AS snapshot, o_orderpriority AS rule_id, count(*) AS n FROM orders GROUP BY ALL")
+def trend_by_rule(spark, d):
+    return t.table(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("snapshot"), F.col("o_orderpriority").alias("rule_id")).agg(F.count("*").alias("n"))
+
+
+@query("age_labels", f"WITH {DEBT} SELECT fingerprint, CASE WHEN age_days < 30 THEN age_days || 'd' WHEN age_days < 365 THEN age_days // 30 || 'mo' ELSE age_days // 365 || 'y' END AS age FROM debt")
+def age_labels(spark, d):
+    return debt(spark, d).select("fingerprint", insights.format_age(F.col("age_days")).alias("age"))
+
+
+# --- reports
+
+
+@query("report_files", f"WITH {FINDINGS} SELECT path, count(*) AS n, count(*) FILTER (rule_id = 'DUP') AS duplicates, CAST(min(line) + 1 AS BIGINT) AS first_line FROM found GROUP BY path")
+def report_files(spark, d):
+    found, _ = text_findings(spark, d)
+    return found.groupBy("path").agg(F.count("*").alias("n"), F.count_if(F.col("rule_id") == "DUP").alias("duplicates"), (F.min("line") + 1).cast("long").alias("first_line"))
+
+
+@query("report_rules_tree", f"WITH {EFFECTIVE} SELECT category, count(*) AS total, count(*) FILTER (severity <> 'off') AS enabled FROM eff GROUP BY category")
+def report_rules_tree(spark, d):
+    return rules(spark, d).groupBy("category").agg(F.count("*").alias("total"), F.count_if(F.col("severity") != "off").alias("enabled"))
+
+
+@query("report_json_rows", f"WITH {FINDINGS} SELECT rule_id, message, path, line AS start_line, line + 1 AS shown_line, fingerprint FROM fp")
+def report_json_rows(spark, d):
+    found, lines = text_findings(spark, d)
+    out = fi.fingerprinted(found, lines)
+    return out.select("rule_id", "message", "path", F.col("line").cast("long").alias("start_line"), (F.col("line") + 1).cast("long").alias("shown_line"), "fingerprint")
