@@ -311,7 +311,7 @@ def engine_fingerprint(spark, d):
     return fi.fingerprinted(found, lines).select("path", "rule_id", *long("line", "ordinal"), "fingerprint")
 
 
-MARK = "secret"
+MARK = "password"
 
 
 @query(
