@@ -143,5 +143,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that keep every rule, with their own columns."""
-    kept = judge(docs.select(F.struct(*docs.columns).alias("_row"), F.col("text"))).where("kept")
+    judged = judge(docs.select(F.struct(*docs.columns).alias("_row"), F.col("text")))
+    # a filter would be pushed below the projections and repeat them all
+    kept = judged.select(F.explode(F.when(F.col("kept"), F.array("_row"))).alias("_row"))
     return kept.select("_row.*")
