@@ -36,6 +36,8 @@ from tessera.llm.simhash import _whole_groups
 LENGTH, GRAM = 400, 100
 #: Bytes of a text that are looked at together (places in them fit in 21 bits), and contexts of an anchor likewise.
 PART, MOST = 1 << 19, 512
+#: Contexts that are put in order together, about.
+TOGETHER = 600
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -48,8 +50,9 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(x, dtype=np.uint64)
 
 
-_UP = _powers(int(_BASE), PART + 2 * LENGTH)
-_DOWN = _powers(pow(int(_BASE), -1, 1 << 64), PART + 2 * LENGTH)
+_LONGEST = max(PART + 2 * LENGTH, 4 * TOGETHER * 2 * LENGTH)
+_UP = _powers(int(_BASE), _LONGEST)
+_DOWN = _powers(pow(int(_BASE), -1, 1 << 64), _LONGEST)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -151,9 +154,26 @@ def suffix_order(b: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndar
     return np.argsort(own, kind="stable"), own
 
 
+def prefix_order(b: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``suffix_order`` for a fixed depth and suffixes of that length at least: by eight bytes, then by fingerprint.
+
+    Where only agreement in ``depth`` bytes counts, the order among suffixes that differ later is free.
+    """
+    whole = rolling(b, depth)[starts]
+    words = b.astype(np.uint64)
+    for k in (1, 2, 4):
+        words = words[: len(words) - k] << np.uint64(8 * k) | words[k:]
+    head = words[starts]
+    order = np.lexsort((whole, head))
+    h, w = head[order], whole[order]
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.cumsum(np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
+    return order, rank
+
+
 def repeated(b: np.ndarray, starts: np.ndarray, keep_first: bool, depth: int = LENGTH) -> np.ndarray:
     """Whether the ``depth`` bytes at each of the ascending ``starts`` also stand at an earlier one (or, unless ``keep_first``, a later one)."""
-    order, rank = suffix_order(b, starts, depth)
+    order, rank = prefix_order(b, starts, depth)
     in_order = rank[order]
     same = in_order[1:] == in_order[:-1]
     out = np.zeros(len(starts), dtype=bool)
@@ -203,11 +223,22 @@ def contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return both.select("x.anchor", "x.context", "x.n", "x.ord", cut.alias("bytes")).dropDuplicates(["anchor", "context"])
 
 
+def _some_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """(anchor, context, bytes) of whole anchors, of about ``TOGETHER`` contexts at once."""
+    for anchor, context, _, raw in _whole_groups(batches, 1, TOGETHER):
+        cuts = np.r_[0, np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, len(anchor)]
+        lo = 0
+        for hi in cuts[1:].tolist():
+            if hi - lo >= TOGETHER or hi == len(anchor):
+                yield [anchor[lo:hi], context[lo:hi], raw[lo:hi]]
+                lo = hi
+
+
 def within_anchor(cut: DataFrame, keep_first: bool) -> DataFrame:
     """(anchor, context, lo, hi): runs of strings of a context that repeat in another context of the anchor, or in itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for anchor, context, _, raw in _whole_groups(batches, 1, 2000):
+        for anchor, context, raw in _some_groups(batches):
             # all anchors of the batch in one suffix order; strings of different anchors differ
             sizes = np.array([len(x) for x in raw])
             flat = np.frombuffer(b"".join(raw), dtype=np.uint8)
@@ -286,7 +317,7 @@ def cut_out(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """(doc_id, key, n_bytes, spans, kept): merged removed ranges and what remains of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x.slice(at, 500) for x in batches for at in range(0, x.num_rows, 500)):
             ranges, kept, sizes = [], [], []
             for raw, found in zip(batch.column("raw"), batch.column("spans"), strict=True):
                 b, merged = raw.as_py(), []
