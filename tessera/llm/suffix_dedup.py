@@ -12,8 +12,10 @@ the earliest occurrence stays (by doc_id, then position); without, all of them g
    an anchor are put in suffix order. Positions that agree in ``LENGTH`` bytes stand in a run. A position has a smaller
    one before or after it in its run, which is to say a longest previous factor of ``LENGTH`` or more, unless it is
    the run's first; in the same way it has a longest next factor unless it is the run's last.
-4. An anchor with over ``MOST`` contexts (a passage of very many documents, with as many surroundings) meets string by
-   string: its contexts are cut into strings, and each string's own bucket is such a run.
+4. An anchor with over ``MOST`` contexts (a passage of very many documents, with as many surroundings) is refined:
+   contexts are cut into pieces of ``BLOCK`` strings at set distances from the anchor, and a piece goes to a bucket by
+   the bytes that all its strings share. Pieces are collapsed and ordered like contexts; where a bucket is still too
+   large (the edge of the passage), its few strings each get a bucket of their own, which is such a run.
 5. The repeated places of a context hold for all its occurrences; they are merged for each document and cut out.
 
 Cases: null and empty texts have no bytes and lose none. Equal rows repeat one another. Rows with null doc_id come
@@ -38,6 +40,8 @@ LENGTH, GRAM = 400, 100
 PART, MOST = 1 << 19, 512
 #: Contexts that are put in order together, about.
 TOGETHER = 600
+#: Strings in a piece of a context.
+BLOCK = 16
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -284,6 +288,57 @@ def by_string(cut: DataFrame, keep_first: bool) -> DataFrame:
     return hit.select("anchor", "context", F.col("at").alias("lo"), F.col("at").alias("hi"))
 
 
+def pieces(cut: DataFrame) -> DataFrame:
+    """(anchor, context, ord, bytes, of_anchor, of_context, at, n): contexts in pieces of ``BLOCK`` strings; ``at`` is a piece's first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = xxhash.xxh64_intdigest
+        for batch in batches:
+            rows = []
+            for i, raw in enumerate(batch.column("bytes")):
+                b = raw.as_py()
+                m = len(b) - LENGTH + 1
+                h = rolling(np.frombuffer(b, dtype=np.uint8), GRAM)[: LENGTH - GRAM + 1]
+                key = (h & ~_PLACE) | (_PLACE - np.arange(len(h), dtype=np.uint64))
+                place = int(np.argmin(key))
+                a = 0
+                while a < m:
+                    # the pieces end at multiples of BLOCK before the anchor; the core is in every string that starts there
+                    k = (place - a) // BLOCK
+                    z = min(m, place - k * BLOCK + 1)
+                    core = one(b[place - k * BLOCK : place - k * BLOCK - BLOCK + 1 + LENGTH], k)
+                    rows.append((i, core, one(b[a : z + LENGTH - 1], place - a), b[a : z + LENGTH - 1], a, z - a))
+                    a = z
+            if rows:
+                i, core, own, body, at, n = zip(*rows, strict=True)
+                same = pa.array(i, pa.int32())
+                signed = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [signed(core), signed(own), batch.column("ord").take(same), pa.array(body, pa.binary()), batch.column("anchor").take(same), batch.column("context").take(same), pa.array(at, pa.int32()), pa.array(n, pa.int32())],
+                    names=["core", "context", "ord", "bytes", "of_anchor", "of_context", "at", "n"],
+                )
+
+    out = cut.select("anchor", "context", "ord", "bytes").mapInArrow(run, "core long, context long, ord binary, bytes binary, of_anchor long, of_context long, at int, n int")
+    return out.withColumn("anchor", F.xxhash64("of_anchor", "core")).drop("core")
+
+
+def refined(cut: DataFrame, keep_first: bool, most: int) -> DataFrame:
+    """As ``within_anchor``, for anchors with very many contexts."""
+    each = written(pieces(cut))
+    kinds = each.groupBy(F.col("anchor").alias("_a"), F.col("context").alias("_c")).agg(F.count("*").alias("count"), F.min("ord").alias("_ord"))
+    often = kinds.groupBy(F.col("_a").alias("_b")).agg(F.count("*").alias("size"))
+    kinds = written(kinds.join(often, F.col("_a") == F.col("_b")).drop("_b").where("size > 1 or count > 1"))
+    same = (F.col("anchor") == F.col("_a")) & (F.col("context") == F.col("_c"))
+    reps = written(each.join(kinds.where("size > 1"), same).where(F.col("ord") == F.col("_ord")).select("anchor", "context", "ord", "bytes", "size"))
+    partial = within_anchor(reps.where(F.col("size") <= most), keep_first).unionByName(by_string(reps.where(F.col("size") > most), keep_first))
+    parts = partial.groupBy(F.col("anchor").alias("_pa"), F.col("context").alias("_pc")).agg(F.collect_set(F.struct("lo", "hi")).alias("parts"))
+    hit = each.drop("bytes").join(kinds, same).join(parts, (F.col("anchor") == F.col("_pa")) & (F.col("context") == F.col("_pc")), "left")
+    again = (F.col("ord") != F.col("_ord")) if keep_first else (F.col("count") > 1)
+    whole = F.array(F.struct(F.lit(0).alias("lo"), (F.col("n") - 1).alias("hi")))
+    hit = hit.withColumn("x", F.explode(F.when(again, whole).otherwise(F.col("parts"))))
+    return hit.select(F.col("of_anchor").alias("anchor"), F.col("of_context").alias("context"), (F.col("at") + F.col("x.lo")).alias("lo"), (F.col("at") + F.col("x.hi")).alias("hi"))
+
+
 def place_key() -> Column:
     """Sorts occurrences by doc_id (null first), key and place."""
     parts = [F.when(F.col("doc_id").isNull(), F.lit("0")).otherwise(F.lit("1"))]
@@ -301,7 +356,7 @@ def removals(rows: DataFrame, keep_first: bool = False, most: int = MOST) -> Dat
     sizes = kinds.where("several").groupBy(F.col("anchor").alias("_a")).agg(F.count("*").alias("size"))
     wanted = kinds.where("several").join(sizes, F.col("anchor") == F.col("_a")).select("anchor", "context", "size", "rep.*")
     cut = written(contexts(rows, wanted.select("doc_id", "key", "anchor", "context", "first", "n", "ord")).join(sizes, F.col("anchor") == F.col("_a")).drop("_a"))
-    partial = within_anchor(cut.where(F.col("size") <= most), keep_first).unionByName(by_string(cut.where(F.col("size") > most), keep_first))
+    partial = within_anchor(cut.where(F.col("size") <= most), keep_first).unionByName(refined(cut.where(F.col("size") > most), keep_first, most))
     parts = partial.groupBy("anchor", "context").agg(F.collect_set(F.struct("lo", "hi")).alias("parts"))
     known = kinds.join(parts, ["anchor", "context"], "left").select(F.col("anchor").alias("_a"), F.col("context").alias("_c"), "count", F.col("rep.ord").alias("_ord"), "parts").where("count > 1 or parts is not null")
     hit = near.join(known, (F.col("anchor") == F.col("_a")) & (F.col("context") == F.col("_c")))
