@@ -101,12 +101,16 @@ class Windows:
         at, k = at[same], k[same]
         n = self.n[k]
         post = np.repeat(self.first[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        window, diagonal = self.window[post], np.repeat(at, n) - self.place[post] + (1 << 20)
-        keys = np.concatenate([window * (1 << 40) + (diagonal + h) // (2 * HALF) * 2 + (h > 0) for h in (0, HALF)])
-        key, count = np.unique(keys, return_counts=True)
-        window = key >> 40
+        window, place = self.window[post], self.place[post]
+        diagonal = np.repeat(at, n) - place + (1 << 20)
+        # a window's q-gram counts once in a band, however often the document repeats it there
+        keys = np.sort(np.concatenate([(window << 36 | (diagonal + h) // (2 * HALF) * 2 + (h > 0)) << 8 | place for h in (0, HALF)]))
+        keys = keys[np.r_[True, keys[1:] != keys[:-1]]] >> 8
+        new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        key, count = keys[new], np.diff(np.r_[new, len(keys)])
+        window = key >> 36
         good = count >= self.least[window]
-        window, band = window[good], key[good] & ((1 << 40) - 1)
+        window, band = window[good], key[good] & ((1 << 36) - 1)
         return window, (band // 2) * 2 * HALF - (band % 2) * HALF - (1 << 20)
 
     def find(self, texts: list[bytes]) -> list[tuple[int, int, int]]:
