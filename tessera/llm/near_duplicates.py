@@ -10,8 +10,8 @@ way to candidates differs from ``simhash``; the index and the union of links are
 2. Documents with equal sets become a class before anything is compared.
 3. The classes of a route are sorted in Gray order and searched with ``gray_index`` for fingerprints within ``RADIUS``
    bits: at similarity 0.8 the expected distance is 256 * acos(8 / 9) / pi = 39 bits.
-4. A route with over ``MOST`` classes is cut into blocks. Each block also gets the route's pivots, so that blocks of
-   one group of copies are joined through them; its classes meet on their other routes as well.
+4. A route with over ``MOST`` classes is cut into blocks of about half of that, and every pair of blocks is searched
+   together: all classes of a route meet, however many there are.
 
 Cases: a null text counts as empty. Texts without words form one class. Rows that are equal in every way fall into one
 class, too. A null ``doc_id`` is the last to be kept. An empty table gives an empty result.
@@ -36,7 +36,6 @@ SHINGLE = 5
 WORDS, RADIUS = 4, 48
 #: Parts of a level that give routes, shingles in a part (about), and classes of a route that are searched in one piece.
 PARTS, IN_PART, MOST = 10, 3, 4096
-PIVOTS = 64
 
 
 def mixed(h: np.ndarray, by: int) -> np.ndarray:
@@ -89,16 +88,22 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("row", "text").mapInArrow(run, f"row {row_type}, node long, {', '.join(f'f{i} long' for i in range(WORDS))}, routes array<long>")
 
 
+def cells(members: DataFrame, most: int) -> DataFrame:
+    """``members`` (node, size of its group, ...) with ``block``: any two of a group share one, of about ``most`` at most."""
+    k = F.when(F.col("size") > most, F.ceil(F.col("size") / max(1, most // 2))).otherwise(1).cast("long")
+    own = F.pmod(F.xxhash64("node", F.lit(2)), k)
+    dealt = members.select("*", k.alias("_k"), own.alias("_own")).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)))
+    dealt = dealt.where("_k = 1 or _own <> _other").withColumn("block", F.least("_own", "_other") * F.col("_k") + F.greatest("_own", "_other"))
+    return dealt.drop("_k", "_own", "_other")
+
+
 def links(classes: DataFrame, most: int = MOST) -> DataFrame:
     """(a, b): links between classes (node, f0..f3, routes) that share a route and lie within the radius."""
     prints = [f"f{i}" for i in range(WORDS)]
     members = classes.select("node", *prints, F.explode("routes").alias("route"))
     sizes = classes.select(F.explode("routes").alias("_route")).groupBy("_route").agg(F.count("*").alias("size")).where("size > 1")
     held = members.join(sizes, F.col("route") == F.col("_route")).drop("_route")
-    blocks = F.ceil(F.col("size") / most).cast("int")
-    pivot = F.pmod(F.xxhash64("node", F.lit(1)), F.col("size")) < PIVOTS
-    one = F.array(F.pmod(F.xxhash64("node", F.lit(2)), blocks).cast("int"))
-    held = held.withColumn("block", F.explode(F.when((blocks > 1) & pivot, F.sequence(F.lit(0), blocks - 1)).otherwise(one)))
+    held = cells(held, most)
     order = held.withColumn("rank", gray_order(F.col("f0"))).repartition("route", "block").sortWithinPartitions("route", "block", "rank", *prints)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

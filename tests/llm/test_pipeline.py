@@ -84,3 +84,14 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
     assert len(out) == mixed.count()
     ends = sorted((r.start, r.start + r.n_tokens) for r in out)
     assert all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
+
+
+def test_all_classes_of_a_large_route_meet(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(300):  # unrelated pairs of one bit's difference, all on one route
+        f = [rng.getrandbits(63) for _ in range(n.WORDS)]
+        rows += [(2 * k, *f, [7]), (2 * k + 1, f[0] ^ 1, *f[1:], [7])]
+    classes = spark.createDataFrame(rows, f"node long, {', '.join(f'f{i} long' for i in range(n.WORDS))}, routes array<long>")
+    got = {tuple(sorted((r.a, r.b))) for r in n.links(classes, 8).collect()}
+    assert got == {(2 * k, 2 * k + 1) for k in range(300)}
