@@ -3,15 +3,18 @@
 A similarity that low leaves 64-bit fingerprints too far apart for shared bands, so the fingerprint is longer and the
 way to candidates differs from ``simhash``; the index and the union of links are the same.
 
-1. One Arrow pass gives each document its shingle set's digest, a fingerprint of 256 bits and *routes*: the set falls
-   into parts by the low bits of its hashes, about three shingles each, and the digests of ten parts are its routes. Two
-   sets of similarity 0.8 share half of their parts, so that they miss each other with a chance of about 0.001. Sets of
-   neighbouring size classes have a level in common, as each is given routes at its own level and the one below.
+1. One Arrow pass gives each document its shingle set's hashes and digest, a fingerprint of 256 bits and *routes*: the
+   set falls into parts by the low bits of its hashes, of 2.2 to 4.5 shingles each, and the digests of twenty parts are
+   its routes. Of a pair of similarity 0.8 a part of 4.5 is equal with a chance of 0.37, so that all twenty differ with
+   a chance of 0.0001 (0.0006 for the sixteen parts of sets under 72). Sets of neighbouring size classes have a level in
+   common, as each is given routes at its own level and the one below.
 2. Documents with equal sets become a class before anything is compared.
 3. The classes of a route are sorted in Gray order and searched with ``gray_index`` for fingerprints within ``RADIUS``
-   bits: at similarity 0.8 the expected distance is 256 * acos(8 / 9) / pi = 39 bits.
+   bits: at similarity 0.8 the expected distance is 256 * acos(8 / 9) / pi = 39 bits, and over 60 has a chance of 0.0002.
 4. A route with over ``MOST`` classes is cut into blocks of about half of that, and every pair of blocks is searched
    together: all classes of a route meet, however many there are.
+5. The components of these candidates are only where links may be. In each, sets are compared and those of Jaccard
+   similarity ``LEAST`` are linked; a large one is cut into pairs of blocks as routes are.
 
 Cases: a null text counts as empty. Texts without words form one class. Rows that are equal in every way fall into one
 class, too. A null ``doc_id`` is the last to be kept. An empty table gives an empty result.
@@ -27,15 +30,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import small, written
 from tessera.llm.components import components
-from tessera.llm.gray_index import Index, labels
+from tessera.llm.gray_index import Index, labels, popcount
 from tessera.llm.simhash import _whole_groups, gray_order, majority, shingle_hashes
 
 SHINGLE = 5
-WORDS, RADIUS = 4, 48
+WORDS, RADIUS = 4, 60
+#: Similarity of linked documents, as a fraction.
+LEAST = (4, 5)
 #: Parts of a level that give routes, shingles in a part (about), and classes of a route that are searched in one piece.
-PARTS, IN_PART, MOST = 10, 3, 4096
+PARTS, IN_PART, MOST = 20, 3, 4096
 
 
 def mixed(h: np.ndarray, by: int) -> np.ndarray:
@@ -66,26 +71,27 @@ def routes(h: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(row, node, f0..f3, routes) for ``docs`` (row, text); ``node`` is the digest of the shingle set."""
+    """(row, node, f0..f3, routes, shingles) for ``docs`` (row, text); ``node`` is the digest of the shingle set."""
     row_type = docs.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, prints, lists = [], [], []
+            nodes, prints, lists, sets = [], [], [], []
             for t in batch.column("text"):
                 h = np.unique(shingle_hashes(t.as_py(), SHINGLE))
                 nodes.append(xxhash.xxh64_intdigest(h.tobytes(), 7))
                 prints.append([majority(mixed(h, i)) for i in range(WORDS)])
                 lists.append(routes(h))
+                sets.append(h.tobytes())
             columns = np.array(prints, dtype=np.uint64).reshape(-1, WORDS).view(np.int64)
             ends = np.r_[0, np.cumsum([len(x) for x in lists])].astype(np.int32)
             flat = np.concatenate([np.zeros(0, dtype=np.uint64), *lists]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), *(pa.array(np.ascontiguousarray(columns[:, i])) for i in range(WORDS)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                names=["row", "node", *(f"f{i}" for i in range(WORDS)), "routes"],
+                [batch.column("row"), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), *(pa.array(np.ascontiguousarray(columns[:, i])) for i in range(WORDS)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(sets, pa.binary())],
+                names=["row", "node", *(f"f{i}" for i in range(WORDS)), "routes", "shingles"],
             )
 
-    return docs.select("row", "text").mapInArrow(run, f"row {row_type}, node long, {', '.join(f'f{i} long' for i in range(WORDS))}, routes array<long>")
+    return docs.select("row", "text").mapInArrow(run, f"row {row_type}, node long, {', '.join(f'f{i} long' for i in range(WORDS))}, routes array<long>, shingles binary")
 
 
 def cells(members: DataFrame, most: int) -> DataFrame:
@@ -117,12 +123,66 @@ def links(classes: DataFrame, most: int = MOST) -> DataFrame:
     return order.select("route", "block", "node", *prints).mapInArrow(run, "a long, b long")
 
 
+def alike(prints: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """For each set the first of its component, where those of similarity ``LEAST`` within the radius are linked."""
+    first = np.arange(len(sets))
+    size = np.array([len(x) for x in sets])
+    left = np.arange(len(sets))
+    while len(left):
+        root, left = left[0], left[1:]
+        ahead = [root]
+        # what has been reached needs no second link: each set met is held against the ones left
+        while ahead and len(left):
+            i = ahead.pop()
+            lo, hi = np.minimum(size[left], size[i]), np.maximum(size[left], size[i])
+            near = np.flatnonzero((lo * LEAST[1] >= hi * LEAST[0]) & (popcount(prints[left] ^ prints[i]) <= RADIUS))
+            if not len(near):
+                continue
+            reached = []
+            for at in range(0, len(near), 256):
+                some = near[at : at + 256]
+                n = size[left[some]]
+                flat = np.concatenate([sets[k] for k in left[some]])
+                place = np.minimum(np.searchsorted(sets[i], flat), size[i] - 1)
+                both = np.bincount(np.repeat(np.arange(len(some)), n), weights=sets[i][place] == flat, minlength=len(some)).astype(np.int64)
+                reached.append(some[both * LEAST[1] >= (n + size[i] - both) * LEAST[0]])
+            reached = np.concatenate(reached)
+            first[left[reached]] = root
+            ahead.extend(left[reached])
+            left = np.delete(left, reached)
+    return first
+
+
+def confirmed(sketched: DataFrame, star: DataFrame, most: int = MOST) -> DataFrame:
+    """(a, b): links by the similarity of shingle sets inside the components ``star`` of candidates."""
+    prints = [f"f{i}" for i in range(WORDS)]
+    group = written(star.select("a", "b").union(star.select(F.col("b").alias("a"), "b").distinct()))
+    members = sketched.select("node", *prints, "shingles").join(small(group), F.col("node") == F.col("a"))
+    members = members.groupBy("node").agg(*(F.first(c).alias(c) for c in ("b", *prints, "shingles")))
+    sizes = group.groupBy(F.col("b").alias("_group")).agg(F.count("*").alias("size"))
+    dealt = cells(members.join(small(written(sizes)), F.col("b") == F.col("_group")), most)
+    order = dealt.select("b", "block", "node", *prints, "shingles").repartition("b", "block").sortWithinPartitions("b", "block", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, block, node, *f, shingles in _whole_groups(batches, 2, 1):
+            starts = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (block[1:] != block[:-1])])
+            all_prints = np.stack(f, axis=1).view(np.uint64)
+            for lo, hi in zip(starts, np.r_[starts[1:], len(node)], strict=True):
+                first = lo + alike(all_prints[lo:hi], [np.frombuffer(x, dtype=np.uint64) for x in shingles[lo:hi]])
+                other = np.flatnonzero(first != np.arange(lo, hi)) + lo
+                if len(other):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[other]), pa.array(node[first[other - lo]])], names=["a", "b"])
+
+    return order.mapInArrow(run, "a long, b long")
+
+
 def grouped(docs: DataFrame, most: int = MOST) -> DataFrame:
     """(row, root) for ``docs`` (row, text): ``root`` is equal for the documents of one group."""
     sketched = written(sketches(docs))
     prints = [f"f{i}" for i in range(WORDS)]
     classes = written(sketched.groupBy("node").agg(*(F.first(c).alias(c) for c in (*prints, "routes"))))
-    star = components(written(links(classes, most)))
+    near = components(written(links(classes, most)))
+    star = components(written(confirmed(sketched, near, most)))
     return sketched.select("row", "node").join(star, F.col("node") == F.col("a"), "left").select("row", F.coalesce("b", "node").alias("root"))
 
 

@@ -95,3 +95,18 @@ def test_all_classes_of_a_large_route_meet(spark):
     classes = spark.createDataFrame(rows, f"node long, {', '.join(f'f{i} long' for i in range(n.WORDS))}, routes array<long>")
     got = {tuple(sorted((r.a, r.b))) for r in n.links(classes, 8).collect()}
     assert got == {(2 * k, 2 * k + 1) for k in range(300)}
+
+
+def test_links_are_by_similarity(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(250):  # pairs from 0.7 to 0.88, each alone
+        w = words(rng, rng.choice([60, 150, 400]))
+        v = list(w)
+        for at in rng.sample(range(len(v) // 6), round(len(v) / 6 * rng.uniform(0.09, 0.19))):
+            v[6 * at + 2] = words(rng, 1)[0]
+        rows += [(2 * k, w), (2 * k + 1, v)]
+    got = {r.row: r.root for r in n.grouped(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "row long, text string")).collect()}
+    pairs = [(jaccard(rows[i][1], rows[i + 1][1]), got[i] == got[i + 1]) for i in range(0, len(rows), 2)]
+    assert min(sum(j >= 0.8 for j, _ in pairs), sum(j < 0.8 for j, _ in pairs)) > 50
+    assert [same for _, same in pairs] == [j >= 0.8 for j, _ in pairs]
