@@ -1,8 +1,9 @@
 """Benchmark decontamination by the q-gram lemma.
 
-A benchmark item is lower-cased and reduced to letters, digits and single spaces; long ones are cut into overlapping
-windows. A document region within ``e`` edits of a window of length m has at least m - q + 1 - q e of its q-grams, and
-they lie on diagonals (position in the document less position in the window) at most ``e`` apart. So:
+A benchmark item is lower-cased and reduced to letters, digits and single spaces; those over ``WINDOW`` bytes are cut into
+windows of that length, one at every ``STEP`` bytes and one at the end. So a passage of ``WINDOW + STEP - 1`` bytes holds a
+whole window wherever it lies in its item. A document region within ``e`` edits of a window of length m has at least
+m - q + 1 - q e of its q-grams, and they lie on diagonals (position in the document less position in the window) at most ``e`` apart. So:
 
 1. every q-gram of a document is looked up among the windows' (a bitmap first, then exactly);
 2. hits are counted in bands of diagonals, each overlapping the next by half, so that one holds the whole of a region;
@@ -31,11 +32,11 @@ Q = 8
 #: Edits in a hundred characters that a copy may have.
 EDITS = 10
 #: Windows of longer items, and the step from one to the next.
-WINDOW, STEP = 120, 60
+WINDOW, STEP = 84, 12
 #: Half the width of a band; more than the edits that any window allows.
 HALF = 24
 #: Bytes of benchmark text in a block, and of document text looked at together.
-BLOCK, AT_ONCE = 2 << 20, 1 << 20
+BLOCK, AT_ONCE = 1 << 20, 1 << 20
 #: Bits of the address in the first lookup.
 ADDRESS = 22
 
@@ -67,13 +68,10 @@ class Windows:
         for i, t in items:
             b = plain(t)
             if b:
-                starts = range(0, len(b) - STEP, STEP) if len(b) > WINDOW + STEP else [0]
-                for s in starts:
-                    whole = s + WINDOW + STEP > len(b)
+                last = max(0, len(b) - WINDOW)
+                for s in [*range(0, last, STEP), last]:
                     self.item.append(i)
-                    self.text.append(b[s:] if whole or len(b) <= WINDOW + STEP else b[s : s + WINDOW])
-                    if whole:
-                        break
+                    self.text.append(b[s : s + WINDOW])
         m = np.array([len(t) for t in self.text], dtype=np.int64)
         # no more edits than leave a shared q-gram
         self.edits = np.clip(np.minimum(m * EDITS // 100, (m - Q) // Q), 0, HALF)
@@ -84,7 +82,7 @@ class Windows:
         window = np.repeat(np.arange(len(m)), [len(g) for g in all_grams])
         place = np.concatenate([np.zeros(0, dtype=np.int64), *(np.arange(len(g)) for g in all_grams)])
         order = np.argsort(flat, kind="stable")
-        self.window, self.place = window[order], place[order]
+        self.window, self.place = window[order].astype(np.int32), place[order].astype(np.uint8)
         self.grams, self.first, self.n = np.unique(flat[order], return_index=True, return_counts=True)
         self.seen = np.zeros(1 << ADDRESS, dtype=bool)
         self.seen[address(self.grams)] = True
@@ -99,9 +97,11 @@ class Windows:
         k = np.searchsorted(self.grams, g[at])
         same = self.grams[np.minimum(k, len(self.grams) - 1)] == g[at]
         at, k = at[same], k[same]
+        if not len(at):
+            return none, none
         n = self.n[k]
         post = np.repeat(self.first[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        window, place = self.window[post], self.place[post]
+        window, place = self.window[post].astype(np.int64), self.place[post].astype(np.int64)
         diagonal = np.repeat(at, n) - place + (1 << 20)
         # a window's q-gram counts once in a band, however often the document repeats it there
         keys = np.sort(np.concatenate([(window << 36 | (diagonal + h) // (2 * HALF) * 2 + (h > 0)) << 8 | place for h in (0, HALF)]))

@@ -94,3 +94,20 @@ def test_blocks_and_empty(spark, tables, monkeypatch):
     rows = docs.selectExpr("doc_id as row", "text")
     assert d.found(rows, spark.createDataFrame([], "item_id long, text string")).count() == 0
     assert d.found(rows.where("false"), spark.read.parquet(f"{path}/benchmark.parquet")).count() == 0
+
+
+def test_passages_of_items():
+    rng = random.Random(6)
+    for n in (120, 150, 233, 400):
+        item = d.plain(words(rng, 120))[:n].decode()
+        w = d.Windows([(1, item)])
+        least = d.WINDOW + d.STEP - 1
+        texts = [d.plain(words(rng, 30) + " " + item[at : at + least] + " " + words(rng, 30)) for at in range(n - least + 1)]
+        assert {i for i, _, _ in w.find(texts)} == set(range(len(texts)))
+        assert not w.find([d.plain(words(rng, 200))])
+
+
+def test_address_of_no_window():
+    w = d.Windows([(1, "a passage of the benchmark that is nowhere else")])
+    w.seen[:] = True
+    assert w.find([b"other words that share an address with it"]) == []
