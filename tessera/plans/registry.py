@@ -392,7 +392,7 @@ ROOTS = "SELECT n_nationkey FROM nation WHERE n_regionkey = 1"
 )
 def graph_reach(spark, d):
     roots = t.table(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").cast("long").alias("key"))
-    return graph.reach(roots, t.calls(spark, d), 3).select("root", "key", *long("depth"))
+    return graph.reach(roots, t.calls(spark, d), 6).select("root", "key", *long("depth"))
 
 
 @query(
