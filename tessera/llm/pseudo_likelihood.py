@@ -9,8 +9,8 @@ class's count. A document's score is the sum of these conditional log probabilit
 2. Codes: each document is written once as the classes of its words, a byte each, with the sum of the in-class log
    probabilities. What follows reads these bytes and not the texts.
 3. Training, in numpy: in each round every task runs stochastic gradient steps over all its documents from the common
-   weights, at every ``STRIDE``-th word (from another start each round), and the weights are averaged by the number of
-   words. The sums are made before and during an exchange; the driver receives one set of weights.
+   weights, at every ``STRIDE``-th word (from another start each round, so that over the rounds each word is the target
+   once), and the weights are averaged by the number of words. The sums are made before and during an exchange; the driver receives one set of weights.
 4. Scores: one pass over the codes.
 
 Cases: null and empty texts have no words, sum 0 and mean 0. Repeated rows score alike. A null doc_id is carried along.
@@ -33,7 +33,7 @@ from tessera.llm.common import table, written
 
 KNOWN, CLASSES, OWN, LENGTHS = 8192, 64, 44, 8
 SIDE, HIDDEN = 2, 32
-ROUNDS, STRIDE, BATCH, RATE = 2, 16, 512, 0.08
+ROUNDS, STRIDE, BATCH, RATE = 2, 2, 512, 0.08
 #: Distinct words that a task counts before it hands them on, and words looked at together.
 HELD, AT_ONCE = 300_000, 1 << 15
 

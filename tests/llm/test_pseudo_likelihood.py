@@ -74,3 +74,12 @@ def test_shares_sum_to_one(spark, corpus):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert p.query(spark, str(tmp_path)).count() == 0
+
+
+def test_every_word_is_a_target_once(spark):
+    coded = spark.createDataFrame([(1, bytearray(range(16)), 0.0)], "doc_id long, codes binary, inner double")
+    # from weights of zero a step raises the priors of its targets alone
+    raised = Counter()
+    for turn in range(p.ROUNDS):
+        raised.update(np.flatnonzero(p.Network(p.trained(coded, np.zeros(p.SIZE, dtype=np.float32), turn, p.STRIDE)).prior > 0).tolist())
+    assert raised == Counter(range(16))
