@@ -5,8 +5,8 @@ way to candidates differs from ``simhash``; the index and the union of links are
 
 1. One Arrow pass gives each document its shingle set's hashes and digest, a fingerprint of 256 bits and *routes*: the
    set falls into parts by the low bits of its hashes, of 2.2 to 4.5 shingles each, and the digests of twenty parts are
-   its routes. Of a pair of similarity 0.8 a part of 4.5 is equal with a chance of 0.37, so that all twenty differ with
-   a chance of 0.0001 (0.0006 for the sixteen parts of sets under 72). Sets of neighbouring size classes have a level in
+   its routes. Of a pair of similarity 0.8 a part of five is equal with a chance of 0.37, so that all twenty differ with
+   a chance of 0.0001; at worst, for sets of about 72, which have sixteen parts in common, with one of 0.002. Sets of neighbouring size classes have a level in
    common, as each is given routes at its own level and the one below.
 2. Documents with equal sets become a class before anything is compared.
 3. The classes of a route are sorted in Gray order and searched with ``gray_index`` for fingerprints within ``RADIUS``
