@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new path below ``spark.checkpoint.dir``.
 
-    The setting is read from the session. Only where it is unset (tests without a cluster) a folder is made and set.
+    The setting is read from the session. Only where it is unset and all tasks run in this process (local mode, tests) a
+    folder is made and set; executors of a cluster would not see it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tessera/{uuid.uuid4().hex}"
@@ -44,7 +49,15 @@ def words(text: Column) -> Column:
 def small(df: DataFrame, limit: int = 32 << 20) -> DataFrame:
     """``df`` marked for broadcast if its size is known to be at most ``limit`` bytes, else as it is.
 
-    ``df`` has to be a written table (see ``written``), for which Spark's statistics give the size of the files.
+    ``df`` has to be a written table (see ``written``), for which Spark's statistics give the size of the files. Files
+    are compressed, so that the rows (which the footers tell) count at 16 bytes a column at least.
     """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= limit else df
+    if size <= limit and 16 * len(df.columns) * df.count() <= limit:
+        return F.broadcast(df)
+    return df
+
+
+def packed(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct, so that no name of theirs can clash with one of ours."""
+    return F.struct(*(docs[f"`{c}`"] for c in docs.columns))

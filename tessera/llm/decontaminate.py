@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import packed, table
 
 Q = 8
 #: Edits in a hundred characters that a copy may have.
@@ -215,5 +215,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.select(F.struct("doc_id", key).alias("row"), "text")
     hits = found(rows, table(spark, sf_dir, "benchmark").select("item_id", "text")).select("row.*").distinct()
     hits = hits.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
-    near = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("doc_id", "text") == F.col("_key")), "left_anti")
-    return near
+    whole = docs.select(packed(docs).alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64("doc_id", "text").alias("_hash"))
+    near = whole.join(hits, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_key")), "left_anti")
+    return near.select("_row.*")

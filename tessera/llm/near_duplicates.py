@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small, written
+from tessera.llm.common import packed, small, written
 from tessera.llm.components import components
 from tessera.llm.gray_index import Index, labels, popcount
 from tessera.llm.simhash import _whole_groups, gray_order, majority, shingle_hashes
@@ -189,19 +189,20 @@ def grouped(docs: DataFrame, most: int = MOST) -> DataFrame:
 def kept(docs: DataFrame, most: int = MOST) -> DataFrame:
     """``docs`` without all but one document of each group: that with the smallest doc_id (then key; null comes last).
 
-    Of rows that are equal in every column one is kept.
+    Of rows with one id and one text that with the smallest hash of all columns is kept.
     """
     key = F.xxhash64("doc_id", "text")
     row = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), key.alias("key"))
     best = grouped(docs.select(row.alias("row"), "text"), most).groupBy("root").agg(F.min("row").alias("row"))
     best = best.select(F.col("row.id").alias("_id"), F.col("row.key").alias("_key"))
-    near = docs.join(best, F.col("doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_key"))).drop("_id", "_key")
+    rows = docs.select(packed(docs).alias("_row"), F.col("doc_id").alias("_doc"), key.alias("_hash"))
+    near = rows.join(best, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_key"))).select("_row", "_hash")
     # rows with one id and text are in one group, but both are the best of it
     twice = best_twice(docs, key)
     if twice is None:
-        return near
-    alike = near.join(twice, F.xxhash64("doc_id", "text") == F.col("_twice"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return near.join(twice, F.xxhash64("doc_id", "text") == F.col("_twice"), "left_anti").unionByName(alike)
+        return near.select("_row.*")
+    alike = near.join(twice, F.col("_hash") == F.col("_twice"), "left_semi").groupBy("_hash").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return near.join(twice, F.col("_hash") == F.col("_twice"), "left_anti").select("_row.*").union(alike.select("_row.*"))
 
 
 def best_twice(docs: DataFrame, key) -> DataFrame | None:

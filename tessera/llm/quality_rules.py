@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import let, table, words
+from tessera.llm.common import let, packed, table, words
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -143,7 +143,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that keep every rule, with their own columns."""
-    judged = judge(docs.select(F.struct(*docs.columns).alias("_row"), F.col("text")))
+    judged = judge(docs.select(packed(docs).alias("_row"), F.col("text")))
     # a filter would be pushed below the projections and repeat them all
     kept = judged.select(F.explode(F.when(F.col("kept"), F.array("_row"))).alias("_row"))
     return kept.select("_row.*")
