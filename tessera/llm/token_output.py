@@ -133,8 +133,12 @@ def encoder(path: str, end: int) -> Encoder:
 
 
 def encoded(docs: DataFrame, path: str, end: int, parts: int) -> DataFrame:
-    """``docs`` (doc_id, text) as rows of the file format, in order in and between partitions."""
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    """``docs`` (doc_id, text) as rows of the file format, in order in and between partitions.
+
+    Rows of one id (null, say) follow one another by a hash of their text, and may lie in several partitions.
+    """
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
+    ordered = hashed.repartitionByRange(parts, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, before = encoder(path, end), 0
