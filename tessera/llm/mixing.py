@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small, table, words, written
+from tessera.llm.common import packed, small, table, words, written
 
 #: Two primes; one of them is coprime to any number of blocks of a shard.
 PRIMES = (1_000_003, 999_983)
@@ -108,8 +108,9 @@ def in_shards(sized: DataFrame, sources: DataFrame) -> DataFrame:
     return out.withColumn("shard", first % F.col("n_shards"))
 
 
-def order_key(mix: Mix, doc_id: Column) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(mix.seed), doc_id.cast("string")))
+def order_key(mix: Mix) -> Column:
+    """The seeded order: by id and text, so that rows of one id (null, say) are spread over the shards, too."""
+    return F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary"))))
 
 
 def mixed(sized: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -144,7 +145,7 @@ def picked(b: Column) -> Column:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = Mix()
     docs = table(spark, sf_dir, "documents")
-    sized = written(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), order_key(mix, F.col("doc_id")).alias("order_key")))
+    sized = written(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"), order_key(mix).alias("order_key")))
     return mixed(sized, mix).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -155,11 +156,11 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     mix = Mix()
     key = F.xxhash64("doc_id", "text", "source")
-    slim = docs.select("doc_id", "source", key.alias("row_key"), F.size(words(F.col("text"))).cast("long").alias("size"), order_key(mix, F.col("doc_id")).alias("order_key"))
+    slim = docs.select("doc_id", "source", key.alias("row_key"), F.size(words(F.col("text"))).cast("long").alias("size"), order_key(mix).alias("order_key"))
     chosen = mixed(written(slim), mix).where("taken > 0").select("row_key", "start", "block", "n_blocks", "passes", "rest", F.col("size").alias("_size"), (F.col("taken") - F.col("passes") * F.col("size")).alias("part"))
-    # equal rows stand for one another: each meets the selections of its like by number
-    nth = lambda c: F.row_number().over(Window.partitionBy(c).orderBy(F.lit(0)))
-    left = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_key")).withColumn("_nth", nth("_key"))
+    # rows of one id, text and source stand for one another: each meets the selections of its like by number
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("_row")))
+    left = docs.select(packed(docs).alias("_row"), key.alias("_key")).withColumn("_nth", nth)
     chosen = chosen.withColumn("_which", F.row_number().over(Window.partitionBy("row_key").orderBy("start")))
     both = left.join(chosen, (F.col("_key") == F.col("row_key")) & (F.col("_nth") == F.col("_which")))
     pieces = F.regexp_extract_all(F.col("_row.text"), F.lit("[^ \\t-\\r]+[ \\t-\\r]*"), F.lit(0))

@@ -37,7 +37,7 @@ FROM m
 
 MIXING = """
 WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
-                      md5(concat_ws(':', 'mix', CAST(doc_id AS VARCHAR))) AS k FROM documents),
+                      md5(concat_ws(':', 'mix', CAST(doc_id AS VARCHAR), md5(text))) AS k FROM documents),
      s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
      s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM s0),
      s2 AS (SELECT *, [5, 2, 1][CAST(nth % 3 + 1 AS INT)] AS weight, 2 * source_size AS top FROM s1),
