@@ -12,8 +12,9 @@ Labels are read only of rows whose crc32 of the id as text is not 1 modulo 3. Sc
 pass once for the fit (a broadcast of bounded size picks its rows) and once for the scores, without an exchange.
 
 Cases: null and empty texts score as texts without a match. Without labels of both kinds the lexicon is empty and every
-score is the share of toxic rows (0 without any). A null doc_id is not in training and not held out. Repeated rows score alike; a label counts once for
-each row it meets. An empty table gives an empty result.
+score is the share of toxic rows (0 without any). A null doc_id is not in training and not held out. An id labelled both
+ways counts as toxic. Repeated rows score alike; a label counts once for each row it meets, and at most
+``POSITIVES + NEGATIVES`` rows are met, by the smallest hash of id and text. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -130,11 +131,15 @@ def split(doc_id: Column) -> Column:
 def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, toxic) of the rows to fit on: a bounded number, the same ones at every run."""
     known = labels.where("doc_id is not null and toxic is not null").where(split(F.col("doc_id")) != 1)
-    known = known.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
+    # an id with both labels counts as toxic
+    known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     order = [F.xxhash64("_id"), F.col("_id")]
     some = known.where("toxic = 1").orderBy(*order).limit(POSITIVES).unionByName(known.where("toxic = 0").orderBy(*order).limit(NEGATIVES))
-    some = some.dropDuplicates(["_id"])
-    return docs.join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("text", "toxic")
+    rows = written(docs.join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select(F.xxhash64("doc_id", "text").alias("place"), "text", "toxic"))
+    # ids may repeat: the rows are bounded, too
+    if rows.count() > POSITIVES + NEGATIVES:
+        rows = written(rows.orderBy("place", "toxic").limit(POSITIVES + NEGATIVES))
+    return rows.select("text", "toxic")
 
 
 def lexicon(rows: DataFrame, n1: int, n0: int) -> tuple[dict[str, float], dict[str, float]]:
@@ -161,7 +166,7 @@ def lexicon(rows: DataFrame, n1: int, n0: int) -> tuple[dict[str, float], dict[s
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
-    rows = written(training(docs, labels))
+    rows = training(docs, labels)
     n = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     model = Grammar()
