@@ -2,11 +2,11 @@
 
 1. Each rule's expression gives a Boolean trigram query (``trigrams``). A rule without mandatory trigrams scans all
    texts.
-2. Index: one scan finds which of the queries' trigrams a text holds and posts its key under each. A posting list is
-   cut into buckets of keys, so that no list, however common its trigram, is in one place.
+2. Index: one scan finds which of the queries' trigrams a text holds and posts its key under each; the lists are written.
+   A posting list is cut into buckets of keys, so that no list, however common its trigram, is in one place.
 3. The lists of each conjunction are intersected inside a bucket, shortest first; the union over a rule's conjunctions
    is its candidates.
-4. Candidates are verified with the expression itself. Spark's runtime filters keep other rows out of that exchange.
+4. Candidates are verified with the expression itself. Their keys are broadcast if that is small, else joined.
    Positions come from the lengths of matches and of the pieces between them, summed in a window over one document.
 
 Cases: a null text counts as empty and has no spans. A null ``doc_id`` is a key like any other. Repeated rows each get
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import trigrams
-from tessera.llm.common import table, written
+from tessera.llm.common import let, small, table, written
 
 #: Keys in a bucket of posting lists, about.
 BUCKET = 4096
@@ -69,10 +69,10 @@ def row_key() -> Column:
 
 def index(docs: DataFrame, terms: list[str], buckets: int) -> DataFrame:
     """Posting lists (term, bucket, keys) of the given trigrams over ``docs`` (key, text)."""
-    low = docs.select("key", F.lower("text").alias("low"))
-    held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(terms))))
-    posts = low.select("key", held.alias("held")).where(F.size("held") > 0).select("key", F.explode("held").alias("term"))
-    return posts.groupBy("term", F.pmod("key", F.lit(buckets)).alias("bucket")).agg(F.collect_set("key").alias("keys"))
+    held = let(F.lower("text"), lambda low: F.array_compact(F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(i)) for i, t in enumerate(terms)))))
+    # written before it is read for its items: a filter on it would be pushed below and test all terms again
+    posts = written(docs.select("key", held.alias("held"))).select("key", F.explode("held").alias("term"))
+    return written(posts.groupBy("term", F.pmod("key", F.lit(buckets)).alias("bucket")).agg(F.collect_set("key").alias("keys")))
 
 
 def candidates(docs: DataFrame, rules: list[tuple[int, trigrams.Query]]) -> DataFrame:
@@ -111,8 +111,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     indexed = [(i, q) for i, q in queries if q != trigrams.ANY]
     out = [spans(keyed, rules[i], i) for i, q in queries if q == trigrams.ANY]
     if indexed:
-        by_key = candidates(keyed, indexed).groupBy(F.col("key").alias("_key")).agg(F.collect_set("rule").alias("asked"))
-        near = written(keyed.join(by_key, F.col("key") == F.col("_key")).drop("_key"))
+        by_key = written(candidates(keyed, indexed).groupBy(F.col("key").alias("_key")).agg(F.collect_set("rule").alias("asked")))
+        near = written(keyed.join(small(by_key), F.col("key") == F.col("_key")).drop("_key"))
         out += [spans(near.where(F.array_contains("asked", i)).drop("asked"), rules[i], i) for i, _ in indexed]
     all_of = out[0]
     for x in out[1:]:
