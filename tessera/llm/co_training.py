@@ -2,11 +2,12 @@
 
 * Text content: hashed trigrams of the text's bytes (square roots of their shares), the share of distinct ones, and how
   far the text can be compressed.
-* Page metadata: source, language, stored length, and the layout: lines, line and word lengths, shares of capitals,
-  digits, punctuation and symbols.
+* Page metadata: source, language, stored length and the page's layout: how many lines and paragraphs, how long they
+  are, empty and indented lines, white space. No letter, digit or sign of the text is looked at, so that the views are
+  apart.
 
 1. Both views' features of every document are written once, a few hundred bytes each.
-2. Round 0 fits each view to the labelled training rows. In each later round a view also learns from the rows that the
+2. Round 0 fits each view to at most ``FIRST`` labelled training rows, by the smallest hash of the id. In each later round a view also learns from the rows that the
    other view is sure of, labelled or not: every task walks over all its documents, takes pseudo-labels from the other
    view's weights, and makes gradient steps; weights are averaged by the number of rows. Nothing but weights comes to
    the driver.
@@ -21,7 +22,6 @@ labels every score is 0.5. A null doc_id has no label. Repeated rows score alike
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -36,7 +36,7 @@ BINS, NAMES = 512, 64
 TEXT, META = BINS + 4, NAMES + 14
 ROUNDS, SURE, PSEUDO = 3, 0.95, 0.2
 BATCH, RATE, RIDGE, PASSES = 64, 0.1, 1e-5, 3
-CALIBRATION = 4000
+FIRST, CALIBRATION = 20_000, 4000
 THRESHOLD = 0.5
 
 _KEY = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
@@ -66,18 +66,15 @@ def meta_features(text: str, source: str | None, lang: str | None, n_chars: int
     out[_hash("source", source)] = 0.5
     out[_hash("lang", lang)] = 0.5
     n = len(text)
-    lines = text.count("\n") + 1
-    spaces = text.count(" ") + lines
-    letters = len(re.findall(r"[^\W\d_]+", text)) + 1
-    upper = sum(map(len, re.findall(r"[A-ZÀ-ÖØ-Þ]+", text)))
-    digits = sum(map(len, re.findall(r"[0-9]+", text)))
-    ends = sum(text.count(c) for c in ".,;:")
-    marks = sum(text.count(c) for c in "!?")
-    signs = sum(text.count(c) for c in "#*$%&|<>")
-    per = 1 / max(1, n)
+    rows = text.split("\n")
+    sizes = np.array([len(r) for r in rows], dtype=np.float64)
+    empty = sum(not r.strip() for r in rows)
+    indented = sum(r[:1] in (" ", "\t") for r in rows)
+    blocks = sum(bool(r.strip()) and not (i and rows[i - 1].strip()) for i, r in enumerate(rows))
+    blank = text.count(" ") + text.count("\t") + len(rows) - 1
     out[NAMES:] = [
-        1, np.log1p(n) / 5, np.log1p(n_chars if n_chars is not None and n_chars >= 0 else 0) / 5, n_chars is None, np.log1p(lines) / 3, np.log1p(n / lines) / 5,
-        n / spaces / 10, letters / spaces, 3 * upper * per, 3 * digits * per, 5 * ends * per, 10 * marks * per, 5 * signs * per, np.log1p(spaces) / 5,
+        1, np.log1p(n) / 5, np.log1p(n_chars if n_chars is not None and n_chars >= 0 else 0) / 5, n_chars is None, np.log1p(len(rows)) / 3, np.log1p(sizes.mean()) / 5,
+        np.log1p(sizes.std()) / 5, np.log1p(sizes.max()) / 5, empty / len(rows), indented / len(rows), np.log1p(blocks) / 3, 3 * blank / max(1, n), len(np.unique(sizes)) / len(rows), np.log1p(blank) / 5,
     ]
     return out
 
@@ -184,7 +181,7 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("quality").cast("double")).alias("quality"))
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     later = F.crc32(F.concat(F.lit("calibrate"), F.col("doc_id").cast("string")).cast("binary")) % 4 == 0
-    rows = written(featured(docs)).join(small(known), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    rows = written(featured(docs)).join(small(written(known)), F.col("doc_id") == F.col("_id"), "left").drop("_id")
     rows = rows.withColumn("held_out", F.coalesce(fold == 1, F.lit(False)))
     seen = rows.withColumn("label", F.when(~F.col("held_out") & ~later, F.col("quality")))
     n = {r.label: r.n for r in seen.where("label is not null").groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -192,7 +189,8 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     a, b = np.zeros(TEXT, dtype=np.float32), np.zeros(META, dtype=np.float32)
     if bad and good:
         balance = ((bad + good) / (2 * bad), (bad + good) / (2 * good))
-        a, b = fit_round(seen.where("label is not null").coalesce(4), a, b, balance, False)
+        first = seen.where("label is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "a", "b").limit(FIRST).select("a", "b", "label")
+        a, b = fit_round(written(first.repartition(4, F.xxhash64("a", "b")), "a", "b"), a, b, balance, False)
         for _ in range(ROUNDS):
             a, b = fit_round(seen, a, b, balance, True)
     fresh = views(rows.where(~F.col("held_out") & later & F.col("quality").isNotNull()).select("doc_id", "quality", "a", "b"), a, b)
