@@ -1,22 +1,28 @@
 """Removal of repeated byte strings by longest-previous-factor arrays.
 
 A byte is removed if a string of ``LENGTH`` bytes that covers it also starts elsewhere, in any document. With ``keep_first``
-the earliest occurrence stays (by doc_id, then position); without, all of them go.
+the earliest occurrence stays (by doc_id, then position); without, all of them go. Shorter passages, covered by repeated
+strings of ``LEAST`` bytes, are told but stay.
 
-1. Anchors: every string of ``LENGTH`` bytes names the smallest hash among its ``GRAM``-byte substrings (the last one on
+1. Anchors: every string of ``LEAST`` bytes names the smallest hash among its ``GRAM``-byte substrings (the last one on
    ties). Equal strings name equal anchors at equal places. Strings that start one after another name the same anchor,
-   so that a document gives a record for about 150 bytes: anchor, digest of its *context* (the bytes under all its
-   strings), place. Records are written; the texts do not move.
-2. Anchors that occur once are dropped. Equal contexts are collapsed into one with a count: all their strings repeat.
-3. Where an anchor has several contexts, the first occurrence of each context is cut from its text, and the contexts of
-   an anchor are put in suffix order. Positions that agree in ``LENGTH`` bytes stand in a run. A position has a smaller
-   one before or after it in its run, which is to say a longest previous factor of ``LENGTH`` or more, unless it is
-   the run's first; in the same way it has a longest next factor unless it is the run's last.
-4. An anchor with over ``MOST`` contexts (a passage of very many documents, with as many surroundings) is refined:
+   so that a document gives a record for about 100 bytes: anchor, digest of its *context* (the bytes under all its strings,
+   each taken to ``LENGTH`` bytes or the text's end), place. Records are written; the texts do not move.
+2. Periodic stretches, whose anchors would change with every period, give the records of one period and of the stretch's
+   end. The rest is a range that repeats itself, by comparison of its bytes.
+3. Anchors that occur once are dropped. Equal contexts are collapsed into one with a count: all their strings repeat.
+4. Where an anchor has several contexts, the first occurrence of each is cut from its text, and the strings of an
+   anchor's contexts are put in suffix order (of their own bytes, ties by place). Factors: a string has its longest
+   match among all earlier ones with the nearest smaller place before it in that order, or the nearest one after it; the
+   match is as long as the least common prefix of neighbours between the two. In the same way the nearest larger places
+   give the longest match with a later one. A string repeats where such a factor has ``LENGTH`` bytes.
+5. An anchor with over ``MOST`` contexts (a passage of very many documents, with as many surroundings) is refined:
    contexts are cut into pieces of ``BLOCK`` strings at set distances from the anchor, and a piece goes to a bucket by
    the bytes that all its strings share. Pieces are collapsed and ordered like contexts; where a bucket is still too
-   large (the edge of the passage), its few strings each get a bucket of their own, which is such a run.
-5. The repeated places of a context hold for all its occurrences; they are merged for each document and cut out.
+   large (the edge of the passage), its few strings each get a bucket of their own.
+6. The repeated places of a context hold for all its occurrences; they are merged for each document and cut out.
+
+Digests have 128 bits where they stand for bytes (copies of a context); anchors only bring candidates together.
 
 Cases: null and empty texts have no bytes and lose none. Equal rows repeat one another. Rows with null doc_id come
 first. Matches never cross documents. Long texts are read in overlapping parts. An empty table gives an empty result.
@@ -29,19 +35,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, written
+from tessera.llm.common import small, table, written
 from tessera.llm.simhash import _whole_groups
 
-LENGTH, GRAM = 400, 100
+#: Bytes of a repeated string that is removed, of one that is told, and of the substrings that anchor it.
+LENGTH, LEAST, GRAM = 400, 256, 64
 #: Bytes of a text that are looked at together (places in them fit in 21 bits), and contexts of an anchor likewise.
 PART, MOST = 1 << 19, 512
 #: Contexts that are put in order together, about.
 TOGETHER = 600
 #: Strings in a piece of a context.
 BLOCK = 16
+#: Records in a row that a periodic stretch has at least.
+PERIODS = 8
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -82,19 +91,57 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[:n], x[w - have : w - have + n])
 
 
-def anchors(raw: bytes) -> Iterator[tuple[np.ndarray, ...]]:
-    """(anchor hash, context digest, first string, number of strings) of a text's records, part by part."""
-    for start in range(0, max(0, len(raw) - LENGTH + 1), PART):
+def _digest(b: bytes, at: int) -> bytes:
+    """128 bits of a context and of its anchor's place in it."""
+    return xxhash.xxh3_128_digest(b, at)
+
+
+def periodic(piece: bytes, h: np.ndarray, first: np.ndarray, n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Which records to keep, and the stretches (start, end, period) that repeat themselves.
+
+    Records in a row with equal anchors at equal distances hint at a period; the bytes decide. A stretch has ``LENGTH``
+    bytes and two periods at least. Its strings are those of its first period, but for those that reach beyond its end.
+    """
+    keep, found = np.ones(len(first), dtype=bool), []
+    step = np.diff(at)
+    link = np.flatnonzero(h[at[1:]] == h[at[:-1]])
+    if len(link) < PERIODS:
+        return keep, found
+    cuts = np.flatnonzero((np.diff(link) != 1) | (np.diff(step[link]) != 0)) + 1
+    lows, highs = link[np.r_[0, cuts]], link[np.r_[cuts - 1, len(link) - 1]] + 1
+    for lo, hi in zip(lows, highs, strict=True):
+        p, start, end = int(step[lo]), int(first[lo]), int(first[hi] + n[hi] - 1 + LEAST)
+        if hi - lo < PERIODS or end - start < LENGTH + 2 * p:
+            continue
+        bytes_of = np.frombuffer(piece[start:end], dtype=np.uint8)
+        # the longest part in which each byte equals the one a period on
+        odd = np.r_[-1, np.flatnonzero(bytes_of[p:] != bytes_of[:-p]), len(bytes_of) - p]
+        k = int(np.argmax(np.diff(odd)))
+        start, end = start + int(odd[k]) + 1, start + int(odd[k + 1]) + p
+        if end - start < LENGTH + 2 * p:
+            continue
+        inner = np.arange(lo, hi + 1)
+        keep[inner[(first[inner] >= start + p) & (first[inner] + n[inner] - 1 <= end - LENGTH)]] = False
+        found.append((start, end, p))
+    return keep, found
+
+
+def anchors(raw: bytes) -> Iterator[tuple[tuple[np.ndarray, ...], list[tuple[int, int, int]]]]:
+    """Part by part, a text's records (anchor hash, context digests, first string, number of strings, bytes that its last
+    string lacks) and its periodic stretches."""
+    for start in range(0, max(0, len(raw) - LEAST + 1), PART):
         piece = raw[start : start + PART + LENGTH - 1]
-        h = rolling(np.frombuffer(piece, dtype=np.uint8), GRAM)
+        strings = min(PART, len(raw) - LEAST + 1 - start)
+        h = rolling(np.frombuffer(piece, dtype=np.uint8)[: strings + LEAST - 1], GRAM)
         key = (h & ~_PLACE) | (_PLACE - np.arange(len(h), dtype=np.uint64))
-        place = (_PLACE - (sliding_min(key, LENGTH - GRAM + 1) & _PLACE)).astype(np.int64)
+        place = (_PLACE - (sliding_min(key, LEAST - GRAM + 1) & _PLACE)).astype(np.int64)
         first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
         n = np.diff(np.r_[first, len(place)])
-        at = place[first]
-        one = xxhash.xxh64_intdigest
-        digest = np.fromiter((one(piece[a : a + m + LENGTH - 1], p - a) for a, m, p in zip(first.tolist(), n.tolist(), at.tolist(), strict=True)), dtype=np.uint64, count=len(first))
-        yield h[at], digest, first + start, n
+        keep, stretches = periodic(piece, h, first, n, place[first])
+        first, n = first[keep], n[keep]
+        at, stop = place[first], np.minimum(first + n + LENGTH - 1, len(piece))
+        digest = [_digest(piece[a:z], p - a) for a, z, p in zip(first.tolist(), stop.tolist(), at.tolist(), strict=True)]
+        yield (h[at], digest, first + start, n, first + n + LENGTH - 1 - stop), [(a + start, z + start, p) for a, z, p in stretches]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -103,20 +150,30 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def records(rows: DataFrame) -> DataFrame:
-    """(doc_id, key, anchor, context, first, n) of ``rows`` as from ``keyed``."""
+    """(doc_id, key, anchor, context, first, n, short) of ``rows`` as from ``keyed``.
+
+    A row without an anchor is a periodic stretch of n bytes, ``short`` its period.
+    """
+    names = ["doc_id", "key", "anchor", "context", "first", "n", "short"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, raw in enumerate(batch.column("raw")):
-                for anchor, context, first, n in anchors(raw.as_py()):
-                    m = len(n)
+                for (anchor, context, first, n, short), stretches in anchors(raw.as_py()):
+                    m = len(n) + len(stretches)
                     same = pa.array(np.full(m, i))
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(same), batch.column("key").take(same), pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), pa.array(first), pa.array(n.astype(np.int32))],
-                        names=["doc_id", "key", "anchor", "context", "first", "n"],
-                    )
+                    none = [None] * len(stretches)
+                    starts, stops, periods = np.array(stretches, dtype=np.int64).reshape(-1, 3).T
+                    columns = [
+                        pa.array([*anchor.view(np.int64).tolist(), *none], pa.int64()) if none else pa.array(anchor.view(np.int64)),
+                        pa.array([*context, *none], pa.binary()),
+                        pa.array(np.r_[first, starts]),
+                        pa.array(np.r_[n, stops - starts].astype(np.int32)),
+                        pa.array(np.r_[short, periods].astype(np.int32)),
+                    ]
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(same), batch.column("key").take(same), *columns], names=names)
 
-    return rows.mapInArrow(_gathered(run), "doc_id long, key long, anchor long, context long, first long, n int")
+    return rows.mapInArrow(_gathered(run), "doc_id long, key long, anchor long, context binary, first long, n int, short int")
 
 
 def _gathered(run, rows: int = 20_000):
@@ -135,79 +192,67 @@ def _gathered(run, rows: int = 20_000):
     return out
 
 
-def suffix_order(b: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes of bytes ``b`` at ``starts`` by their first ``depth`` bytes, then by place, and their ranks.
+def smaller_before(x: np.ndarray) -> np.ndarray:
+    """For each place the nearest one before it with a smaller value, or -1: by jumps over what is known to be larger."""
+    out = np.arange(-1, len(x) - 1)
+    left = np.flatnonzero((out >= 0) & (x[out] > x))
+    while len(left):
+        out[left] = out[out[left]]
+        left = left[(out[left] >= 0) & (x[out[left]] > x[left])]
+    return out
+
+
+def smaller_after(x: np.ndarray) -> np.ndarray:
+    """The same towards the end; ``len(x)`` where there is none."""
+    return len(x) - 1 - smaller_before(x[::-1])[::-1]
 
-    Prefix doubling: the rank of 2 m bytes comes from the ranks of m bytes here and m bytes on. Equal ranks mean equal
-    prefixes; a suffix that ends sooner is smaller.
-    """
-    have = 4
-    padded = np.r_[b.astype(np.uint64) + 1, np.zeros(have, dtype=np.uint64)]
-    n = len(b)
-    code = padded[:n].copy()
-    for k in range(1, have):
-        code = code << np.uint64(9) | padded[k : n + k]
-    rank = np.unique(code, return_inverse=True)[1].astype(np.uint64) + 1
-    while have < depth:
-        by = min(have, depth - have)
-        far = np.zeros(n, dtype=np.uint64)
-        far[: n - by] = rank[by:]
-        rank = np.unique(rank << np.uint64(32) | far, return_inverse=True)[1].astype(np.uint64) + 1
-        have += by
-    own = rank[starts]
-    return np.argsort(own, kind="stable"), own
-
-
-def prefix_order(b: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """As ``suffix_order`` for a fixed depth and suffixes of that length at least: by eight bytes, then by fingerprint.
-
-    Where only agreement in ``depth`` bytes counts, the order among suffixes that differ later is free.
+
+def matched(place: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
+    """Whether each place in suffix order has a previous factor of ``least`` bytes.
+
+    ``common``: common prefix of each place in the order and the one before it. Two places share the least of these
+    between them; so they share ``least`` bytes if they are in one run of that.
     """
-    whole = rolling(b, depth)[starts]
-    words = b.astype(np.uint64)
-    for k in (1, 2, 4):
-        words = words[: len(words) - k] << np.uint64(8 * k) | words[k:]
-    head = words[starts]
-    order = np.lexsort((whole, head))
-    h, w = head[order], whole[order]
-    rank = np.empty(len(order), dtype=np.int64)
-    rank[order] = np.cumsum(np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])])
-    return order, rank
-
-
-def repeated(b: np.ndarray, starts: np.ndarray, keep_first: bool, depth: int = LENGTH) -> np.ndarray:
-    """Whether the ``depth`` bytes at each of the ascending ``starts`` also stand at an earlier one (or, unless ``keep_first``, a later one)."""
-    order, rank = prefix_order(b, starts, depth)
-    in_order = rank[order]
-    same = in_order[1:] == in_order[:-1]
-    out = np.zeros(len(starts), dtype=bool)
-    out[order[1:][same]] = True
-    if not keep_first:
-        out[order[:-1][same]] = True
+    run = np.r_[0, np.cumsum(common < least)]
+    out = np.zeros(len(place), dtype=bool)
+    for near in (smaller_before(place), smaller_after(place)):
+        there = np.flatnonzero((near >= 0) & (near < len(place)))
+        out[there] |= run[near[there]] == run[there]
     return out
 
 
-def longest_previous_factors(b: bytes) -> np.ndarray:
-    """For each position the length of the longest string that starts there and also starts earlier.
+def factors(b: np.ndarray, starts: np.ndarray, stops: np.ndarray, keep_first: bool) -> dict[int, np.ndarray]:
+    """For ``LEAST`` and ``LENGTH``, whether the string at each of the ascending ``starts`` also stands at an earlier one
+    (or, unless ``keep_first``, a later one). ``stops``: where the bytes that follow a start end."""
+    out = {least: np.zeros(len(starts), dtype=bool) for least in (LEAST, LENGTH)}
+    # strings whose prints differ differ in their first bytes: they have no factor and need no order
+    _, which, count = np.unique(rolling(b, LEAST)[starts], return_inverse=True, return_counts=True)
+    some = np.flatnonzero(count[which] > 1)
+    if not len(some):
+        return out
+    raw = b.tobytes()
+    strings = [raw[a:z] for a, z in zip(starts[some].tolist(), np.minimum(starts[some] + LENGTH, stops[some]).tolist(), strict=True)]
+    order = sorted(range(len(some)), key=strings.__getitem__)
+    in_order = [strings[i] for i in order]
+    shared = lambda x, y: len(x) if x == y else LEAST if x[:LEAST] == y[:LEAST] else 0
+    common = np.fromiter((shared(x, y) for x, y in zip(in_order, in_order[1:], strict=False)), dtype=np.int64, count=len(order) - 1)
+    place = np.array(order)
+    for least, flags in out.items():
+        flags[some[place]] = matched(place, common, least)
+        if not keep_first:
+            flags[some[place]] |= matched(-place, common, least)
+    return out
 
-    From the suffix array: the nearest smaller position before and the nearest smaller one after, in suffix order, hold
-    the longest match among all earlier positions.
-    """
+
+def longest_previous_factors(b: bytes) -> np.ndarray:
+    """For each position the length of the longest string that starts there and also starts earlier, by the same steps."""
     n = len(b)
-    order, _ = suffix_order(np.frombuffer(b, dtype=np.uint8), np.arange(n), n)
+    order = np.array(sorted(range(n), key=lambda i: b[i:]), dtype=np.int64)
+    share = lambda i, j: next((k for k in range(n - max(i, j)) if b[i + k] != b[j + k]), n - max(i, j))
     out = np.zeros(n, dtype=np.int64)
-    for side in (order, order[::-1]):
-        stack: list[int] = []
-        for i in side.tolist():
-            while stack and stack[-1] > i:
-                stack.pop()
-            if stack:
-                j, m = stack[-1], int(out[i])
-                if b[j : j + m] == b[i : i + m]:
-                    while i + m < n and b[j + m] == b[i + m]:
-                        m += 1
-                    out[i] = m
-            stack.append(i)
+    for near in (smaller_before(order), smaller_after(order)):
+        for k in np.flatnonzero((near >= 0) & (near < n)):
+            out[order[k]] = max(out[order[k]], share(int(order[k]), int(order[near[k]])))
     return out
 
 
@@ -218,53 +263,60 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(anchor, context, n, ord, bytes) cut from the texts of ``rows``; ``wanted``: doc_id, key, anchor, context, first, n, ord."""
-    by = wanted.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_list(F.struct("anchor", "context", "first", "n", "ord")).alias("cuts"))
+    """(anchor, context, rep, bytes) cut from the texts of ``rows``; ``wanted``: anchor, context, rep."""
+    by = wanted.groupBy(F.col("rep.doc_id").alias("_id"), F.col("rep.key").alias("_key")).agg(F.collect_list(F.struct("anchor", "context", "rep")).alias("cuts"))
     one = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
     both = rows.join(by.hint("shuffle_hash"), one).select(F.col("raw"), F.explode("cuts").alias("x"))
-    cut = F.substring("raw", (F.col("x.first") + 1).cast("int"), F.col("x.n") + LENGTH - 1)
+    cut = F.substring("raw", (F.col("x.rep.first") + 1).cast("int"), F.col("x.rep.n") + LENGTH - 1)
     # equal rows cut the same contexts
-    return both.select("x.anchor", "x.context", "x.n", "x.ord", cut.alias("bytes")).dropDuplicates(["anchor", "context"])
+    return both.select("x.anchor", "x.context", "x.rep", cut.alias("bytes")).dropDuplicates(["anchor", "context"])
 
 
 def _some_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """(anchor, context, bytes) of whole anchors, of about ``TOGETHER`` contexts at once."""
-    for anchor, context, _, raw in _whole_groups(batches, 1, TOGETHER):
+    """(anchor, context, n, bytes) of whole anchors, of about ``TOGETHER`` contexts at once."""
+    for columns in _whole_groups(batches, 1, TOGETHER):
+        anchor = columns[0]
         cuts = np.r_[0, np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, len(anchor)]
         lo = 0
         for hi in cuts[1:].tolist():
             if hi - lo >= TOGETHER or hi == len(anchor):
-                yield [anchor[lo:hi], context[lo:hi], raw[lo:hi]]
+                yield [c[lo:hi] for c in columns]
                 lo = hi
 
 
+PARTS = "anchor long, context binary, lo int, hi int, reach int"
+
+
 def within_anchor(cut: DataFrame, keep_first: bool) -> DataFrame:
-    """(anchor, context, lo, hi): runs of strings of a context that repeat in another context of the anchor, or in itself."""
+    """(anchor, context, lo, hi, reach): runs of strings of a context, of ``reach`` bytes, that repeat in a context of the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for anchor, context, raw in _some_groups(batches):
+        for anchor, context, n, raw in _some_groups(batches):
             # all anchors of the batch in one suffix order; strings of different anchors differ
+            n = n.astype(np.int64)
             sizes = np.array([len(x) for x in raw])
             flat = np.frombuffer(b"".join(raw), dtype=np.uint8)
-            n = sizes - LENGTH + 1
-            begin = np.cumsum(sizes) - sizes
+            stop = np.cumsum(sizes)
             which = np.repeat(np.arange(len(raw)), n)
             inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            flags = repeated(flat, begin[which] + inner, keep_first)
-            lo, hi, own = [], [], []
+            flags = factors(flat, (stop - sizes)[which] + inner, stop[which], keep_first)
+            lo, hi, own, reach = [], [], [], []
             # a run ends where its context ends
             change = np.r_[0, np.cumsum(n)]
-            for i in np.unique(which[flags]).tolist():
-                a, b = _runs(flags[change[i] : change[i + 1]])
-                lo += a.tolist()
-                hi += b.tolist()
-                own += [i] * len(a)
+            for least, f in flags.items():
+                for i in np.unique(which[f]).tolist():
+                    a, z = _runs(f[change[i] : change[i + 1]])
+                    lo += a.tolist()
+                    hi += z.tolist()
+                    own += [i] * len(a)
+                    reach += [least] * len(a)
             if own:
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[own]), pa.array(context[own]), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["anchor", "context", "lo", "hi"])
-
-    order = cut.repartition("anchor").sortWithinPartitions("anchor", "ord", "context")
-    return order.select("anchor", "context", "ord", "bytes").mapInArrow(run, "anchor long, context long, lo int, hi int")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor[own]), pa.array(context[own], pa.binary()), *(pa.array(x, pa.int32()) for x in (lo, hi, reach))], names=["anchor", "context", "lo", "hi", "reach"]
+                )
 
+    order = cut.repartition("anchor").sortWithinPartitions("anchor", "rep", "context")
+    return order.select("anchor", "context", "rep.n", "bytes").mapInArrow(run, PARTS)
 
 
 def by_string(cut: DataFrame, keep_first: bool) -> DataFrame:
@@ -272,33 +324,33 @@ def by_string(cut: DataFrame, keep_first: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, raw in enumerate(batch.column("bytes")):
+            for i, (n, raw) in enumerate(zip(batch.column("n").to_pylist(), batch.column("bytes"), strict=True)):
                 b = raw.as_py()
-                m = len(b) - LENGTH + 1
-                same = pa.array(np.full(m, i))
-                digest = [xxhash.xxh64_intdigest(b[k : k + LENGTH], 1) for k in range(m)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(same) for c in ("anchor", "context", "ord")), pa.array(np.arange(m, dtype=np.int32)), pa.array(np.array(digest, dtype=np.uint64).view(np.int64))], names=["anchor", "context", "ord", "at", "string"])
-
-    strings = written(cut.select("anchor", "context", "ord", "bytes").mapInArrow(_gathered(run), "anchor long, context long, ord binary, at int, string long"))
-    place = F.struct("ord", "context", "at")
-    runs = strings.groupBy(F.col("anchor").alias("_a"), F.col("string").alias("_s")).agg(F.count("*").alias("k"), F.min(place).alias("least")).where("k > 1")
-    hit = strings.join(runs, (F.col("anchor") == F.col("_a")) & (F.col("string") == F.col("_s")))
+                each = [(k, least) for least in (LEAST, LENGTH) for k in range(n) if k + least <= len(b)]
+                same = pa.array(np.full(len(each), i))
+                digest = pa.array([_digest(b[k : k + least], least) for k, least in each], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(same) for c in ("anchor", "context", "at")), pa.array([k for k, _ in each], pa.int32()), pa.array([least for _, least in each], pa.int32()), digest], names=["anchor", "context", "at", "lo", "reach", "string"])
+
+    at = F.struct("rep.doc_id", "rep.key", "rep.first")
+    strings = cut.select("anchor", "context", at.alias("at"), "rep.n", "bytes")
+    strings = written(strings.mapInArrow(_gathered(run), "anchor long, context binary, at struct<doc_id: long, key: long, first: long>, lo int, reach int, string binary"))
+    place = F.struct("at", "context", "lo")
+    runs = written(strings.groupBy(F.col("anchor").alias("_a"), F.col("string").alias("_s")).agg(F.count("*").alias("k"), F.min(place).alias("least")).where("k > 1"))
+    hit = strings.join(small(runs), (F.col("anchor") == F.col("_a")) & (F.col("string") == F.col("_s")))
     if keep_first:
         hit = hit.where(place != F.col("least"))
-    return hit.select("anchor", "context", F.col("at").alias("lo"), F.col("at").alias("hi"))
+    return hit.select("anchor", "context", "lo", F.col("lo").alias("hi"), "reach")
 
 
 def pieces(cut: DataFrame) -> DataFrame:
-    """(anchor, context, ord, bytes, of_anchor, of_context, at, n): contexts in pieces of ``BLOCK`` strings; ``at`` is a piece's first."""
+    """(anchor, context, rep, bytes, of_anchor, of_context, at): contexts in pieces of ``BLOCK`` strings; ``at`` is a piece's first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = xxhash.xxh64_intdigest
         for batch in batches:
             rows = []
-            for i, raw in enumerate(batch.column("bytes")):
+            for i, (m, raw) in enumerate(zip(batch.column("n").to_pylist(), batch.column("bytes"), strict=True)):
                 b = raw.as_py()
-                m = len(b) - LENGTH + 1
-                h = rolling(np.frombuffer(b, dtype=np.uint8), GRAM)[: LENGTH - GRAM + 1]
+                h = rolling(np.frombuffer(b, dtype=np.uint8), GRAM)[: LEAST - GRAM + 1]
                 key = (h & ~_PLACE) | (_PLACE - np.arange(len(h), dtype=np.uint64))
                 place = int(np.argmin(key))
                 a = 0
@@ -306,93 +358,107 @@ def pieces(cut: DataFrame) -> DataFrame:
                     # the pieces end at multiples of BLOCK before the anchor; the core is in every string that starts there
                     k = (place - a) // BLOCK
                     z = min(m, place - k * BLOCK + 1)
-                    core = one(b[place - k * BLOCK : place - k * BLOCK - BLOCK + 1 + LENGTH], k)
-                    rows.append((i, core, one(b[a : z + LENGTH - 1], place - a), b[a : z + LENGTH - 1], a, z - a))
+                    core = xxhash.xxh64_intdigest(b[place - k * BLOCK : place - k * BLOCK - BLOCK + 1 + LEAST], k)
+                    body = b[a : z + LENGTH - 1]
+                    rows.append((i, core, _digest(body, place - a), body, a, z - a, z - a + LENGTH - 1 - len(body)))
                     a = z
             if rows:
-                i, core, own, body, at, n = zip(*rows, strict=True)
+                i, core, own, body, at, n, short = zip(*rows, strict=True)
                 same = pa.array(i, pa.int32())
-                signed = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [signed(core), signed(own), batch.column("ord").take(same), pa.array(body, pa.binary()), batch.column("anchor").take(same), batch.column("context").take(same), pa.array(at, pa.int32()), pa.array(n, pa.int32())],
-                    names=["core", "context", "ord", "bytes", "of_anchor", "of_context", "at", "n"],
+                    [pa.array(np.array(core, dtype=np.uint64).view(np.int64)), pa.array(own, pa.binary()), batch.column("rep").take(same), pa.array(body, pa.binary()), batch.column("anchor").take(same), batch.column("context").take(same), *(pa.array(x, pa.int32()) for x in (at, n, short))],
+                    names=["core", "context", "rep", "bytes", "of_anchor", "of_context", "at", "n", "short"],
                 )
 
-    out = cut.select("anchor", "context", "ord", "bytes").mapInArrow(run, "core long, context long, ord binary, bytes binary, of_anchor long, of_context long, at int, n int")
-    return out.withColumn("anchor", F.xxhash64("of_anchor", "core")).drop("core")
+    kind = cut.schema["rep"].dataType.simpleString()
+    out = cut.select("anchor", "context", "rep", "rep.n", "bytes").mapInArrow(run, f"core long, context binary, rep {kind}, bytes binary, of_anchor long, of_context binary, at int, n int, short int")
+    rep = F.struct("rep.doc_id", "rep.key", "rep.first", "n", "short")
+    return out.select(F.xxhash64("of_anchor", "core").alias("anchor"), "context", rep.alias("rep"), "bytes", "of_anchor", "of_context", "at")
+
+
+def found_in(each: DataFrame, kinds: DataFrame, partial: DataFrame, own, keep_first: bool) -> DataFrame:
+    """``each`` (anchor, context, n, short, ...) with x (lo, hi, reach): the repeated strings of its context.
+
+    ``kinds``: anchor, context, count, rep; ``partial``: as from ``within_anchor``; ``own``: an occurrence's place. All strings
+    of a context that occurs again repeat; its first occurrence stays if the first is to be kept.
+    """
+    parts = partial.groupBy("anchor", "context").agg(F.collect_set(F.struct("lo", "hi", "reach")).alias("parts"))
+    known = kinds.join(parts, ["anchor", "context"], "left").where("count > 1 or parts is not null")
+    known = written(known.select(F.col("anchor").alias("_a"), F.col("context").alias("_c"), "count", F.struct("rep.doc_id", "rep.key", "rep.first").alias("_rep"), "parts"))
+    hit = each.join(small(known), (F.col("anchor") == F.col("_a")) & (F.col("context") == F.col("_c")))
+    run = lambda hi, reach: F.struct(F.lit(0).alias("lo"), hi.cast("int").alias("hi"), F.lit(reach).alias("reach"))
+    whole = F.array_compact(F.array(run(F.col("n") - 1, LEAST), F.when(F.col("n") > F.col("short"), run(F.col("n") - 1 - F.col("short"), LENGTH))))
+    again = ~own.eqNullSafe(F.col("_rep")) if keep_first else F.col("count") > 1
+    return hit.withColumn("x", F.explode(F.when(again, whole).otherwise(F.col("parts"))))
 
 
 def refined(cut: DataFrame, keep_first: bool, most: int) -> DataFrame:
     """As ``within_anchor``, for anchors with very many contexts."""
     each = written(pieces(cut))
-    kinds = each.groupBy(F.col("anchor").alias("_a"), F.col("context").alias("_c")).agg(F.count("*").alias("count"), F.min("ord").alias("_ord"))
-    often = kinds.groupBy(F.col("_a").alias("_b")).agg(F.count("*").alias("size"))
-    kinds = written(kinds.join(often, F.col("_a") == F.col("_b")).drop("_b").where("size > 1 or count > 1"))
-    same = (F.col("anchor") == F.col("_a")) & (F.col("context") == F.col("_c"))
-    reps = written(each.join(kinds.where("size > 1"), same).where(F.col("ord") == F.col("_ord")).select("anchor", "context", "ord", "bytes", "size"))
+    kinds = each.groupBy("anchor", "context").agg(F.count("*").alias("count"), F.min("rep").alias("rep"))
+    often = written(kinds.groupBy(F.col("anchor").alias("_b")).agg(F.count("*").alias("size")))
+    kinds = written(kinds.join(small(often), F.col("anchor") == F.col("_b")).drop("_b").where("size > 1 or count > 1"))
+    of = kinds.where("size > 1").select(F.col("anchor").alias("_a"), F.col("context").alias("_c"), F.col("rep").alias("_rep"), "size")
+    first = each.join(of, (F.col("anchor") == F.col("_a")) & (F.col("context") == F.col("_c")) & F.col("rep").eqNullSafe(F.col("_rep")))
+    reps = written(first.select("anchor", "context", "rep", "bytes", "size").dropDuplicates(["anchor", "context"]))
     partial = within_anchor(reps.where(F.col("size") <= most), keep_first).unionByName(by_string(reps.where(F.col("size") > most), keep_first))
-    parts = partial.groupBy(F.col("anchor").alias("_pa"), F.col("context").alias("_pc")).agg(F.collect_set(F.struct("lo", "hi")).alias("parts"))
-    hit = each.drop("bytes").join(kinds, same).join(parts, (F.col("anchor") == F.col("_pa")) & (F.col("context") == F.col("_pc")), "left")
-    again = (F.col("ord") != F.col("_ord")) if keep_first else (F.col("count") > 1)
-    whole = F.array(F.struct(F.lit(0).alias("lo"), (F.col("n") - 1).alias("hi")))
-    hit = hit.withColumn("x", F.explode(F.when(again, whole).otherwise(F.col("parts"))))
-    return hit.select(F.col("of_anchor").alias("anchor"), F.col("of_context").alias("context"), (F.col("at") + F.col("x.lo")).alias("lo"), (F.col("at") + F.col("x.hi")).alias("hi"))
-
-
-def place_key() -> Column:
-    """Sorts occurrences by doc_id (null first), key and place."""
-    parts = [F.when(F.col("doc_id").isNull(), F.lit("0")).otherwise(F.lit("1"))]
-    sortable = lambda c: F.lpad(F.hex(F.col(c).bitwiseXOR(F.lit(-(1 << 63)).cast("long"))), 16, "0")
-    return F.unhex(F.concat(F.lit("0"), *parts, F.coalesce(sortable("doc_id"), F.lit("0" * 16)), sortable("key"), sortable("first")))
+    hit = found_in(each.drop("bytes").select("*", "rep.n", "rep.short"), kinds.drop("size"), partial, F.struct("rep.doc_id", "rep.key", "rep.first"), keep_first)
+    return hit.select(F.col("of_anchor").alias("anchor"), F.col("of_context").alias("context"), (F.col("at") + F.col("x.lo")).alias("lo"), (F.col("at") + F.col("x.hi")).alias("hi"), "x.reach")
 
 
 def removals(rows: DataFrame, keep_first: bool = False, most: int = MOST) -> DataFrame:
-    """(doc_id, key, spans): for each text that loses bytes, the (start, end) ranges of repeated strings."""
+    """(doc_id, key, spans, passages): for each text with repeated strings, the (start, end) ranges of those of ``LENGTH``
+    bytes and of those of ``LEAST`` bytes."""
     found = written(records(rows))
-    often = found.groupBy(F.col("anchor").alias("_a")).agg(F.count("*").alias("_n"), (F.min("context") != F.max("context")).alias("several")).where("_n > 1")
-    near = written(found.join(often, F.col("anchor") == F.col("_a")).drop("_a", "_n").withColumn("ord", place_key()))
-    first = F.min(F.struct("ord", "doc_id", "key", "first", "n")).alias("rep")
-    kinds = written(near.groupBy("anchor", "context", "several").agg(F.count("*").alias("count"), first))
-    sizes = kinds.where("several").groupBy(F.col("anchor").alias("_a")).agg(F.count("*").alias("size"))
-    wanted = kinds.where("several").join(sizes, F.col("anchor") == F.col("_a")).select("anchor", "context", "size", "rep.*")
-    cut = written(contexts(rows, wanted.select("doc_id", "key", "anchor", "context", "first", "n", "ord")).join(sizes, F.col("anchor") == F.col("_a")).drop("_a"))
+    often = found.where("anchor is not null").groupBy(F.col("anchor").alias("_a")).agg(F.count("*").alias("_n"), (F.min("context") != F.max("context")).alias("several")).where("_n > 1")
+    # joins are between written tables, so that Spark may split the rows of an anchor that is very common
+    near = written(found.join(small(written(often.drop("_n"))), F.col("anchor") == F.col("_a")).drop("_a"))
+    kinds = near.groupBy("anchor", "context", "several").agg(F.count("*").alias("count"), F.min(F.struct("doc_id", "key", "first", "n", "short")).alias("rep"))
+    kinds = written(kinds.where("several or count > 1"))
+    sizes = written(kinds.where("several").groupBy(F.col("anchor").alias("_a")).agg(F.count("*").alias("size")))
+    cut = contexts(rows, kinds.where("several").select("anchor", "context", "rep"))
+    cut = written(cut.join(small(sizes), F.col("anchor") == F.col("_a")).drop("_a"))
     partial = within_anchor(cut.where(F.col("size") <= most), keep_first).unionByName(refined(cut.where(F.col("size") > most), keep_first, most))
-    parts = partial.groupBy("anchor", "context").agg(F.collect_set(F.struct("lo", "hi")).alias("parts"))
-    known = kinds.join(parts, ["anchor", "context"], "left").select(F.col("anchor").alias("_a"), F.col("context").alias("_c"), "count", F.col("rep.ord").alias("_ord"), "parts").where("count > 1 or parts is not null")
-    hit = near.join(known, (F.col("anchor") == F.col("_a")) & (F.col("context") == F.col("_c")))
-    whole = F.array(F.struct(F.lit(0).alias("lo"), (F.col("n") - 1).alias("hi")))
-    # all strings of a context that occurs again repeat; its first occurrence stays if the first is to be kept
-    again = (F.col("ord") != F.col("_ord")) if keep_first else (F.col("count") > 1)
-    hit = hit.withColumn("x", F.explode(F.when(again, whole).otherwise(F.col("parts"))))
-    spans = hit.select("doc_id", "key", (F.col("first") + F.col("x.lo")).alias("start"), (F.col("first") + F.col("x.hi") + LENGTH).alias("end")).distinct()
-    return spans.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    hit = found_in(near.drop("several"), kinds.drop("several"), partial, F.struct("doc_id", "key", "first"), keep_first)
+    spans = hit.select("doc_id", "key", (F.col("first") + F.col("x.lo")).alias("start"), (F.col("first") + F.col("x.hi") + F.col("x.reach")).alias("end"), "x.reach")
+    own = found.where("anchor is null").select("doc_id", "key", (F.col("first") + (F.col("short") if keep_first else 0)).alias("start"), (F.col("first") + F.col("n")).alias("end"), F.explode(F.array(F.lit(LEAST), F.lit(LENGTH))).alias("reach"))
+    spans = spans.unionByName(own).distinct()
+    listed = lambda least, name: F.sort_array(F.collect_list(F.when(F.col("reach") == least, F.struct("start", "end")))).alias(name)
+    return spans.groupBy("doc_id", "key").agg(listed(LENGTH, "spans"), listed(LEAST, "passages"))
+
+
+def _merged(found: list[dict] | None) -> list[list[int]]:
+    out: list[list[int]] = []
+    for s in found or []:
+        if out and s["start"] <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], s["end"])
+        else:
+            out.append([s["start"], s["end"]])
+    return out
 
 
 def cut_out(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """(doc_id, key, n_bytes, spans, kept): merged removed ranges and what remains of every text."""
+    """(doc_id, key, n_bytes, spans, passages, kept): merged ranges and what remains of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranges = pa.list_(pa.list_(pa.int64()))
         for batch in (x.slice(at, 500) for x in batches for at in range(0, x.num_rows, 500)):
-            ranges, kept, sizes = [], [], []
-            for raw, found in zip(batch.column("raw"), batch.column("spans"), strict=True):
-                b, merged = raw.as_py(), []
-                for s in found.as_py() or []:
-                    if merged and s["start"] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], s["end"])
-                    else:
-                        merged.append([s["start"], s["end"]])
+            spans, passages, kept, sizes = [], [], [], []
+            for raw, found, told in zip(batch.column("raw"), batch.column("spans"), batch.column("passages"), strict=True):
+                b, merged = raw.as_py(), _merged(found.as_py())
                 ends = [0, *(x for m in merged for x in m), len(b)]
                 kept.append(b"".join(b[x:y] for x, y in zip(ends[::2], ends[1::2], strict=True)))
-                ranges.append(merged)
+                spans.append(merged)
+                passages.append(_merged(told.as_py()))
                 sizes.append(len(b))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(ranges, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())],
-                names=["doc_id", "key", "n_bytes", "spans", "kept"],
+                [batch.column("doc_id"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(spans, ranges), pa.array(passages, ranges), pa.array(kept, pa.binary())],
+                names=["doc_id", "key", "n_bytes", "spans", "passages", "kept"],
             )
 
-    said = spans.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "spans").hint("shuffle_hash")
+    said = spans.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "spans", "passages").hint("shuffle_hash")
     both = rows.join(said, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left")
-    return both.select("doc_id", "key", "raw", "spans").mapInArrow(run, "doc_id long, key long, n_bytes long, spans array<array<long>>, kept binary")
+    return both.select("doc_id", "key", "raw", "spans", "passages").mapInArrow(run, "doc_id long, key long, n_bytes long, spans array<array<long>>, passages array<array<long>>, kept binary")
 
 
 def dedup(docs: DataFrame, keep_first: bool = True) -> DataFrame:
@@ -402,6 +468,8 @@ def dedup(docs: DataFrame, keep_first: bool = True) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's digest; then the bytes under repeated strings of ``LEAST`` bytes, and the text that remains."""
     out = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_first=False)
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    size = lambda ranges: F.aggregate(ranges, F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
+    digest = (size("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", *digest, size("passages").alias("n_passage"), F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"))

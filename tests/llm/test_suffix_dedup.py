@@ -7,18 +7,18 @@ import pytest
 from tessera.llm import suffix_dedup as s
 
 
-def brute(texts, keep_first=False):
+def brute(texts, keep_first=False, length=s.LENGTH):
     """Removed flags by the contract's own wording."""
     raws = [(t or "").encode() for t in texts]
     seen = {}
     for i, b in enumerate(raws):
-        for k in range(len(b) - s.LENGTH + 1):
-            seen.setdefault(b[k : k + s.LENGTH], []).append((i, k))
+        for k in range(len(b) - length + 1):
+            seen.setdefault(b[k : k + length], []).append((i, k))
     gone = [np.zeros(len(b), dtype=bool) for b in raws]
     for places in seen.values():
         if len(places) > 1:
             for i, k in places[1:] if keep_first else places:
-                gone[i][k : k + s.LENGTH] = True
+                gone[i][k : k + length] = True
     return raws, gone
 
 
@@ -33,17 +33,24 @@ def test_longest_previous_factors():
 def test_anchors_are_the_same_for_equal_strings():
     rng = random.Random(2)
     b = bytes(rng.choice(b"abcdefgh ") for _ in range(3000))
-    c = b"x" * 777 + b[500:2300] + b"y" * 50
+    c = b"x" * 300 + b[500:2300] + b"y" * 50
     seen = {}
     for text in (b, c):
-        for anchor, _, first, n in s.anchors(text):
-            assert n.sum() == len(text) - s.LENGTH + 1
+        for (anchor, _, first, n, short), stretches in s.anchors(text):
+            assert n.sum() == len(text) - s.LEAST + 1 and not stretches
+            assert short[-1] == s.LENGTH - s.LEAST
             for h, f, m in zip(anchor, first, n):
                 for k in range(f, f + m):
-                    w = text[k : k + s.LENGTH]
+                    w = text[k : k + s.LEAST]
                     assert seen.setdefault(w, h) == h
 
 
+def test_periods_give_few_records():
+    for text in (b"a" * 300_000, b"ab" * 200_000, b"xyz%" * 9 + b"0123456789" * 50_000 + b"end" * 100):
+        (records, stretches), *more = s.anchors(text)
+        assert len(records[0]) < 1000 and stretches, text[:4]
+
+
 def corpus(seed=3):
     rng = random.Random(seed)
     prose = lambda n: "".join(rng.choice("abcdefghij éü\n") for _ in range(n))
@@ -51,6 +58,7 @@ def corpus(seed=3):
     texts = [prose(rng.randrange(900)) + passage + prose(rng.randrange(900)) for _ in range(30)]
     texts += [prose(300) + other[: rng.randrange(350, 900)] + prose(40) for _ in range(12)]
     texts += [None, "", "short", "a" * 1500, "ab" * 700, prose(450) * 3, passage[:399], passage[:390] + "q" + passage[391:]]
+    texts += ["a" * 399, "x" + "a" * 401 + "y", "ab" * 200, "b" + "a" * 640 + prose(90), prose(7) * 120, other[:300] + prose(9)]
     near = prose(2500)
     for _ in range(8):
         v = list(near)
@@ -67,11 +75,13 @@ def test_against_brute_force(spark, keep_first, most):
     rows = s.keyed(docs)
     got = {r.doc_id: r for r in s.cut_out(rows, s.removals(rows, keep_first, most)).collect()}
     raws, gone = brute(texts, keep_first)
+    _, told = brute(texts, keep_first, s.LEAST)
     for i, (b, g) in enumerate(zip(raws, gone)):
-        flags = np.zeros(len(b), dtype=bool)
-        for x, y in got[i].spans:
-            flags[x:y] = True
-        assert (flags == g).all(), i
+        for ranges, want in ((got[i].spans, g), (got[i].passages, told[i])):
+            flags = np.zeros(len(b), dtype=bool)
+            for x, y in ranges:
+                flags[x:y] = True
+            assert (flags == want).all(), (i, len(b))
         assert bytes(got[i].kept) == bytes(np.frombuffer(b, dtype=np.uint8)[~g])
 
 
@@ -80,7 +90,7 @@ def test_query(spark, tmp_path, monkeypatch):
     texts = corpus(4)
     rows = [(i, t, 1) for i, t in enumerate(texts)] + [(0, texts[0], 1), (None, texts[1], 1)]
     spark.createDataFrame(rows, "doc_id long, text string, key long").write.parquet(str(tmp_path / "documents.parquet"))
-    got = sorted(map(tuple, s.query(spark, str(tmp_path)).collect()), key=str)
+    got = sorted((tuple(r)[:5] for r in s.query(spark, str(tmp_path)).collect()), key=str)
     raws, gone = brute([r[1] for r in rows])
     want = []
     for (i, _, _), b, g in zip(rows, raws, gone):
