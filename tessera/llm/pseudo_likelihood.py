@@ -1,16 +1,23 @@
 """Language-model scores by masked pseudo-likelihood.
 
-A window network predicts every word from the two words before and the two after it, in two steps: the class of the
-word from its neighbours' classes (a hidden layer, then a softmax), and the word within its class by its share of the
-class's count. A document's score is the sum of these conditional log probabilities, and its mean for each word.
-
-1. Counts: words are counted inside the tasks and summed over the whole corpus; every document counts. The most frequent
-   ``KNOWN`` words are brought to the driver, the rest by length class alone.
-2. Codes: each document is written once as the classes of its words, a byte each, with the sum of the in-class log
-   probabilities. What follows reads these bytes and not the texts.
-3. Training, in numpy: in each round every task runs stochastic gradient steps over all its documents from the common
-   weights, at every ``STRIDE``-th word (from another start each round, so that over the rounds each word is the target
-   once), and the weights are averaged by the number of words. The sums are made before and during an exchange; the driver receives one set of weights.
+A window network predicts every word from the two words before and the two after it. A word has a code of up to three
+digits, and each digit has a softmax that depends on the context and on the digits before it:
+
+* the ``OWN`` most frequent words are a first digit of their own, the next ``BANDS * CLASSES`` have two digits;
+* all others have three: the first two by a word's ending, which tells its language and form, the third by its hash.
+  Words that share all digits share the probability by their counts, which are kept by hash in a table that grows with
+  the corpus (up to ``MOST_BITS``).
+
+A document's score is the sum of the log probabilities, and its mean for each word.
+
+1. Counts: words are counted inside the tasks and summed over the whole corpus; every document counts. The driver gets
+   the most frequent words and the table of counts, of at most 2 ** ``MOST_BITS`` numbers.
+2. Codes: each document is written once as the codes of its words, two bytes each, with the sum of the log shares. What
+   follows reads these bytes and not the texts.
+3. Training, in numpy: documents fall into shards by a hash of what they hold, of about ``SHARD`` words and in a set order.
+   In each round every shard runs stochastic gradient steps from the common weights, at every ``STRIDE``-th word (from
+   another start each round, so that over the rounds each word is the target once); the weights are averaged by the number
+   of words. So the result doesn't hang on files, partitions or cores. The driver receives one set of weights.
 4. Scores: one pass over the codes.
 
 Cases: null and empty texts have no words, sum 0 and mean 0. Repeated rows score alike. A null doc_id is carried along.
@@ -20,25 +27,38 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table, written
 
-KNOWN, CLASSES, OWN, LENGTHS = 8192, 64, 44, 8
+#: First digits: of words of their own, of words with two digits, of words with three; digits in all.
+OWN, BANDS, WIDE, CLASSES = 44, 12, 8, 64
+KNOWN, GROUPS = OWN + BANDS * CLASSES, WIDE * CLASSES
+#: Codes that a neighbour is seen as: a known word or the first two digits; the last is beyond the text's end.
+INPUTS = KNOWN + GROUPS + 1
+#: Bits of the table of counts.
+LEAST_BITS, MOST_BITS = 16, 22
 SIDE, HIDDEN = 2, 32
-ROUNDS, STRIDE, BATCH, RATE = 2, 2, 512, 0.08
-#: Distinct words that a task counts before it hands them on, and words looked at together.
-HELD, AT_ONCE = 300_000, 1 << 15
+ROUNDS, STRIDE, BATCH, RATE, SHARD = 2, 2, 1024, 0.2, 2_000_000
+#: Distinct words that a task counts before it hands them on and that it remembers the codes of; words scored together, and
+#: words that training takes in random order.
+HELD, REMEMBERED, AT_ONCE, MIXED = 300_000, 1_000_000, 1 << 15, 1 << 18
 
 OFFSETS = [k for k in range(-SIDE, SIDE + 1) if k]
-SHAPES = {"table": (len(OFFSETS), CLASSES + 1, HIDDEN), "bias": (HIDDEN,), "out": (HIDDEN, CLASSES), "prior": (CLASSES,)}
+SHAPES = {
+    "inputs": (INPUTS, HIDDEN), "at": (len(OFFSETS), HIDDEN), "bias": (HIDDEN,), "out1": (HIDDEN, CLASSES), "prior1": (CLASSES,),
+    "gate2": (BANDS + WIDE, HIDDEN), "out2": (HIDDEN, CLASSES), "prior2": (BANDS + WIDE, CLASSES),
+    "gate3": (GROUPS, HIDDEN), "out3": (HIDDEN, CLASSES), "prior3": (GROUPS, CLASSES),
+}
 SIZE = sum(math.prod(s) for s in SHAPES.values())
 
 
@@ -46,31 +66,68 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def length_class(n: int) -> int:
-    """The last classes are for words that aren't known, by their bytes."""
-    return CLASSES - LENGTHS + min(LENGTHS - 1, max(0, n - 1) // 3)
+def spread(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word, 10)
+
+
+def wide_code(word: bytes) -> int:
+    """The code of a word that isn't known: by its last two bytes, its last three, and its hash."""
+    return KNOWN + (zlib.crc32(word[-2:]) % WIDE << 12 | zlib.crc32(word[-3:]) % CLASSES << 6 | spread(word) >> 58)
+
+
+def digits(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First, second and third digit, and the group (the first two digits) of codes with three; -1 where there is none."""
+    code = code.astype(np.int32)
+    rest = code - KNOWN
+    first = np.where(code < OWN, code, np.where(rest < 0, OWN + (code - OWN) // CLASSES, OWN + BANDS + (rest >> 12)))
+    second = np.where(code < OWN, -1, np.where(rest < 0, (code - OWN) % CLASSES, rest >> 6 & 63))
+    return first, second, np.where(rest < 0, -1, rest & 63), np.where(rest < 0, -1, rest >> 6)
 
 
 @dataclass
 class Vocabulary:
-    """``classes``: class of each known word; ``inner``: log of its share in the class; ``rest``: the same for length classes."""
-
-    classes: dict[bytes, int]
-    inner: dict[bytes, float]
-    rest: list[float]
-    prior: np.ndarray
+    """``known``: codes of the most frequent words; ``table``: counts by hash; ``total``: words of each wide code."""
+
+    known: dict[bytes, int]
+    table: np.ndarray
+    total: np.ndarray
+    mass: np.ndarray
+
+    def __post_init__(self):
+        self.bits = int(len(self.table)).bit_length() - 1
+        self.seen: dict[bytes, int] = {}
+        self.code, self.share = np.zeros(0, dtype=np.uint16), np.zeros(0)
+
+    def __getstate__(self):
+        return self.known, self.table, self.total, self.mass
+
+    def __setstate__(self, state):
+        self.known, self.table, self.total, self.mass = state
+        self.__post_init__()
+
+    def code_of(self, word: bytes) -> tuple[int, float]:
+        """Its code, and the log of its share of the words of that code."""
+        got = self.known.get(word)
+        if got is not None:
+            return got, 0.0
+        code = wide_code(word)
+        n = self.table[spread(word) & (len(self.table) - 1)]
+        return code, math.log(min(1.0, max(n, 1) / max(self.total[code - KNOWN], 1)))
 
     def encode(self, text: str | None) -> tuple[bytes, float]:
-        get, share, total, out = self.classes.get, self.inner, 0.0, bytearray()
-        for w in words(text):
-            c = get(w)
-            if c is None:
-                c = length_class(len(w))
-                total += self.rest[c - CLASSES + LENGTHS]
-            else:
-                total += share[w]
-            out.append(c)
-        return bytes(out), total
+        found = words(text)
+        new = {w for w in found if w not in self.seen}
+        if new:
+            if len(self.seen) + len(new) > REMEMBERED:
+                self.seen, new = {}, set(found)
+                self.code, self.share = self.code[:0], self.share[:0]
+            listed = sorted(new)
+            pairs = [self.code_of(w) for w in listed]
+            self.seen.update(zip(listed, range(len(self.code), len(self.code) + len(listed)), strict=True))
+            self.code = np.concatenate([self.code, np.array([p[0] for p in pairs], dtype=np.uint16)])
+            self.share = np.concatenate([self.share, np.array([p[1] for p in pairs])])
+        at = np.fromiter(map(self.seen.__getitem__, found), dtype=np.int64, count=len(found))
+        return self.code[at].tobytes(), float(self.share[at].sum())
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -97,24 +154,29 @@ def counts(docs: DataFrame) -> DataFrame:
 def vocabulary(docs: DataFrame) -> Vocabulary:
     every = written(counts(docs))
     top = every.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
-    bucket = F.least(F.lit(LENGTHS - 1), F.floor(F.greatest(F.lit(0), F.octet_length("word") - 1) / 3))
-    by_length = {r.k: (r.n, r.d) for r in every.groupBy(bucket.alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("d")).collect()}
-    classes, mass = {}, np.zeros(CLASSES)
-    bands = CLASSES - LENGTHS - OWN
-    for i, r in enumerate(top):
-        w = bytes(r.word)
-        c = i if i < OWN else OWN + min(bands - 1, int(bands * math.log(1 + i - OWN) / math.log(KNOWN)))
-        classes[w] = c
-        mass[c] += r.n
-    inner = {bytes(r.word): math.log(r.n / mass[classes[bytes(r.word)]]) for r in top}
-    rest = []
-    for k in range(LENGTHS):
-        n, d = by_length.get(k, (0, 0))
-        own = [r.n for r in top if length_class(len(r.word)) == CLASSES - LENGTHS + k]
-        mass[CLASSES - LENGTHS + k] = n - sum(own)
-        rest.append(-math.log(max(1, d - len(own))))
-    prior = np.log((mass + 0.5) / (mass.sum() + 0.5 * CLASSES))
-    return Vocabulary(classes, inner, rest, prior)
+    known = {bytes(r.word): i for i, r in enumerate(top)}
+    distinct = every.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, (2 * distinct).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = (1 << bits) - 1
+        for batch in batches:
+            found = [w.as_py() for w in batch.column("word")]
+            keep = [i for i, w in enumerate(found) if w not in known]
+            place = pa.array([spread(found[i]) & mask for i in keep], pa.int32())
+            code = pa.array([wide_code(found[i]) - KNOWN for i in keep], pa.int32())
+            yield pa.RecordBatch.from_arrays([place, code, batch.column("n").take(pa.array(keep, pa.int64()))], names=["place", "code", "n"])
+
+    dealt = written(every.mapInArrow(run, "place int, code int, n long"))
+    summed = lambda by: dealt.groupBy(by).agg(F.sum("n").alias("n")).toArrow()
+    held, total = np.zeros(1 << bits, dtype=np.float32), np.zeros(GROUPS * CLASSES)
+    for into, by in ((held, "place"), (total, "code")):
+        got = summed(by)
+        into[got.column(by).to_numpy()] = got.column("n").to_numpy()
+    mass = np.zeros(KNOWN + GROUPS * CLASSES)
+    mass[: len(top)] = [r.n for r in top]
+    mass[KNOWN:] = total
+    return Vocabulary(known, held, total, mass)
 
 
 def codes(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -129,64 +191,119 @@ def codes(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, codes binary, inner double")
 
 
+def views(flat: np.ndarray) -> dict[str, np.ndarray]:
+    out, at = {}, 0
+    for name, shape in SHAPES.items():
+        n = math.prod(shape)
+        out[name] = flat[at : at + n].reshape(shape)
+        at += n
+    return out
+
+
+def log_softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+
+def summed_by(group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The groups that occur and the sum of each one's rows."""
+    order = np.argsort(group, kind="stable")
+    in_order = group[order]
+    first = np.flatnonzero(np.r_[True, in_order[1:] != in_order[:-1]])
+    return in_order[first], np.add.reduceat(rows[order], first, axis=0)
+
+
 class Network:
+    """``near``: inputs at ``OFFSETS`` of each word; ``code``: its code."""
+
     def __init__(self, flat: np.ndarray):
-        at = 0
-        for name, shape in SHAPES.items():
-            n = math.prod(shape)
-            setattr(self, name, flat[at : at + n].reshape(shape))
-            at += n
-        self.flat = flat
+        self.flat, self.w = flat, views(flat)
 
     @staticmethod
-    def start(prior: np.ndarray) -> np.ndarray:
+    def start(mass: np.ndarray) -> np.ndarray:
+        """Small random weights; the biases give each digit its share in the corpus."""
         flat = np.random.default_rng(0).normal(0, 0.1, SIZE).astype(np.float32)
-        net = Network(flat)
-        net.bias[:] = 0
-        net.prior[:] = prior
+        w = views(flat)
+        w["bias"][:] = 0
+        for name in ("at", "gate2", "gate3"):
+            w[name] += 1
+        first, second, third, group = digits(np.arange(len(mass)))
+        for name, held, row, digit in (("prior1", first >= 0, None, first), ("prior2", second >= 0, first - OWN, second), ("prior3", third >= 0, group, third)):
+            n = np.full(w[name].shape, 0.5)
+            np.add.at(n, digit[held] if row is None else (row[held], digit[held]), mass[held])
+            w[name][:] = np.log(n / n.sum(axis=-1, keepdims=True))
         return flat
 
     def hidden(self, near: np.ndarray) -> np.ndarray:
-        h = self.bias + self.table[0][near[0]]
-        for t, c in zip(self.table[1:], near[1:], strict=True):
-            h += t[c]
+        h = np.repeat(self.w["bias"][None], near.shape[1], axis=0)
+        for x, by in zip(near, self.w["at"], strict=True):
+            h += self.w["inputs"][x] * by
         return np.tanh(h, out=h)
 
-    def log_probs(self, near: np.ndarray, word: np.ndarray) -> np.ndarray:
-        z = self.hidden(near) @ self.out + self.prior
-        z -= z.max(axis=1, keepdims=True)
-        return z[np.arange(len(word)), word] - np.log(np.exp(z).sum(axis=1))
+    def levels(self, h: np.ndarray, code: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each digit: its number, the words that have it, their gated hidden layer, gate and digit."""
+        first, second, third, group = digits(code)
+        yield 1, slice(None), h, None, first
+        for k, digit, gate in ((2, second, first - OWN), (3, third, group)):
+            some = np.flatnonzero(digit >= 0)
+            if len(some):
+                yield k, some, h[some] * self.w[f"gate{k}"][gate[some]], gate[some], digit[some]
+
+    def logits(self, k: int, h: np.ndarray, gate: np.ndarray | None) -> np.ndarray:
+        return h @ self.w[f"out{k}"] + (self.w[f"prior{k}"] if gate is None else self.w[f"prior{k}"][gate])
+
+    def log_probs(self, near: np.ndarray, code: np.ndarray) -> np.ndarray:
+        h, out = self.hidden(near), np.zeros(len(code))
+        for k, some, gated, gate, digit in self.levels(h, code):
+            out[some] += log_softmax(self.logits(k, gated, gate))[np.arange(len(digit)), digit]
+        return out
+
+    def step(self, near: np.ndarray, code: np.ndarray, seen: np.ndarray) -> None:
+        """A step of Adagrad; ``seen`` gathers the squares of the gradient. Rows that a batch doesn't meet are left alone."""
+        n, s = len(code), views(seen)
+
+        def descend(name: str, g: np.ndarray, rows=slice(None)) -> None:
+            s[name][rows] += g * g
+            self.w[name][rows] -= RATE * g / (np.sqrt(s[name][rows]) + 1e-6)
 
-    def step(self, near: np.ndarray, word: np.ndarray, seen: np.ndarray) -> None:
-        """A step of Adagrad; ``seen`` gathers the squares of the gradient."""
-        n = len(word)
         h = self.hidden(near)
-        z = h @ self.out + self.prior
-        z -= z.max(axis=1, keepdims=True)
-        p = np.exp(z)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(n), word] -= 1
-        p /= n
-        g = Network(np.empty(SIZE, dtype=np.float32))
-        g.out[:] = h.T @ p
-        g.prior[:] = p.sum(axis=0)
-        d = (p @ self.out.T) * (1 - h * h)
-        g.bias[:] = d.sum(axis=0)
-        one = np.eye(CLASSES + 1, dtype=np.float32)
-        for k, c in enumerate(near):
-            g.table[k] = one[c].T @ d
-        seen += g.flat * g.flat
-        self.flat -= RATE * g.flat / (np.sqrt(seen) + 1e-6)
-
-
-def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(neighbours' classes, class, text number) of every word; beyond a text's ends stands an extra class."""
-    edge = bytes([CLASSES]) * SIDE
-    flat = np.frombuffer(edge + edge.join(texts) + edge, dtype=np.uint8)
-    n = np.array([len(t) for t in texts])
-    which = np.repeat(np.arange(len(texts)), n)
-    at = np.arange(n.sum()) + SIDE * (1 + which)
-    return np.stack([flat[at + k] for k in OFFSETS]), flat[at], which
+        back, todo = np.zeros_like(h), []
+        for k, some, gated, gate, digit in self.levels(h, code):
+            p = np.exp(log_softmax(self.logits(k, gated, gate)))
+            p[np.arange(len(digit)), digit] -= 1
+            p /= n
+            d = p @ self.w[f"out{k}"].T
+            todo.append((f"out{k}", gated.T @ p, slice(None)))
+            if gate is None:
+                todo.append((f"prior{k}", p.sum(axis=0), slice(None)))
+                back += d
+            else:
+                rows, g = summed_by(gate, np.concatenate([p, d * h[some]], axis=1))
+                todo += [(f"prior{k}", g[:, :CLASSES], rows), (f"gate{k}", g[:, CLASSES:], rows)]
+                back[some] += d * self.w[f"gate{k}"][gate]
+        d = back * (1 - h * h)
+        todo.append(("bias", d.sum(axis=0), slice(None)))
+        todo.append(("at", np.stack([(self.w["inputs"][x] * d).sum(axis=0) for x in near]), slice(None)))
+        rows, g = summed_by(near.ravel(), (self.w["at"][:, None, :] * d).reshape(-1, HIDDEN))
+        todo.append(("inputs", g, rows))
+        for name, g, rows in todo:
+            descend(name, g, rows)
+
+
+def windows(texts: list[bytes], at_once: int, turn: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(neighbours' inputs, code, text number) of every word, ``at_once`` together; beyond a text's ends stands an input of
+    its own. With ``turn`` only that round's words, in a random order."""
+    n = np.array([len(t) // 2 for t in texts], dtype=np.int64)
+    code = np.frombuffer(b"".join(texts), dtype=np.uint16)
+    which = np.repeat(np.arange(len(texts), dtype=np.int32), n)
+    flat = np.full(len(code) + SIDE * (len(texts) + 1), INPUTS - 1, dtype=np.int16)
+    wide = code.astype(np.int32) - KNOWN
+    flat[np.arange(len(code)) + SIDE * (1 + which)] = np.where(wide < 0, code, KNOWN + (wide >> 6))
+    picked = None if turn is None else np.random.default_rng(turn).permutation(np.arange(turn * STRIDE // ROUNDS % STRIDE, len(code), STRIDE))
+    for lo in range(0, len(code) if picked is None else len(picked), at_once):
+        part = np.arange(lo, min(len(code), lo + at_once)) if picked is None else picked[lo : lo + at_once]
+        at = part + SIDE * (1 + which[part])
+        yield np.stack([flat[at + k] for k in OFFSETS]), code[part], which[part]
 
 
 def pieces(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
@@ -194,7 +311,7 @@ def pieces(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
     run, first, size = [], 0, 0
     for i, t in enumerate(column):
         run.append(t.as_py())
-        size += len(run[-1])
+        size += len(run[-1]) // 2
         if size >= AT_ONCE:
             yield first, run
             run, first, size = [], i + 1, 0
@@ -202,30 +319,58 @@ def pieces(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield first, run
 
 
-def trained(coded: DataFrame, start: np.ndarray, turn: int, stride: int) -> np.ndarray:
-    """The average of the tasks' weights after a round from ``start``."""
+def trained(coded: DataFrame, start: np.ndarray, turn: int, shards: int) -> np.ndarray:
+    """The average of the shards' weights after a round from ``start``."""
     sent = coded.sparkSession.sparkContext.broadcast(start)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, seen, total = Network(sent.value.copy()), np.full(SIZE, 1e-6, dtype=np.float32), 0
-        skip = turn * stride // ROUNDS
-        for batch in batches:
-            for _, texts in pieces(batch.column("codes")):
-                near, word, _ = windows(texts)
-                near, word = near[:, skip % stride :: stride], word[skip % stride :: stride]
-                for at in range(0, len(word), BATCH):
-                    net.step(near[:, at : at + BATCH], word[at : at + BATCH], seen)
-                total += len(word)
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE, dtype=np.int32)), pa.array(net.flat.astype(np.float64) * total), pa.array(np.full(SIZE, total, dtype=np.int64))], names=["at", "x", "n"])
-
-    sums = coded.select("codes").mapInArrow(run, "at int, x double, n long").groupBy("at").agg((F.sum("x") / F.sum("n")).alias("x")).collect()
+        now, net, seen, total = None, None, None, 0
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE, dtype=np.int32)), pa.array(net.flat.astype(np.float64) * total), pa.array(np.full(SIZE, total, dtype=np.int64))], names=["at", "x", "n"])
+
+        left: list[bytes] = []
+        size = 0
+        for batch in _ended(batches):
+            shard_of = batch.column("shard").to_numpy() if batch is not None else np.array([-1])
+            cuts = np.r_[0, np.flatnonzero(np.diff(shard_of)) + 1, len(shard_of)]
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if shard_of[lo] != now:
+                    if left:
+                        total += _steps(net, seen, left, turn)
+                    if total:
+                        yield out()
+                    now, net, seen, total, left, size = shard_of[lo], Network(sent.value.copy()), np.full(SIZE, 1e-6, dtype=np.float32), 0, [], 0
+                if batch is None:
+                    return
+                for t in batch.column("codes").slice(lo, hi - lo):
+                    left.append(t.as_py())
+                    size += len(left[-1]) // 2
+                    if size >= MIXED:
+                        total += _steps(net, seen, left, turn)
+                        left, size = [], 0
+
+    dealt = coded.select(F.pmod(F.xxhash64("doc_id", "codes"), F.lit(shards)).alias("shard"), "doc_id", "codes").repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "codes")
+    sums = dealt.select("shard", "codes").mapInArrow(run, "at int, x double, n long").groupBy("at").agg((F.sum("x") / F.sum("n")).alias("x")).toArrow()
     out = start.copy()
-    for r in sums:
-        out[r.at] = r.x
+    out[sums.column("at").to_numpy()] = sums.column("x").to_numpy()
     return out
 
 
+def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _steps(net: Network, seen: np.ndarray, texts: list[bytes], turn: int) -> int:
+    """Gradient steps over some texts; the number of words."""
+    n = 0
+    for near, code, _ in windows(texts, BATCH, turn):
+        net.step(near, code, seen)
+        n += len(code)
+    return n
+
+
 def scored(coded: DataFrame, weights: np.ndarray) -> DataFrame:
     """(doc_id, n_words, log_prob, score) from ``coded``."""
     sent = coded.sparkSession.sparkContext.broadcast(weights)
@@ -236,24 +381,22 @@ def scored(coded: DataFrame, weights: np.ndarray) -> DataFrame:
             sums = np.asarray(batch.column("inner").to_numpy(zero_copy_only=False), dtype=np.float64).copy()
             n = np.zeros(len(sums), dtype=np.int64)
             for first, texts in pieces(batch.column("codes")):
-                near, word, which = windows(texts)
-                for at in range(0, len(word), 8192):
-                    part = slice(at, at + 8192)
-                    lp = net.log_probs(near[:, part], word[part])
-                    sums[first : first + len(texts)] += np.bincount(which[part], weights=lp, minlength=len(texts))
-                n[first : first + len(texts)] = [len(t) for t in texts]
+                for near, code, which in windows(texts, 8192):
+                    sums[first : first + len(texts)] += np.bincount(which, weights=net.log_probs(near, code), minlength=len(texts))
+                n[first : first + len(texts)] = [len(t) // 2 for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(sums), pa.array(sums / np.maximum(n, 1))], names=["doc_id", "n_words", "log_prob", "score"])
 
-    return coded.mapInArrow(run, "doc_id long, n_words long, log_prob double, score double")
+    return coded.select("doc_id", "codes", "inner").mapInArrow(run, "doc_id long, n_words long, log_prob double, score double")
 
 
 def fit(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """The written codes of ``docs`` (doc_id, text) and the network's weights."""
     vocab = vocabulary(docs)
     coded = written(codes(docs, vocab))
-    weights = Network.start(vocab.prior)
+    weights = Network.start(vocab.mass)
+    shards = int(vocab.mass.sum()) // SHARD + 1
     for turn in range(ROUNDS):
-        weights = trained(coded, weights, turn, STRIDE)
+        weights = trained(coded, weights, turn, shards)
     return coded, weights
 
 
