@@ -16,9 +16,9 @@ strings of ``LEAST`` bytes, are told but stay.
    match among all earlier ones with the nearest smaller place before it in that order, or the nearest one after it; the
    match is as long as the least common prefix of neighbours between the two. In the same way the nearest larger places
    give the longest match with a later one. A string repeats where such a factor has ``LENGTH`` bytes.
-5. An anchor with over ``MOST`` contexts (a passage of very many documents, with as many surroundings) is refined:
-   contexts are cut into pieces of ``BLOCK`` strings at set distances from the anchor, and a piece goes to a bucket by
-   the bytes that all its strings share. Pieces are collapsed and ordered like contexts; where a bucket is still too
+5. An anchor with over ``MOST`` contexts (a passage of very many documents, with as many surroundings) is refined, once
+   for each length: contexts are cut into pieces of ``BLOCK`` strings at set distances from the anchor, and a piece goes
+   to a bucket by the bytes that all its strings share. Pieces are collapsed and ordered like contexts; where a bucket is still too
    large (the edge of the passage), its few strings each get a bucket of their own.
 6. The repeated places of a context hold for all its occurrences; they are merged for each document and cut out.
 
@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import small, table, written
@@ -221,20 +221,20 @@ def matched(place: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
-def factors(b: np.ndarray, starts: np.ndarray, stops: np.ndarray, keep_first: bool) -> dict[int, np.ndarray]:
-    """For ``LEAST`` and ``LENGTH``, whether the string at each of the ascending ``starts`` also stands at an earlier one
-    (or, unless ``keep_first``, a later one). ``stops``: where the bytes that follow a start end."""
-    out = {least: np.zeros(len(starts), dtype=bool) for least in (LEAST, LENGTH)}
+def factors(b: np.ndarray, starts: np.ndarray, stops: np.ndarray, keep_first: bool, reaches: tuple[int, ...]) -> dict[int, np.ndarray]:
+    """For each of the rising lengths ``reaches``, whether the string at each of the ascending ``starts`` also stands at an
+    earlier one (or, unless ``keep_first``, a later one). ``stops``: where the bytes that follow a start end."""
+    out = {least: np.zeros(len(starts), dtype=bool) for least in reaches}
     # strings whose prints differ differ in their first bytes: they have no factor and need no order
-    _, which, count = np.unique(rolling(b, LEAST)[starts], return_inverse=True, return_counts=True)
+    _, which, count = np.unique(rolling(b, reaches[0])[starts], return_inverse=True, return_counts=True)
     some = np.flatnonzero(count[which] > 1)
     if not len(some):
         return out
     raw = b.tobytes()
-    strings = [raw[a:z] for a, z in zip(starts[some].tolist(), np.minimum(starts[some] + LENGTH, stops[some]).tolist(), strict=True)]
+    strings = [raw[a:z] for a, z in zip(starts[some].tolist(), np.minimum(starts[some] + reaches[-1], stops[some]).tolist(), strict=True)]
     order = sorted(range(len(some)), key=strings.__getitem__)
     in_order = [strings[i] for i in order]
-    shared = lambda x, y: len(x) if x == y else LEAST if x[:LEAST] == y[:LEAST] else 0
+    shared = lambda x, y: len(x) if x == y else reaches[0] if x[: reaches[0]] == y[: reaches[0]] else 0
     common = np.fromiter((shared(x, y) for x, y in zip(in_order, in_order[1:], strict=False)), dtype=np.int64, count=len(order) - 1)
     place = np.array(order)
     for least, flags in out.items():
@@ -287,7 +287,7 @@ def _some_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]
 PARTS = "anchor long, context binary, lo int, hi int, reach int"
 
 
-def within_anchor(cut: DataFrame, keep_first: bool) -> DataFrame:
+def within_anchor(cut: DataFrame, keep_first: bool, reaches: tuple[int, ...] = (LEAST, LENGTH)) -> DataFrame:
     """(anchor, context, lo, hi, reach): runs of strings of a context, of ``reach`` bytes, that repeat in a context of the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,7 +299,7 @@ def within_anchor(cut: DataFrame, keep_first: bool) -> DataFrame:
             stop = np.cumsum(sizes)
             which = np.repeat(np.arange(len(raw)), n)
             inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            flags = factors(flat, (stop - sizes)[which] + inner, stop[which], keep_first)
+            flags = factors(flat, (stop - sizes)[which] + inner, stop[which], keep_first, reaches)
             lo, hi, own, reach = [], [], [], []
             # a run ends where its context ends
             change = np.r_[0, np.cumsum(n)]
@@ -319,31 +319,30 @@ def within_anchor(cut: DataFrame, keep_first: bool) -> DataFrame:
     return order.select("anchor", "context", "rep.n", "bytes").mapInArrow(run, PARTS)
 
 
-def by_string(cut: DataFrame, keep_first: bool) -> DataFrame:
-    """As ``within_anchor``, for anchors with very many contexts: every string goes to a bucket of its own."""
+def by_string(cut: DataFrame, keep_first: bool, reach: int) -> DataFrame:
+    """As ``within_anchor`` with one length, for anchors with very many contexts: every string goes to a bucket of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, (n, raw) in enumerate(zip(batch.column("n").to_pylist(), batch.column("bytes"), strict=True)):
                 b = raw.as_py()
-                each = [(k, least) for least in (LEAST, LENGTH) for k in range(n) if k + least <= len(b)]
-                same = pa.array(np.full(len(each), i))
-                digest = pa.array([_digest(b[k : k + least], least) for k, least in each], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(same) for c in ("anchor", "context", "at")), pa.array([k for k, _ in each], pa.int32()), pa.array([least for _, least in each], pa.int32()), digest], names=["anchor", "context", "at", "lo", "reach", "string"])
+                same = pa.array(np.full(n, i))
+                digest = pa.array([_digest(b[k : k + reach], 0) for k in range(n)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(same) for c in ("anchor", "context", "at")), pa.array(np.arange(n, dtype=np.int32)), digest], names=["anchor", "context", "at", "lo", "string"])
 
     at = F.struct("rep.doc_id", "rep.key", "rep.first")
     strings = cut.select("anchor", "context", at.alias("at"), "rep.n", "bytes")
-    strings = written(strings.mapInArrow(_gathered(run), "anchor long, context binary, at struct<doc_id: long, key: long, first: long>, lo int, reach int, string binary"))
+    strings = written(strings.mapInArrow(_gathered(run), "anchor long, context binary, at struct<doc_id: long, key: long, first: long>, lo int, string binary"))
     place = F.struct("at", "context", "lo")
     runs = written(strings.groupBy(F.col("anchor").alias("_a"), F.col("string").alias("_s")).agg(F.count("*").alias("k"), F.min(place).alias("least")).where("k > 1"))
     hit = strings.join(small(runs), (F.col("anchor") == F.col("_a")) & (F.col("string") == F.col("_s")))
     if keep_first:
         hit = hit.where(place != F.col("least"))
-    return hit.select("anchor", "context", "lo", F.col("lo").alias("hi"), "reach")
+    return hit.select("anchor", "context", "lo", F.col("lo").alias("hi"), F.lit(reach).alias("reach"))
 
 
-def pieces(cut: DataFrame) -> DataFrame:
-    """(anchor, context, rep, bytes, of_anchor, of_context, at): contexts in pieces of ``BLOCK`` strings; ``at`` is a piece's first."""
+def pieces(cut: DataFrame, reach: int) -> DataFrame:
+    """(anchor, context, rep, bytes, of_anchor, of_context, at): contexts in pieces of ``BLOCK`` strings of ``reach`` bytes; ``at`` is a piece's first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -353,56 +352,59 @@ def pieces(cut: DataFrame) -> DataFrame:
                 h = rolling(np.frombuffer(b, dtype=np.uint8), GRAM)[: LEAST - GRAM + 1]
                 key = (h & ~_PLACE) | (_PLACE - np.arange(len(h), dtype=np.uint64))
                 place = int(np.argmin(key))
-                a = 0
+                a, m = 0, min(m, len(b) - reach + 1)
                 while a < m:
                     # the pieces end at multiples of BLOCK before the anchor; the core is in every string that starts there
                     k = (place - a) // BLOCK
                     z = min(m, place - k * BLOCK + 1)
-                    core = xxhash.xxh64_intdigest(b[place - k * BLOCK : place - k * BLOCK - BLOCK + 1 + LEAST], k)
-                    body = b[a : z + LENGTH - 1]
-                    rows.append((i, core, _digest(body, place - a), body, a, z - a, z - a + LENGTH - 1 - len(body)))
+                    core = xxhash.xxh64_intdigest(b[place - k * BLOCK : place - k * BLOCK - BLOCK + 1 + reach], k)
+                    body = b[a : z + reach - 1]
+                    rows.append((i, core, _digest(body, place - a), body, a, z - a))
                     a = z
             if rows:
-                i, core, own, body, at, n, short = zip(*rows, strict=True)
+                i, core, own, body, at, n = zip(*rows, strict=True)
                 same = pa.array(i, pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(core, dtype=np.uint64).view(np.int64)), pa.array(own, pa.binary()), batch.column("rep").take(same), pa.array(body, pa.binary()), batch.column("anchor").take(same), batch.column("context").take(same), *(pa.array(x, pa.int32()) for x in (at, n, short))],
-                    names=["core", "context", "rep", "bytes", "of_anchor", "of_context", "at", "n", "short"],
+                    [pa.array(np.array(core, dtype=np.uint64).view(np.int64)), pa.array(own, pa.binary()), batch.column("rep").take(same), pa.array(body, pa.binary()), batch.column("anchor").take(same), batch.column("context").take(same), *(pa.array(x, pa.int32()) for x in (at, n))],
+                    names=["core", "context", "rep", "bytes", "of_anchor", "of_context", "at", "n"],
                 )
 
     kind = cut.schema["rep"].dataType.simpleString()
-    out = cut.select("anchor", "context", "rep", "rep.n", "bytes").mapInArrow(run, f"core long, context binary, rep {kind}, bytes binary, of_anchor long, of_context binary, at int, n int, short int")
-    rep = F.struct("rep.doc_id", "rep.key", "rep.first", "n", "short")
+    out = cut.select("anchor", "context", "rep", "rep.n", "bytes").mapInArrow(run, f"core long, context binary, rep {kind}, bytes binary, of_anchor long, of_context binary, at int, n int")
+    rep = F.struct("rep.doc_id", "rep.key", "rep.first", "n")
     return out.select(F.xxhash64("of_anchor", "core").alias("anchor"), "context", rep.alias("rep"), "bytes", "of_anchor", "of_context", "at")
 
 
-def found_in(each: DataFrame, kinds: DataFrame, partial: DataFrame, own, keep_first: bool) -> DataFrame:
-    """``each`` (anchor, context, n, short, ...) with x (lo, hi, reach): the repeated strings of its context.
+def run(hi: Column, reach: int) -> Column:
+    return F.struct(F.lit(0).alias("lo"), hi.cast("int").alias("hi"), F.lit(reach).alias("reach"))
 
-    ``kinds``: anchor, context, count, rep; ``partial``: as from ``within_anchor``; ``own``: an occurrence's place. All strings
-    of a context that occurs again repeat; its first occurrence stays if the first is to be kept.
+
+def found_in(each: DataFrame, kinds: DataFrame, partial: DataFrame, own: Column, whole: Column, keep_first: bool) -> DataFrame:
+    """``each`` (anchor, context, ...) with x (lo, hi, reach): the repeated strings of its context.
+
+    ``kinds``: anchor, context, count, rep; ``partial``: as from ``within_anchor``; ``own``: an occurrence's place; ``whole``: all
+    strings of a context. They repeat if it occurs again; its first occurrence stays if the first is to be kept.
     """
     parts = partial.groupBy("anchor", "context").agg(F.collect_set(F.struct("lo", "hi", "reach")).alias("parts"))
     known = kinds.join(parts, ["anchor", "context"], "left").where("count > 1 or parts is not null")
     known = written(known.select(F.col("anchor").alias("_a"), F.col("context").alias("_c"), "count", F.struct("rep.doc_id", "rep.key", "rep.first").alias("_rep"), "parts"))
     hit = each.join(small(known), (F.col("anchor") == F.col("_a")) & (F.col("context") == F.col("_c")))
-    run = lambda hi, reach: F.struct(F.lit(0).alias("lo"), hi.cast("int").alias("hi"), F.lit(reach).alias("reach"))
-    whole = F.array_compact(F.array(run(F.col("n") - 1, LEAST), F.when(F.col("n") > F.col("short"), run(F.col("n") - 1 - F.col("short"), LENGTH))))
     again = ~own.eqNullSafe(F.col("_rep")) if keep_first else F.col("count") > 1
     return hit.withColumn("x", F.explode(F.when(again, whole).otherwise(F.col("parts"))))
 
 
-def refined(cut: DataFrame, keep_first: bool, most: int) -> DataFrame:
-    """As ``within_anchor``, for anchors with very many contexts."""
-    each = written(pieces(cut))
+def refined(cut: DataFrame, keep_first: bool, most: int, reach: int) -> DataFrame:
+    """As ``within_anchor`` with one length, for anchors with very many contexts."""
+    each = written(pieces(cut, reach))
     kinds = each.groupBy("anchor", "context").agg(F.count("*").alias("count"), F.min("rep").alias("rep"))
     often = written(kinds.groupBy(F.col("anchor").alias("_b")).agg(F.count("*").alias("size")))
     kinds = written(kinds.join(small(often), F.col("anchor") == F.col("_b")).drop("_b").where("size > 1 or count > 1"))
     of = kinds.where("size > 1").select(F.col("anchor").alias("_a"), F.col("context").alias("_c"), F.col("rep").alias("_rep"), "size")
     first = each.join(of, (F.col("anchor") == F.col("_a")) & (F.col("context") == F.col("_c")) & F.col("rep").eqNullSafe(F.col("_rep")))
     reps = written(first.select("anchor", "context", "rep", "bytes", "size").dropDuplicates(["anchor", "context"]))
-    partial = within_anchor(reps.where(F.col("size") <= most), keep_first).unionByName(by_string(reps.where(F.col("size") > most), keep_first))
-    hit = found_in(each.drop("bytes").select("*", "rep.n", "rep.short"), kinds.drop("size"), partial, F.struct("rep.doc_id", "rep.key", "rep.first"), keep_first)
+    partial = within_anchor(reps.where(F.col("size") <= most), keep_first, (reach,)).unionByName(by_string(reps.where(F.col("size") > most), keep_first, reach))
+    whole = F.array(run(F.col("rep.n") - 1, reach))
+    hit = found_in(each.drop("bytes"), kinds.drop("size"), partial, F.struct("rep.doc_id", "rep.key", "rep.first"), whole, keep_first)
     return hit.select(F.col("of_anchor").alias("anchor"), F.col("of_context").alias("context"), (F.col("at") + F.col("x.lo")).alias("lo"), (F.col("at") + F.col("x.hi")).alias("hi"), "x.reach")
 
 
@@ -418,8 +420,13 @@ def removals(rows: DataFrame, keep_first: bool = False, most: int = MOST) -> Dat
     sizes = written(kinds.where("several").groupBy(F.col("anchor").alias("_a")).agg(F.count("*").alias("size")))
     cut = contexts(rows, kinds.where("several").select("anchor", "context", "rep"))
     cut = written(cut.join(small(sizes), F.col("anchor") == F.col("_a")).drop("_a"))
-    partial = within_anchor(cut.where(F.col("size") <= most), keep_first).unionByName(refined(cut.where(F.col("size") > most), keep_first, most))
-    hit = found_in(near.drop("several"), kinds.drop("several"), partial, F.struct("doc_id", "key", "first"), keep_first)
+    partial = within_anchor(cut.where(F.col("size") <= most), keep_first)
+    large = cut.where(F.col("size") > most)
+    if not large.isEmpty():
+        for reach in (LEAST, LENGTH):
+            partial = partial.unionByName(refined(large, keep_first, most, reach))
+    whole = F.array_compact(F.array(run(F.col("n") - 1, LEAST), F.when(F.col("n") > F.col("short"), run(F.col("n") - 1 - F.col("short"), LENGTH))))
+    hit = found_in(near.drop("several"), kinds.drop("several"), partial, F.struct("doc_id", "key", "first"), whole, keep_first)
     spans = hit.select("doc_id", "key", (F.col("first") + F.col("x.lo")).alias("start"), (F.col("first") + F.col("x.hi") + F.col("x.reach")).alias("end"), "x.reach")
     own = found.where("anchor is null").select("doc_id", "key", (F.col("first") + (F.col("short") if keep_first else 0)).alias("start"), (F.col("first") + F.col("n")).alias("end"), F.explode(F.array(F.lit(LEAST), F.lit(LENGTH))).alias("reach"))
     spans = spans.unionByName(own).distinct()
