@@ -6,7 +6,7 @@ digits, and each digit has a softmax that depends on the context and on the digi
 * the ``OWN`` most frequent words are a first digit of their own, the next ``BANDS * CLASSES`` have two digits;
 * all others have three: the first two by a word's ending, which tells its language and form, the third by its hash.
   Words that share all digits share the probability by their counts, which are kept by hash in a table that grows with
-  the corpus (up to ``MOST_BITS``).
+  the corpus (up to ``MOST_BITS``; words that share a place there count alike).
 
 A document's score is the sum of the log probabilities, and its mean for each word.
 
@@ -75,6 +75,12 @@ def wide_code(word: bytes) -> int:
     return KNOWN + (zlib.crc32(word[-2:]) % WIDE << 12 | zlib.crc32(word[-3:]) % CLASSES << 6 | spread(word) >> 58)
 
 
+def place(word: bytes, code: int, bits: int) -> int:
+    """Where the table of 2 ** ``bits`` numbers holds a word of a wide code."""
+    of_code = bits - (GROUPS * CLASSES).bit_length() + 1
+    return (code - KNOWN) << of_code | spread(word) & (1 << of_code) - 1
+
+
 def digits(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """First, second and third digit, and the group (the first two digits) of codes with three; -1 where there is none."""
     code = code.astype(np.int32)
@@ -86,7 +92,8 @@ def digits(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 @dataclass
 class Vocabulary:
-    """``known``: codes of the most frequent words; ``table``: counts by hash; ``total``: words of each wide code."""
+    """``known``: codes of the most frequent words; ``table``: mean count of the words of a wide code and a hash; ``total``: words
+    of each wide code."""
 
     known: dict[bytes, int]
     table: np.ndarray
@@ -111,7 +118,7 @@ class Vocabulary:
         if got is not None:
             return got, 0.0
         code = wide_code(word)
-        n = self.table[spread(word) & (len(self.table) - 1)]
+        n = self.table[place(word, code, self.bits)]
         return code, math.log(min(1.0, max(n, 1) / max(self.total[code - KNOWN], 1)))
 
     def encode(self, text: str | None) -> tuple[bytes, float]:
@@ -156,22 +163,20 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     top = every.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
     known = {bytes(r.word): i for i, r in enumerate(top)}
     distinct = every.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, (2 * distinct).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, (4 * distinct).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = (1 << bits) - 1
         for batch in batches:
             found = [w.as_py() for w in batch.column("word")]
             keep = [i for i, w in enumerate(found) if w not in known]
-            place = pa.array([spread(found[i]) & mask for i in keep], pa.int32())
-            code = pa.array([wide_code(found[i]) - KNOWN for i in keep], pa.int32())
-            yield pa.RecordBatch.from_arrays([place, code, batch.column("n").take(pa.array(keep, pa.int64()))], names=["place", "code", "n"])
+            code = [wide_code(found[i]) for i in keep]
+            at = pa.array([place(found[i], c, bits) for i, c in zip(keep, code, strict=True)], pa.int32())
+            yield pa.RecordBatch.from_arrays([at, pa.array([c - KNOWN for c in code], pa.int32()), batch.column("n").take(pa.array(keep, pa.int64()))], names=["place", "code", "n"])
 
     dealt = written(every.mapInArrow(run, "place int, code int, n long"))
-    summed = lambda by: dealt.groupBy(by).agg(F.sum("n").alias("n")).toArrow()
     held, total = np.zeros(1 << bits, dtype=np.float32), np.zeros(GROUPS * CLASSES)
-    for into, by in ((held, "place"), (total, "code")):
-        got = summed(by)
+    for into, by, of in ((held, "place", F.avg), (total, "code", F.sum)):
+        got = dealt.groupBy(by).agg(of("n").alias("n")).toArrow()
         into[got.column(by).to_numpy()] = got.column("n").to_numpy()
     mass = np.zeros(KNOWN + GROUPS * CLASSES)
     mass[: len(top)] = [r.n for r in top]
