@@ -41,14 +41,14 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table, written
 
 #: First digits: of words of their own, of words with two digits, of words with three; digits in all.
-OWN, BANDS, WIDE, CLASSES = 44, 12, 8, 64
+OWN, BANDS, WIDE, CLASSES = 8, 8, 16, 32
 KNOWN, GROUPS = OWN + BANDS * CLASSES, WIDE * CLASSES
 #: Codes that a neighbour is seen as: a known word or the first two digits; the last is beyond the text's end.
 INPUTS = KNOWN + GROUPS + 1
 #: Bits of the table of counts.
 LEAST_BITS, MOST_BITS = 16, 22
-SIDE, HIDDEN = 2, 32
-ROUNDS, STRIDE, BATCH, RATE, SHARD = 2, 2, 1024, 0.2, 2_000_000
+SIDE, HIDDEN = 2, 24
+ROUNDS, STRIDE, BATCH, RATE, SHARD = 2, 2, 2048, 0.2, 2_000_000
 #: Distinct words that a task counts before it hands them on and that it remembers the codes of; words scored together, and
 #: words that training takes in random order.
 HELD, REMEMBERED, AT_ONCE, MIXED = 300_000, 1_000_000, 1 << 15, 1 << 18
@@ -72,7 +72,7 @@ def spread(word: bytes) -> int:
 
 def wide_code(word: bytes) -> int:
     """The code of a word that isn't known: by its last two bytes, its last three, and its hash."""
-    return KNOWN + (zlib.crc32(word[-2:]) % WIDE << 12 | zlib.crc32(word[-3:]) % CLASSES << 6 | spread(word) >> 58)
+    return KNOWN + (zlib.crc32(word[-2:]) % WIDE * CLASSES + zlib.crc32(word[-3:]) % CLASSES) * CLASSES + (spread(word) >> 40) % CLASSES
 
 
 def place(word: bytes, code: int, bits: int) -> int:
@@ -85,9 +85,9 @@ def digits(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     """First, second and third digit, and the group (the first two digits) of codes with three; -1 where there is none."""
     code = code.astype(np.int32)
     rest = code - KNOWN
-    first = np.where(code < OWN, code, np.where(rest < 0, OWN + (code - OWN) // CLASSES, OWN + BANDS + (rest >> 12)))
-    second = np.where(code < OWN, -1, np.where(rest < 0, (code - OWN) % CLASSES, rest >> 6 & 63))
-    return first, second, np.where(rest < 0, -1, rest & 63), np.where(rest < 0, -1, rest >> 6)
+    first = np.where(code < OWN, code, np.where(rest < 0, OWN + (code - OWN) // CLASSES, OWN + BANDS + rest // (CLASSES * CLASSES)))
+    second = np.where(code < OWN, -1, np.where(rest < 0, (code - OWN) % CLASSES, rest // CLASSES % CLASSES))
+    return first, second, np.where(rest < 0, -1, rest % CLASSES), np.where(rest < 0, -1, rest // CLASSES)
 
 
 @dataclass
@@ -102,8 +102,7 @@ class Vocabulary:
 
     def __post_init__(self):
         self.bits = int(len(self.table)).bit_length() - 1
-        self.seen: dict[bytes, int] = {}
-        self.code, self.share = np.zeros(0, dtype=np.uint16), np.zeros(0)
+        self.seen = Seen(self)
 
     def __getstate__(self):
         return self.known, self.table, self.total, self.mass
@@ -123,18 +122,26 @@ class Vocabulary:
 
     def encode(self, text: str | None) -> tuple[bytes, float]:
         found = words(text)
-        new = {w for w in found if w not in self.seen}
-        if new:
-            if len(self.seen) + len(new) > REMEMBERED:
-                self.seen, new = {}, set(found)
-                self.code, self.share = self.code[:0], self.share[:0]
-            listed = sorted(new)
-            pairs = [self.code_of(w) for w in listed]
-            self.seen.update(zip(listed, range(len(self.code), len(self.code) + len(listed)), strict=True))
-            self.code = np.concatenate([self.code, np.array([p[0] for p in pairs], dtype=np.uint16)])
-            self.share = np.concatenate([self.share, np.array([p[1] for p in pairs])])
+        if len(self.seen) > REMEMBERED:
+            self.seen = Seen(self)
         at = np.fromiter(map(self.seen.__getitem__, found), dtype=np.int64, count=len(found))
-        return self.code[at].tobytes(), float(self.share[at].sum())
+        return self.seen.code[at].tobytes(), float(self.seen.share[at].sum())
+
+
+class Seen(dict):
+    """Words that a task has met, by number; ``code`` and ``share`` by that number."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.of, self.code, self.share = vocabulary, np.zeros(1 << 12, dtype=np.uint16), np.zeros(1 << 12)
+
+    def __missing__(self, word: bytes) -> int:
+        n = len(self)
+        if n == len(self.code):
+            self.code, self.share = np.resize(self.code, 2 * n), np.resize(self.share, 2 * n)
+        self.code[n], self.share[n] = self.of.code_of(word)
+        self[word] = n
+        return n
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -205,11 +212,6 @@ def views(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-
 def summed_by(group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The groups that occur and the sum of each one's rows."""
     order = np.argsort(group, kind="stable")
@@ -260,7 +262,10 @@ class Network:
     def log_probs(self, near: np.ndarray, code: np.ndarray) -> np.ndarray:
         h, out = self.hidden(near), np.zeros(len(code))
         for k, some, gated, gate, digit in self.levels(h, code):
-            out[some] += log_softmax(self.logits(k, gated, gate))[np.arange(len(digit)), digit]
+            z = self.logits(k, gated, gate)
+            z -= z.max(axis=1, keepdims=True)
+            own = z[np.arange(len(digit)), digit]
+            out[some] += own - np.log(np.exp(z, out=z).sum(axis=1))
         return out
 
     def step(self, near: np.ndarray, code: np.ndarray, seen: np.ndarray) -> None:
@@ -274,9 +279,11 @@ class Network:
         h = self.hidden(near)
         back, todo = np.zeros_like(h), []
         for k, some, gated, gate, digit in self.levels(h, code):
-            p = np.exp(log_softmax(self.logits(k, gated, gate)))
-            p[np.arange(len(digit)), digit] -= 1
-            p /= n
+            p = self.logits(k, gated, gate)
+            p -= p.max(axis=1, keepdims=True)
+            np.exp(p, out=p)
+            p *= 1 / (n * p.sum(axis=1, keepdims=True))
+            p[np.arange(len(digit)), digit] -= 1 / n
             d = p @ self.w[f"out{k}"].T
             todo.append((f"out{k}", gated.T @ p, slice(None)))
             if gate is None:
@@ -303,7 +310,7 @@ def windows(texts: list[bytes], at_once: int, turn: int | None = None) -> Iterat
     which = np.repeat(np.arange(len(texts), dtype=np.int32), n)
     flat = np.full(len(code) + SIDE * (len(texts) + 1), INPUTS - 1, dtype=np.int16)
     wide = code.astype(np.int32) - KNOWN
-    flat[np.arange(len(code)) + SIDE * (1 + which)] = np.where(wide < 0, code, KNOWN + (wide >> 6))
+    flat[np.arange(len(code)) + SIDE * (1 + which)] = np.where(wide < 0, code, KNOWN + wide // CLASSES)
     picked = None if turn is None else np.random.default_rng(turn).permutation(np.arange(turn * STRIDE // ROUNDS % STRIDE, len(code), STRIDE))
     for lo in range(0, len(code) if picked is None else len(picked), at_once):
         part = np.arange(lo, min(len(code), lo + at_once)) if picked is None else picked[lo : lo + at_once]
@@ -386,7 +393,7 @@ def scored(coded: DataFrame, weights: np.ndarray) -> DataFrame:
             sums = np.asarray(batch.column("inner").to_numpy(zero_copy_only=False), dtype=np.float64).copy()
             n = np.zeros(len(sums), dtype=np.int64)
             for first, texts in pieces(batch.column("codes")):
-                for near, code, which in windows(texts, 8192):
+                for near, code, which in windows(texts, BATCH):
                     sums[first : first + len(texts)] += np.bincount(which, weights=net.log_probs(near, code), minlength=len(texts))
                 n[first : first + len(texts)] = [len(t) // 2 for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(sums), pa.array(sums / np.maximum(n, 1))], names=["doc_id", "n_words", "log_prob", "score"])

@@ -21,19 +21,19 @@ def brute(vocab, net, text):
         h = x["bias"].astype(float).copy()
         for k, o in enumerate(p.OFFSETS):
             at = code[i + o] if 0 <= i + o < len(code) else None
-            h += x["inputs"][p.INPUTS - 1 if at is None else at if at < p.KNOWN else p.KNOWN + (at - p.KNOWN) // 64] * x["at"][k]
+            h += x["inputs"][p.INPUTS - 1 if at is None else at if at < p.KNOWN else p.KNOWN + (at - p.KNOWN) // p.CLASSES] * x["at"][k]
         h, c = np.tanh(h), code[i]
         if c < p.OWN:
             first, second, third = c, None, None
         elif c < p.KNOWN:
-            first, second, third = p.OWN + (c - p.OWN) // 64, (c - p.OWN) % 64, None
+            first, second, third = p.OWN + (c - p.OWN) // p.CLASSES, (c - p.OWN) % p.CLASSES, None
         else:
-            first, second, third = p.OWN + p.BANDS + (c - p.KNOWN) // 4096, (c - p.KNOWN) // 64 % 64, (c - p.KNOWN) % 64
+            first, second, third = p.OWN + p.BANDS + (c - p.KNOWN) // p.CLASSES**2, (c - p.KNOWN) // p.CLASSES % p.CLASSES, (c - p.KNOWN) % p.CLASSES
         total += math.log(softmax(h @ x["out1"] + x["prior1"])[first])
         if second is not None:
             total += math.log(softmax((h * x["gate2"][first - p.OWN]) @ x["out2"] + x["prior2"][first - p.OWN])[second])
         if third is not None:
-            g = (c - p.KNOWN) // 64
+            g = (c - p.KNOWN) // p.CLASSES
             total += math.log(softmax((h * x["gate3"][g]) @ x["out3"] + x["prior3"][g])[third])
         total += vocab.code_of(v)[1]
     return total
@@ -130,9 +130,9 @@ def test_empty(spark, tmp_path):
 
 
 def test_every_word_is_a_target_once(spark):
-    coded = spark.createDataFrame([(1, bytearray(np.arange(16, dtype=np.uint16).tobytes()), 0.0)], "doc_id long, codes binary, inner double")
+    coded = spark.createDataFrame([(1, bytearray(np.arange(p.OWN, dtype=np.uint16).tobytes()), 0.0)], "doc_id long, codes binary, inner double")
     # from weights of zero a step raises the priors of its targets alone
     raised = Counter()
     for turn in range(p.ROUNDS):
         raised.update(np.flatnonzero(p.Network(p.trained(coded, np.zeros(p.SIZE, dtype=np.float32), turn, 1)).w["prior1"] > 0).tolist())
-    assert raised == Counter(range(16))
+    assert raised == Counter(range(p.OWN))
