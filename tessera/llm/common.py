@@ -29,7 +29,17 @@ def written(df: DataFrame, *sort: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again: cuts the lineage and survives lost executors."""
     path = scratch_dir(df.sparkSession)
     (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of ``written`` tables of which all that was asked has been written."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small, table, written
+from tessera.llm.common import forget, small, table, written
 from tessera.llm.simhash import _whole_groups
 
 #: Bytes of a repeated string that is removed, of one that is told, and of the substrings that anchor it.
@@ -263,13 +263,13 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(anchor, context, rep, bytes) cut from the texts of ``rows``; ``wanted``: anchor, context, rep."""
-    by = wanted.groupBy(F.col("rep.doc_id").alias("_id"), F.col("rep.key").alias("_key")).agg(F.collect_list(F.struct("anchor", "context", "rep")).alias("cuts"))
+    """(anchor, context, rep, size, bytes) cut from the texts of ``rows``; ``wanted``: anchor, context, rep, size."""
+    by = wanted.groupBy(F.col("rep.doc_id").alias("_id"), F.col("rep.key").alias("_key")).agg(F.collect_list(F.struct("anchor", "context", "rep", "size")).alias("cuts"))
     one = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
     both = rows.join(by.hint("shuffle_hash"), one).select(F.col("raw"), F.explode("cuts").alias("x"))
     cut = F.substring("raw", (F.col("x.rep.first") + 1).cast("int"), F.col("x.rep.n") + LENGTH - 1)
     # equal rows cut the same contexts
-    return both.select("x.anchor", "x.context", "x.rep", cut.alias("bytes")).dropDuplicates(["anchor", "context"])
+    return both.select("x.anchor", "x.context", "x.rep", "x.size", cut.alias("bytes")).dropDuplicates(["anchor", "context"])
 
 
 def _some_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -393,8 +393,8 @@ def found_in(each: DataFrame, kinds: DataFrame, partial: DataFrame, own: Column,
     return hit.withColumn("x", F.explode(F.when(again, whole).otherwise(F.col("parts"))))
 
 
-def refined(cut: DataFrame, keep_first: bool, most: int, reach: int) -> DataFrame:
-    """As ``within_anchor`` with one length, for anchors with very many contexts."""
+def refined(cut: DataFrame, keep_first: bool, most: int, reach: int) -> tuple[DataFrame, DataFrame]:
+    """As ``within_anchor`` with one length, for anchors with very many contexts; and the table that it reads."""
     each = written(pieces(cut, reach))
     kinds = each.groupBy("anchor", "context").agg(F.count("*").alias("count"), F.min("rep").alias("rep"))
     often = written(kinds.groupBy(F.col("anchor").alias("_b")).agg(F.count("*").alias("size")))
@@ -405,7 +405,7 @@ def refined(cut: DataFrame, keep_first: bool, most: int, reach: int) -> DataFram
     partial = within_anchor(reps.where(F.col("size") <= most), keep_first, (reach,)).unionByName(by_string(reps.where(F.col("size") > most), keep_first, reach))
     whole = F.array(run(F.col("rep.n") - 1, reach))
     hit = found_in(each.drop("bytes"), kinds.drop("size"), partial, F.struct("rep.doc_id", "rep.key", "rep.first"), whole, keep_first)
-    return hit.select(F.col("of_anchor").alias("anchor"), F.col("of_context").alias("context"), (F.col("at") + F.col("x.lo")).alias("lo"), (F.col("at") + F.col("x.hi")).alias("hi"), "x.reach")
+    return hit.select(F.col("of_anchor").alias("anchor"), F.col("of_context").alias("context"), (F.col("at") + F.col("x.lo")).alias("lo"), (F.col("at") + F.col("x.hi")).alias("hi"), "x.reach"), each
 
 
 def removals(rows: DataFrame, keep_first: bool = False, most: int = MOST) -> DataFrame:
@@ -415,20 +415,23 @@ def removals(rows: DataFrame, keep_first: bool = False, most: int = MOST) -> Dat
     often = found.where("anchor is not null").groupBy(F.col("anchor").alias("_a")).agg(F.count("*").alias("_n"), (F.min("context") != F.max("context")).alias("several")).where("_n > 1")
     # joins are between written tables, so that Spark may split the rows of an anchor that is very common
     near = written(found.join(small(written(often.drop("_n"))), F.col("anchor") == F.col("_a")).drop("_a"))
+    own = written(found.where("anchor is null").select("doc_id", "key", (F.col("first") + (F.col("short") if keep_first else 0)).alias("start"), (F.col("first") + F.col("n")).alias("end"), F.explode(F.array(F.lit(LEAST), F.lit(LENGTH))).alias("reach")))
+    forget(found)
     kinds = near.groupBy("anchor", "context", "several").agg(F.count("*").alias("count"), F.min(F.struct("doc_id", "key", "first", "n", "short")).alias("rep"))
     kinds = written(kinds.where("several or count > 1"))
     sizes = written(kinds.where("several").groupBy(F.col("anchor").alias("_a")).agg(F.count("*").alias("size")))
-    cut = contexts(rows, kinds.where("several").select("anchor", "context", "rep"))
-    cut = written(cut.join(small(sizes), F.col("anchor") == F.col("_a")).drop("_a"))
+    cut = written(contexts(rows, kinds.where("several").join(small(sizes), F.col("anchor") == F.col("_a")).select("anchor", "context", "rep", "size")))
     partial = within_anchor(cut.where(F.col("size") <= most), keep_first)
-    large = cut.where(F.col("size") > most)
+    large, used = cut.where(F.col("size") > most), []
     if not large.isEmpty():
         for reach in (LEAST, LENGTH):
-            partial = partial.unionByName(refined(large, keep_first, most, reach))
+            more, each = refined(large, keep_first, most, reach)
+            partial = partial.unionByName(more)
+            used.append(each)
     whole = F.array_compact(F.array(run(F.col("n") - 1, LEAST), F.when(F.col("n") > F.col("short"), run(F.col("n") - 1 - F.col("short"), LENGTH))))
-    hit = found_in(near.drop("several"), kinds.drop("several"), partial, F.struct("doc_id", "key", "first"), whole, keep_first)
+    hit = found_in(near.drop("several"), kinds.drop("several"), written(partial), F.struct("doc_id", "key", "first"), whole, keep_first)
+    forget(cut, *used)
     spans = hit.select("doc_id", "key", (F.col("first") + F.col("x.lo")).alias("start"), (F.col("first") + F.col("x.hi") + F.col("x.reach")).alias("end"), "x.reach")
-    own = found.where("anchor is null").select("doc_id", "key", (F.col("first") + (F.col("short") if keep_first else 0)).alias("start"), (F.col("first") + F.col("n")).alias("end"), F.explode(F.array(F.lit(LEAST), F.lit(LENGTH))).alias("reach"))
     spans = spans.unionByName(own).distinct()
     listed = lambda least, name: F.sort_array(F.collect_list(F.when(F.col("reach") == least, F.struct("start", "end")))).alias(name)
     return spans.groupBy("doc_id", "key").agg(listed(LENGTH, "spans"), listed(LEAST, "passages"))
