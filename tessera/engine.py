@@ -11,7 +11,7 @@ from tessera import rules as known
 from tessera.config import Config
 from tessera.operators import code_rules as code
 from tessera.operators import findings as fi
-from tessera.operators.graph import saved
+from tessera.common import saved
 from tessera.parse import nodes as trees
 from tessera.sources import files as src
 
@@ -73,9 +73,9 @@ def check(files: DataFrame, config: Config | None = None, baseline: DataFrame |
     files = files.where(src.not_excluded(F.col("path"), [*src.DEFAULT_EXCLUDES, *config.exclude]))
     table = saved(severities(spark, config))
     raw, failed = raw_findings(files, config)
-    lines = src.lines(files)
     found = fi.stamped(raw.distinct(), table).join(files.select("file_id", "path"), "file_id")
-    found = fi.unsuppressed(fi.fingerprinted(found, lines), fi.suppressions(lines))
+    marked = src.lines(files.where(F.lower("text").contains(fi.MARKER)))
+    found = fi.unsuppressed(fi.fingerprinted(fi.anchored(found, files)), fi.suppressions(marked))
     if baseline is None:
         return Result(found, found.limit(0), fi.skipped(table), failed)
     new, old = fi.split_by_baseline(found, baseline)

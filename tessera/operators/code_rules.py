@@ -28,8 +28,8 @@ ENTRY_ATTRIBUTES = "HttpGet HttpPost HttpPut HttpDelete HttpPatch HttpHead HttpO
 LIFETIMES = {"AddSingleton": 3, "AddScoped": 2, "AddTransient": 1}
 EXEMPT_ENDINGS = "(Pattern|Template|Format|Scheme)$"
 
-#: Quantified group that holds a quantified atom, outside classes and escapes; one level.
-NESTED_QUANTIFIER = r"\((?:[^()\[\]\\]|\\.|\[(?:[^\]\\]|\\.)*\])*(?:[^()\[\]\\|]|\\.|\[(?:[^\]\\]|\\.)*\])(?:[*+]|\{[0-9]+,[0-9]*\})(?:[^()\[\]\\]|\\.|\[(?:[^\]\\]|\\.)*\])*\)(?:[*+]|\{[0-9]+,[0-9]*\})"
+#: A quantified group that holds a quantified atom, one level deep, once escapes and character classes are single letters.
+NESTED_QUANTIFIER = r"\([^()]*[^()|?](?:[*+]|\{[0-9]+,[0-9]*\})[^()]*\)(?:[*+]|\{[0-9]+,[0-9]*\})"
 
 
 def c(name: str) -> Column:
@@ -173,7 +173,8 @@ def weak_random(nodes: DataFrame) -> DataFrame:
 
 def nested_quantifiers(nodes: DataFrame) -> DataFrame:
     calls = nodes.where(((c("kind") == "Invocation") & c("name").isin(*REGEX_CALLS) & (last_name(c("receiver")) == "Regex")) | ((c("kind") == "New") & (simple(c("type")) == "Regex")))
-    text = nodes.where((c("kind") == "String") & (c("role") == "argument") & c("value").rlike(NESTED_QUANTIFIER))
+    bare = F.regexp_replace(F.regexp_replace(c("value"), r"\\.", "x"), r"\[\^?\]?[^\]]*\]", "x")
+    text = nodes.where((c("kind") == "String") & (c("role") == "argument") & bare.rlike(NESTED_QUANTIFIER))
     return found(text.join(of(calls, "k", "node"), (c("file_id") == c("k_file")) & (c("parent") == c("k_node")), "left_semi"), "AR0053", "expression may backtrack without bound")
 
 
@@ -336,7 +337,7 @@ def unknown_columns(literals: DataFrame, items: DataFrame, tables: DataFrame) ->
     """AR0080: columns of single-table statements in code that the catalog's table doesn't have."""
     one = items.where("(kind = 'Select' and n_tables = 1) or kind = 'Insert' or (kind = 'Update' and n_tables = 0)").where(c("name").isNotNull())
     name = F.concat_ws(".", F.lower(F.coalesce("schema", F.lit("dbo"))), F.lower("name"))
-    each = one.select(F.col("file_id").alias("_i"), name.alias("table"), F.explode(F.array_distinct("columns")).alias("column")).join(F.broadcast(tables), "table").where(~F.array_contains("known", F.lower("column")))
+    each = one.select(F.col("file_id").alias("_i"), name.alias("table"), F.explode(F.array_distinct("columns")).alias("column")).join(tables, "table").where(~F.array_contains("known", F.lower("column")))
     return found(literals.join(each, c("sql_id") == c("_i")), "AR0080", F.concat(F.lit("'"), c("table"), F.lit("' has no column '"), c("column"), F.lit("'"))).distinct()
 
 

@@ -48,18 +48,31 @@ def skipped(rules: DataFrame) -> DataFrame:
 
 def stamped(findings: DataFrame, rules: DataFrame) -> DataFrame:
     """Findings of known rules that are on, with their severity and category."""
-    return findings.drop("severity", "category").join(F.broadcast(rules.where("severity <> 'off'").select("rule_id", "severity", "category")), "rule_id")
+    return findings.drop("severity", "category").join(rules.where("severity <> 'off'").select("rule_id", "severity", "category"), "rule_id")
 
 
 def report_order() -> list[Column]:
     return [F.upper("path"), F.col("path"), F.col("line"), F.col("rule_id"), F.col("message")]
 
 
-def fingerprinted(findings: DataFrame, lines: DataFrame) -> DataFrame:
-    """Findings with ``anchor`` (the trimmed line), ``ordinal`` among equal ones, and a ``fingerprint`` that line shifts don't change."""
-    text = lines.select(F.col("file_id").alias("_f"), F.col("line").alias("_l"), F.trim(F.col("text"), F.lit(" \t\r")).alias("anchor"))
-    out = findings.join(text, (F.col("file_id") == F.col("_f")) & (F.col("line") == F.col("_l")), "left").drop("_f", "_l")
-    out = out.withColumn("anchor", F.coalesce("anchor", F.lit("")))
+def trimmed(line: Column) -> Column:
+    return F.trim(line, F.lit(" \t\r"))
+
+
+def anchored(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """Findings with ``anchor``, their trimmed line. ``files``: file_id, text.
+
+    Only files with findings are cut into lines, and only the lines asked for leave the row.
+    """
+    asked = findings.groupBy(F.col("file_id").alias("_f")).agg(F.collect_set("line").alias("_at"))
+    parts = F.transform(F.array(F.split("text", "\n", -1)), lambda p: F.transform("_at", lambda i: F.struct(i.alias("_l"), trimmed(F.get(p, i)).alias("anchor"))))
+    each = files.join(asked, F.col("file_id") == F.col("_f")).select("_f", F.explode(F.flatten(parts)).alias("x")).select("_f", "x.*")
+    return findings.join(each, (F.col("file_id") == F.col("_f")) & (F.col("line") == F.col("_l")), "left").drop("_f", "_l")
+
+
+def fingerprinted(findings: DataFrame) -> DataFrame:
+    """Findings (with ``anchor``) with ``ordinal`` among equal ones, and a ``fingerprint`` that line shifts don't change."""
+    out = findings.withColumn("anchor", F.coalesce("anchor", F.lit("")))
     alike = Window.partitionBy("rule_id", "path", "message", "anchor").orderBy("line", "file_id")
     out = out.withColumn("ordinal", F.row_number().over(alike) - 1)
     payload = F.concat_ws("\n", "rule_id", "path", "message", "anchor", F.col("ordinal").cast("string"))
@@ -79,17 +92,13 @@ def suppressions(lines: DataFrame, marker: str = MARKER) -> DataFrame:
 
 
 def unsuppressed(findings: DataFrame, index: DataFrame) -> DataFrame:
-    """Findings that no marker covers: four anti-joins on equal keys."""
-    out = findings
-    for by_line in (False, True):
-        for by_rule in (False, True):
-            part = index.where(F.col("line").isNotNull() if by_line else F.col("line").isNull()).where(F.col("rule_id").isNotNull() if by_rule else F.col("rule_id").isNull())
-            part = part.select(F.col("file_id").alias("_f"), F.col("line").alias("_l"), F.col("rule_id").alias("_r"))
-            on = F.col("file_id") == F.col("_f")
-            on = on & (F.col("line") == F.col("_l")) if by_line else on
-            on = on & (F.upper("rule_id") == F.col("_r")) if by_rule else on
-            out = out.join(part, on, "left_anti")
-    return out
+    """Findings that no marker covers: markers become a row for each file and one for each line, joined once each."""
+    said = (F.max(F.col("rule_id").isNull()).alias("_all"), F.collect_set("rule_id").alias("_ids"))
+    hidden = F.coalesce(F.col("_all") | F.array_contains("_ids", F.upper("rule_id")), F.lit(False))
+    whole = index.where("line is null").groupBy(F.col("file_id").alias("_f")).agg(*said)
+    out = findings.join(whole, F.col("file_id") == F.col("_f"), "left").where(~hidden).drop("_f", "_all", "_ids")
+    lines = index.where("line is not null").groupBy(F.col("file_id").alias("_f"), F.col("line").alias("_l")).agg(*said)
+    return out.join(lines, (F.col("file_id") == F.col("_f")) & (F.col("line") == F.col("_l")), "left").where(~hidden).drop("_f", "_l", "_all", "_ids")
 
 
 def split_by_baseline(findings: DataFrame, baseline: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -106,10 +115,10 @@ def at_least(findings: DataFrame, least: str) -> DataFrame:
 def suggestions(unknown: DataFrame, known: DataFrame, most: int = 2) -> DataFrame:
     """(word, suggestion, distance): the nearest known word within ``most`` edits, the first in the alphabet on ties.
 
-    Both are vocabularies of settings, not data; candidates share a length class, which bounds the pairs.
+    Candidates share a length class; Spark picks the join's strategy.
     """
     near = unknown.select("word", F.explode(F.sequence(F.greatest(F.length("word") - most, F.lit(0)), F.length("word") + most)).alias("n"))
     names = known.select(F.col("word").alias("suggestion"), F.length("word").alias("n"))
-    pairs = near.join(F.broadcast(names), "n").withColumn("distance", F.levenshtein(F.lower("word"), F.lower("suggestion"), most)).where("distance >= 0")
+    pairs = near.join(names, "n").withColumn("distance", F.levenshtein(F.lower("word"), F.lower("suggestion"), most)).where("distance >= 0")
     best = F.min(F.struct("distance", F.lower("suggestion").alias("low"), "suggestion")).alias("b")
     return pairs.groupBy("word").agg(best).select("word", "b.suggestion", F.col("b.distance").cast("long").alias("distance"))

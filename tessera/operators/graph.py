@@ -6,19 +6,10 @@ checkpointed, so that plans stay short and a lost executor costs one step.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def saved(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder of ``spark.checkpoint.dir``; one is made only where the setting is missing."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint()
+from tessera.common import saved
 
 
 def fan_in(edges: DataFrame) -> DataFrame:
@@ -83,21 +74,49 @@ def trace(root: str, edges: DataFrame, declarations: DataFrame, depth: int = 6,
     return first
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) without those at nodes that nothing enters or nothing leaves, again and again."""
+    n = edges.count()
+    while n:
+        left = edges.select(F.col("a").alias("_a")).distinct()
+        entered = edges.select(F.col("b").alias("_b")).distinct()
+        edges = saved(edges.join(left, F.col("b") == F.col("_a"), "left_semi").join(entered, F.col("a") == F.col("_b"), "left_semi"))
+        now = edges.count()
+        if now == n:
+            break
+        n = now
+    return edges
+
+
 def cycles(edges: DataFrame) -> DataFrame:
     """(node, component, size): nodes on cycles of two or more, by the smallest node of their component.
 
-    The closure is for graphs of projects, which are small; its rounds double the length of the paths.
+    Nodes that can't be on a cycle are trimmed. Then each node takes the smallest node that reaches it as its colour; those
+    that reach that node inside the colour are its component. The rest goes round again. A row is a node or an edge: no
+    closure is made.
     """
-    paths = saved(edges.where("callee <> caller").select(F.col("caller").alias("a"), F.col("callee").alias("b")).distinct())
-    n = paths.count()
-    while n:
-        longer = paths.alias("x").join(paths.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"))
-        paths = saved(paths.unionByName(longer).distinct())
-        m = paths.count()
-        if m == n:
-            break
-        n = m
-    back = paths.select(F.col("a").alias("b"), F.col("b").alias("a"))
-    both = paths.join(back, ["a", "b"]).where("a <> b")
-    comp = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
-    return comp.withColumn("size", F.count("*").over(Window.partitionBy("component")))
+    now = _trimmed(saved(edges.where("callee <> caller").select(F.col("caller").alias("a"), F.col("callee").alias("b")).distinct()))
+    out = None
+    while not now.isEmpty():
+        colour = saved(now.select(F.col("a").alias("node")).union(now.select("b")).distinct().withColumn("colour", F.col("node")))
+        changed = True
+        while changed:
+            near = now.join(colour, F.col("a") == F.col("node")).groupBy(F.col("b").alias("_b")).agg(F.min("colour").alias("_c"))
+            after = saved(colour.join(near, F.col("node") == F.col("_b"), "left").select("node", F.least("colour", "_c").alias("colour"), (F.col("_c") < F.col("colour")).alias("moved")))
+            changed = not after.where("moved").isEmpty()
+            colour = after.select("node", "colour")
+        inside = now.join(colour.withColumnsRenamed({"node": "_n", "colour": "ca"}), F.col("a") == F.col("_n")).join(colour.withColumnsRenamed({"node": "_m", "colour": "cb"}), F.col("b") == F.col("_m")).where("ca = cb")
+        inside = saved(inside.select("a", "b"))
+        ahead = met = saved(colour.where("node = colour"))
+        while not ahead.isEmpty():
+            back = inside.join(ahead, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "colour").distinct()
+            ahead = saved(back.join(met.select("node"), "node", "left_anti"))
+            met = saved(met.unionByName(ahead))
+        out = met if out is None else out.unionByName(met)
+        rest = now.join(met.select(F.col("node").alias("_n")), F.col("a") == F.col("_n"), "left_anti").join(met.select(F.col("node").alias("_n")), F.col("b") == F.col("_n"), "left_anti")
+        now = _trimmed(saved(rest))
+    if out is None:
+        out = now.select(F.col("a").alias("node"), F.col("a").alias("colour"))
+    # a component's rows are counted before they meet their nodes, and one may be as large as the graph
+    size = out.groupBy("colour").agg(F.count("*").alias("size")).where("size > 1")
+    return out.join(size, "colour").select("node", F.col("colour").alias("component"), "size")

@@ -6,6 +6,8 @@ rule would look up in a parent, a receiver or an operand stands beside the node,
 
 from __future__ import annotations
 
+import contextlib
+import sys
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -117,6 +119,30 @@ def complexity(method: csharp.Node) -> dict[int, tuple[int, int]]:
     return out
 
 
+@contextlib.contextmanager
+def deep(frames: int = 200_000):
+    """Room for trees as deep as long chains make them. Frames of Python functions lie on the heap."""
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, frames))
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(before)
+
+
+def guarded(make, error):
+    """``make`` for one file after the other: what goes wrong in a file becomes a row of it, and the others go on."""
+
+    def rows_of(file_id: int, text: str) -> list[tuple]:
+        try:
+            with deep():
+                return list(make(file_id, text))
+        except (RecursionError, MemoryError, ValueError, IndexError, AttributeError, TypeError) as e:
+            return [error(file_id, f"{type(e).__name__}: {e}")]
+
+    return rows_of
+
+
 def rows(file_id: int, text: str) -> Iterator[tuple]:
     """Rows of the schema ``NODES`` for a C# text."""
     root = csharp.parse(text)
@@ -129,7 +155,8 @@ def rows(file_id: int, text: str) -> Iterator[tuple]:
         line = bisect_right(starts, offset) - 1
         return line, offset - starts[line]
 
-    shown = lambda n: text[n.start : n.end] if n.end - n.start <= SHOWN else None
+    # of long texts the end is kept: rules ask for last names and empty argument lists
+    shown = lambda n: text[n.start : n.end] if n.end - n.start <= SHOWN else "…" + text[n.end - SHOWN : n.end]
     order: list[list] = []
     # (node, parent row, context): method, block, member, type, async, loop, const, attribute, catch, weights
     stack = [(root, None, (None, None, None, None, False, False, False, False, None, {}))]
@@ -213,9 +240,13 @@ def _table(files: DataFrame, make, schema: str) -> DataFrame:
 
 
 def csharp_nodes(files: DataFrame) -> DataFrame:
-    """Nodes of the C# files (file_id, text). Write the result once: every rule reads it."""
-    return _table(files, rows, NODES)
+    """Nodes of the C# files (file_id, text). Write the result once: every rule reads it.
+
+    A file that the parser gives up on has one row of kind ``Failed`` with the reason as its value.
+    """
+    width = len(NODES.split(","))
+    return _table(files, guarded(rows, lambda i, why: (i, 0, None, 0, None, "Failed", None, None, None, why, *[None] * (width - 10))), NODES)
 
 
 def sql_items(files: DataFrame) -> DataFrame:
-    return _table(files, sql_rows, SQL_ITEMS)
+    return _table(files, guarded(sql_rows, lambda i, why: (i, 0, "Error", None, None, None, 0, False, 0, [], 0, 0, 0, 1, why)), SQL_ITEMS)

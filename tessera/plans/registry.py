@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import findings as fi
 from tessera.operators import graph, insights
+from tessera.plans import code_cases
 from tessera.plans import tables as t
 from tessera.sources import files as src
 
@@ -36,11 +37,6 @@ def long(*names: str):
 # --- sources
 
 
-@query("src_language_counts", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")
-def language_counts(spark, d):
-    return t.document_files(spark, d).groupBy("lang").agg(F.count("*").alias("n"))
-
-
 EXCLUDED = ["**/fr/**", "*.net/**", "m.*/*/?2*"]
 
 
@@ -95,79 +91,9 @@ DUPLICATES = t.LINES + """, dup AS (SELECT * FROM (SELECT *, count(*) OVER (PART
   FROM lines WHERE length(text) >= 10) WHERE n >= 3 AND nth > 1)"""
 
 
-@query("rule_duplicate_literal", f"WITH {DUPLICATES} SELECT file_id, line, n, nth FROM dup")
-def duplicate_literal(spark, d):
-    return duplicate_literals(src.lines(t.document_files(spark, d))).select("file_id", *long("line", "n", "nth"))
-
-
 CREDENTIAL = r"(?:password|passwd|secret|token|credential|api_?key)[A-Za-z0-9_]*\s*[:=]\s*[^\s]"
 
 
-@query("rule_credential_line", f"WITH {t.LINES} SELECT file_id, line FROM lines WHERE regexp_matches(lower(text), '{CREDENTIAL}')")
-def credential_line(spark, d):
-    return src.lines(t.document_files(spark, d)).where(F.lower("text").rlike(CREDENTIAL)).select("file_id", *long("line"))
-
-
-IPV4 = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
-
-
-@query(
-    "rule_endpoint_ipv4",
-    f"WITH {t.LINES}, m AS (SELECT file_id, line, unnest(regexp_extract_all(text, '{IPV4}')) AS address FROM lines WHERE regexp_matches(text, '{IPV4}')) "
-    "SELECT file_id, line, address FROM m WHERE list_max([CAST(x AS INT) FOR x IN string_split(address, '.')]) <= 255",
-)
-def endpoint_ipv4(spark, d):
-    found = F.explode(F.regexp_extract_all("text", F.lit(IPV4), F.lit(0))).alias("address")
-    out = src.lines(t.document_files(spark, d)).where(F.col("text").rlike(IPV4)).select("file_id", *long("line"), found)
-    return out.where(F.array_max(F.transform(F.split("address", r"\."), lambda x: x.cast("int"))) <= 255)
-
-
-URL = "https?://[A-Za-z0-9.-]+"
-
-
-@query(
-    "rule_endpoint_url",
-    f"WITH u AS (SELECT page_id, unnest(regexp_extract_all(url, '({URL})', 1)) AS endpoint FROM pages) SELECT page_id, endpoint FROM u WHERE regexp_replace(endpoint, '^https?://', '') NOT IN (SELECT host FROM (SELECT regexp_replace(unnest(regexp_extract_all(url, '({URL})', 1)), '^https?://', '') AS host FROM pages) GROUP BY host HAVING count(*) >= 5)",
-)
-def endpoint_url(spark, d):
-    """Endpoints on hosts that few pages share; common hosts are taken as well known."""
-    each = t.table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("url", F.lit(URL), F.lit(0))).alias("endpoint"))
-    each = each.withColumn("host", F.regexp_replace("endpoint", "^https?://", ""))
-    known = each.groupBy("host").agg(F.count("*").alias("n")).where("n >= 5").select("host")
-    return each.join(known, "host", "left_anti").select("page_id", "endpoint")
-
-
-REFERENCES = """refs AS (SELECT l_orderkey, l_linenumber, rc.r_name AS own, rs.r_name AS target FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-  JOIN customer ON o_custkey = c_custkey JOIN nation nc ON c_nationkey = nc.n_nationkey JOIN region rc ON nc.n_regionkey = rc.r_regionkey
-  JOIN supplier ON l_suppkey = s_suppkey JOIN nation ns ON s_nationkey = ns.n_nationkey JOIN region rs ON ns.n_regionkey = rs.r_regionkey)"""
-LAYERS = [("ASIA", "EUROPE"), ("AFRICA", "AMERICA"), ("EUROPE", "MIDDLE EAST")]
-VALUES = ", ".join(f"('{a}', '{b}')" for a, b in LAYERS)
-
-
-def references(spark, d):
-    """A line item as a reference from its customer's region (layer) to its supplier's."""
-    names = t.table(spark, d, "nation").join(F.broadcast(t.table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
-    c = t.table(spark, d, "customer").join(F.broadcast(names), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("r_name").alias("own"))
-    s = t.table(spark, d, "supplier").join(F.broadcast(names), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("r_name").alias("target"))
-    o = t.table(spark, d, "orders").select("o_orderkey", "o_custkey").join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "own")
-    li = t.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
-    return li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", *long("l_linenumber"), "own", "target")
-
-
-def layer_edges(spark):
-    return F.broadcast(spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(a).alias("own"), F.lit(b).alias("target")) for a, b in LAYERS))).alias("x")).select("x.*"))
-
-
-@query("rule_layer_violation", f"WITH {REFERENCES} SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, own, target FROM refs WHERE own <> target AND (own, target) IN (VALUES {VALUES})")
-def layer_violation(spark, d):
-    return references(spark, d).join(layer_edges(spark), ["own", "target"], "left_semi").select("l_orderkey", "l_linenumber", "own", "target")
-
-
-@query("rule_allowlist_violation", f"WITH {REFERENCES} SELECT own, target, count(*) AS n FROM refs WHERE own <> target AND (own, target) NOT IN (VALUES {VALUES}) GROUP BY own, target")
-def allowlist_violation(spark, d):
-    return references(spark, d).where("own <> target").join(layer_edges(spark), ["own", "target"], "left_anti").groupBy("own", "target").agg(F.count("*").alias("n"))
-
-
 @query(
     "rule_longest_prefix",
     f"""WITH {t.FILES}, pre AS (SELECT DISTINCT source AS prefix FROM files UNION SELECT DISTINCT concat_ws('/', source, lang) FROM files),
@@ -180,84 +106,6 @@ def longest_prefix(spark, d):
     return src.longest_prefix(f.select("file_id", "path"), "path", pre).select("file_id", "prefix")
 
 
-LIFETIMES = """reg AS (SELECT l_partkey AS service, arg_max(l_suppkey, l_orderkey * 10 + l_linenumber) AS impl,
-    arg_max(CASE l_linestatus WHEN 'O' THEN CASE WHEN l_returnflag = 'N' THEN 1 ELSE 2 END ELSE 3 END, l_orderkey * 10 + l_linenumber) AS lifetime FROM lineitem GROUP BY l_partkey)"""
-
-
-def registrations(spark, d):
-    """Parts as services: the last line item is the registration that holds; its status is the lifetime (1 short, 3 long)."""
-    life = F.when(F.col("l_linestatus") == "O", F.when(F.col("l_returnflag") == "N", 1).otherwise(2)).otherwise(3)
-    order = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    return t.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("service")).agg(F.max_by("l_suppkey", order).alias("impl"), F.max_by(life, order).alias("lifetime"))
-
-
-@query(
-    "rule_captive_dependency",
-    f"""WITH {LIFETIMES}, used AS (SELECT DISTINCT impl, service AS needs, lifetime AS need_life FROM reg)
-    SELECT a.service, u.needs, CASE WHEN a.lifetime = 3 AND need_life = 2 THEN 'L2' WHEN a.lifetime = 3 THEN 'L3' ELSE 'L4' END AS rule_id
-    FROM reg a JOIN used u ON a.impl = u.impl AND a.lifetime > u.need_life""",
-)
-def captive_dependency(spark, d):
-    """Services whose implementation also serves shorter-lived ones."""
-    reg = registrations(spark, d)
-    used = reg.select(F.col("impl").alias("_impl"), F.col("service").alias("needs"), F.col("lifetime").alias("need_life")).distinct()
-    both = reg.join(used, (F.col("impl") == F.col("_impl")) & (F.col("lifetime") > F.col("need_life")))
-    rule = F.when((F.col("lifetime") == 3) & (F.col("need_life") == 2), "L2").when(F.col("lifetime") == 3, "L3").otherwise("L4")
-    return both.select("service", "needs", rule.alias("rule_id"))
-
-
-@query("rule_unregistered", "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '^[A-Za-z]') AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity > 45)")
-def unregistered(spark, d):
-    used = t.table(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity > 45").select("l_partkey")
-    parts = t.table(spark, d, "part").where(F.col("p_name").rlike("^[A-Za-z]"))
-    return parts.join(used, F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey")
-
-
-@query(
-    "rule_unknown_key",
-    f"""WITH {t.FILES}, {t.PAGES}, big AS (SELECT lang, source FROM files WHERE length(text) > 12000), known AS (SELECT DISTINCT lang AS key FROM big UNION SELECT DISTINCT lang || ':' || source FROM big),
-    used AS (SELECT file_id, regexp_replace(regexp_extract(path, '^[^/]+/([^/]+/[0-9])', 1), '/', ':src') AS key FROM p)
-    SELECT file_id, key FROM used WHERE key <> '' AND NOT EXISTS (SELECT 1 FROM known WHERE known.key = used.key)""",
-)
-def unknown_key(spark, d):
-    known = src.with_prefixes(t.document_files(spark, d).where("length(text) > 12000").select(F.lit(1).alias("project"), F.concat_ws(":", "lang", "source").alias("path")).distinct())
-    used = t.page_files(spark, d).select("file_id", F.regexp_replace(F.regexp_extract("path", "^[^/]+/([^/]+/[0-9])", 1), "/", ":src").alias("key")).where("key <> ''")
-    return used.join(known, "key", "left_anti").select("file_id", "key")
-
-
-@query("rule_unused_after", "SELECT o_orderkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM orders u WHERE u.o_custkey = o.o_custkey AND u.o_orderdate > o.o_orderdate)")
-def unused_after(spark, d):
-    """Orders that no later one of the same customer follows: an anti-join with a range, as a maximum."""
-    o = t.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    last = o.groupBy(F.col("o_custkey").alias("_c")).agg(F.max("o_orderdate").alias("last"))
-    return o.join(last, (F.col("o_custkey") == F.col("_c")) & (F.col("o_orderdate") == F.col("last"))).select("o_orderkey")
-
-
-PREDICATES = {
-    "P1": "l_discount = 0 AND l_tax = 0",
-    "P2": "l_quantity = 1 AND l_extendedprice > 1500",
-    "P3": "l_returnflag = 'R' AND l_linestatus = 'O'",
-    "P4": "l_shipdate IS NULL OR l_quantity > 49",
-}
-
-
-@query("rule_simple_filters", " UNION ALL ".join(f"SELECT '{k}' AS rule_id, l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber FROM lineitem WHERE {p}" for k, p in PREDICATES.items()))
-def simple_filters(spark, d):
-    """Several predicates in one scan: each row carries the ids it meets."""
-    li = t.table(spark, d, "lineitem")
-    met = F.array_compact(F.array(*(F.when(F.expr(p), F.lit(k)) for k, p in PREDICATES.items())))
-    return li.select(F.explode(met).alias("rule_id"), "l_orderkey", *long("l_linenumber"))
-
-
-CC = {"<div[ >]": 1, "<li[ >]": 1, "<table[ >]": 2, "<a[ >]": 1, "<script[ >]": 3}
-
-
-@query("complexity_score", "SELECT page_id, CAST(" + " + ".join(f"{w} * len(regexp_extract_all(html, '{p}'))" for p, w in CC.items()) + " AS BIGINT) AS score FROM pages")
-def complexity_score(spark, d):
-    score = sum((w * F.size(F.regexp_extract_all("html", F.lit(p), F.lit(0))) for p, w in CC.items()), F.lit(0))
-    return t.table(spark, d, "pages").select("page_id", score.cast("long").alias("score"))
-
-
 # --- engine
 
 SEVERITY_SETTINGS = [("rule", "click", "off"), ("rule", "view", " WARN "), ("category", "standard", "hint"), ("session", "view", "error"), ("rule", "purchase", "loud")]
@@ -293,8 +141,9 @@ def text_findings(spark, d):
     """Duplicated lines and credential lines of the documents as raw findings."""
     f = t.document_files(spark, d)
     lines = src.lines(f)
-    dup = duplicate_literals(lines).select("file_id", "line", F.lit("DUP").alias("rule_id"), F.lit("duplicated line").alias("message"))
-    cred = lines.where(F.lower("text").rlike(CREDENTIAL)).select("file_id", "line", F.lit("CRED").alias("rule_id"), F.lit("credential in text").alias("message"))
+    anchor = fi.trimmed(F.col("text")).alias("anchor")
+    dup = duplicate_literals(lines).select("file_id", "line", F.lit("DUP").alias("rule_id"), F.lit("duplicated line").alias("message"), anchor)
+    cred = lines.where(F.lower("text").rlike(CREDENTIAL)).select("file_id", "line", F.lit("CRED").alias("rule_id"), F.lit("credential in text").alias("message"), anchor)
     return dup.unionByName(cred).join(f.select("file_id", "path"), "file_id"), lines
 
 
@@ -308,7 +157,7 @@ FINDINGS = DUPLICATES + f""", found AS (SELECT file_id, path, line, 'DUP' AS rul
 @query("engine_fingerprint", f"WITH {FINDINGS} SELECT path, rule_id, line, ordinal, fingerprint FROM fp")
 def engine_fingerprint(spark, d):
     found, lines = text_findings(spark, d)
-    return fi.fingerprinted(found, lines).select("path", "rule_id", *long("line", "ordinal"), "fingerprint")
+    return fi.fingerprinted(found).select("path", "rule_id", *long("line", "ordinal"), "fingerprint")
 
 
 MARK = "password"
@@ -327,7 +176,7 @@ def engine_suppression(spark, d):
 
 def baselined(spark, d):
     found, lines = text_findings(spark, d)
-    printed = fi.fingerprinted(found, lines)
+    printed = fi.fingerprinted(found)
     accepted = printed.where("rule_id = 'DUP' and line < 20").select(F.upper("fingerprint").alias("fingerprint"))
     return fi.split_by_baseline(printed, accepted)
 
@@ -381,13 +230,10 @@ def graph_ambiguous(spark, d):
     return graph.ambiguous(t.table(spark, d, "part").select(F.col("p_name").alias("key")))
 
 
-ROOTS = "SELECT n_nationkey FROM nation WHERE n_regionkey = 1"
-
-
 @query(
     "graph_reach",
     f"""WITH RECURSIVE {t.EDGES}, e AS (SELECT DISTINCT callee, caller FROM edges),
-    r(root, key, depth) AS (SELECT CAST(n_nationkey AS BIGINT), CAST(n_nationkey AS BIGINT), 0 FROM nation WHERE n_regionkey = 1 UNION SELECT root, caller, depth + 1 FROM r JOIN e ON key = callee WHERE depth < 3)
+    r(root, key, depth) AS (SELECT CAST(n_nationkey AS BIGINT), CAST(n_nationkey AS BIGINT), 0 FROM nation WHERE n_regionkey = 1 UNION SELECT root, caller, depth + 1 FROM r JOIN e ON key = callee WHERE depth < 6)
     SELECT root, key, CAST(min(depth) AS BIGINT) AS depth FROM r GROUP BY root, key""",
 )
 def graph_reach(spark, d):
@@ -464,22 +310,8 @@ def age_labels(spark, d):
     return debt(spark, d).select("fingerprint", insights.format_age(F.col("age_days")).alias("age"))
 
 
-# --- reports
-
-
-@query("report_files", f"WITH {FINDINGS} SELECT path, count(*) AS n, count(*) FILTER (rule_id = 'DUP') AS duplicates, CAST(min(line) + 1 AS BIGINT) AS first_line FROM found GROUP BY path")
-def report_files(spark, d):
-    found, _ = text_findings(spark, d)
-    return found.groupBy("path").agg(F.count("*").alias("n"), F.count_if(F.col("rule_id") == "DUP").alias("duplicates"), (F.min("line") + 1).cast("long").alias("first_line"))
-
+# --- rules over code made from rows
 
-@query("report_rules_tree", f"WITH {EFFECTIVE} SELECT category, count(*) AS total, count(*) FILTER (severity <> 'off') AS enabled FROM eff GROUP BY category")
-def report_rules_tree(spark, d):
-    return rules(spark, d).groupBy("category").agg(F.count("*").alias("total"), F.count_if(F.col("severity") != "off").alias("enabled"))
-
-
-@query("report_json_rows", f"WITH {FINDINGS} SELECT rule_id, message, path, line AS start_line, line + 1 AS shown_line, fingerprint FROM fp")
-def report_json_rows(spark, d):
-    found, lines = text_findings(spark, d)
-    out = fi.fingerprinted(found, lines)
-    return out.select("rule_id", "message", "path", F.col("line").cast("long").alias("start_line"), (F.col("line") + 1).cast("long").alias("shown_line"), "fingerprint")
+_queries, _oracles = code_cases.built()
+QUERIES |= _queries
+ORACLES |= _oracles

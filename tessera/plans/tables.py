@@ -39,10 +39,9 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == c.c_custkey).join(s, li.l_suppkey == s.s_suppkey).select("callee", "caller")
 
 
-#: Edges and shapes in SQL. The edges are still those of large fully discounted returns alone, unlike ``calls``.
+#: Edges and shapes in SQL.
 EDGES = """edges AS (SELECT CAST(s_nationkey AS BIGINT) AS callee, CAST(c_nationkey AS BIGINT) AS caller
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  WHERE l_returnflag = 'R' AND l_discount >= 0.1 AND l_quantity >= 49)"""
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"""
 FILES = "files AS (SELECT doc_id AS file_id, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path, lang, source, coalesce(text, '') AS text FROM documents)"
 LINES = FILES + """, lines AS (SELECT file_id, path, CAST(i - 1 AS BIGINT) AS line, parts[i] AS text
   FROM (SELECT file_id, path, string_split(text, chr(10)) AS parts, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM files))"""

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.common import saved
+
 #: What is left out of every walk, and the language of a file by its extension.
 DEFAULT_EXCLUDES = ("**/bin/**", "**/obj/**", "**/node_modules/**", "**/.git/**")
 LANGUAGES = {".cs": "csharp", ".sql": "sql"}
@@ -41,6 +43,29 @@ def not_excluded(path: Column, globs: list[str]) -> Column:
     return keep
 
 
+def single_file(files: DataFrame, path: str) -> DataFrame:
+    """A workspace of one file, whatever the case of its path."""
+    return files.where(F.lower("path") == path.replace("\\", "/").lower())
+
+
+def settings_files(files: DataFrame, projects: DataFrame, additional: tuple[str, ...] = ()) -> DataFrame:
+    """(project, file_id, path, text): ``appsettings*.json`` right in a project's folder, and the ``additional`` paths in it."""
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    mine = files.withColumn("project", directory(F.col("path"))).where(F.lower(name).rlike(r"^appsettings.*\.json$"))
+    out = mine.join(projects.select("project").distinct(), "project", "left_semi").select("project", "file_id", "path", "text")
+    if additional:
+        wanted = F.explode(F.array(*(F.lit(a.replace("\\", "/")) for a in additional)))
+        other = projects.select("project").distinct().withColumn("_path", F.concat_ws("/", F.nullif("project", F.lit("")), wanted))
+        other = other.join(files, F.lower("_path") == F.lower("path")).select("project", "file_id", "path", "text")
+        out = out.unionByName(other).dropDuplicates(["project", "path"])
+    return out
+
+
+def malformed(settings: DataFrame) -> DataFrame:
+    """Rows of ``settings`` (..., text) that aren't a JSON object or array."""
+    return settings.where(F.try_parse_json("text").isNull() | ~F.trim("text").rlike(r"^[\[{]"))
+
+
 def language(path: Column) -> Column:
     """csharp, sql or null."""
     out = F.when(F.lit(False), F.lit(""))
@@ -50,11 +75,15 @@ def language(path: Column) -> Column:
 
 
 def read_workspace(spark: SparkSession, root: str, excludes: tuple[str, ...] = ()) -> DataFrame:
-    """(file_id, path, language, text) of the sources below ``root``, by Spark's own listing."""
+    """(file_id, path, language, text) of the sources below ``root``, by Spark's own listing.
+
+    Bytes that aren't UTF-8 become replacement characters; files that vanish meanwhile are left out.
+    """
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{cs,sql}").option("ignoreMissingFiles", True).format("binaryFile").load(root)
     base = re.escape(root.rstrip("/"))
     rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), f"^{base}/", "")
-    out = raw.select(rel.alias("path"), F.decode("content", "UTF-8").alias("text"))
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    out = raw.select(rel.alias("path"), F.regexp_replace(text, "^\ufeff", "").alias("text"))
     out = out.where(not_excluded(F.col("path"), [*DEFAULT_EXCLUDES, *excludes]))
     return out.select(F.xxhash64("path").alias("file_id"), "path", language(F.col("path")).alias("language"), "text")
 
@@ -90,12 +119,12 @@ def nearest_owner(files: DataFrame, projects: DataFrame) -> DataFrame:
 def longest_prefix(items: DataFrame, key: str, prefixes: DataFrame) -> DataFrame:
     """``items`` with ``prefix`` (and what comes with it): the longest row of ``prefixes`` that starts ``key``, the first on ties.
 
-    Prefixes are few; their lengths are joined on, so that the join is on equal strings.
+    The lengths that occur are brought to the driver, so that the join is on equal strings; Spark picks its strategy.
     """
     sizes = sorted(r.n for r in prefixes.select(F.length("prefix").alias("n")).distinct().collect())
     starts = F.array(*(F.when(F.length(key) >= n, F.substring(key, 1, n)) for n in sizes)) if sizes else F.array().cast("array<string>")
     each = items.withColumn("_at", F.explode(F.array_compact(starts)))
-    met = each.join(F.broadcast(prefixes), F.col("_at") == F.col("prefix")).drop("_at")
+    met = each.join(prefixes, F.col("_at") == F.col("prefix")).drop("_at")
     others = [c for c in met.columns if c not in items.columns]
     best = F.max_by(F.struct(*others), F.struct(F.length("prefix"), -F.col("ord"))).alias("_best")
     return met.groupBy(*items.columns).agg(best).select(*items.columns, "_best.*")
@@ -104,19 +133,19 @@ def longest_prefix(items: DataFrame, key: str, prefixes: DataFrame) -> DataFrame
 def json_leaves(settings: DataFrame) -> DataFrame:
     """(file_id, path, value) of all leaves: objects and arrays are followed, names joined by ``:``. Malformed text has none.
 
-    Level by level as a map of raw JSON; a level costs a projection, and the walk ends when no object is left.
+    Level by level as a map of raw JSON. Each level is saved, so that it is made once, until no object is left.
     """
     kind = T.MapType(T.StringType(), T.StringType())
     level = settings.select("file_id", F.lit("").alias("path"), F.col("text").alias("value"))
     out = None
-    for _ in range(16):
+    while True:
         is_object, is_array = F.trim("value").startswith("{"), F.trim("value").startswith("[")
         listed = F.from_json("value", T.ArrayType(T.StringType()))
         as_map = F.when(is_object, F.from_json("value", kind)).when(is_array, F.map_from_arrays(F.transform(listed, lambda x, i: i.cast("string")), listed))
         leaves = level.where(~(is_object | is_array) & (F.col("path") != "")).select("file_id", "path", "value")
         out = leaves if out is None else out.unionByName(leaves)
         level = level.where(is_object | is_array).select("file_id", "path", F.explode(as_map).alias("k", "value"))
-        level = level.select("file_id", F.when(F.col("path") == "", F.col("k")).otherwise(F.concat_ws(":", "path", "k")).alias("path"), "value")
+        level = saved(level.select("file_id", F.when(F.col("path") == "", F.col("k")).otherwise(F.concat_ws(":", "path", "k")).alias("path"), "value"))
         if level.isEmpty():
             break
     return out
