@@ -24,7 +24,7 @@ FRAMEWORK = "ILogger IOptions IOptionsSnapshot IOptionsMonitor IConfiguration IS
 CONFIGURATION = "IConfiguration IConfigurationRoot IConfigurationSection".split()
 REGEX_CALLS = "IsMatch Match Matches Replace Split".split()
 ALLOWED_HOSTS = "w3.org www.w3.org schemas.microsoft.com schemas.xmlsoap.org tempuri.org localhost 127.0.0.1 0.0.0.0 ::1".split()
-ENTRY_ATTRIBUTES = "HttpGet HttpPost HttpPut HttpDelete HttpPatch HttpHead HttpOptions Test TestCase Theory Fact".split()
+ENTRY_ATTRIBUTES = "Test TestCase Theory Fact".split()
 LIFETIMES = {"AddSingleton": 3, "AddScoped": 2, "AddTransient": 1}
 EXEMPT_ENDINGS = "(Pattern|Template|Format|Scheme)$"
 
@@ -72,8 +72,8 @@ def endpoint(value: Column) -> Column:
     return F.coalesce(F.nullif(url, F.lit("")), F.nullif(unc, F.lit("")), ip)
 
 
-def predicates() -> list[tuple[str, Column, Column]]:
-    """(rule, condition on a node, message)."""
+def predicates(hosts: tuple[str, ...] = ()) -> list[tuple[str, Column, Column]]:
+    """(rule, condition on a node, message); ``hosts``: further ones that may stand in code."""
     at = lambda *k: c("kind").isin(*k)
     say = F.lit
     literal = (c("right_kind") == "String") & (F.length("right_value") > 0)
@@ -100,13 +100,13 @@ def predicates() -> list[tuple[str, Column, Column]]:
         ("SVC0001", at("Member") & c("name").isin("Now", "Today") & ((last_name(c("receiver")) == "DateTime") | ((last_name(c("receiver")) == "DateTimeOffset") & (c("name") == "Now"))), say("reads the local clock")),
         ("SVC0002", at("Member") & c("name").isin("CurrentCulture", "CurrentUICulture") & (last_name(c("receiver")) == "CultureInfo"), say("reads the ambient culture")),
         ("SVC0003", call("GetCurrentDirectory") & (last_name(c("receiver")) == "Directory"), say("reads the working directory")),
-        ("SVC0010", sets & literal & ~c("in_attribute") & ~named.rlike(EXEMPT_ENDINGS) & host.isNotNull() & ~F.lower(host).isin(*ALLOWED_HOSTS), F.concat(say("endpoint in source: '"), c("right_value"), say("'"))),
+        ("SVC0010", sets & literal & ~c("in_attribute") & ~named.rlike(EXEMPT_ENDINGS) & host.isNotNull() & ~F.lower(host).isin(*ALLOWED_HOSTS, *(h.lower() for h in hosts)), F.concat(say("endpoint in source: '"), c("right_value"), say("'"))),
     ]
 
 
-def single_node(nodes: DataFrame) -> DataFrame:
+def single_node(nodes: DataFrame, hosts: tuple[str, ...] = ()) -> DataFrame:
     """All rules of ``predicates`` in one scan."""
-    met = F.array_compact(F.array(*(F.when(F.coalesce(p, F.lit(False)), F.struct(F.lit(r).alias("rule_id"), m.alias("message"))) for r, p, m in predicates())))
+    met = F.array_compact(F.array(*(F.when(F.coalesce(p, F.lit(False)), F.struct(F.lit(r).alias("rule_id"), m.alias("message"))) for r, p, m in predicates(hosts))))
     return nodes.select("file_id", F.explode(met).alias("x"), F.col("start_line").alias("line"), F.col("start_col").alias("col")).select("file_id", "x.rule_id", "x.message", "line", "col")
 
 
@@ -241,7 +241,8 @@ def async_names(nodes: DataFrame) -> DataFrame:
     waits = of(nodes.where("kind = 'Await'"), "w", "method").distinct()
     m = nodes.where((c("kind") == "Method") & ~c("name").endswith("Async") & (c("name") != "Main") & ~F.array_contains("modifiers", "override"))
     m = m.join(waits, (c("file_id") == c("w_file")) & (c("node") == c("w_method")), "left_semi").join(event_shaped(nodes), (c("file_id") == c("e_file")) & (c("node") == c("e_parent")), "left_anti")
-    entry = of(nodes.where((c("kind") == "Attribute") & F.regexp_replace(last_name(c("name")), "Attribute$", "").isin(*ENTRY_ATTRIBUTES)), "a", "parent")
+    marker = F.regexp_replace(last_name(c("name")), "Attribute$", "")
+    entry = of(nodes.where((c("kind") == "Attribute") & (marker.isin(*ENTRY_ATTRIBUTES) | marker.startswith("Http"))), "a", "parent")
     m = m.join(entry, (c("file_id") == c("a_file")) & (c("node") == c("a_parent")), "left_anti")
     contracts = of(nodes.where("kind = 'Type' and op = 'interface'"), "t", "node")
     return found(m.join(contracts, (c("file_id") == c("t_file")) & (c("type_node") == c("t_node")), "left_anti"), "SVC0020", F.concat(F.lit("'"), c("name"), F.lit("' awaits and isn't named Async")))

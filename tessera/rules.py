@@ -61,5 +61,8 @@ TABLE = [tuple(line.split(" ", 4)) for line in RULES.strip().splitlines()]
 CATEGORIES = {r[0]: r[1] for r in TABLE}
 
 
+SCHEMA = "rule_id string, category string, default_severity string, scope string, title string"
+
+
 def rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TABLE, "rule_id string, category string, default_severity string, scope string, title string")
+    return spark.createDataFrame(TABLE, SCHEMA)

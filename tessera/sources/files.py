@@ -15,7 +15,7 @@ from tessera.common import saved
 
 #: What is left out of every walk, and the language of a file by its extension.
 DEFAULT_EXCLUDES = ("**/bin/**", "**/obj/**", "**/node_modules/**", "**/.git/**")
-LANGUAGES = {".cs": "csharp", ".sql": "sql"}
+LANGUAGES = {".cs": "csharp", ".sql": "sql", ".csproj": "project"}
 
 
 def glob_regex(glob: str) -> str:
@@ -48,6 +48,14 @@ def single_file(files: DataFrame, path: str) -> DataFrame:
     return files.where(F.lower("path") == path.replace("\\", "/").lower())
 
 
+def project_of(files: DataFrame, path: str) -> str:
+    """The folder of the nearest project at or above a path, or the path's own folder."""
+    folder = path.replace("\\", "/").rpartition("/")[0]
+    above = [folder[:i] for i in range(len(folder) + 1) if i in (0, len(folder)) or folder[i : i + 1] == "/"]
+    held = files.where("language = 'project'").select(directory(F.col("path")).alias("d")).where(F.col("d").isin(*above)).distinct().collect()
+    return max((r.d for r in held), key=len, default=folder)
+
+
 def settings_files(files: DataFrame, projects: DataFrame, additional: tuple[str, ...] = ()) -> DataFrame:
     """(project, file_id, path, text): ``appsettings*.json`` right in a project's folder, and the ``additional`` paths in it."""
     name = F.regexp_extract("path", "([^/]*)$", 1)
@@ -67,11 +75,11 @@ def malformed(settings: DataFrame) -> DataFrame:
 
 
 def language(path: Column) -> Column:
-    """csharp, sql or null."""
+    """csharp, sql, project, settings (for ``appsettings*.json``) or null."""
     out = F.when(F.lit(False), F.lit(""))
     for ending, name in LANGUAGES.items():
         out = out.when(F.lower(path).endswith(ending), F.lit(name))
-    return out
+    return out.when(F.lower(path).rlike(r"(^|/)appsettings[^/]*\.json$"), F.lit("settings"))
 
 
 def read_workspace(spark: SparkSession, root: str, excludes: tuple[str, ...] = ()) -> DataFrame:
@@ -79,13 +87,13 @@ def read_workspace(spark: SparkSession, root: str, excludes: tuple[str, ...] = (
 
     Bytes that aren't UTF-8 become replacement characters; files that vanish meanwhile are left out.
     """
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{cs,sql}").option("ignoreMissingFiles", True).format("binaryFile").load(root)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{cs,sql,csproj,json}").option("ignoreMissingFiles", True).format("binaryFile").load(root)
     base = re.escape(root.rstrip("/"))
     rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), f"^{base}/", "")
     text = F.make_valid_utf8(F.col("content").cast("string"))
     out = raw.select(rel.alias("path"), F.regexp_replace(text, "^\ufeff", "").alias("text"))
     out = out.where(not_excluded(F.col("path"), [*DEFAULT_EXCLUDES, *excludes]))
-    return out.select(F.xxhash64("path").alias("file_id"), "path", language(F.col("path")).alias("language"), "text")
+    return out.select(F.xxhash64("path").alias("file_id"), "path", language(F.col("path")).alias("language"), "text").where("language is not null")
 
 
 def lines(files: DataFrame) -> DataFrame:

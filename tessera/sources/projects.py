@@ -2,19 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.sources.files import directory
 
 
-def references(projects: DataFrame) -> DataFrame:
-    """(project, target): paths of project files and of what they refer to. ``projects``: path, text (XML).
+def parsed(projects: DataFrame) -> DataFrame:
+    """(path, targets, error) of project files (path, text): what their ProjectReference elements include."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            targets, errors = [], []
+            for text in batch.column("text").to_pylist():
+                try:
+                    root = ElementTree.fromstring((text or "").lstrip("\ufeff").strip())
+                except (ElementTree.ParseError, ValueError) as e:
+                    targets.append([]), errors.append(str(e))
+                    continue
+                found = [x.get("Include") for x in root.iter() if isinstance(x.tag, str) and x.tag.rpartition("}")[2] == "ProjectReference"]
+                targets.append([x for x in found if x and x.strip()]), errors.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(targets, pa.list_(pa.string())), pa.array(errors, pa.string())], names=["path", "targets", "error"])
+
+    return projects.select("path", "text").mapInArrow(run, "path string, targets array<string>, error string")
 
-    Files that aren't well-formed are left out here; see ``unreadable``.
-    """
-    include = F.regexp_extract_all("text", F.lit(r"<ProjectReference\b[^>]*?\bInclude\s*=\s*[\"']([^\"']+)[\"']"), F.lit(1))
-    each = projects.select(F.col("path").alias("project"), F.explode(include).alias("target"))
+
+def references(read: DataFrame) -> DataFrame:
+    """(project, target): paths of project files and of what they refer to; ``read``: as from ``parsed``."""
+    each = read.select(F.col("path").alias("project"), F.explode("targets").alias("target")).distinct()
     joined = F.concat_ws("/", directory(F.col("project")), F.replace("target", F.lit("\\"), F.lit("/")))
     return each.select("project", resolved(joined).alias("target"))
 
@@ -30,14 +49,6 @@ def resolved(path):
     return F.array_join(out, "/")
 
 
-def unreadable(projects: DataFrame) -> DataFrame:
-    """(path): project files whose tags don't balance at the root."""
-    text = F.regexp_replace(F.trim("text"), r"(?s)<\?.*?\?>|<!--.*?-->", "")
-    root = F.regexp_extract(text, r"^\s*<([A-Za-z_][\w.:-]*)", 1)
-    whole = (root != "") & (F.rtrim(text).endswith(F.concat(F.lit("</"), root, F.lit(">"))) | F.rtrim(text).endswith("/>"))
-    return projects.where(~whole).select("path")
-
-
 def snippets(files: DataFrame) -> DataFrame:
     """(file_id, snippet_id, title, ordinal, language, text): fenced blocks of markdown under their ``### ID · Title`` headings."""
     lines = files.select("file_id", F.posexplode(F.split("text", "\r?\n")).alias("line", "text"))

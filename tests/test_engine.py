@@ -88,3 +88,50 @@ def test_commands(capsys):
     assert cli.main(["explain", "AR001"]) == 2 and "did you mean" in capsys.readouterr().err
     assert cli.main(["explain", "ar0010"]) == 0
     assert cli.main(["nonsense"]) == 2
+
+
+def test_project_rules(spark):
+    ref = lambda *t: "<Project><ItemGroup>" + "".join(f'<ProjectReference Include="..\\{x}\\{x}.csproj" />' for x in t) + "</ItemGroup></Project>"
+    code = 'class A { A(IConfiguration c) { var a = c["Known:Key"]; var b = c["Absent"]; F(a, b); } }'
+    rows = [
+        (1, "a/a.csproj", "project", ref("b")), (2, "b/b.csproj", "project", ref("a", "gone")), (3, "c/c.csproj", "project", ref("a")), (4, "d/d.csproj", "project", "<Project>"),
+        (5, "a/appsettings.json", "settings", '{"Known": {"Key": 1}}'), (6, "b/appsettings.Dev.json", "settings", "{"), (7, "a/x/A.cs", "csharp", code), (8, "c/B.cs", "csharp", code), (9, "a/x/appsettings.json", "settings", "{"),
+    ]
+    out = engine.check(spark.createDataFrame(rows, "file_id long, path string, language string, text string"))
+    assert not out.failed
+    got = sorted((r.path, r.rule_id) for r in out.findings.collect())
+    assert got == [("a/a.csproj", "AR0040"), ("a/x/A.cs", "AR0030"), ("b/appsettings.Dev.json", "AR0031"), ("b/b.csproj", "AR0040"), ("d/d.csproj", "AR0041")]
+
+
+def test_modes(spark):
+    rows = [(1, "p/p.csproj", "project", "<Project/>"), (2, "p/A.cs", "csharp", CODE), (3, "p/B.cs", "csharp", CODE), (4, "q/C.cs", "csharp", CODE), (5, "p/appsettings.json", "settings", "{")]
+    files = spark.createDataFrame(rows, "file_id long, path string, language string, text string")
+    paths = lambda mode, target: sorted({r.path for r in engine.check(files, None, None, mode, target).findings.collect()})
+    assert paths("file", "p/a.cs") == ["p/A.cs"]
+    assert paths("project", "p/A.cs") == ["p/A.cs", "p/appsettings.json"]
+    assert paths("project", "p/gone.cs") == ["p/A.cs", "p/B.cs", "p/appsettings.json"]
+    assert paths("workspace", None) == ["p/A.cs", "p/B.cs", "p/appsettings.json", "q/C.cs"]
+
+
+def test_packs_and_failures(spark, tmp_path, monkeypatch):
+    (tmp_path / "good_pack.py").write_text(
+        "from pyspark.sql import functions as F\nRULES = [('X1', 'mine', 'warning', 'file', 'Class is called A'), ('AR0010', 'a', 'error', 'file', 't'), ('X2', '', 'hint', 'file', 't')]\n"
+        "def find(nodes, items, options):\n    t = nodes.where(\"kind = 'Type' and name = 'A'\")\n    return t.select('file_id', F.explode(F.array(F.lit('X1'), F.lit('X9'))).alias('rule_id'), F.lit('m').alias('message'), F.col('start_line').alias('line'), F.col('start_col').alias('col'))\n"
+    )
+    (tmp_path / "bad_pack.py").write_text("from pyspark.sql import functions as F\nRULES = [('Y1', 'mine', 'warning', 'file', 'Fails')]\ndef find(nodes, items, options):\n    return nodes.select('file_id', F.lit('Y1').alias('rule_id'), F.raise_error(F.lit('boom')).cast('string').alias('message'), F.lit(0).alias('line'), F.lit(0).alias('col'))\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    c = config.Config(rule_packs=["good_pack", "bad_pack", "no_such_pack", "json"], options={"SQ0011": {"pattern": "("}, "AR0060": {"threshold": "many"}})
+    out = engine.check(files(spark), c)
+    found = {r.rule_id for r in out.findings.collect()}
+    assert "X1" in found and "X9" not in found and "AR0070" in found
+    assert [i for i, _ in out.failed] == ["Y1"]
+    assert {r.rule_id for r in out.skipped.where("reason like 'failed: %'").collect()} == {"Y1"}
+    assert len(out.diagnostics) == 4
+
+
+def test_unreadable_bytes(spark, tmp_path):
+    (tmp_path / "A.cs").write_bytes(b"\xef\xbb\xbfclass A { } // \xff\xfe")
+    (tmp_path / "bin").mkdir()
+    (tmp_path / "bin" / "B.cs").write_text("class B { }")
+    got = src.read_workspace(spark, str(tmp_path)).collect()
+    assert [(r.path, r.language) for r in got] == [("A.cs", "csharp")] and got[0].text.startswith("class A")
