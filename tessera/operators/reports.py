@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.findings import SEVERITIES, at_least, report_order
@@ -69,3 +69,63 @@ def baseline_rows(findings: DataFrame) -> DataFrame:
 
 def exit_code(findings: DataFrame, fail_on: str = "error") -> int:
     return int(fail_on in SEVERITIES and not at_least(findings, fail_on).isEmpty())
+
+
+def report(findings: DataFrame, baselined: DataFrame, skipped: DataFrame, diagnostics: list[str]) -> Iterator[str]:
+    """The whole JSON report in pieces; lines from 0."""
+    counts = {r.severity: r.n for r in findings.groupBy("severity").agg(F.count("*").alias("n")).collect()}
+    for i, (name, rows) in enumerate((("findings", json_rows(findings)), ("baselined", json_rows(baselined)))):
+        yield ("," if i else "{") + f'"{name}":['
+        for k, r in enumerate(rows.toLocalIterator()):
+            yield ("," if k else "") + r.value
+        yield "]"
+    off = [{"ruleId": r.rule_id, "reason": r.reason} for r in skipped.orderBy("rule_id", "reason").collect()]
+    yield f',"skipped":{json.dumps(off)},"diagnostics":{json.dumps(diagnostics)},"counts":{json.dumps({k: counts.get(k, 0) for k in reversed(SEVERITIES[1:])})}}}\n'
+
+
+def reply(findings: DataFrame, n_baselined: int, failed: list[tuple[str, str]]) -> dict:
+    """What a session answers: findings, how many are accepted, and the rules that failed."""
+    return {"findings": [json.loads(r.value) for r in json_rows(findings).toLocalIterator()], "baselinedCount": n_baselined, "failed": [{"ruleId": r, "reason": why} for r, why in failed]}
+
+
+def rules_tree(rules: DataFrame, findings: DataFrame) -> DataFrame:
+    """(category, total, enabled, n_findings, rules): categories with their rules (id, severity, n) in order."""
+    n = findings.groupBy(F.col("rule_id").alias("_r")).agg(F.count("*").alias("n"))
+    each = rules.join(n, F.col("rule_id") == F.col("_r"), "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    listed = F.sort_array(F.collect_list(F.struct("rule_id", "severity", "n"))).alias("rules")
+    return each.groupBy("category").agg(F.count("*").alias("total"), F.count_if(F.col("severity") != "off").alias("enabled"), F.sum("n").alias("n_findings"), listed)
+
+
+def with_patterns(findings: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Findings with the ``pattern`` that ``catalog`` (rule_id, pattern) points to, or null."""
+    return findings.join(catalog.select(F.upper("rule_id").alias("_r"), "pattern"), F.upper("rule_id") == F.col("_r"), "left").drop("_r")
+
+
+def explained(findings: DataFrame, explain=None) -> DataFrame:
+    """Findings with ``explanation``: what ``explain`` (of rule id, message and line) gives, null without one. Detection never asks it."""
+    said = explain(F.col("rule_id"), F.col("message"), F.col("anchor")) if explain else F.lit(None).cast("string")
+    return findings.withColumn("explanation", said)
+
+
+def suggested_fix(rule: Column, text: Column) -> Column:
+    """A line rewritten for AR0020 (emptiness by Any) and AR0022 (no list in between), or null where nothing fits."""
+    some = F.regexp_replace(text, r"\.Count\(\)\s*(?:>\s*0|!=\s*0|>=\s*1)(?![0-9.])", ".Any()")
+    none = F.regexp_replace(some, r"(?<![\w.)\]])([\w.]+(?:\([^()]*\))?(?:\.\w+(?:\([^()]*\))?)*?)\.Count\(\)\s*==\s*0(?![0-9.])", "!$1.Any()")
+    direct = F.regexp_replace(text, r"\.(?:ToList|ToArray)\(\)(?=\.\w+\()", "")
+    out = F.when(rule == "AR0020", none).when(rule == "AR0022", direct)
+    return F.when(out != text, out)
+
+
+def mermaid(root: str, edges: DataFrame, ambiguous: DataFrame) -> str:
+    """A call trace (callee, caller; bounded by its number of nodes) as a diagram: callers point to what they call."""
+    rows = edges.select("callee", "caller").distinct().orderBy("callee", "caller").collect()
+    many = {r.key for r in ambiguous.select("key").collect()}
+    number: dict[str, int] = {root: 0}
+    for r in rows:
+        for k in (r.callee, r.caller):
+            number.setdefault(k, len(number))
+    quoted = lambda k: k.replace('"', "#quot;")
+    out = ["graph BT"]
+    out += [f'  n{i}["{quoted(k)}{" …" if k in many and k != root else ""}"]{":::root" if k == root else ""}' for k, i in number.items()]
+    out += [f"  n{number[r.caller]} --> n{number[r.callee]}" for r in rows]
+    return "\n".join([*out, "  classDef root stroke-width:3px"])
