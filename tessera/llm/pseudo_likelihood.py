@@ -47,7 +47,7 @@ KNOWN, GROUPS = OWN + BANDS * CLASSES, WIDE * CLASSES
 INPUTS = KNOWN + GROUPS + 1
 #: Bits of the table of counts.
 LEAST_BITS, MOST_BITS = 16, 22
-SIDE, HIDDEN = 2, 24
+SIDE, HIDDEN = 2, 16
 ROUNDS, STRIDE, BATCH, RATE, SHARD = 2, 2, 2048, 0.2, 2_000_000
 #: Distinct words that a task counts before it hands them on and that it remembers the codes of; words scored together, and
 #: words that training takes in random order.
@@ -60,6 +60,7 @@ SHAPES = {
     "gate3": (GROUPS, HIDDEN), "out3": (HIDDEN, CLASSES), "prior3": (GROUPS, CLASSES),
 }
 SIZE = sum(math.prod(s) for s in SHAPES.values())
+ONES = np.ones(CLASSES, dtype=np.float32)
 
 
 def words(text: str | None) -> list[bytes]:
@@ -214,6 +215,9 @@ def views(flat: np.ndarray) -> dict[str, np.ndarray]:
 
 def summed_by(group: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The groups that occur and the sum of each one's rows."""
+    if rows.shape[0] > 40 * (groups := int(group.max()) + 1):
+        # few groups: a product with their indicators
+        return np.arange(groups), (group == np.arange(groups)[:, None]).astype(rows.dtype) @ rows
     order = np.argsort(group, kind="stable")
     in_order = group[order]
     first = np.flatnonzero(np.r_[True, in_order[1:] != in_order[:-1]])
@@ -257,15 +261,17 @@ class Network:
                 yield k, some, h[some] * self.w[f"gate{k}"][gate[some]], gate[some], digit[some]
 
     def logits(self, k: int, h: np.ndarray, gate: np.ndarray | None) -> np.ndarray:
-        return h @ self.w[f"out{k}"] + (self.w[f"prior{k}"] if gate is None else self.w[f"prior{k}"][gate])
+        """Bounded, so that exp can't overflow and no sum of it can vanish."""
+        z = h @ self.w[f"out{k}"]
+        z += self.w[f"prior{k}"] if gate is None else self.w[f"prior{k}"][gate]
+        return np.clip(z, -60, 60, out=z)
 
     def log_probs(self, near: np.ndarray, code: np.ndarray) -> np.ndarray:
         h, out = self.hidden(near), np.zeros(len(code))
         for k, some, gated, gate, digit in self.levels(h, code):
             z = self.logits(k, gated, gate)
-            z -= z.max(axis=1, keepdims=True)
             own = z[np.arange(len(digit)), digit]
-            out[some] += own - np.log(np.exp(z, out=z).sum(axis=1))
+            out[some] += own - np.log(np.exp(z, out=z) @ ONES)
         return out
 
     def step(self, near: np.ndarray, code: np.ndarray, seen: np.ndarray) -> None:
@@ -280,9 +286,8 @@ class Network:
         back, todo = np.zeros_like(h), []
         for k, some, gated, gate, digit in self.levels(h, code):
             p = self.logits(k, gated, gate)
-            p -= p.max(axis=1, keepdims=True)
             np.exp(p, out=p)
-            p *= 1 / (n * p.sum(axis=1, keepdims=True))
+            p *= (1 / (n * (p @ ONES)))[:, None]
             p[np.arange(len(digit)), digit] -= 1 / n
             d = p @ self.w[f"out{k}"].T
             todo.append((f"out{k}", gated.T @ p, slice(None)))
