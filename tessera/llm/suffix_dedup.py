@@ -478,8 +478,8 @@ def dedup(docs: DataFrame, keep_first: bool = True) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contract's digest; then the bytes under repeated strings of ``LEAST`` bytes, and the text that remains."""
+    """The contract's digest; then the bytes under repeated strings of ``LEAST`` bytes."""
     out = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_first=False)
     size = lambda ranges: F.aggregate(ranges, F.lit(0).cast("long"), lambda a, s: a + s[1] - s[0])
     digest = (size("spans").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-    return out.select("doc_id", "n_bytes", *digest, size("passages").alias("n_passage"), F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"))
+    return out.select("doc_id", "n_bytes", *digest, size("passages").alias("n_passage"))
