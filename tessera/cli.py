@@ -1,4 +1,7 @@
-"""Commands: check, rules, explain, baseline, init, schema."""
+"""Commands: check, format, rules, explain, baseline, init, schema, hotspots, debt, trend, serve.
+
+Exit codes: 0 well, 1 findings (or debt) over the limit, 2 wrong use or failure, 3 files that ``format --check`` would change.
+"""
 
 from __future__ import annotations
 
@@ -22,6 +25,13 @@ def main(argv: list[str] | None = None) -> int:
         p.add_argument("--fail-on", choices=SEVERITIES[1:], default="error")
         p.add_argument("--no-baseline", action="store_true")
         p.add_argument("--output")
+    for name, flags in (("format", ()), ("hotspots", ("days", "top")), ("debt", ("days", "top")), ("trend", ("limit",)), ("serve", ())):
+        p = sub.add_parser(name)
+        p.add_argument("path", nargs="?", default=".")
+        for flag in flags:
+            p.add_argument(f"--{flag}", type=int, default={"days": 180, "top": 20, "limit": 20}[flag])
+    sub.choices["format"].add_argument("--check", action="store_true")
+    sub.choices["debt"].add_argument("--fail-over", type=lambda x: int(x.removesuffix("d")))
     sub.add_parser("rules").add_argument("--format", choices=("console", "json"), default="console")
     sub.add_parser("explain").add_argument("rule")
     sub.add_parser("schema")
@@ -53,24 +63,99 @@ def main(argv: list[str] | None = None) -> int:
             print(f"{e} exists; --force replaces it", file=sys.stderr)
             return 2
         return 0
-    return analyse(args)
+    try:
+        return {"format": lay_out, "hotspots": insight, "debt": insight, "trend": insight, "serve": serve}.get(args.command, analyse)(args)
+    except Exception as e:  # the exit code tells callers
+        print(f"{type(e).__name__}: {e}", file=sys.stderr)
+        return 2
 
 
-def analyse(args: argparse.Namespace) -> int:
+def session():
     from pyspark.sql import SparkSession
 
+    return SparkSession.builder.appName("tessera").getOrCreate()
+
+
+def serve(args: argparse.Namespace) -> int:
+    from tessera.session import Session
+
+    Session(session(), args.path).serve(sys.stdin, sys.stdout)
+    return 0
+
+
+def lay_out(args: argparse.Namespace) -> int:
+    """Formats the SQL files; with --check it tells which ones would change."""
+    from tessera.parse import nodes
+    from tessera.sources import files as src
+
+    spark, root = session(), Path(args.path).resolve()
+    files = src.read_workspace(spark, str(root), tuple(cfg.load(args.path).exclude)).where("language = 'sql'")
+    changed = files.join(nodes.sql_layouts(files), "file_id").where("changed").select("path", "formatted", "inline_comments").orderBy("path")
+    n = 0
+    for r in changed.toLocalIterator():
+        n += 1
+        print(f"{r.path}{' (has comments inside statements)' if r.inline_comments else ''}")
+        if not args.check:
+            (root / r.path).write_text(r.formatted, encoding="utf-8")
+    return 3 if args.check and n else 0
+
+
+def insight(args: argparse.Namespace) -> int:
+    """Hotspots, debt or trend of a repository, as tab-separated rows."""
+    from pyspark.sql import functions as F
+
+    from tessera.operators import code_rules, insights
+    from tessera.parse import nodes
+    from tessera.sources import files as src
+    from tessera.sources import git
+
+    spark, config, root = session(), cfg.load(args.path), Path(args.path).resolve()
+    now = F.current_timestamp()
+    touched = git.commits(spark, str(root))
+    saved = config.baseline or cfg.BASELINE
+    if args.command == "trend":
+        rows = [(h, t, git.show_at(str(root), h, f"./{saved}")) for h, t in sorted({(r.hash, r.ts) for r in touched.where(F.col("file").endswith(saved)).collect()}, key=lambda x: x[1])]
+        out = insights.summarised(insights.selected(spark.createDataFrame(rows, "revision string, at timestamp, text string"), args.limit))
+        for r in out.orderBy("at").collect():
+            print(f"{r.at:%Y-%m-%d}\t{r.revision[:8]}\t{r.total}\t{r.delta:+d}\t{json.dumps(r.by_rule, sort_keys=True)}")
+        return 0
+    recent = insights.churn(touched, now - F.expr(f"interval {args.days} days"))
+    if args.command == "hotspots":
+        files = src.read_workspace(spark, str(root), tuple(config.exclude)).where("language = 'csharp'")
+        score = code_rules.complexity(nodes.csharp_nodes(files)).groupBy("file_id").agg(F.sum("score").alias("complexity"))
+        ranked = insights.hotspots(score.join(files.select("file_id", F.col("path").alias("file")), "file_id").select("file", "complexity"), recent, args.top)
+        for r in ranked.collect():
+            print(f"{r.score}\t{r.complexity}\t{r.churn}\t{r.file}")
+        return 0
+    entries, message = cfg.read_entries(root / saved)
+    if message:
+        print(message, file=sys.stderr)
+    rows = spark.createDataFrame([(e["fingerprint"], e.get("ruleId"), e.get("file")) for e in entries], "fingerprint string, rule_id string, file string")
+    revisions = [(saved, t, git.show_at(str(root), h, f"./{saved}") or "") for h, t in {(r.hash, r.ts) for r in touched.where(F.col("file").endswith(saved)).collect()}]
+    since = git.introduced(spark.createDataFrame(revisions, "file string, ts timestamp, text string"), rows.select("fingerprint", F.lit(saved).alias("file"), F.col("fingerprint").alias("needle")))
+    churn = rows.join(recent, "file").select("fingerprint", "churn")
+    debts = insights.debt(rows, since, churn, now)
+    for r in insights.ranked(debts, args.top).withColumn("age", insights.format_age(F.col("age_days"))).collect():
+        print(f"{r.score}\t{r.age}\t{r.churn}\t{r.rule_id}\t{r.file}")
+    return int(args.fail_over is not None and not insights.over_age(debts, args.fail_over).isEmpty())
+
+
+def analyse(args: argparse.Namespace) -> int:
     from tessera import engine
     from tessera.operators import reports
     from tessera.sources import files as src
 
-    spark = SparkSession.builder.appName("tessera").getOrCreate()
+    spark = session()
     config = cfg.load(args.path)
     for m in cfg.validate(config, known.CATEGORIES, SEVERITIES, SPELLINGS):
         print(m, file=sys.stderr)
-    saved = Path(args.path) / (config.baseline or "lens-baseline.json")
+    saved = Path(args.path) / (config.baseline or cfg.BASELINE)
     accepted = None
-    if args.command == "check" and not args.no_baseline and saved.is_file():
-        accepted = spark.createDataFrame([(x["fingerprint"],) for x in json.loads(saved.read_text(encoding="utf-8"))], "fingerprint string")
+    if args.command == "check" and not args.no_baseline:
+        prints, message = cfg.read_baseline(saved)
+        if message:
+            print(message, file=sys.stderr)
+        accepted = spark.createDataFrame([(x,) for x in prints], "fingerprint string") if prints else None
     result = engine.check(src.read_workspace(spark, str(Path(args.path).resolve()), tuple(config.exclude)), config, accepted)
     if args.command == "baseline":
         rows = [r.value for r in reports.baseline_rows(result.findings).toLocalIterator()]
@@ -80,7 +165,7 @@ def analyse(args: argparse.Namespace) -> int:
     if args.format == "sarif":
         out.writelines(reports.sarif(result.findings, {r[0]: r[4] for r in known.TABLE}))
     elif args.format == "json":
-        out.write("[" + ",\n ".join(r.value for r in reports.json_rows(result.findings).toLocalIterator()) + "]\n")
+        out.writelines(reports.report(result.findings, result.baselined, result.skipped, result.diagnostics))
     else:
         out.writelines(line + "\n" for line in reports.console(result.findings, result.baselined.count(), result.failed))
     if args.output:

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pathlib import Path
 
 #: The name of the settings file and the keys that it may hold.
-FILE_NAME = ".lens.json"
+FILE_NAME, BASELINE = ".lens.json", "lens-baseline.json"
 KEYS = ("rules", "exclude", "layers", "rulePacks", "options", "baseline")
 
 
@@ -60,6 +60,23 @@ def load(start: str) -> Config:
     return parse(found.read_text(encoding="utf-8-sig")) if found else Config()
 
 
+def read_entries(path: Path) -> tuple[list[dict], str | None]:
+    """Entries of a baseline file, none without one; a message if it can't be read."""
+    try:
+        said = json.loads(path.read_text(encoding="utf-8-sig"))
+        return [x for x in said if isinstance(x["fingerprint"], str)], None
+    except FileNotFoundError:
+        return [], None
+    except (OSError, ValueError, KeyError, TypeError) as e:
+        return [], f"baseline can't be read: {e}"
+
+
+def read_baseline(path: Path) -> tuple[list[str], str | None]:
+    """The fingerprints alone."""
+    entries, message = read_entries(path)
+    return [e["fingerprint"] for e in entries], message
+
+
 def edits(a: str, b: str, most: int) -> int:
     """Edit distance, or ``most + 1`` as soon as it is over ``most``."""
     if abs(len(a) - len(b)) > most:

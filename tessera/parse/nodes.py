@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.parse import csharp, tsql
+from tessera.parse import csharp, tsql, tsql_format
 
 NODES = """file_id long, node int, parent int, last int, role string, kind string, parent_kind string, name string, op string, value string, type string, arity int,
  modifiers array<string>, start_line int, start_col int, end_line int, end_col int, text string, receiver string, receiver_kind string, receiver_name string, left_kind string, left_name string, left_value string,
@@ -250,3 +250,13 @@ def csharp_nodes(files: DataFrame) -> DataFrame:
 
 def sql_items(files: DataFrame) -> DataFrame:
     return _table(files, guarded(sql_rows, lambda i, why: (i, 0, "Error", None, None, None, 0, False, 0, [], 0, 0, 0, 1, why)), SQL_ITEMS)
+
+
+def sql_layouts(files: DataFrame) -> DataFrame:
+    """(file_id, formatted, changed, inline_comments) of the SQL files (file_id, text); a file that fails stays as it is."""
+
+    def one(file_id: int, text: str) -> list[tuple]:
+        out = tsql_format.formatted(text)
+        return [(file_id, out, out != text, tsql_format.has_inline_comments(text))]
+
+    return _table(files, guarded(one, lambda i, why: (i, None, False, False)), "file_id long, formatted string, changed boolean, inline_comments boolean")

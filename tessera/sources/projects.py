@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,3 +64,39 @@ def snippets(files: DataFrame) -> DataFrame:
     blocks = out.groupBy("file_id", "head", "fences", "language").agg(body.alias("text"))
     nth = F.row_number().over(Window.partitionBy("file_id", "head").orderBy("fences")) - 1
     return blocks.select("file_id", F.regexp_extract("head", r"^###\s+(\S+)", 1).alias("snippet_id"), F.regexp_extract("head", r"·\s+(.*)$", 1).alias("title"), nth.alias("ordinal"), "language", "text")
+
+
+#: What a snippet may be, and the text around it that makes it a whole file.
+SHAPES = {"Unit": ("", ""), "Member": ("class Snippet {\n", "\n}"), "Statements": ("class Snippet { void Body() {\n", "\n} }")}
+
+
+def shape_of(text: str) -> str:
+    """Unit, Member or Statements: the first way of wrapping that leaves no stray tokens; else Unparseable."""
+    from tessera.parse import csharp
+
+    for shape, (head, tail) in SHAPES.items():
+        root = csharp.parse(head + text + tail)
+        stack, kinds = [root], []
+        while stack:
+            n = stack.pop()
+            kinds.append(n.kind)
+            stack += n.children
+        types = [c for c in root.children if c.kind in ("Type", "Namespace", "Using")]
+        whole = bool(types) and "Skipped" not in kinds and "Error" not in kinds
+        if shape == "Unit" and whole and len(types) == len(root.children):
+            return shape
+        if shape == "Member" and whole and any(c.kind in ("Method", "Constructor", "Property", "Field", "Type", "Event", "Indexer") for t in types for c in t.children) and not re.match(r"\s*(?:var|return|if|for|foreach|while|using|await|try|throw)\b", text):
+            return shape
+        if shape == "Statements" and whole and text.strip() and text.count("{") == text.count("}") and text.count("(") == text.count(")"):
+            return shape
+    return "Unparseable"
+
+
+def shapes(blocks: DataFrame) -> DataFrame:
+    """``blocks`` (snippet_id, ordinal, text, ...) with ``shape``, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.fillna("").map(shape_of)
+
+    return blocks.withColumn("shape", of(F.col("text")))
