@@ -43,12 +43,13 @@ from tessera.llm.common import table, written
 #: First digits: of words of their own, of words with two digits, of words with three; digits in all.
 OWN, BANDS, WIDE, CLASSES = 8, 8, 16, 32
 KNOWN, GROUPS = OWN + BANDS * CLASSES, WIDE * CLASSES
+CODE_BITS = (GROUPS * CLASSES - 1).bit_length()
 #: Codes that a neighbour is seen as: a known word or the first two digits; the last is beyond the text's end.
 INPUTS = KNOWN + GROUPS + 1
 #: Bits of the table of counts.
 LEAST_BITS, MOST_BITS = 16, 22
 SIDE, HIDDEN = 2, 16
-ROUNDS, STRIDE, BATCH, RATE, SHARD = 2, 2, 2048, 0.2, 2_000_000
+ROUNDS, STRIDE, BATCH, RATE, SHARD = 2, 2, 4096, 0.25, 2_000_000
 #: Distinct words that a task counts before it hands them on and that it remembers the codes of; words scored together, and
 #: words that training takes in random order.
 HELD, REMEMBERED, AT_ONCE, MIXED = 300_000, 1_000_000, 1 << 15, 1 << 18
@@ -71,15 +72,15 @@ def spread(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, 10)
 
 
-def wide_code(word: bytes) -> int:
-    """The code of a word that isn't known: by its last two bytes, its last three, and its hash."""
-    return KNOWN + (zlib.crc32(word[-2:]) % WIDE * CLASSES + zlib.crc32(word[-3:]) % CLASSES) * CLASSES + (spread(word) >> 40) % CLASSES
+def wide_code(word: bytes, h: int) -> int:
+    """The code of a word that isn't known, less ``KNOWN``: by its last two bytes, its last three, and its hash ``h``."""
+    return (zlib.crc32(word[-2:]) % WIDE * CLASSES + zlib.crc32(word[-3:]) % CLASSES) * CLASSES + (h >> 40) % CLASSES
 
 
-def place(word: bytes, code: int, bits: int) -> int:
-    """Where the table of 2 ** ``bits`` numbers holds a word of a wide code."""
-    of_code = bits - (GROUPS * CLASSES).bit_length() + 1
-    return (code - KNOWN) << of_code | spread(word) & (1 << of_code) - 1
+def place(wide: int, h: int, bits: int) -> int:
+    """Where the table of 2 ** ``bits`` numbers holds a word of hash ``h`` and a wide code."""
+    of_code = bits - CODE_BITS
+    return wide << of_code | h & (1 << of_code) - 1
 
 
 def digits(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -117,9 +118,10 @@ class Vocabulary:
         got = self.known.get(word)
         if got is not None:
             return got, 0.0
-        code = wide_code(word)
-        n = self.table[place(word, code, self.bits)]
-        return code, math.log(min(1.0, max(n, 1) / max(self.total[code - KNOWN], 1)))
+        h = spread(word)
+        wide = wide_code(word, h)
+        n = self.table[place(wide, h, self.bits)]
+        return KNOWN + wide, math.log(min(1.0, max(n, 1) / max(self.total[wide], 1)))
 
     def encode(self, text: str | None) -> tuple[bytes, float]:
         found = words(text)
@@ -177,9 +179,10 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
         for batch in batches:
             found = [w.as_py() for w in batch.column("word")]
             keep = [i for i, w in enumerate(found) if w not in known]
-            code = [wide_code(found[i]) for i in keep]
-            at = pa.array([place(found[i], c, bits) for i, c in zip(keep, code, strict=True)], pa.int32())
-            yield pa.RecordBatch.from_arrays([at, pa.array([c - KNOWN for c in code], pa.int32()), batch.column("n").take(pa.array(keep, pa.int64()))], names=["place", "code", "n"])
+            h = [spread(found[i]) for i in keep]
+            wide = [wide_code(found[i], x) for i, x in zip(keep, h, strict=True)]
+            at = pa.array([place(c, x, bits) for c, x in zip(wide, h, strict=True)], pa.int32())
+            yield pa.RecordBatch.from_arrays([at, pa.array(wide, pa.int32()), batch.column("n").take(pa.array(keep, pa.int64()))], names=["place", "code", "n"])
 
     dealt = written(every.mapInArrow(run, "place int, code int, n long"))
     held, total = np.zeros(1 << bits, dtype=np.float32), np.zeros(GROUPS * CLASSES)
@@ -315,11 +318,12 @@ def windows(texts: list[bytes], at_once: int, turn: int | None = None) -> Iterat
     which = np.repeat(np.arange(len(texts), dtype=np.int32), n)
     flat = np.full(len(code) + SIDE * (len(texts) + 1), INPUTS - 1, dtype=np.int16)
     wide = code.astype(np.int32) - KNOWN
-    flat[np.arange(len(code)) + SIDE * (1 + which)] = np.where(wide < 0, code, KNOWN + wide // CLASSES)
+    place_of = np.arange(len(code), dtype=np.int32) + SIDE * (1 + which)
+    flat[place_of] = np.where(wide < 0, code, KNOWN + wide // CLASSES)
     picked = None if turn is None else np.random.default_rng(turn).permutation(np.arange(turn * STRIDE // ROUNDS % STRIDE, len(code), STRIDE))
     for lo in range(0, len(code) if picked is None else len(picked), at_once):
-        part = np.arange(lo, min(len(code), lo + at_once)) if picked is None else picked[lo : lo + at_once]
-        at = part + SIDE * (1 + which[part])
+        part = slice(lo, lo + at_once) if picked is None else picked[lo : lo + at_once]
+        at = place_of[part]
         yield np.stack([flat[at + k] for k in OFFSETS]), code[part], which[part]
 
 
@@ -398,7 +402,7 @@ def scored(coded: DataFrame, weights: np.ndarray) -> DataFrame:
             sums = np.asarray(batch.column("inner").to_numpy(zero_copy_only=False), dtype=np.float64).copy()
             n = np.zeros(len(sums), dtype=np.int64)
             for first, texts in pieces(batch.column("codes")):
-                for near, code, which in windows(texts, BATCH):
+                for near, code, which in windows(texts, 2048):
                     sums[first : first + len(texts)] += np.bincount(which, weights=net.log_probs(near, code), minlength=len(texts))
                 n[first : first + len(texts)] = [len(t) // 2 for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(sums), pa.array(sums / np.maximum(n, 1))], names=["doc_id", "n_words", "log_prob", "score"])
