@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import packed, small, written
+from tessera.llm.common import forget, packed, small, written
 from tessera.llm.components import components
 from tessera.llm.gray_index import Index, labels, popcount
 from tessera.llm.simhash import _whole_groups, gray_order, majority, shingle_hashes
@@ -183,7 +183,9 @@ def grouped(docs: DataFrame, most: int = MOST) -> DataFrame:
     classes = written(sketched.groupBy("node").agg(*(F.first(c).alias(c) for c in (*prints, "routes"))))
     near = components(written(links(classes, most)))
     star = components(written(confirmed(sketched, near, most)))
-    return sketched.select("row", "node").join(star, F.col("node") == F.col("a"), "left").select("row", F.coalesce("b", "node").alias("root"))
+    slim = written(sketched.select("row", "node"))
+    forget(sketched, classes)
+    return slim.join(star, F.col("node") == F.col("a"), "left").select("row", F.coalesce("b", "node").alias("root"))
 
 
 def kept(docs: DataFrame, most: int = MOST) -> DataFrame:
