@@ -7,7 +7,7 @@
   apart.
 
 1. Both views' features of every document are written once, a few hundred bytes each.
-2. Round 0 fits each view to at most ``FIRST`` labelled training rows, by the smallest hash of the id. In each later round a view also learns from the rows that the
+2. Round 0 fits each view to the training rows of at most ``FIRST`` labelled ids, by the smallest hash. In each later round a view also learns from the rows that the
    other view is sure of, labelled or not: every task walks over all its documents, takes pseudo-labels from the other
    view's weights, and makes gradient steps; weights are averaged by the number of rows. Nothing but weights comes to
    the driver.
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import small, table, written
@@ -176,12 +176,18 @@ def calibrate(z: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarray:
     return w
 
 
+def later_of(doc_id: Column) -> Column:
+    """Whether an id's label is kept for the calibration."""
+    return F.crc32(F.concat(F.lit("calibrate"), doc_id.cast("string")).cast("binary")) % 4 == 0
+
+
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, text_score, page_score, score) for every row of ``docs``."""
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("quality").cast("double")).alias("quality"))
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
-    later = F.crc32(F.concat(F.lit("calibrate"), F.col("doc_id").cast("string")).cast("binary")) % 4 == 0
-    rows = written(featured(docs)).join(small(written(known)), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    later = later_of(F.col("doc_id"))
+    known = written(known)
+    rows = written(featured(docs)).join(small(known), F.col("doc_id") == F.col("_id"), "left").drop("_id")
     rows = rows.withColumn("held_out", F.coalesce(fold == 1, F.lit(False)))
     seen = rows.withColumn("label", F.when(~F.col("held_out") & ~later, F.col("quality")))
     n = {r.label: r.n for r in seen.where("label is not null").groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -189,8 +195,12 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     a, b = np.zeros(TEXT, dtype=np.float32), np.zeros(META, dtype=np.float32)
     if bad and good:
         balance = ((bad + good) / (2 * bad), (bad + good) / (2 * good))
-        first = seen.where("label is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "a", "b").limit(FIRST).select("a", "b", "label")
-        a, b = fit_round(written(first.repartition(4, F.xxhash64("a", "b")), "a", "b"), a, b, balance, False)
+        # ids are picked from the labels alone, so that no task gathers features
+        usable = known.where((F.crc32(F.col("_id").cast("string").cast("binary")) % 3 != 1) & ~later_of(F.col("_id")))
+        some = written(usable.orderBy(F.xxhash64("_id"), "_id").limit(FIRST).select(F.col("_id").alias("_first")))
+        first = written(seen.where("label is not null").join(small(some), F.col("doc_id") == F.col("_first"), "left_semi").select("a", "b", "label"))
+        parts = max(4, first.count() // 10_000)
+        a, b = fit_round(written(first.repartition(parts, F.xxhash64("a", "b")), "a", "b"), a, b, balance, False)
         for _ in range(ROUNDS):
             a, b = fit_round(seen, a, b, balance, True)
     fresh = views(rows.where(~F.col("held_out") & later & F.col("quality").isNotNull()).select("doc_id", "quality", "a", "b"), a, b)
