@@ -10,8 +10,8 @@ pages it needs, a query on lengths reads none of the ids. ``offsets`` gives each
 Work: one range exchange of the documents by ``doc_id``, a sort inside each partition, and one Arrow pass that
 encodes. Prefix sums are within a part plus one row for each part; nothing else is gathered.
 
-Speed: a word is encoded once for each worker and kept in a table of bounded size; see ``Encoder``. A tokenizer for
-which that does not hold is recognised by its file and encodes whole texts.
+Speed: what stands between white space is encoded once for each worker and kept in a table of bounded size; see
+``Encoder``. A tokenizer for which that does not hold is recognised by its file and encodes whole texts.
 
 Cases: a null or empty text has the end id alone. Repeated rows are separate documents next to one another. A null
 ``doc_id`` comes first. An empty table gives an empty folder and an empty result.
@@ -23,7 +23,8 @@ import functools
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ from tessera.llm.common import scratch_dir, small, table, written
 #: Rows of a parquet page, bytes of a row group and of a page.
 WRITER = {"parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "compression": "zstd"}
 
-#: Words that a worker remembers before it starts anew, and the length from which one is not remembered.
-REMEMBERED, LONG = 400_000, 64
+#: Words and pieces that a worker remembers before it starts anew, and the length from which one is not remembered.
+REMEMBERED, LONG = 800_000, 64
 
 SCHEMA = "part int, doc_id long, before long, n_tokens int, ids array<int>"
 
@@ -51,8 +52,9 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPECIAL = "|>"
 
-#: The same pattern on lower-cased texts of ASCII and Latin-1 letters, for which no normal form changes a thing.
-PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
+#: The same pattern on lower-cased texts of ASCII and Latin-1 letters, for which no normal form changes a thing. Four
+#: control characters are left out, which are white space to ``str.split`` and symbols to the pattern.
+PLAIN = re.compile("[\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ÿ]*")
 WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \t-\ra-zß-öø-ÿ0-9]+")
 
 
@@ -63,19 +65,41 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class Pieces(dict):
+    """ids of lower-case plain pieces of texts; words are such pieces, and others are put together from them."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece.isalpha():
+            got = self.encode(piece)
+        elif piece[:-1].isalpha() and not piece[-1].isalnum():
+            got = self[piece[:-1]] + self[piece[-1]]
+        else:
+            words = WORD.findall(piece)
+            got = self.encode(piece) if len(words) == 1 else b"".join([self[w] for w in words])
+        if len(piece) < LONG:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[piece] = got
+        return got
+
+
 class Encoder:
     """ids of texts as bytes of int32, with ``end`` appended to each.
 
-    For a tokenizer that splits by ``SPLIT`` the words are cut here and each is encoded once while it is remembered.
-    Texts with other letters are cut at white space, where that tokenizer always cuts. Others are encoded whole.
+    A tokenizer that splits by ``SPLIT`` always cuts at white space. Texts are cut there, and each piece is encoded once
+    while it is remembered; one with other letters is given to the tokenizer. With any other tokenizer, texts are encoded
+    whole.
     """
 
     def __init__(self, path: str, end: int):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end = Tokenizer.from_file(path), np.array([end], dtype=np.int32).tobytes()
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {"": b""}
+        self.pieces, self.others = Pieces(self._word), {}
         self.letters = byte_letters()
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
@@ -91,23 +115,22 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         letters = self.letters
         spelled = word if word.isascii() and word.isalnum() else "".join(letters[b] for b in word.encode())
-        got = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], dtype=np.int32).tobytes()
-        if len(word) < LONG:
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-            self.words[word] = got
-        return got
-
-    def _plain(self, text: str) -> list[bytes]:
-        known, word = self.words.get, self._word
-        return [known(w) or word(w) for w in WORD.findall(text.lower())]
-
-    def _chunk(self, chunk: str) -> bytes:
-        got = b"".join(self._plain(chunk)) if PLAIN.fullmatch(chunk) and SPECIAL not in chunk else self._encode(chunk)
-        if len(chunk) < LONG:
-            if len(self.chunks) >= REMEMBERED // 4:
-                self.chunks = {"": b""}
-            self.chunks[chunk] = got
+        return array("i", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, text.lower().split()))
+
+    def _piece(self, piece: str) -> bytes:
+        """One of a text that isn't plain."""
+        if PLAIN.fullmatch(piece) and SPECIAL not in piece:
+            return self._plain(piece)
+        got = self.others.get(piece)
+        if got is None:
+            got = self._encode(piece)
+            if len(piece) < LONG:
+                if len(self.others) >= REMEMBERED // 4:
+                    self.others.clear()
+                self.others[piece] = got
         return got
 
     def __call__(self, text: str | None) -> bytes:
@@ -116,14 +139,8 @@ class Encoder:
         if not self.by_word:
             return self._encode(text) + self.end
         if PLAIN.fullmatch(text) and SPECIAL not in text:
-            parts = self._plain(text)
-        else:
-            parts = []
-            for c in text.replace("\n", " ").split(" "):
-                got = self.chunks.get(c)
-                parts.append(self._chunk(c) if got is None else got)
-        parts.append(self.end)
-        return b"".join(parts)
+            return self._plain(text) + self.end
+        return b"".join(map(self._piece, text.replace("\n", " ").split(" "))) + self.end
 
 
 @functools.lru_cache(maxsize=2)
