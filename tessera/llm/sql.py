@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm import quality_rules as rules
-from tessera.llm import secrets
+from tessera.llm import parity_join, secrets
 
 #: White-space separated words of a text.
 WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
@@ -89,3 +89,59 @@ WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text
 SELECT doc_id, {', '.join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN g USING (id)
 """
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+PARITY_JOIN = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all({LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+     sh AS (SELECT DISTINCT id, array_to_string(w[i + 1:i + {parity_join.SHINGLE}], ' ') AS s
+            FROM (SELECT id, w, unnest(range(0, greatest(1, len(w) - {parity_join.SHINGLE - 1}))) AS i FROM d WHERE len(w) > 0)),
+     n AS (SELECT id, count(*) AS n FROM sh GROUP BY id),
+     both_have AS (SELECT a.id AS x, b.id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.id <> b.id GROUP BY ALL),
+     link AS (SELECT x, y FROM both_have JOIN n nx ON nx.id = x JOIN n ny ON ny.id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+     reach(id, r) AS (SELECT id, id FROM d UNION SELECT reach.id, link.y FROM reach JOIN link ON link.x = reach.r),
+     low AS (SELECT reach.id, min(d.doc_id) AS component_id FROM reach JOIN d ON d.id = reach.r GROUP BY reach.id)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM d LEFT JOIN n USING (id) JOIN low USING (id)
+"""
+
+HARD_NEGATIVES = """
+WITH r AS (SELECT row_number() OVER () AS id, vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE CAST(label AS BIGINT) END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT a.id AS a, a.vec_id AS anchor_id, b.id AS b, b.vec_id AS other_id, a.label = b.label AS same,
+                  CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+           FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.id <> b.id),
+     p AS (SELECT a, anchor_id, b AS p, other_id AS positive_id, score AS positive_score FROM s WHERE same
+           QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, other_id) <= 5),
+     n AS (SELECT p.*, s.other_id AS negative_id, s.score AS negative_score,
+                  row_number() OVER (PARTITION BY p.a, p.p ORDER BY s.score DESC, s.other_id) AS rank
+           FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+#: A byte put into a CRC-32, bit by bit.
+_BYTE = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda k, _: xor(k >> 1, 3988292384 * (k & 1)))"
+_CRC = f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda c, b: {_BYTE}))"
+
+RESAMPLING = f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+     g AS (SELECT unnest(regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS f FROM benchmark),
+     df AS (SELECT id, unnest(w) AS f FROM d),
+     b AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM (SELECT f FROM df UNION ALL SELECT f FROM g))),
+     k AS (SELECT f, {_CRC} % 10000 AS bucket
+           FROM (SELECT f, [CAST('0x' || substr(h, 2 * CAST(i AS INT) + 1, 2) AS BIGINT) FOR i IN range(0, len(h) // 2)] AS bytes FROM b)),
+     s AS (SELECT bucket, count(*) AS s FROM df JOIN k USING (f) GROUP BY bucket),
+     t AS (SELECT bucket, count(*) AS t FROM g JOIN k USING (f) GROUP BY bucket),
+     gain AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM df) + 10000)
+                     / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM g) + 10000)))) AS BIGINT) AS gain
+              FROM (SELECT DISTINCT bucket FROM k) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+     sums AS (SELECT id, CAST(sum(gain) AS BIGINT) AS weight FROM df JOIN k USING (f) JOIN gain USING (bucket) GROUP BY id),
+     x AS (SELECT id, doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight,
+                  CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+           FROM d LEFT JOIN sums USING (id)),
+     y AS (SELECT id, doc_id, CAST(n_features AS BIGINT) AS n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM x),
+     z AS (SELECT id, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM y WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * (SELECT count(*) FROM z) // 100 THEN rank END AS rank FROM y LEFT JOIN z USING (id)
+"""
