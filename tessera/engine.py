@@ -109,8 +109,7 @@ def project_parts(files: DataFrame, tree: DataFrame) -> list[Part]:
 
 
 def parts(files: DataFrame, tree: DataFrame, items: DataFrame, config: Config, packs: list[pk.Pack]) -> list[Part]:
-    literals, embedded = code.embedded_sql(tree, trees.sql_items)
-    embedded = saved(embedded)
+    literals, embedded = code.embedded_sql(tree, trees.items_of)
     singles = tuple(sorted({r for r, _, _ in code.predicates()}))
     hosts = names(option(config, "SVC0010", "allowedHosts", list, []))
     plain = {
@@ -187,8 +186,8 @@ def check(files: DataFrame, config: Config | None = None, baseline: DataFrame |
         files = files.where(F.lit(folder == "") | F.col("path").startswith(f"{folder}/"))
         alone = src.single_file(files, target)
         alone = None if alone.isEmpty() else alone
-    tree = saved(trees.csharp_nodes(files.where("language = 'csharp'")))
-    items = saved(trees.sql_items(files.where("language = 'sql'")))
+    tree = trees.tree_of(files.where("language = 'csharp'"))
+    items = trees.items_of(files.where("language = 'sql'"))
     chosen = [Part(ids, p.make) for p in parts(files, tree, items, config, packs) if (ids := tuple(i for i in p.ids if i in active))]
     raw, failed = ran(chosen, spark.createDataFrame([], "file_id long, rule_id string, message string, line int, col int"))
     if alone is not None:

@@ -195,39 +195,63 @@ def duplicate_literals(nodes: DataFrame, least_length: int = 10, least: int = 3)
     return found(s.where((F.col("_n") >= least) & (F.col("_k") > 1)), "AR0061", F.concat(F.lit("literal repeats: '"), c("value"), F.lit("'")))
 
 
-def unused_parameters(nodes: DataFrame) -> DataFrame:
-    owner = of(nodes.where("kind in ('Method', 'Constructor', 'LocalFunction')"), "o", "node", "last", "modifiers", "op")
-    body = of(nodes.where("role in ('body', 'arrow') and parent_kind in ('Method', 'Constructor', 'LocalFunction')"), "b", "parent", "node", "last")
-    p = parameters(nodes).where(c("name").isNotNull() & ~c("name").startswith("_")).join(owner, (c("file_id") == c("o_file")) & (c("parent") == c("o_node")))
-    p = p.where(~F.arrays_overlap("o_modifiers", F.array(F.lit("override"), F.lit("virtual"), F.lit("abstract"))) & F.coalesce(c("o_op") != "explicit", F.lit(True)))
-    p = p.join(event_shaped(nodes), (c("file_id") == c("e_file")) & (c("parent") == c("e_parent")), "left_anti")
-    p = p.join(body, (c("file_id") == c("b_file")) & (c("parent") == c("b_parent")))
-    used = of(nodes.where("kind = 'Ident'"), "u", "node", "name")
-    return found(p.join(used, (c("file_id") == c("u_file")) & (c("name") == c("u_name")) & c("u_node").between(c("b_node"), c("b_last")), "left_anti"), "AR0070", F.concat(F.lit("parameter '"), c("name"), F.lit("' is not used")))
+def next_use(events: DataFrame) -> DataFrame:
+    """``events`` (file_id, name, at, use, ...) with ``next``: for each row the place of the next use of its name.
+
+    A use has its own place as ``at`` and ``use``; other rows have null as ``use``, and as ``at`` the first place that counts
+    for them. One sort by file, name and place, and a running window: however often a name occurs, a row stays a row.
+    """
+    later = Window.partitionBy("file_id", "name").orderBy(F.col("at").desc(), F.col("use").desc_nulls_last())
+    return events.withColumn("next", F.last("use", ignorenulls=True).over(later.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
 
+def unused(events: DataFrame) -> DataFrame:
+    """Rows of ``events`` that ask (``until`` is not null) and have no use from ``at`` to ``until``."""
+    return next_use(events).where(c("until").isNotNull() & F.coalesce(c("next") > c("until"), F.lit(True)))
 
-def locals_of(nodes: DataFrame) -> DataFrame:
-    """Declarators of locals that are neither using nor const, with the end of their enclosing block."""
+
+def unused_parameters(nodes: DataFrame) -> DataFrame:
+    owner = of(nodes.where("kind in ('Method', 'Constructor', 'LocalFunction')"), "o", "node", "modifiers", "op")
+    owner = owner.where(~F.arrays_overlap("o_modifiers", F.array(F.lit("override"), F.lit("virtual"), F.lit("abstract"))) & F.coalesce(c("o_op") != "explicit", F.lit(True)))
+    body = of(nodes.where("role in ('body', 'arrow') and parent_kind in ('Method', 'Constructor', 'LocalFunction')"), "b", "parent", "node", "last")
+    owner = owner.join(event_shaped(nodes), (c("o_file") == c("e_file")) & (c("o_node") == c("e_parent")), "left_anti")
+    inside = owner.join(body, (c("o_file") == c("b_file")) & (c("o_node") == c("b_parent"))).select("b_file", "b_parent", "b_node", "b_last")
+    asks = (c("kind") == "Parameter") & (c("role") == "parameter") & ~c("name").startswith("_")
+    rows = nodes.where((c("kind") == "Ident") | asks).select("file_id", "node", "kind", "role", "name", "start_line", "start_col", F.when(asks, c("parent")).alias("asks"))
+    met = rows.join(inside, (c("file_id") == c("b_file")) & (c("asks") == c("b_parent")), "left").where((c("kind") == "Ident") | c("b_node").isNotNull())
+    use = F.when(c("kind") == "Ident", c("node"))
+    events = met.select("file_id", "name", "start_line", "start_col", F.coalesce(use, "b_node").alias("at"), use.alias("use"), c("b_last").alias("until"))
+    return found(unused(events), "AR0070", F.concat(F.lit("parameter '"), c("name"), F.lit("' is not used")))
+
+
+def locals_and(nodes: DataFrame, asks: Column, use: Column, name: Column) -> DataFrame:
+    """Events of the declarators ``asks`` of locals that are neither using nor const, and of the nodes ``use`` under ``name``."""
     owner = of(nodes.where("kind = 'LocalDeclaration'").where(~F.arrays_overlap("modifiers", F.array(F.lit("using"), F.lit("const")))), "l", "node")
     block = of(nodes.where("kind = 'Block'"), "b", "node", "last")
-    d = nodes.where("kind = 'Declarator'").join(owner, (c("file_id") == c("l_file")) & (c("parent") == c("l_node")), "left_semi")
-    return d.join(block, (c("file_id") == c("b_file")) & (c("block") == c("b_node")))
+    asks, use = F.coalesce((c("kind") == "Declarator") & asks, F.lit(False)), F.coalesce(use, F.lit(False))
+    rows = nodes.where(asks | use).select(
+        "file_id", "node", "last", name.alias("name"), "start_line", "start_col", use.alias("uses"), F.when(asks, c("parent")).alias("declares"), F.when(asks, c("block")).alias("inside")
+    )
+    met = rows.join(owner, (c("file_id") == c("l_file")) & (c("declares") == c("l_node")), "left")
+    met = met.join(block, (c("file_id") == c("b_file")) & (c("inside") == c("b_node")), "left")
+    until = F.when(c("l_node").isNotNull(), c("b_last"))
+    at = F.when(c("uses"), c("node")).otherwise(c("last") + 1)
+    return met.select("file_id", "node", "name", "start_line", "start_col", at.alias("at"), F.when(c("uses"), c("node")).alias("use"), until.alias("until"))
 
 
 def unused_locals(nodes: DataFrame) -> DataFrame:
-    used = of(nodes.where("kind = 'Ident'"), "u", "node", "name")
-    d = locals_of(nodes).where(~c("name").startswith("_"))
-    return found(d.join(used, (c("file_id") == c("u_file")) & (c("name") == c("u_name")) & (c("u_node") > c("last")) & (c("u_node") <= c("b_last")), "left_anti"), "AR0071", F.concat(F.lit("local '"), c("name"), F.lit("' is not used")))
+    events = locals_and(nodes, ~c("name").startswith("_"), c("kind") == "Ident", c("name"))
+    return found(unused(events), "AR0071", F.concat(F.lit("local '"), c("name"), F.lit("' is not used")))
 
 
 def undisposed(nodes: DataFrame) -> DataFrame:
     made = of(nodes.where((c("kind") == "New") & simple(c("type")).isin(*DISPOSABLE) & (c("role") == "initializer")), "m", "parent")
-    d = locals_of(nodes).join(made, (c("file_id") == c("m_file")) & (c("node") == c("m_parent")), "left_semi")
     ident = (c("kind") == "Ident") & (c("role").isin("argument", "right", "value", "resource", "initializer", "element", "arrow") | (c("parent_kind") == "UsingStatement"))
     within_using = (c("kind") == "Ident") & (c("parent_kind") == "ExpressionStatement") & (c("role") == "expression")
     disposed = c("name").isin("Dispose", "DisposeAsync", "Close") & (c("kind") == "Invocation")
-    uses = of(nodes.where(ident | within_using), "u", "node", "name").unionByName(nodes.where(disposed).select(F.col("file_id").alias("u_file"), F.col("node").alias("u_node"), F.col("receiver_name").alias("u_name")))
-    return found(d.join(uses, (c("file_id") == c("u_file")) & (c("name") == c("u_name")) & (c("u_node") > c("last")) & (c("u_node") <= c("b_last")), "left_anti"), "AR0074", F.concat(F.lit("'"), c("name"), F.lit("' is never disposed")))
+    events = locals_and(nodes, F.lit(True), ident | within_using | disposed, F.when(disposed, c("receiver_name")).otherwise(c("name")))
+    d = unused(events).join(made, (c("file_id") == c("m_file")) & (c("node") == c("m_parent")), "left_semi")
+    return found(d, "AR0074", F.concat(F.lit("'"), c("name"), F.lit("' is never disposed")))
 
 
 def public_fields(nodes: DataFrame) -> DataFrame:

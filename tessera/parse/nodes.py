@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.common import by_file, laid_out
 from tessera.parse import csharp, tsql, tsql_format
 
 NODES = """file_id long, node int, parent int, last int, role string, kind string, parent_kind string, name string, op string, value string, type string, arity int,
@@ -26,6 +27,8 @@ SQL_ITEMS = "file_id long, item int, kind string, name string, schema string, op
 LOOPS = {"For", "Foreach", "ForeachDeconstruct", "While", "Do"}
 MEMBERS = {"Method", "Constructor", "LocalFunction", "Property", "Indexer", "Event"}
 SHOWN = 200
+#: Rows of a batch, or those of one file if it has more.
+GATHERED = 4096
 
 
 def _unwrapped(n: csharp.Node) -> csharp.Node:
@@ -226,11 +229,16 @@ def _table(files: DataFrame, make, schema: str) -> DataFrame:
     names = [c.split()[0] for c in schema.replace("\n", " ").split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        packed = lambda: pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*held, strict=True)), strict=True)), schema=kinds)
         for batch in batches:
             for i, t in zip(batch.column("file_id").to_pylist(), batch.column("text"), strict=True):
-                got = list(make(i, t.as_py() or ""))
-                if got:
-                    yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*got, strict=True)), strict=True)), schema=kinds)
+                held += make(i, t.as_py() or "")
+                if len(held) >= GATHERED:
+                    yield packed()
+                    held = []
+        if held:
+            yield packed()
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -240,7 +248,7 @@ def _table(files: DataFrame, make, schema: str) -> DataFrame:
 
 
 def csharp_nodes(files: DataFrame) -> DataFrame:
-    """Nodes of the C# files (file_id, text). Write the result once: every rule reads it.
+    """Nodes of the C# files (file_id, text). Every rule reads them: see ``tree_of``.
 
     A file that the parser gives up on has one row of kind ``Failed`` with the reason as its value.
     """
@@ -252,6 +260,16 @@ def sql_items(files: DataFrame) -> DataFrame:
     return _table(files, guarded(sql_rows, lambda i, why: (i, 0, "Error", None, None, None, 0, False, 0, [], 0, 0, 0, 1, why)), SQL_ITEMS)
 
 
+def tree_of(files: DataFrame) -> DataFrame:
+    """``csharp_nodes`` written once, in buckets by file and sorted by node: parsed in as many tasks as there are buckets."""
+    return laid_out(csharp_nodes(by_file(files)), "node")
+
+
+def items_of(files: DataFrame) -> DataFrame:
+    """``sql_items`` written once in the same way."""
+    return laid_out(sql_items(by_file(files)), "item")
+
+
 def sql_layouts(files: DataFrame) -> DataFrame:
     """(file_id, formatted, changed, inline_comments) of the SQL files (file_id, text); a file that fails stays as it is."""
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import code_rules as code
-from tessera.common import saved
+from tessera.common import by_file
 from tessera.parse import nodes as trees
 from tessera.plans.tables import table
 
@@ -127,7 +127,7 @@ def files(spark, d, case: Case) -> DataFrame:
 
 
 def tree(spark, d, case: Case) -> DataFrame:
-    return saved(trees.csharp_nodes(files(spark, d, case)))
+    return trees.tree_of(files(spark, d, case))
 
 
 def shown(found: DataFrame, rule: str) -> DataFrame:
@@ -147,7 +147,7 @@ def plain(case: Case):
 
 
 def sql_case(case: Case):
-    return lambda spark, d: shown(code.sql_rules(trees.sql_items(files(spark, d, case)), "forbidden", "^#tmp", "^usp_"), case.rule)
+    return lambda spark, d: shown(code.sql_rules(trees.sql_items(by_file(files(spark, d, case))), "forbidden", "^#tmp", "^usp_"), case.rule)
 
 
 def layer(spark, d):
@@ -160,8 +160,8 @@ def namespace(spark, d):
 
 
 def star(spark, d):
-    literals, items = code.embedded_sql(tree(spark, d, STAR_CASE), trees.sql_items)
-    return shown(code.inline_star(literals, saved(items)), "AR0023")
+    literals, items = code.embedded_sql(tree(spark, d, STAR_CASE), trees.items_of)
+    return shown(code.inline_star(literals, items), "AR0023")
 
 
 DDL = "CREATE TABLE dbo.Orders (Id INT, Total MONEY)"
@@ -169,8 +169,8 @@ DDL = "CREATE TABLE dbo.Orders (Id INT, Total MONEY)"
 
 def column(spark, d):
     ddl = trees.sql_items(spark.range(1).select(F.col("id").alias("file_id"), F.lit(DDL).alias("text")))
-    literals, items = code.embedded_sql(tree(spark, d, COLUMN_CASE), trees.sql_items)
-    return shown(code.unknown_columns(literals, saved(items), code.catalog(ddl)), "AR0080")
+    literals, items = code.embedded_sql(tree(spark, d, COLUMN_CASE), trees.items_of)
+    return shown(code.unknown_columns(literals, items, code.catalog(ddl)), "AR0080")
 
 
 def settings_key(spark, d):

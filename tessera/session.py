@@ -87,7 +87,7 @@ class Session:
         """Members with their place and project, and call edges."""
         if "members" not in self.kept:
             files = self.files()
-            tree = saved(trees.csharp_nodes(files.where("language = 'csharp'")))
+            tree = trees.tree_of(files.where("language = 'csharp'"))
             folders = files.where("language = 'project'").select(src.directory(F.col("path")).alias("project")).distinct()
             own = src.nearest_owner(files.select("file_id", "path"), folders)
             place = files.select("file_id", "path").join(own, "file_id", "left").select(F.col("file_id").alias("_f"), "path", F.coalesce("project", src.directory(F.col("path"))).alias("project"))
