@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.common import saved
+from tessera.sources.walk import walked
 
 #: What is left out of every walk, and the language of a file by its extension.
 DEFAULT_EXCLUDES = ("**/bin/**", "**/obj/**", "**/node_modules/**", "**/.git/**")
@@ -83,13 +84,36 @@ def language(path: Column) -> Column:
 
 
 def read_workspace(spark: SparkSession, root: str, excludes: tuple[str, ...] = ()) -> DataFrame:
-    """(file_id, path, language, text) of the sources below ``root``, by Spark's own listing.
+    """(file_id, path, language, text) of the sources below ``root``, or of one file and the projects below its folder.
 
-    Bytes that aren't UTF-8 become replacement characters; files that vanish meanwhile are left out.
+    Bytes that aren't UTF-8 become replacement characters; files that vanish meanwhile or can't be read are left out
+    (``unreadable`` tells of them). Excluded folders aren't entered.
     """
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{cs,sql,csproj,json}").option("ignoreMissingFiles", True).format("binaryFile").load(root)
-    base = re.escape(root.rstrip("/"))
-    rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), f"^{base}/", "")
+    if remote(root):
+        return stored_workspace(spark, root, excludes)
+    found = walked(spark, local_path(root), [*DEFAULT_EXCLUDES, *excludes]).where("problem is null")
+    return found.select(F.xxhash64("path").alias("file_id"), "path", "language", "text")
+
+
+def unreadable(spark: SparkSession, root: str, excludes: tuple[str, ...] = ()) -> DataFrame:
+    """(path, problem) of folders and files below a local ``root`` that can't be read."""
+    return walked(spark, local_path(root), [*DEFAULT_EXCLUDES, *excludes]).where("problem is not null").select("path", "problem")
+
+
+def remote(root: str) -> bool:
+    return re.match(r"^(?!file:)[A-Za-z][A-Za-z0-9+.-]+:", root) is not None
+
+
+def local_path(root: str) -> str:
+    return "/" + re.sub("^file:/*", "", root) if root.startswith("file:") else root
+
+
+def stored_workspace(spark: SparkSession, root: str, excludes: tuple[str, ...] = ()) -> DataFrame:
+    """``read_workspace`` for a folder of a store that only Spark reads, by Spark's own listing."""
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{[cC][sS],[sS][qQ][lL],[cC][sS][pP][rR][oO][jJ],[jJ][sS][oO][nN]}").option("ignoreMissingFiles", True).format("binaryFile").load(root)
+    # the path's own form may differ from the root's in the number of slashes
+    bare = lambda x: F.regexp_replace(x, "^[A-Za-z0-9+.-]+:/*", "/")
+    rel = F.substring(bare(F.col("path")), F.length(bare(F.lit(root.rstrip("/")))) + 2, F.length("path"))
     text = F.make_valid_utf8(F.col("content").cast("string"))
     out = raw.select(rel.alias("path"), F.regexp_replace(text, "^\ufeff", "").alias("text"))
     out = out.where(not_excluded(F.col("path"), [*DEFAULT_EXCLUDES, *excludes]))
