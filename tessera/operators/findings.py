@@ -112,13 +112,59 @@ def at_least(findings: DataFrame, least: str) -> DataFrame:
     return findings.where(rank(F.col("severity")) >= SEVERITIES.index(least))
 
 
-def suggestions(unknown: DataFrame, known: DataFrame, most: int = 2) -> DataFrame:
-    """(word, suggestion, distance): the nearest known word within ``most`` edits, the first in the alphabet on ties.
+#: Words up to this length are found by what is left of them, longer ones by pieces.
+SHORT = 24
+
+
+def _without_one(word: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+
+
+def leavings(word: Column, most: int) -> Column:
+    """The word and all that deleting up to ``most`` of its letters leaves. Two words within ``most`` edits share one."""
+    out = last = F.array(word)
+    for _ in range(most):
+        last = F.array_distinct(F.flatten(F.transform(last, lambda w: F.when(F.length(w) > 0, _without_one(w)).otherwise(F.array().cast("array<string>")))))
+        out = F.array_union(out, last)
+    return out
+
+
+def pieces(word: Column, most: int) -> Column:
+    """(n, k, piece): a word of ``n`` letters cut into ``most + 1`` pieces, one of which ``most`` edits leave whole."""
+    n = F.length(word)
+    cut = lambda k: F.floor(n * k / (most + 1)).cast("int")
+    return F.array(*(F.struct(n.alias("n"), F.lit(k).alias("k"), F.substring(word, cut(k) + 1, cut(k + 1) - cut(k)).alias("piece")) for k in range(most + 1)))
 
-    Candidates share a length class; Spark picks the join's strategy.
+
+def places(word: Column, most: int) -> Column:
+    """(n, k, piece): where a word within ``most`` edits, of ``n`` letters, may have its pieces in this one."""
+    out = []
+    for by in range(-most, most + 1):
+        n = F.length(word) + by
+        cut = lambda k, n=n: F.floor(n * k / (most + 1)).cast("int")
+        for k in range(most + 1):
+            for shift in range(-most, most + 1):
+                first = cut(k) + 1 + shift
+                piece = F.when((n > 0) & (first >= 1), F.substring(word, first, cut(k + 1) - cut(k)))
+                out.append(F.struct(n.alias("n"), F.lit(k).alias("k"), piece.alias("piece")))
+    return F.array_distinct(F.filter(F.array(*out), lambda x: x.piece.isNotNull()))
+
+
+def near_words(unknown: DataFrame, known: DataFrame, most: int = 2) -> DataFrame:
+    """(word, suggestion): pairs that may be within ``most`` edits, whatever their case; all that are, and few others.
+
+    Words share a leaving, or a piece at about its place if the known one is long. Both are keys of an equi-join.
     """
-    near = unknown.select("word", F.explode(F.sequence(F.greatest(F.length("word") - most, F.lit(0)), F.length("word") + most)).alias("n"))
-    names = known.select(F.col("word").alias("suggestion"), F.length("word").alias("n"))
-    pairs = near.join(names, "n").withColumn("distance", F.levenshtein(F.lower("word"), F.lower("suggestion"), most)).where("distance >= 0")
+    mine, other = unknown.select("word", F.lower("word").alias("_w")), known.select(F.col("word").alias("suggestion"), F.lower("word").alias("_s"))
+    short = mine.where(F.length("_w") <= SHORT + most).select("word", F.explode(leavings(F.col("_w"), most)).alias("left"))
+    held = other.where(F.length("_s") <= SHORT).select("suggestion", F.explode(leavings(F.col("_s"), most)).alias("left"))
+    long = mine.where(F.length("_w") > SHORT - most).select("word", F.explode(places(F.col("_w"), most)).alias("x")).select("word", "x.*")
+    cut = other.where(F.length("_s") > SHORT).select("suggestion", F.explode(pieces(F.col("_s"), most)).alias("x")).select("suggestion", "x.*")
+    return short.join(held, "left").select("word", "suggestion").union(long.join(cut, ["n", "k", "piece"]).select("word", "suggestion")).distinct()
+
+
+def suggestions(unknown: DataFrame, known: DataFrame, most: int = 2) -> DataFrame:
+    """(word, suggestion, distance): the nearest known word within ``most`` edits, the first in the alphabet on ties."""
+    pairs = near_words(unknown, known, most).withColumn("distance", F.levenshtein(F.lower("word"), F.lower("suggestion"), most)).where("distance >= 0")
     best = F.min(F.struct("distance", F.lower("suggestion").alias("low"), "suggestion")).alias("b")
     return pairs.groupBy("word").agg(best).select("word", "b.suggestion", F.col("b.distance").cast("long").alias("distance"))

@@ -9,9 +9,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessera.common import saved
 from tessera.sources.walk import walked
 
 #: What is left out of every walk, and the language of a file by its extension.
@@ -71,8 +69,9 @@ def settings_files(files: DataFrame, projects: DataFrame, additional: tuple[str,
 
 
 def malformed(settings: DataFrame) -> DataFrame:
-    """Rows of ``settings`` (..., text) that aren't a JSON object or array."""
-    return settings.where(F.try_parse_json("text").isNull() | ~F.trim("text").rlike(r"^[\[{]"))
+    """Rows of ``settings`` (..., text) that aren't a JSON object or array, comments and trailing commas aside."""
+    plain = plain_json(F.col("text"))
+    return settings.where(F.try_parse_json(plain).isNull() | ~plain.rlike(r"^\s*[\[{]"))
 
 
 def language(path: Column) -> Column:
@@ -162,25 +161,35 @@ def longest_prefix(items: DataFrame, key: str, prefixes: DataFrame) -> DataFrame
     return met.groupBy(*items.columns).agg(best).select(*items.columns, "_best.*")
 
 
+def plain_json(text: Column) -> Column:
+    """JSON without comments and trailing commas; strings stay as they are."""
+    quoted = r'"(?:[^"\\]++|\\.)*+"'
+    bare = F.regexp_replace(text, rf"({quoted})|//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/", "$1")
+    return F.regexp_replace(bare, rf"({quoted})|,(?=\s*+[}}\]])", "$1")
+
+
+#: Settings nested more deeply than this are an error, not cut.
+DEEPEST = 1000
+
+
 def json_leaves(settings: DataFrame) -> DataFrame:
-    """(file_id, path, value) of all leaves: objects and arrays are followed, names joined by ``:``. Malformed text has none.
+    """(file_id, path, value) of all leaves: objects and arrays are followed, names joined by ``:``.
 
-    Level by level as a map of raw JSON. Each level is saved, so that it is made once, until no object is left.
+    Comments and trailing commas are allowed; malformed text has no leaves. One plan: a recursive query over variants.
     """
-    kind = T.MapType(T.StringType(), T.StringType())
-    level = settings.select("file_id", F.lit("").alias("path"), F.col("text").alias("value"))
-    out = None
-    while True:
-        is_object, is_array = F.trim("value").startswith("{"), F.trim("value").startswith("[")
-        listed = F.from_json("value", T.ArrayType(T.StringType()))
-        as_map = F.when(is_object, F.from_json("value", kind)).when(is_array, F.map_from_arrays(F.transform(listed, lambda x, i: i.cast("string")), listed))
-        leaves = level.where(~(is_object | is_array) & (F.col("path") != "")).select("file_id", "path", "value")
-        out = leaves if out is None else out.unionByName(leaves)
-        level = level.where(is_object | is_array).select("file_id", "path", F.explode(as_map).alias("k", "value"))
-        level = saved(level.select("file_id", F.when(F.col("path") == "", F.col("k")).otherwise(F.concat_ws(":", "path", "k")).alias("path"), "value"))
-        if level.isEmpty():
-            break
-    return out
+    spark = settings.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(DEEPEST))
+    return spark.sql(
+        """
+        WITH RECURSIVE walk(file_id, path, v) AS (
+          SELECT file_id, '', try_parse_json(text) FROM {settings}
+          UNION ALL
+          SELECT w.file_id, concat_ws(':', nullif(w.path, ''), coalesce(x.key, CAST(x.pos AS STRING))), x.value FROM walk w, LATERAL variant_explode(w.v) x)
+        SELECT file_id, path, CAST(v AS STRING) AS value FROM walk WHERE path <> '' AND NOT schema_of_variant(v) RLIKE '^(OBJECT|ARRAY)<'
+        """,
+        settings=settings.select("file_id", plain_json(F.col("text")).alias("text")),
+    )
 
 
 def with_prefixes(paths: DataFrame) -> DataFrame:
