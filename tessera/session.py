@@ -13,26 +13,26 @@ from pyspark.sql import functions as F
 from tessera import config as cfg
 from tessera import engine
 from tessera import rules as known
-from tessera.common import saved
-from tessera.operators import code_rules as code
+from tessera.common import saved, shared_path
 from tessera.operators import graph, impact, reports
-from tessera.parse import nodes as trees
 from tessera.parse.tsql_format import formatted
 from tessera.sources import files as src
 from tessera.streaming.incremental import overlaid
+from tessera.streaming.store import Store, of_code
 
 METHODS = "initialize listRules analyzeFile analyzeWorkspace formatFile methodImpact methodTrace setSeverity invalidate reloadConfig writeBaseline shutdown".split()
 
 
 class Session:
-    """Unsaved texts lie over the files; members and calls are kept until something changes; severities that are set here
-    outlive a reload of the settings."""
+    """Unsaved texts lie over the files; members and calls lie in a store, in which only changed files are parsed again;
+    severities that are set here outlive a reload of the settings."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
         self.texts: dict[str, str] = {}
         self.severities: dict[str, str] = {}
         self.kept: dict[str, DataFrame] = {}
+        self.store = Store(spark, shared_path(spark), of_code())
         self.reload_config()
 
     def reload_config(self) -> list[str]:
@@ -87,12 +87,12 @@ class Session:
         """Members with their place and project, and call edges."""
         if "members" not in self.kept:
             files = self.files()
-            tree = trees.tree_of(files.where("language = 'csharp'"))
+            self.store.sync(files.where("language = 'csharp'"))
             folders = files.where("language = 'project'").select(src.directory(F.col("path")).alias("project")).distinct()
             own = src.nearest_owner(files.select("file_id", "path"), folders)
             place = files.select("file_id", "path").join(own, "file_id", "left").select(F.col("file_id").alias("_f"), "path", F.coalesce("project", src.directory(F.col("path"))).alias("project"))
-            self.kept["members"] = saved(code.members(tree).join(place, F.col("file_id") == F.col("_f")).drop("_f"))
-            self.kept["edges"] = saved(code.call_edges(tree))
+            self.kept["members"] = saved(self.store.table("members").join(place, F.col("file_id") == F.col("_f")).drop("_f"))
+            self.kept["edges"] = self.store.table("edges")
         return self.kept["members"], self.kept["edges"]
 
     def method_impact(self, path: str, depth: int = 6, callers: int = 50) -> list[dict]:

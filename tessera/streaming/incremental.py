@@ -1,12 +1,8 @@
-"""Keeping the node table up to date: only files whose content has changed are parsed again.
-
-The table is partitioned by ``version`` (a hash of path and text), so that a file's rows are found and dropped as a folder
-and nothing is rewritten.
-"""
+"""Which files have to be parsed again. ``store`` keeps the tables that follow from it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,17 +20,3 @@ def delta(files: DataFrame, parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     now = versions(files)
     known = parsed.select("version").distinct()
     return now.join(known, "version", "left_anti"), known.join(now.select("version"), "version", "left_anti")
-
-
-def follow(spark: SparkSession, source: str, target: str, parse, checkpoint: str, schema: str = "file_id long, path string, language string, text string"):
-    """A stream that parses files as they arrive in ``source`` (Parquet) and appends their nodes to ``target``.
-
-    A batch that is run again replaces its own folder, so that each file's nodes are there once.
-    """
-
-    def batch(df: DataFrame, number: int) -> None:
-        latest = df.groupBy("path").agg(F.max_by(F.struct(*df.columns), "file_id").alias("x")).select("x.*")
-        parse(latest).write.mode("overwrite").parquet(f"{target}/batch={number}")
-
-    stream = spark.readStream.schema(schema).parquet(source)
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

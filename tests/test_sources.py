@@ -1,6 +1,5 @@
 import subprocess
 
-from tessera.parse.nodes import sql_items
 from tessera.sources import git, projects
 from tessera.streaming import incremental
 
@@ -34,13 +33,9 @@ def test_projects_and_snippets(spark):
     assert got == {("P-1", 0, "csharp", "var x = 1;\nvar y;"), ("P-1", 1, "sql", "SELECT 1"), ("P-2", 0, "csharp", "z")}
 
 
-def test_incremental(spark, tmp_path):
+def test_incremental(spark):
     cols = "file_id long, path string, language string, text string"
     files = spark.createDataFrame([(1, "a.sql", "sql", "SELECT * FROM a"), (2, "b.sql", "sql", "SELECT 1")], cols)
     new = incremental.overlaid(files, spark.createDataFrame([(1, "a.sql", "sql", "SELECT 2")], cols))
     todo, gone = incremental.delta(new, incremental.versions(files))
     assert [r.path for r in todo.collect()] == ["a.sql"] and gone.count() == 1
-    files.write.parquet(str(tmp_path / "in"))
-    q = incremental.follow(spark, str(tmp_path / "in"), str(tmp_path / "out"), sql_items, str(tmp_path / "cp"))
-    q.awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out")).where("kind = 'SelectStar'").count() == 1
