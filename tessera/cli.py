@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 from pathlib import Path
 
@@ -107,15 +108,22 @@ def insight(args: argparse.Namespace) -> int:
     from tessera.operators import code_rules, insights
     from tessera.parse import nodes
     from tessera.sources import files as src
-    from tessera.sources import git
+    from tessera.sources import commits, git
 
     spark, config, root = session(), cfg.load(args.path), Path(args.path).resolve()
     now = F.current_timestamp()
-    touched = git.commits(spark, str(root))
+    top = git.repository_root(str(root)) or str(root)
+    below = os.path.relpath(root, os.path.realpath(top)).replace(os.sep, "/")
+    at_root = lambda name: name if below == "." else f"{below}/{name}"
+    changed = commits.changes(spark, top)
+    # paths are told from the folder that was asked for
+    touched = changed.select("hash", "ts", F.col("file") if below == "." else F.when(F.col("file").startswith(f"{below}/"), F.substring("file", len(below) + 2, 1 << 20)).alias("file")).where("file is not null")
     saved = config.baseline or cfg.BASELINE
     if args.command == "trend":
-        rows = [(h, t, git.show_at(str(root), h, f"./{saved}")) for h, t in sorted({(r.hash, r.ts) for r in touched.where(F.col("file").endswith(saved)).collect()}, key=lambda x: x[1])]
-        out = insights.summarised(insights.selected(spark.createDataFrame(rows, "revision string, at timestamp, text string"), args.limit))
+        own = commits.followed(changed).where(F.col("file") == at_root(saved)).select("hash", "ts", "blob")
+        text = commits.texts(own.select("blob").distinct(), top).withColumnRenamed("blob", "_blob")
+        rows = own.join(text, F.col("blob") == F.col("_blob")).select(F.col("hash").alias("revision"), F.col("ts").alias("at"), "text")
+        out = insights.summarised(insights.selected(rows, args.limit))
         for r in out.orderBy("at").collect():
             print(f"{r.at:%Y-%m-%d}\t{r.revision[:8]}\t{r.total}\t{r.delta:+d}\t{json.dumps(r.by_rule, sort_keys=True)}")
         return 0
@@ -131,8 +139,10 @@ def insight(args: argparse.Namespace) -> int:
     if message:
         print(message, file=sys.stderr)
     rows = spark.createDataFrame([(e["fingerprint"], e.get("ruleId"), e.get("file")) for e in entries], "fingerprint string, rule_id string, file string")
-    revisions = [(saved, t, git.show_at(str(root), h, f"./{saved}") or "") for h, t in {(r.hash, r.ts) for r in touched.where(F.col("file").endswith(saved)).collect()}]
-    since = git.introduced(spark.createDataFrame(revisions, "file string, ts timestamp, text string"), rows.select("fingerprint", F.lit(saved).alias("file"), F.col("fingerprint").alias("needle")))
+    own = commits.followed(changed).where(F.col("file") == at_root(saved))
+    text = commits.texts(own.select(F.explode(F.array("old_blob", "blob")).alias("blob")).distinct(), top)
+    needles = rows.select("fingerprint", F.lit(at_root(saved)).alias("file"), F.col("fingerprint").alias("needle"))
+    since = commits.introduced(commits.pickaxe(own, needles, text))
     churn = rows.join(recent, "file").select("fingerprint", "churn")
     debts = insights.debt(rows, since, churn, now)
     for r in insights.ranked(debts, args.top).withColumn("age", insights.format_age(F.col("age_days"))).collect():

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.common import saved
-from tessera.operators import graph
+from tessera.operators import root_sets
 
 
 def callers(members: DataFrame, edges: DataFrame) -> DataFrame:
@@ -30,14 +30,16 @@ def first_callers(called: DataFrame, most: int = 50) -> DataFrame:
 def covering(roots: DataFrame, edges: DataFrame, called: DataFrame, depth: int = 6) -> DataFrame:
     """(key, n_tests, bounded): test members that reach each root within ``depth`` calls; bounded if a key there has callers.
 
-    ``roots``: key; they are the members of a file or so, as a row is kept for each root and key that reaches it.
+    ``roots``: key; any number of them, as a key holds the roots that it reaches as sets of bits (``root_sets``).
     """
-    reached = saved(graph.reach(roots, edges, depth))
-    tests = called.where("is_test").select(F.col("callee").alias("_k"), F.lower("path").alias("_path"), "line")
-    hit = reached.where(F.col("depth") < depth).join(tests, F.col("key") == F.col("_k")).groupBy("root").agg(F.count_distinct("_path", "line").alias("n_tests"))
-    open_ends = graph.bounded(reached, edges, depth).withColumn("bounded", F.lit(True))
-    out = roots.select(F.col("key").alias("root")).distinct().join(hit, "root", "left").join(open_ends, "root", "left")
-    return out.select(F.col("root").alias("key"), F.coalesce("n_tests", F.lit(0)).cast("long").alias("n_tests"), F.coalesce("bounded", F.lit(False)).alias("bounded"))
+    names = root_sets.numbered(roots)
+    met = root_sets.reached(names, edges, depth)
+    tests = called.where("is_test").select(F.col("callee").alias("key"), F.concat_ws("\n", F.lower("path"), "line").alias("owner")).distinct()
+    hit = root_sets.counted(root_sets.gathered(met.where(F.col("depth") < depth), tests)).withColumnRenamed("n", "n_tests")
+    ends = root_sets.members(met.where(F.col("depth") == depth).join(edges.select(F.col("callee").alias("key")).distinct(), "key", "left_semi"))
+    out = names.join(hit.withColumnRenamed("root", "_h"), F.col("root") == F.col("_h"), "left")
+    out = out.join(ends.select(F.col("root").alias("_e")), F.col("root") == F.col("_e"), "left")
+    return out.select("key", F.coalesce("n_tests", F.lit(0)).cast("long").alias("n_tests"), F.col("_e").isNotNull().alias("bounded"))
 
 
 def impact(of: DataFrame, members: DataFrame, edges: DataFrame, depth: int = 6) -> DataFrame:

@@ -1,12 +1,9 @@
-"""Commits of a repository as rows. Reading calls the git command on the driver; what is asked of the rows is in Spark."""
+"""Single questions to the git command. ``commits`` reads the history."""
 
 from __future__ import annotations
 
 import subprocess
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
 
 def _git(root: str, *args: str) -> str | None:
     try:
@@ -21,28 +18,5 @@ def repository_root(path: str) -> str | None:
     return out.strip() if out else None
 
 
-def commits(spark: SparkSession, root: str, since: str | None = None) -> DataFrame:
-    """(hash, ts, file) for each file that each commit touches; empty without a repository."""
-    said = _git(root, "log", "--name-only", "--format=%x01%H %ct", *([f"--since={since}"] if since else [])) or ""
-    rows = []
-    for part in said.split("\x01")[1:]:
-        head, *names = part.strip().split("\n")
-        h, when = head.split(" ")
-        rows += [(h, int(when), n) for n in names if n]
-    return spark.createDataFrame(rows, "hash string, t long, file string").select("hash", F.timestamp_seconds("t").alias("ts"), "file")
-
-
 def show_at(root: str, revision: str, path: str) -> str | None:
     return _git(root, "show", f"{revision}:{path}")
-
-
-def introduced(revisions: DataFrame, needles: DataFrame) -> DataFrame:
-    """(fingerprint, introduced): the oldest revision in which the number of a text's occurrences changes.
-
-    ``revisions``: file, ts, text. ``needles``: fingerprint, file, needle.
-    """
-    both = revisions.join(needles, "file")
-    n = F.when(F.length("needle") > 0, F.floor((F.length("text") - F.length(F.replace("text", F.col("needle"), F.lit("")))) / F.length("needle"))).otherwise(0)
-    before = F.lag("_n", 1, 0).over(Window.partitionBy("fingerprint").orderBy("ts"))
-    changed = both.withColumn("_n", n).withColumn("_b", before).where("_n <> _b")
-    return changed.groupBy("fingerprint").agg(F.min("ts").alias("introduced"))

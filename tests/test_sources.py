@@ -1,28 +1,7 @@
-import subprocess
-
-from tessera.sources import git, projects
+from tessera.sources import projects
 from tessera.streaming import incremental
 
 
-def test_git(spark, tmp_path):
-    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b", *a], check=True, capture_output=True)
-    run("init", "-q")
-    for text in ("one", "two"):
-        (tmp_path / "a.sql").write_text(text)
-        run("add", ".")
-        run("commit", "-qm", text)
-    rows = git.commits(spark, str(tmp_path)).collect()
-    assert [r.file for r in rows] == ["a.sql"] * 2
-    assert git.show_at(str(tmp_path), "HEAD~1", "a.sql") == "one"
-    assert git.repository_root("/") is None
-
-
-def test_introduced(spark):
-    rev = spark.createDataFrame([("a", t, x) for t, x in enumerate(["", "foo", "foo foo", "bar"])], "file string, ts int, text string")
-    need = spark.createDataFrame([("f1", "a", "foo"), ("f2", "a", "bar"), ("f3", "a", "none")], "fingerprint string, file string, needle string")
-    assert {(r.fingerprint, r.introduced) for r in git.introduced(rev, need).collect()} == {("f1", 1), ("f2", 3)}
-
-
 def test_projects_and_snippets(spark):
     p = spark.createDataFrame([("a/x/x.csproj", '<Project><ItemGroup><ProjectReference Include="..\\y\\y.csproj" /></ItemGroup></Project>'), ("b.csproj", "<Project><Item>")], "path string, text string")
     read = projects.parsed(p)
