@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import findings as fi
 from tessera.operators import graph, insights
-from tessera.plans import code_cases, surface
+from tessera.plans import code_cases, surface, whole
 from tessera.plans import tables as t
 from tessera.sources import files as src
 
@@ -313,5 +313,5 @@ def age_labels(spark, d):
 # --- rules over code made from rows
 
 _queries, _oracles = code_cases.built()
-QUERIES |= _queries | surface.QUERIES
-ORACLES |= _oracles | surface.ORACLES
+QUERIES |= _queries | surface.QUERIES | whole.QUERIES
+ORACLES |= _oracles | surface.ORACLES | whole.ORACLES
