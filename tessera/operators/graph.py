@@ -137,10 +137,10 @@ def _placed(colour: DataFrame, entries: DataFrame, steps: list[DataFrame]) -> Da
     return saved(colour.union(marked).distinct())
 
 
-def _coloured(now: DataFrame) -> DataFrame:
-    """(node, colour) of the nodes whose component is found: each node takes the smallest node that reaches it as its
+def _coloured(now: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, colour) of those ``nodes`` whose component is found: each node takes the smallest node that reaches it as its
     colour, and those that reach that node inside the colour are its component."""
-    colour = saved(now.select(F.col("a").alias("node")).union(now.select("b")).distinct().withColumn("colour", F.col("node")))
+    colour = nodes.select("node", F.col("node").alias("colour"))
     changed = True
     while changed:
         near = now.join(colour, F.col("a") == F.col("node")).groupBy(F.col("b").alias("_b")).agg(F.min("colour").alias("_c"))
@@ -153,8 +153,8 @@ def _coloured(now: DataFrame) -> DataFrame:
     while not ahead.isEmpty():
         back = inside.join(ahead, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "colour").distinct()
         ahead = saved(back.join(met.select("node"), "node", "left_anti"))
-        met = saved(met.unionByName(ahead))
-    return met
+        met = met.unionByName(ahead)
+    return saved(met)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -166,12 +166,14 @@ def components(edges: DataFrame) -> DataFrame:
     rounds that grow with the logarithm of their length. What is left has two edges in and two out at every node, and is
     coloured, after which the rest goes round again.
     """
-    now, found, layers, idle = edges, None, [], 0
+    now, found, layers = edges, None, []
     while True:
         degrees = _degrees(now)
-        n, dead, chain = degrees.agg(F.count("*"), F.count_if(F.expr("n_out = 0 or n_in = 0")), F.count_if(F.expr("n_out = 1"))).first()
+        n, dead, chain, turned = degrees.agg(F.count("*"), *(F.count_if(F.expr(x)) for x in ("n_out = 0 or n_in = 0", "n_out = 1", "n_in = 1"))).first()
         if not n:
             break
+        # turned round, the chains of predecessors are those of successors
+        idle = not (chain or dead or turned)
         if chain:
             now, layer, rings = _contracted(now, degrees, chain)
             layers.append(layer)
@@ -181,14 +183,15 @@ def components(edges: DataFrame) -> DataFrame:
                 now = now.join(degrees.where(none).select(F.col("node").alias("_n")), F.col(end) == F.col("_n"), "left_anti")
             now = saved(now)
         elif idle:
-            met = _coloured(now)
+            met = _coloured(now, degrees)
             found = met if found is None else found.union(met)
+            if met.count() == n:
+                break
             for end in ("a", "b"):
                 now = now.join(met.select(F.col("node").alias("_n")), F.col(end) == F.col("_n"), "left_anti")
             now = saved(now)
-        idle = 0 if chain or dead or idle else 1
         now = now.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    colour = edges.select(F.col("a").alias("node"), F.col("a").alias("colour")).limit(0) if found is None else saved(found)
+    colour = edges.select(F.col("a").alias("node"), F.col("a").alias("colour")).limit(0) if found is None else found
     for entries, steps in reversed(layers):
         colour = _placed(colour, entries, steps)
     return colour
