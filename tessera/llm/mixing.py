@@ -5,11 +5,13 @@
    words. A target stops at ``most`` times its source's size, and the excess is shared again by weight. As a closed
    form over the sources sorted by the ratio of limit and weight, with running sums.
 3. Apportionment: the total is cut into blocks of equal token numbers, given to sources by the highest quotients
-   target / (2 k + 1). Each source is cut into shards by a seeded hash, as many as its size asks for, and its blocks
-   are given to shards in the same way: an integer quota for each shard, none of which grows with the corpus.
+   target / (2 k + 1). A source of under ``fine`` blocks has blocks of its own size instead, ``fine`` of them or one a word, and
+   as many as come nearest to its target, so that it changes nothing for the others. Each source is cut into shards by
+   a seeded hash, as many as its size asks for, and its blocks are given to shards by quotients again: an integer quota
+   for each shard, none of which grows with the corpus.
 4. Selection: in a shard, documents stand in seeded order end to end and are cut into blocks. A quota takes all blocks
-   as often as it covers them all, then a seeded permutation picks the rest. No block is enumerated but those of a
-   document at hand.
+   as often as it covers them all, then a run of blocks from a seeded place on for the rest. So at most two documents of a
+   shard are cut, each to one piece.
 
 A source may hold any part of the rows: it is spread over its shards, and sizes are summed before a shuffle. The only
 unpartitioned windows are over the sources, one row for each.
@@ -27,18 +29,15 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import packed, small, table, words, written
 
-#: Two primes; one of them is coprime to any number of blocks of a shard.
-PRIMES = (1_000_003, 999_983)
-
 
 @dataclass(frozen=True)
 class Mix:
     weights: tuple[int, ...] = (5, 2, 1)
     share: float = 1.5
     most: int = 2
-    #: Words in a block: at most ``block_words``, and at most a ``1 / fine`` of the smallest source.
+    #: Words in a block, and blocks of the smallest source that is apportioned with the others.
     block_words: int = 256
-    fine: int = 512
+    fine: int = 256
     shard_words: int = 1_000_000
     most_shards: int = 65_536
     seed: str = "mix"
@@ -87,17 +86,25 @@ def plan(sized: DataFrame, mix: Mix) -> tuple[DataFrame, DataFrame]:
     """Sources and cells (source, shard) with their quotas, both written tables; ``sized``: source, size, order_key."""
     sources = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), mix))
     every = Window.partitionBy(F.lit(0))
-    least = F.min(F.when(F.col("source_size") > 0, F.col("source_size"))).over(every)
-    block = F.greatest(F.lit(1), F.least(F.lit(mix.block_words), F.floor(F.coalesce(least, F.lit(1)) / mix.fine))).cast("long")
+    joint = F.col("source_size") >= mix.fine * mix.block_words
+    block = F.when(joint, F.lit(mix.block_words)).otherwise(F.greatest(F.lit(1), F.floor(F.col("source_size") / mix.fine))).cast("long")
     shards = F.greatest(F.lit(1), F.least(F.lit(mix.most_shards), F.ceil(F.col("source_size") / mix.shard_words))).cast("long")
-    total = F.floor(F.sum("target").over(every) / F.col("block") + 0.5)
-    sources = sources.withColumns({"block": block, "n_shards": shards}).withColumn("_seats", total.cast("long"))
-    sources = written(sainte_lague(sources, [], "target", "_seats", ["nth"], "blocks").drop("_seats"))
+    seats = F.coalesce(F.floor(F.sum(F.when(F.col("joint"), F.col("target"))).over(every) / mix.block_words + 0.5), F.lit(0))
+    sources = sources.withColumns({"joint": joint, "block": block, "n_shards": shards})
+    sources = sources.withColumn("_seats", F.when(F.col("joint"), seats).otherwise(F.lit(0)).cast("long"))
+    sources = sainte_lague(sources, ["joint"], "target", "_seats", ["nth"], "blocks").drop("_seats")
+    own = F.floor(F.col("target") / F.col("block") + 0.5)
+    sources = written(sources.withColumn("blocks", F.when(F.col("joint"), F.col("blocks")).otherwise(own).cast("long")))
     cells = in_shards(sized, sources).groupBy("source", "shard", "block", "blocks").agg(F.sum("size").alias("cell_size"))
     cells = sainte_lague(cells, ["source"], "cell_size", "blocks", ["shard"], "quota")
     n = F.ceil(F.col("cell_size") / F.col("block")).cast("long")
     cells = cells.withColumn("n_blocks", n).withColumn("quota", F.least("quota", F.col("n_blocks") * mix.most))
-    return sources, written(cells.select("source", "shard", "block", "n_blocks", "quota"))
+    whole = F.greatest("n_blocks", F.lit(1))
+    cells = cells.withColumns({"passes": F.floor(F.col("quota") / whole), "rest": F.col("quota") % whole})
+    place = F.md5(F.concat_ws(":", F.lit(mix.seed), "source", F.col("shard").cast("string")).cast("binary"))
+    first = F.conv(F.substring(place, 1, 8), 16, 10).cast("long") % (F.col("n_blocks") - F.col("rest") + 1)
+    cells = cells.withColumns({"run_from": first * F.col("block"), "run_to": (first + F.col("rest")) * F.col("block")})
+    return sources, written(cells.select("source", "shard", "passes", "run_from", "run_to"))
 
 
 def in_shards(sized: DataFrame, sources: DataFrame) -> DataFrame:
@@ -116,32 +123,20 @@ def order_key(mix: Mix) -> Column:
 def mixed(sized: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """``sized`` (a written table: doc_id, source, size, order_key, ...) with its source's size and target, and what the mix takes.
 
-    ``passes``: times that the whole document is taken; ``start`` and ``end``: its words in its shard; ``n_blocks``,
-    ``rest``: of the shard; see ``picked``. ``taken``: words in all.
+    ``passes``: times that the whole document is taken; ``start`` and ``end``: its words in its shard; ``run_from``,
+    ``run_to``: the words of the shard that are taken once more. ``taken``: words in all.
     """
     sources, cells = plan(sized, mix)
     placed = in_shards(sized, sources)
     cell = Window.partitionBy("source", "shard").orderBy("order_key", "doc_id", "size")
     end = F.sum("size").over(cell.rowsBetween(Window.unboundedPreceding, 0))
     placed = placed.withColumn("end", end).withColumn("start", F.col("end") - F.col("size"))
-    said = small(cells.withColumnsRenamed({"source": "_source", "shard": "_shard"}).drop("block"))
+    said = small(cells.withColumnsRenamed({"source": "_source", "shard": "_shard"}))
     out = placed.join(said, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard"))).drop("_source", "_shard")
-    whole = F.greatest("n_blocks", F.lit(1))
-    out = out.withColumns({"passes": F.floor(F.col("quota") / whole), "rest": F.col("quota") % whole})
-    blocks = F.sequence(F.floor(F.col("start") / F.col("block")), F.floor((F.col("end") - 1) / F.col("block")))
-    inside = lambda b: F.least((b + 1) * F.col("block"), F.col("end")) - F.greatest(b * F.col("block"), F.col("start"))
-    part = F.aggregate(blocks, F.lit(0).cast("long"), lambda a, b: a + F.when(picked(b), inside(b)).otherwise(F.lit(0).cast("long")))
-    part = F.when((F.col("size") > 0) & (F.col("rest") > 0), part).otherwise(F.lit(0).cast("long"))
+    part = F.greatest(F.lit(0), F.least("end", "run_to") - F.greatest("start", "run_from"))
     return out.withColumn("taken", F.col("passes") * F.col("size") + part)
 
 
-def picked(b: Column) -> Column:
-    """Whether block ``b`` of a shard is among the ``rest`` that a permutation of its blocks puts first."""
-    first, second = PRIMES
-    by = F.when(F.col("n_blocks") % first != 0, F.lit(first)).otherwise(F.lit(second))
-    return (b * by + 17) % F.col("n_blocks") < F.col("rest")
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = Mix()
     docs = table(spark, sf_dir, "documents")
@@ -152,19 +147,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix itself: a document stands as often as it is taken whole, and once with the words of the picked blocks.
 
-    Blocks cut documents at words; a cut text is its picked words with the white space that follows each.
+    A run of blocks cuts documents at words; a cut text is one piece, with the white space between its words.
     """
     mix = Mix()
     key = F.xxhash64("doc_id", "text", "source")
     slim = docs.select("doc_id", "source", key.alias("row_key"), F.size(words(F.col("text"))).cast("long").alias("size"), order_key(mix).alias("order_key"))
-    chosen = mixed(written(slim), mix).where("taken > 0").select("row_key", "start", "block", "n_blocks", "passes", "rest", F.col("size").alias("_size"), (F.col("taken") - F.col("passes") * F.col("size")).alias("part"))
+    chosen = mixed(written(slim), mix).where("taken > 0").select("row_key", "start", "run_from", "passes", F.col("size").alias("_size"), (F.col("taken") - F.col("passes") * F.col("size")).alias("part"))
     # rows of one id, text and source stand for one another: each meets the selections of its like by number
     nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("_row")))
     left = docs.select(packed(docs).alias("_row"), key.alias("_key")).withColumn("_nth", nth)
     chosen = chosen.withColumn("_which", F.row_number().over(Window.partitionBy("row_key").orderBy("start")))
     both = left.join(chosen, (F.col("_key") == F.col("row_key")) & (F.col("_nth") == F.col("_which")))
     pieces = F.regexp_extract_all(F.col("_row.text"), F.lit("[^ \\t-\\r]+[ \\t-\\r]*"), F.lit(0))
-    cut = F.array_join(F.filter(pieces, lambda x, i: picked(F.floor((F.col("start") + i) / F.col("block")))), "")
+    first = F.greatest(F.lit(0), F.col("run_from") - F.col("start")) + 1
+    cut = F.array_join(F.slice(pieces, first.cast("int"), F.col("part").cast("int")), "")
     texts = F.array_compact(
         F.concat(
             F.array_repeat(F.col("_row.text"), F.col("passes").cast("int")),

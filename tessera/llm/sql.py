@@ -46,27 +46,26 @@ WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text,
                       / CAST(sum(weight) OVER (ORDER BY top::DOUBLE / weight, nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS BIGINT) AS level FROM s2),
      lev AS (SELECT arg_min(level, top::DOUBLE / weight * 1e6 + nth) AS level FROM s3 WHERE level <= top::DOUBLE / weight),
      s4 AS (SELECT s3.* EXCLUDE (level), least(top::DOUBLE, lev.level * weight) AS target,
-                   CAST(greatest(1, least(256, (SELECT min(source_size) FROM s0 WHERE source_size > 0) // 512)) AS BIGINT) AS block,
+                   source_size >= 256 * 256 AS joint,
+                   CAST(CASE WHEN source_size >= 256 * 256 THEN 256 ELSE greatest(1, source_size // 256) END AS BIGINT) AS block,
                    CAST(greatest(1, least(65536, ceil(source_size / 1000000.0))) AS BIGINT) AS n_shards FROM s3, lev),
-     seats AS (SELECT CAST(floor(sum(target) / min(block) + 0.5) AS BIGINT) AS n FROM s4),
-     quot AS (SELECT nth, row_number() OVER (ORDER BY target / (2 * q + 1) DESC, nth) AS r FROM s4, seats, range(0, seats.n) t(q)),
+     seats AS (SELECT CAST(coalesce(floor(sum(target) FILTER (joint) / 256 + 0.5), 0) AS BIGINT) AS n FROM s4),
+     quot AS (SELECT nth, row_number() OVER (ORDER BY target / (2 * q + 1) DESC, nth) AS r FROM s4, seats, range(0, seats.n) t(q) WHERE joint),
      got AS (SELECT nth, count(*) AS blocks FROM quot, seats WHERE r <= seats.n GROUP BY nth),
-     s5 AS (SELECT s4.*, coalesce(blocks, 0) AS blocks FROM s4 LEFT JOIN got USING (nth)),
+     s5 AS (SELECT s4.*, CASE WHEN joint THEN coalesce(blocks, 0) ELSE CAST(floor(target / block + 0.5) AS BIGINT) END AS blocks FROM s4 LEFT JOIN got USING (nth)),
      d AS (SELECT z.*, s5.* EXCLUDE (source), CAST('0x' || substr(k, 1, 8) AS BIGINT) % n_shards AS shard
            FROM sized z JOIN s5 ON z.source IS NOT DISTINCT FROM s5.source),
      c0 AS (SELECT nth, shard, block, blocks, CAST(sum(size) AS BIGINT) AS cell_size FROM d GROUP BY ALL),
-     cq AS (SELECT nth, shard, blocks, row_number() OVER (PARTITION BY nth ORDER BY cell_size::DOUBLE / (2 * q + 1) DESC, shard) AS r FROM c0, range(0, (SELECT n FROM seats)) t(q)),
+     cq AS (SELECT nth, shard, blocks, row_number() OVER (PARTITION BY nth ORDER BY cell_size::DOUBLE / (2 * q + 1) DESC, shard) AS r FROM c0, range(0, (SELECT max(blocks) FROM s5)) t(q)),
      cg AS (SELECT nth, shard, count(*) AS quota FROM cq WHERE r <= blocks GROUP BY ALL),
      c1 AS (SELECT nth, shard, CAST(ceil(cell_size::DOUBLE / block) AS BIGINT) AS n_blocks,
                    least(coalesce(quota, 0), 2 * CAST(ceil(cell_size::DOUBLE / block) AS BIGINT)) AS quota FROM c0 LEFT JOIN cg USING (nth, shard)),
      p AS (SELECT *, CAST(sum(size) OVER (PARTITION BY nth, shard ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop FROM d),
      j AS (SELECT p.*, stop - size AS start, greatest(n_blocks, 1) AS n_blocks, quota // greatest(n_blocks, 1) AS passes, quota % greatest(n_blocks, 1) AS rest
            FROM p JOIN c1 USING (nth, shard)),
-     part AS (SELECT doc_id, start, nth, shard, CAST(sum(least((b + 1) * block, stop) - greatest(b * block, start)) AS BIGINT) AS part
-              FROM (SELECT *, unnest(range(start // block, (stop - 1) // block + 1)) AS b FROM j WHERE size > 0)
-              WHERE (b * CASE WHEN n_blocks % 1000003 <> 0 THEN 1000003 ELSE 999983 END + 17) % n_blocks < rest GROUP BY ALL)
-SELECT j.doc_id, j.size, j.source_size, j.target, CAST(passes * j.size + coalesce(part, 0) AS BIGINT) AS taken
-FROM j LEFT JOIN part ON part.doc_id IS NOT DISTINCT FROM j.doc_id AND part.start = j.start AND part.nth = j.nth AND part.shard = j.shard AND j.size > 0
+     run AS (SELECT *, CAST('0x' || substr(md5(concat_ws(':', 'mix', source, CAST(shard AS VARCHAR))), 1, 8) AS BIGINT) % (n_blocks - rest + 1) AS first FROM j)
+SELECT doc_id, size, source_size, target,
+       CAST(passes * size + greatest(0, least(stop, (first + rest) * block) - greatest(start, first * block)) AS BIGINT) AS taken FROM run
 """
 
 

@@ -75,6 +75,28 @@ def test_mix(spark, tmp_path):
     assert sum(len(r.text.split()) for r in mix.collect()) == sum(r.taken for r in got)
 
 
+def test_a_tiny_source_changes_nothing_for_the_others(spark, tmp_path):
+    rows = [(i, " ".join(f"w{i}_{j}" for j in range(200 + i % 50)), f"s{i % 3}") for i in range(1500)]
+    made = {}
+    for name, more in (("plain", []), ("tiny", [(9000, "two words", "zz")])):
+        docs = spark.createDataFrame(rows + more, "doc_id long, text string, source string")
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        got = {r.doc_id: r for r in mixing.query(spark, str(tmp_path / name)).collect()}
+        texts = {r.doc_id: [] for r in got.values()}
+        for r in mixing.stage(spark, docs, "").collect():
+            texts[r.doc_id].append(r.text)
+        made[name] = got
+        by_id = dict((i, t) for i, t, _ in rows + more)
+        # every text of the mix is one piece of its document, and few are cut
+        assert all(t in by_id[i] for i, ts in texts.items() for t in ts)
+        assert sum(t != by_id[i] for i, ts in texts.items() for t in ts) <= 2 * 3
+    tiny = made["tiny"].pop(9000)
+    assert tiny.target == 4 and tiny.taken == 4
+    for source in ("s0", "s1", "s2"):
+        words = [sum(r.taken for r in got.values() if rows[r.doc_id][2] == source) for got in made.values()]
+        assert abs(words[0] - words[1]) <= 256
+
+
 def test_empty(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
