@@ -3,14 +3,14 @@
 * Text content: hashed trigrams of the text's bytes (square roots of their shares), the share of distinct ones, and how
   far the text can be compressed.
 * Page metadata: source, language, stored length and the page's layout: how many lines and paragraphs, how long they
-  are, empty and indented lines, white space. No letter, digit or sign of the text is looked at, so that the views are
-  apart.
+  are, empty and indented lines, white space; as numbers, and as classes of size by themselves and for each source and
+  language. No letter, digit or sign of the text is looked at, so that the views are apart.
 
 1. Both views' features of every document are written once, a few hundred bytes each.
 2. Round 0 fits each view to the training rows of at most ``FIRST`` labelled ids, by the smallest hash. In each later round a view also learns from the rows that the
-   other view is sure of, labelled or not: every task walks over all its documents, takes pseudo-labels from the other
-   view's weights, and makes gradient steps; weights are averaged by the number of rows. Nothing but weights comes to
-   the driver.
+   other view is sure of, labelled or not, as the weights before the round say. A fit minimises the weighted logistic
+   loss over all rows by L-BFGS: each of its steps is a pass in which tasks add up losses and slopes, so that neither
+   files nor partitions decide anything. Nothing but these sums comes to the driver.
 3. The views are calibrated and combined by a logistic function of both, fitted to at most ``CALIBRATION`` labelled
    rows that the fits have not seen.
 
@@ -32,10 +32,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import small, table, written
 
-BINS, NAMES = 512, 64
+BINS, NAMES = 512, 256
 TEXT, META = BINS + 4, NAMES + 14
 ROUNDS, SURE, PSEUDO = 3, 0.95, 0.2
-BATCH, RATE, RIDGE, PASSES = 64, 0.1, 1e-5, 3
+#: Weight of the squared weights, and passes of the first fit and of a round.
+RIDGE, PASSES, MORE_PASSES = 1e-5, 24, 8
 FIRST, CALIBRATION = 20_000, 4000
 THRESHOLD = 0.5
 
@@ -63,8 +64,8 @@ def _hash(kind: str, value: str | None) -> int:
 
 def meta_features(text: str, source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
     out = np.zeros(META, dtype=np.float32)
-    out[_hash("source", source)] = 0.5
-    out[_hash("lang", lang)] = 0.5
+    out[_hash("source", source)] += 0.5
+    out[_hash("lang", lang)] += 0.5
     n = len(text)
     rows = text.split("\n")
     sizes = np.array([len(r) for r in rows], dtype=np.float64)
@@ -72,6 +73,12 @@ def meta_features(text: str, source: str | None, lang: str | None, n_chars: int
     indented = sum(r[:1] in (" ", "\t") for r in rows)
     blocks = sum(bool(r.strip()) and not (i and rows[i - 1].strip()) for i, r in enumerate(rows))
     blank = text.count(" ") + text.count("\t") + len(rows) - 1
+    # classes of size, as a linear view can't bend
+    step = lambda x, by=2.0: int(by * np.log1p(x))
+    for name, size in (("n", step(n)), ("line", step(sizes.mean())), ("rows", step(len(rows))), ("spread", step(sizes.std())), ("blank", int(40 * blank / max(1, n))), ("stored", step(max(0, n_chars or 0)))):
+        out[_hash(name, f"{size}")] += 0.5
+        out[_hash(name, f"{size} {lang}")] += 0.25
+        out[_hash(name, f"{size} {source}")] += 0.25
     out[NAMES:] = [
         1, np.log1p(n) / 5, np.log1p(n_chars if n_chars is not None and n_chars >= 0 else 0) / 5, n_chars is None, np.log1p(len(rows)) / 3, np.log1p(sizes.mean()) / 5,
         np.log1p(sizes.std()) / 5, np.log1p(sizes.max()) / 5, empty / len(rows), indented / len(rows), np.log1p(blocks) / 3, 3 * blank / max(1, n), len(np.unique(sizes)) / len(rows), np.log1p(blank) / 5,
@@ -103,49 +110,82 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def descend(w: np.ndarray, seen: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
-    """Adagrad steps of weighted logistic regression, in place."""
-    for at in range(0, len(y), BATCH):
-        part = slice(at, at + BATCH)
-        g = x[part].T @ (weight[part] * (sigmoid(x[part] @ w) - y[part])) / BATCH + RIDGE * w
-        seen += g * g
-        w -= RATE * g / (np.sqrt(seen) + 1e-6)
-
-
-def fit_round(rows: DataFrame, a: np.ndarray, b: np.ndarray, balance: tuple[float, float], pseudo: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Both views' weights after a round over ``rows`` (a, b, label or null)."""
-    sent = rows.sparkSession.sparkContext.broadcast((a, b))
-    size = TEXT + META
+def minimised(f, x: np.ndarray, passes: int, memory: int = 8) -> np.ndarray:
+    """L-BFGS from ``x`` on; ``f`` gives value and slopes and is called about ``passes`` times. The best point that was met."""
+    value, slope = f(x)
+    before: list[tuple[np.ndarray, np.ndarray]] = []
+    left = passes - 1
+    while left > 0 and np.abs(slope).max() > 1e-7:
+        d, kept = slope.copy(), []
+        for s, y in reversed(before):
+            kept.append(s @ d / (s @ y))
+            d -= kept[-1] * y
+        d *= before[-1][0] @ before[-1][1] / (before[-1][1] @ before[-1][1]) if before else 1 / max(1.0, np.linalg.norm(slope))
+        for (s, y), k in zip(before, reversed(kept), strict=True):
+            d += s * (k - y @ d / (s @ y))
+        size = 1.0
+        while left > 0:
+            left -= 1
+            new_value, new_slope = f(x - size * d)
+            if new_value <= value - 1e-4 * size * (slope @ d):
+                break
+            size *= 0.3
+        else:
+            break
+        s, y = -size * d, new_slope - slope
+        x, value, slope = x - size * d, new_value, new_slope
+        if s @ y > 1e-12:
+            before = [*before[1 - memory :], (s, y)]
+    return x
+
+
+def sums(rows: DataFrame, old: tuple[np.ndarray, np.ndarray], now: np.ndarray, balance: tuple[float, float], pseudo: bool) -> np.ndarray:
+    """Slopes of both views' losses at the weights ``now`` over ``rows`` (a, b, label or null), then both losses and weights of rows.
+
+    Pseudo-labels are those of the ``old`` weights.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast((*old, now[:TEXT].astype(np.float32), now[TEXT:].astype(np.float32)))
+    size = TEXT + META + 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        old = sent.value
-        new = [w.copy() for w in old]
-        seen = [np.full(len(w), 1e-4, dtype=np.float32) for w in new]
-        total = 0
+        *before, wa, wb = sent.value
+        total = np.zeros(size)
         for batch in batches:
             x = (matrix(batch.column("a"), TEXT), matrix(batch.column("b"), META))
             label = batch.column("label").to_numpy(zero_copy_only=False).astype(np.float32)
             known = ~np.isnan(label)
-            p = [sigmoid(f @ w) for f, w in zip(x, old, strict=True)]
-            for view in (0, 1):
+            p = [sigmoid(f @ w) for f, w in zip(x, before, strict=True)] if pseudo else [np.full(len(known), 0.5)] * 2
+            for view, (w, at) in enumerate(((wa, 0), (wb, TEXT))):
                 other = p[1 - view]
-                sure = ~known & ((other >= SURE) | (other <= 1 - SURE)) if pseudo else np.zeros(len(known), dtype=bool)
+                sure = ~known & ((other >= SURE) | (other <= 1 - SURE))
                 use = np.flatnonzero(known | sure)
-                y = np.where(known, np.nan_to_num(label), other >= 0.5)[use].astype(np.float32)
-                weight = (np.where(known, 1.0, PSEUDO)[use] * np.where(y > 0, balance[1], balance[0])).astype(np.float32)
-                for k in range(1 if pseudo else PASSES):
-                    order = np.random.default_rng(k).permutation(len(use))
-                    descend(new[view], seen[view], x[view][use[order]], y[order], weight[order])
-                total += len(use)
-        if total:
-            flat = np.concatenate(new).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(flat * total), pa.array(np.full(size, total, dtype=np.int64))], names=["at", "x", "n"])
-
-    sums = rows.select("a", "b", "label").mapInArrow(run, "at int, x double, n long").groupBy("at").agg((F.sum("x") / F.sum("n")).alias("x")).collect()
-    flat = np.concatenate([a, b])
-    for r in sums:
-        flat[r.at] = r.x
-    return flat[:TEXT], flat[TEXT:]
+                y = np.where(known, np.nan_to_num(label), other >= 0.5)[use]
+                weight = np.where(known, 1.0, PSEUDO)[use] * np.where(y > 0, balance[1], balance[0])
+                f = x[view][use]
+                z = np.clip((f @ w).astype(np.float64), -30, 30)
+                total[at : at + len(w)] += f.T.astype(np.float64) @ (weight * (1 / (1 + np.exp(-z)) - y))
+                total[TEXT + META + view] += (weight * (np.log1p(np.exp(-np.abs(z))) + np.maximum(z, 0) - y * z)).sum()
+                total[TEXT + META + 2 + view] += weight.sum()
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], names=["at", "x"])
+
+    out = np.zeros(size)
+    for r in rows.select("a", "b", "label").mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():  # a row for each weight
+        out[r.at] = r.x
+    return out
+
+
+def fit_round(rows: DataFrame, a: np.ndarray, b: np.ndarray, balance: tuple[float, float], pseudo: bool, passes: int = MORE_PASSES) -> tuple[np.ndarray, np.ndarray]:
+    """Both views' weights after a round over ``rows`` (a, b, label or null)."""
+
+    def f(w: np.ndarray) -> tuple[float, np.ndarray]:
+        got = sums(rows, (a, b), w, balance, pseudo)
+        n = np.maximum(got[-2:], 1e-9)
+        slope = np.concatenate([got[:TEXT] / n[0], got[TEXT : TEXT + META] / n[1]])
+        return (got[-4:-2] / n).sum() + RIDGE / 2 * (w @ w), slope + RIDGE * w
+
+    w = minimised(f, np.concatenate([a, b]).astype(np.float64), passes).astype(np.float32)
+    return w[:TEXT], w[TEXT:]
 
 
 def views(rows: DataFrame, a: np.ndarray, b: np.ndarray) -> DataFrame:
@@ -183,7 +223,7 @@ def later_of(doc_id: Column) -> Column:
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, text_score, page_score, score) for every row of ``docs``."""
-    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("quality").cast("double")).alias("quality"))
+    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.when(F.col("quality") >= 0.5, 1.0).otherwise(0.0)).alias("quality"))
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     later = later_of(F.col("doc_id"))
     known = written(known)
@@ -199,8 +239,7 @@ def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
         usable = known.where((F.crc32(F.col("_id").cast("string").cast("binary")) % 3 != 1) & ~later_of(F.col("_id")))
         some = written(usable.orderBy(F.xxhash64("_id"), "_id").limit(FIRST).select(F.col("_id").alias("_first")))
         first = written(seen.where("label is not null").join(small(some), F.col("doc_id") == F.col("_first"), "left_semi").select("a", "b", "label"))
-        parts = max(4, first.count() // 10_000)
-        a, b = fit_round(written(first.repartition(parts, F.xxhash64("a", "b")), "a", "b"), a, b, balance, False)
+        a, b = fit_round(first, a, b, balance, False, PASSES)
         for _ in range(ROUNDS):
             a, b = fit_round(seen, a, b, balance, True)
     fresh = views(rows.where(~F.col("held_out") & later & F.col("quality").isNotNull()).select("doc_id", "quality", "a", "b"), a, b)

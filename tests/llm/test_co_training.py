@@ -39,6 +39,39 @@ def test_held_out_accuracy(spark, tmp_path):
     assert len(same) == 2 and same[0] == pytest.approx(same[1])
 
 
+def test_files_decide_nothing(spark):
+    docs, labels = corpus(400)
+    y = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    frame = spark.createDataFrame(docs, SCHEMA)
+    one, many = ({r.doc_id: r for r in c.classified(f, y).collect()} for f in (frame.coalesce(1), frame.repartition(7)))
+    for score in ("score", "text_score", "page_score"):
+        assert max(abs(one[i][score] - many[i][score]) for i in one) < 1e-3, score
+
+
+def test_the_page_view_beats_the_larger_share(spark):
+    """Where only the layout of a source tells, and not by more or less of anything."""
+    rng = random.Random(2)
+    docs, labels = [], []
+    for i in range(900):
+        source, lines = rng.randrange(3), rng.choice([1, 8, 60])
+        docs.append((i, "\n".join("x" * rng.randint(20, 40) for _ in range(lines)), f"s{source}", "en", None, 0.0))
+        labels.append((i, int((lines == 8) == (source > 0)), 0))
+    got = c.classified(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).where("held_out").collect()
+    truth = {i: q for i, q, _ in labels}
+    share = sum(truth[r.doc_id] for r in got) / len(got)
+    assert sum((r.page_score >= 0.5) == truth[r.doc_id] for r in got) / len(got) >= max(share, 1 - share) + 0.15
+
+
+def test_lbfgs():
+    rng = np.random.default_rng(1)
+    m = rng.normal(size=(12, 12))
+    m = m @ m.T + np.eye(12)
+    want = rng.normal(size=12)
+    calls = []
+    f = lambda x: calls.append(1) or ((x - want) @ m @ (x - want) / 2, m @ (x - want))
+    assert np.abs(c.minimised(f, np.zeros(12), 60) - want).max() < 1e-3 and len(calls) <= 60
+
+
 def test_views_teach_each_other(spark):
     """A view without any label of its own learns from the other one."""
     rng = np.random.default_rng(0)
