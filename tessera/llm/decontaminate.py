@@ -19,6 +19,7 @@ whole words. Repeated documents each get their row. Null ids are carried along.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,10 +34,14 @@ Q = 8
 EDITS = 10
 #: Windows of longer items, and the step from one to the next.
 WINDOW, STEP = 84, 12
-#: Half the width of a band; more than the edits that any window allows.
-HALF = 24
+#: Half the width of a band; no less than the edits that any window allows.
+HALF = 9
+#: Alignments made together, and their steps between looks at which of them can still succeed.
+ALIGNED, STEPS = 4096, 8
 #: Bytes of benchmark text in a block, and of document text looked at together.
 BLOCK, AT_ONCE = 1 << 20, 1 << 20
+#: Hits of q-grams that are counted together, about.
+POSTS = 1 << 20
 #: Bits of the address in the first lookup.
 ADDRESS = 22
 
@@ -61,10 +66,15 @@ def address(g: np.ndarray) -> np.ndarray:
 
 
 class Windows:
-    """The windows of a block of items and a table of their q-grams."""
+    """The windows of a block of items and a table of their items' q-grams.
+
+    A q-gram stands in the table once for each place of an item, however many windows hold that place: hits are counted by
+    places of a band, and a window's hits are those from its first place to its last.
+    """
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
         self.item, self.text = [], []
+        first, all_grams, places, at = [], [], [], 0
         for i, t in items:
             b = plain(t)
             if b:
@@ -72,20 +82,32 @@ class Windows:
                 for s in [*range(0, last, STEP), last]:
                     self.item.append(i)
                     self.text.append(b[s : s + WINDOW])
+                    first.append(at + s)
+                all_grams.append(grams(np.frombuffer(b, dtype=np.uint8)))
+                places.append(at + np.arange(len(all_grams[-1])))
+                at += len(b) + WINDOW  # no span of places reaches into the next item
         m = np.array([len(t) for t in self.text], dtype=np.int64)
         # no more edits than leave a shared q-gram
         self.edits = np.clip(np.minimum(m * EDITS // 100, (m - Q) // Q), 0, HALF)
         self.least = np.maximum(m - Q + 1 - Q * self.edits, 1)
         self.short = [k for k, t in enumerate(self.text) if len(t) < Q]
-        all_grams = [grams(np.frombuffer(t, dtype=np.uint8)) for t in self.text]
+        #: first and last place of a window's q-grams
+        self.start = np.array(first, dtype=np.int64)
+        self.end = self.start + m - Q
         flat = np.concatenate([np.zeros(0, dtype=np.uint64), *all_grams])
-        window = np.repeat(np.arange(len(m)), [len(g) for g in all_grams])
-        place = np.concatenate([np.zeros(0, dtype=np.int64), *(np.arange(len(g)) for g in all_grams)])
+        place = np.concatenate([np.zeros(0, dtype=np.int64), *places])
         order = np.argsort(flat, kind="stable")
-        self.window, self.place = window[order].astype(np.int32), place[order].astype(np.uint8)
-        self.grams, self.first, self.n = np.unique(flat[order], return_index=True, return_counts=True)
+        self.grams, self.n = np.unique(flat, return_counts=True)
+        #: gram and place as one number, ascending
+        self.posts = np.repeat(np.arange(len(self.grams)), self.n) << 32 | place[order]
+        self.size = at
         self.seen = np.zeros(1 << ADDRESS, dtype=bool)
         self.seen[address(self.grams)] = True
+        #: the least bound of the windows at each place
+        self.bound = np.full(at + 1, 1 << 14, dtype=np.int16)
+        for k in np.flatnonzero(m >= Q):
+            part = self.bound[self.start[k] : self.end[k] + 1]
+            np.minimum(part, self.least[k], out=part)
 
     def bands(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, first diagonal) of the bands over the bytes ``b`` that meet their window's bound."""
@@ -99,37 +121,82 @@ class Windows:
         at, k = at[same], k[same]
         if not len(at):
             return none, none
-        n = self.n[k]
-        post = np.repeat(self.first[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        window, place = self.window[post].astype(np.int64), self.place[post].astype(np.int64)
-        diagonal = np.repeat(at, n) - place + (1 << 20)
-        # a window's q-gram counts once in a band, however often the document repeats it there
-        keys = np.sort(np.concatenate([(window << 36 | (diagonal + h) // (2 * HALF) * 2 + (h > 0)) << 8 | place for h in (0, HALF)]))
-        keys = keys[np.r_[True, keys[1:] != keys[:-1]]] >> 8
-        new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        key, count = keys[new], np.diff(np.r_[new, len(keys)])
-        window = key >> 36
-        good = count >= self.least[window]
-        window, band = window[good], key[good] & ((1 << 36) - 1)
-        return window, (band // 2) * 2 * HALF - (band % 2) * HALF - (1 << 20)
+        # cut where enough hits have come together; what one band holds of a window is whole in one of the pieces
+        reach = WINDOW + 2 * HALF
+        total = np.cumsum(self.n[k])
+        out, lo = [], 0
+        while lo < len(at):
+            base = total[lo - 1] if lo else 0
+            to = max(int(np.searchsorted(total, base + POSTS, side="right")), int(np.searchsorted(at, at[lo] + reach, side="right")))
+            upto = int(np.searchsorted(at, at[min(to, len(at)) - 1] + reach, side="right"))
+            out += self._piece(at[lo:upto], k[lo:upto], 0, self.size)
+            lo = to
+        window, first = np.array(sorted(set(out)), dtype=np.int64).reshape(-1, 2).T
+        return window, first
+
+    def _piece(self, at: np.ndarray, k: np.ndarray, low: int, high: int) -> list[tuple[int, int]]:
+        """The bands of hits at ``at`` of the q-grams ``k``, with places from ``low`` to ``high``."""
+        first, last = np.searchsorted(self.posts, k << 32 | low), np.searchsorted(self.posts, k << 32 | high)
+        n = last - first
+        if not n.sum():
+            return []
+        if n.sum() > 4 * POSTS and high - low > 8 * WINDOW:
+            middle = (low + high) // 2
+            return self._piece(at, k, low, middle + WINDOW) + self._piece(at, k, middle, high)
+        place = self.posts[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())] & 0xFFFFFFFF
+        diagonal = np.repeat(at, n) - place + self.size
+        # a place counts once in a band, however often the document repeats its q-gram there
+        keys = np.sort(np.concatenate([((diagonal + h) // (2 * HALF) * 2 + (h > 0)) << 32 | place for h in (0, HALF)]))
+        keys = keys[np.r_[True, keys[1:] != keys[:-1]]]
+        # as many hits as the least bound here asks for, no further on than a window reaches
+        far = np.arange(len(keys)) + self.bound[keys & 0xFFFFFFFF] - 1
+        able = np.flatnonzero(far < len(keys))
+        near = keys[able[keys[far[able]] <= keys[able] + (WINDOW - Q)]]
+        band, place = near >> 32, near & 0xFFFFFFFF
+        out: set[tuple[int, int]] = set()
+        window = np.searchsorted(self.start, place, side="right") - 1
+        # windows begin at every STEP places, and one more at an item's end
+        for back in range(WINDOW // STEP + 2):
+            w = window - back
+            inside = (w >= 0) & (self.end[np.maximum(w, 0)] >= place)
+            pairs = np.unique(np.stack([w[inside], band[inside]], axis=1), axis=0)
+            w, on = pairs[:, 0], pairs[:, 1]
+            count = np.searchsorted(keys, on << 32 | self.end[w], side="right") - np.searchsorted(keys, on << 32 | self.start[w])
+            good = count >= self.least[w]
+            w, on = w[good], on[good]
+            out.update(zip(w.tolist(), ((on // 2) * 2 * HALF - (on % 2) * HALF - self.size + self.start[w]).tolist(), strict=True))
+        return list(out)
 
     def find(self, texts: list[bytes]) -> list[tuple[int, int, int]]:
         """(text number, window, edits) of the regions found; the least edits for each text and window."""
         gap = b"\0" * Q
         joined = gap.join(texts)
-        ends = np.cumsum([len(t) + Q for t in texts])
+        ends = np.cumsum([len(t) + Q for t in texts]).tolist()
         found: dict[tuple[int, int], int] = {}
-        for w, first in zip(*self.bands(np.frombuffer(joined, dtype=np.uint8)), strict=True):
+        ask: list[tuple[int, int, bytes]] = []
+        for w, first in zip(*(x.tolist() for x in self.bands(np.frombuffer(joined, dtype=np.uint8))), strict=True):
             p, e = self.text[w], int(self.edits[w])
-            lo, hi = max(0, int(first) - e), min(len(joined), int(first) + 2 * HALF + len(p) + e)
-            middle = min(max(int(first) + HALF + len(p) // 2, lo), hi - 1)
-            for i in {int(np.searchsorted(ends, x, side="right")) for x in (lo, middle, hi - 1)}:
-                if i < len(texts) and found.get((i, w), e + 1) > 0:
-                    start = int(ends[i]) - len(texts[i]) - Q
+            lo, hi = max(0, first - e), min(len(joined), first + 2 * HALF + len(p) + e)
+            middle = min(max(first + HALF + len(p) // 2, lo), hi - 1)
+            for i in {bisect_right(ends, x) for x in (lo, middle, hi - 1)}:
+                if i < len(texts) and found.get((i, w)) != 0:
+                    start = ends[i] - len(texts[i]) - Q
                     region = joined[max(lo, start) : min(hi, start + len(texts[i]))]
-                    d = 0 if p in region else edits_inside(p, region, e)
-                    if d <= e:
-                        found[i, w] = min(d, found.get((i, w), e))
+                    if p in region:
+                        found[i, w] = 0
+                    elif e and len(region) >= len(p) - e:
+                        ask.append((i, w, region))
+        # patterns of one length are aligned together
+        ask.sort(key=lambda x: len(self.text[x[1]]))
+        at = 0
+        while at < len(ask):
+            size = len(self.text[ask[at][1]])
+            part = [x for x in ask[at : at + ALIGNED] if len(self.text[x[1]]) == size]
+            at += len(part)
+            e = int(self.edits[part[0][1]])
+            for (i, w, _), d in zip(part, edits_inside([self.text[w] for _, w, _ in part], [r for _, _, r in part], e).tolist(), strict=True):
+                if d <= e:
+                    found[i, w] = min(d, found.get((i, w), e))
         for w in self.short:
             for i, t in enumerate(texts):
                 if b" " + self.text[w] + b" " in b" " + t + b" ":
@@ -137,28 +204,36 @@ class Windows:
         return [(i, w, d) for (i, w), d in found.items()]
 
 
-def edits_inside(p: bytes, region: bytes, most: int) -> int:
-    """Edit distance of ``p`` to the nearest part of ``region``, or ``most + 1`` if it is over ``most``.
+def edits_inside(patterns: list[bytes], regions: list[bytes], most: int) -> np.ndarray:
+    """Edit distance of each pattern (all of one length) to the nearest part of its region, or ``most + 1`` if it is over ``most``.
 
-    The region is a band's: as long as ``p`` and the band's width, which bounds each row of the alignment.
+    The regions are those of bands: as long as a pattern and the band's width, which bounds each row of the alignments.
     """
-    r = np.frombuffer(region, dtype=np.uint8)
-    if len(r) < len(p) - most:
-        return most + 1
-    steps = np.arange(len(r) + 1)
-    row = np.zeros(len(r) + 1, dtype=np.int64)
-    width = len(r) - len(p) + most
-    for i, c in enumerate(p, 1):
+    m, n = len(patterns[0]), max(map(len, regions))
+    p = np.frombuffer(b"".join(patterns), dtype=np.uint8).reshape(-1, m)
+    # no pattern holds a zero, so that what is filled up matches nothing
+    r = np.frombuffer(b"".join(x.ljust(n, b"\0") for x in regions), dtype=np.uint8).reshape(-1, n)
+    out = np.full(len(p), most + 1, dtype=np.int16)
+    left = np.arange(len(p))
+    steps = np.arange(n + 1, dtype=np.int16)
+    row = np.zeros((len(p), n + 1), dtype=np.int16)
+    width = max(0, n - m) + most
+    for i in range(1, m + 1):
         # cells outside the band of diagonals cost too much to matter
-        lo, hi = max(0, i - most - 1), min(len(r), i + width + 1)
-        new = np.full(len(r) + 1, most + 1, dtype=np.int64)
-        new[lo : hi + 1] = row[lo : hi + 1] + 1
+        lo, hi = max(0, i - most - 1), min(n, i + width + 1)
         at = max(lo, 1)
-        new[at : hi + 1] = np.minimum(new[at : hi + 1], row[at - 1 : hi] + (r[at - 1 : hi] != c))
-        row = np.minimum.accumulate(new - steps) + steps
-        if row.min() > most:
-            return most + 1
-    return int(min(row.min(), most + 1))
+        new = np.full_like(row, most + 1)
+        new[:, lo : hi + 1] = row[:, lo : hi + 1] + 1
+        new[:, at : hi + 1] = np.minimum(new[:, at : hi + 1], row[:, at - 1 : hi] + (r[:, at - 1 : hi] != p[:, i - 1 : i]))
+        row = np.minimum.accumulate(new - steps, axis=1) + steps
+        if i % STEPS == 0 or i == m:
+            able = row.min(axis=1) <= most
+            if not able.all():
+                left, p, r, row = left[able], p[able], r[able], row[able]
+            if not len(left):
+                return out
+    out[left] = row.min(axis=1)
+    return out
 
 
 def found(docs: DataFrame, items: DataFrame) -> DataFrame:

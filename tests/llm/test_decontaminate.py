@@ -35,7 +35,41 @@ def test_alignment():
         p = words(rng, 4).encode()
         t = (words(rng, 2) + edited(rng, p.decode(), rng.randrange(6)) + words(rng, 2)).encode()
         want = distance_inside(p, t)
-        assert d.edits_inside(p, t, 8) == min(want, 9)
+        assert d.edits_inside([p], [t], 8).tolist() == [min(want, 9)]
+
+
+def test_alignments_together():
+    rng = random.Random(5)
+    p = [bytes(rng.choice(b"klmno ") for _ in range(40)) for _ in range(50)]
+    t = [(words(rng, 2) + edited(rng, x.decode(), rng.randrange(14)) + words(rng, rng.randrange(3))).encode() for x in p]
+    assert d.edits_inside(p, t, 8).tolist() == [min(distance_inside(x, y), 9) for x, y in zip(p, t)]
+
+
+def frequent(rng, size):
+    vocabulary = ["".join(rng.choice("etaoin") for _ in range(rng.randint(2, 6))) for _ in range(2000)]
+    return " ".join(rng.choices(vocabulary, [1 / k for k in range(1, 2001)], k=size // 4))[:size]
+
+
+def test_a_long_text_of_frequent_words_stays_small(monkeypatch):
+    rng = random.Random(6)
+    text = frequent(rng, 300_000)
+    w = d.Windows([(i, text[i : i + 500]) for i in range(0, len(text), 500)])
+    mixed = text.split(" ")
+    rng.shuffle(mixed)
+    clean = " ".join(mixed)[:30_000]
+    sizes = []
+    monkeypatch.setattr(d.Windows, "_piece", lambda self, at, k, low, high, f=d.Windows._piece: sizes.append(int(self.n[k].sum()) if high - low == self.size else 0) or f(self, at, k, low, high))
+    assert w.find([d.plain(clean)]) == []
+    assert len(sizes) > 3 and max(sizes) < 2 * d.POSTS
+    # what lies across the cuts is found all the same
+    held = " ".join(mixed)[:6_000] + " " + text[7_000:7_200] + " " + " ".join(mixed)[6_000:12_000]
+    monkeypatch.setattr(d, "POSTS", 50_000)
+    assert 0 in {x[2] for x in w.find([d.plain(held)])}
+
+
+def test_many_equal_hits_are_cut_by_places():
+    w = d.Windows([(1, "a" * 4000), (2, "b c " * 300)])
+    assert {w.item[k] for _, k, _ in w.find([b"x " + b"a" * 300 + b" y"])} == {1}
 
 
 def test_finds_what_brute_force_finds():
