@@ -186,6 +186,8 @@ class Parser:
             self.update()
         elif k == "delete":
             self.delete()
+        elif k == "merge":
+            self.merge()
         elif k in ("create", "alter"):
             self.create()
         elif k in ("if", "while"):
@@ -295,6 +297,9 @@ class Parser:
         while self.peek().kind != "end" and self.peek().low not in (",", ")", ";", "go"):
             low = self.peek().low
             depth += (low == "case") - (low == "end" and depth > 0)
+            if low == "group" and self.peek(-1).low == "within":
+                self.next()
+                continue
             if not depth and (low in ("from", "where", "into", "union", "except", "intersect", "group", "having", "order", "option", "for") or low in STATEMENTS and low not in ("end",) and self.peek(1).low != "("):
                 break
             if low == "end" and not depth and self.peek(-1).low != "end" and not any(x.low == "case" for x in self.t[first : self.i]):
@@ -347,13 +352,28 @@ class Parser:
             if self.peek().low == "(" and self.peek(1).low in ("nolock",):
                 self.brackets()
                 table.hints += 1
+            self.shaped()
             self.alias()
             if self.peek().low == "with" and self.peek(1).low == "(":
                 self.next()
                 table.hints += 1 + sum(1 for k in self.inside() if k == ",")
                 self.brackets()
+            self.shaped()
             return
         self.alias()
+        self.shaped()
+
+    def shaped(self) -> None:
+        """A sample or a turn of what has been named as a source."""
+        while self.peek().low in ("tablesample", "pivot", "unpivot"):
+            if self.next().low == "tablesample":
+                self.eat("system")
+                self.brackets()
+                if self.eat("repeatable"):
+                    self.brackets()
+            else:
+                self.brackets()
+                self.alias()
 
     def inside(self):
         depth = 0
@@ -369,7 +389,7 @@ class Parser:
             if not self.identifier() and self.peek().kind != "string":
                 raise SqlError("expected an alias", self.peek().start)
             self.next()
-        elif self.identifier() and self.peek().low not in ("pivot", "unpivot", "tablesample"):
+        elif self.identifier() and self.peek().low not in ("pivot", "unpivot", "tablesample", "using"):
             self.next()
         if self.peek().low == "(" and self.peek(-1).kind in ("word", "quoted"):
             self.brackets()
@@ -402,31 +422,83 @@ class Parser:
         item.end = self.peek(-1).end
         self.items.append(item)
 
-    def update(self) -> None:
-        start = self.next().start
-        item = Item("Update", start, start)
-        if self.eat("top"):
-            self.brackets()
-        item.schema, item.name, _, _ = self.dotted()
-        if self.peek().low == "with":
-            self.next()
-            self.brackets()
-        self.need("set")
+    def assignments(self, item: Item) -> None:
         while True:
             _, name, _, _ = self.dotted()
             item.columns.append(name)
             self.need("=", "+=", "-=", "*=", "/=")
             first, depth = self.i, 0
-            while self.peek().kind != "end" and self.peek().low not in (",", ";", "where", "from", "output", "option", "go", ")"):
+            while self.peek().kind != "end" and self.peek().low not in (",", ";", "where", "from", "output", "option", "go", ")", "when"):
                 low = self.peek().low
                 depth += (low == "case") - (low == "end" and depth > 0)
                 if low in STATEMENTS and not depth and low != "end" or low == "end" and not depth and "case" not in [x.low for x in self.t[first : self.i]]:
                     break
                 self.piece()
+                while depth and self.peek().low == "when":
+                    self.piece()
             if self.i == first:
                 raise SqlError("expected a value", self.peek().start)
             if not self.eat(","):
                 break
+
+    def merge(self) -> None:
+        """A merge changes rows that its condition picks, so that none of its parts is an update or deletion of all rows."""
+        self.next()
+        if self.eat("top"):
+            self.brackets()
+            self.eat("percent")
+        self.eat("into")
+        item = Item("Merge", self.peek().start, self.peek().start)
+        self.source(item)
+        self.need("using")
+        self.source(item)
+        self.need("on")
+        self.condition("when")
+        if self.peek().low != "when":
+            raise SqlError("expected WHEN", self.peek().start)
+        while self.eat("when"):
+            self.eat("not")
+            self.need("matched")
+            if self.eat("by"):
+                self.need("source", "target")
+            if self.eat("and"):
+                self.condition("then")
+            self.need("then")
+            if self.eat("update"):
+                self.need("set")
+                self.assignments(item)
+            elif self.eat("insert"):
+                if self.peek().low == "(":
+                    self.brackets()
+                if self.eat("default"):
+                    self.need("values")
+                else:
+                    self.need("values")
+                    self.brackets()
+            else:
+                self.need("delete")
+        if self.eat("output"):
+            self.condition("option", "go")
+        if self.eat("option"):
+            self.brackets()
+
+    def update(self) -> None:
+        start = self.next().start
+        if self.eat("statistics"):
+            while self.peek().kind != "end" and self.peek().low not in (";", "go"):
+                if self.peek().low in STATEMENTS and self.peek().low != "with":
+                    break
+                self.piece()
+            return
+        item = Item("Update", start, start)
+        if self.eat("top"):
+            self.brackets()
+        item.schema, item.name, _, _ = self.dotted()
+        if self.peek().low == "with":
+            self.next()
+            self.brackets()
+        self.need("set")
+        self.assignments(item)
         if self.eat("output"):
             self.condition("from", "where", "option")
         if self.eat("from"):

@@ -97,12 +97,12 @@ KEY_CASE = Case("AR0030", ('void M{i}(IConfiguration c) { var x = c["Absent{i}"]
 
 TEXT = ("", "")
 SQL_CASES = (
-    Case("SQ0001", ("SELECT * FROM t{i};", "SELECT t.* FROM t{i} t;"), ("SELECT COUNT(*) FROM t{i};", "SELECT '* from' FROM t{i};", "SELECT a FROM t{i}; -- *"), TEXT),
+    Case("SQ0001", ("SELECT * FROM t{i};", "SELECT t.* FROM t{i} t;"), ("SELECT COUNT(*) FROM t{i};", "SELECT '* from' FROM t{i};", "SELECT a FROM t{i}; -- *", "SELECT [1] FROM (SELECT a, k FROM t{i}) AS s PIVOT (SUM(a) FOR k IN ([1], [2])) AS p;", "SELECT a AT TIME ZONE 'UTC' AS b FROM t{i} TABLESAMPLE (10 PERCENT);"), TEXT),
     Case("SQ0002", ("SELECT FROM a",), ("SELECT a FROM b", "SELECT 1"), TEXT, single=True),
     Case("SQ0010", ("SELECT a FROM t{i} WITH (NOLOCK);",), ("SELECT a FROM t{i};",), TEXT),
     Case("SQ0011", ("CREATE TABLE #bad{i} (a INT);",), ("CREATE TABLE #tmp{i} (a INT);", "CREATE TABLE bad{i} (a INT);"), TEXT),
     Case("SQ0012", ("CREATE PROCEDURE run{i} AS SELECT 1", "CREATE PROCEDURE dbo.run{i} AS SELECT 1"), ("CREATE PROCEDURE usp_run{i} AS SELECT 1",), TEXT, "\nGO\n"),
-    Case("SQ0020", ("DELETE FROM t{i};", "UPDATE t{i} SET a = 1;", "UPDATE #t{i} SET a = 1;"), ("DELETE FROM #t{i};", "DELETE FROM t{i} WHERE a = 1;", "UPDATE t{i} SET a = 1 WHERE b = 2;"), TEXT),
+    Case("SQ0020", ("DELETE FROM t{i};", "UPDATE t{i} SET a = 1;", "UPDATE #t{i} SET a = 1;"), ("DELETE FROM #t{i};", "DELETE FROM t{i} WHERE a = 1;", "UPDATE t{i} SET a = 1 WHERE b = 2;", "MERGE INTO t{i} USING s ON t{i}.a = s.a WHEN MATCHED THEN UPDATE SET b = 1 WHEN NOT MATCHED BY SOURCE THEN DELETE;", "UPDATE STATISTICS t{i};"), TEXT),
     Case("SQ0021", ("SELECT a FROM t{i} WHERE b = NULL;", "SELECT a FROM t{i} WHERE NULL <> b;", "SELECT a FROM t{i} WHERE b != NULL;"), ("SELECT a FROM t{i} WHERE b IS NULL;", "SELECT a FROM t{i} WHERE b = 1;"), TEXT),
 )
 
