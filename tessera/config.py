@@ -106,16 +106,26 @@ def did_you_mean(word: str, known) -> str:
 def validate(config: Config, rules: dict[str, str], severities, spellings) -> list[str]:
     """Messages on what the settings name and nothing knows; ``rules``: category by rule id."""
     out, known = list(config.messages), [*rules, *sorted(set(rules.values()))]
+    low = {k.lower() for k in known}
     for k, v in config.rules.items():
-        if k not in known:
+        if k.lower() not in low:
             out.append(f"unknown rule or category '{k}'" + did_you_mean(k, known))
         if v.strip().lower() not in (*severities, *spellings):
             out.append(f"'{k}': unknown severity '{v}'" + did_you_mean(v, severities))
-    out += [f"options for unknown rule '{k}'" + did_you_mean(k, rules) for k in config.options if k not in rules]
+    ids = {k.lower() for k in rules}
+    out += [f"options for unknown rule '{k}'" + did_you_mean(k, rules) for k in config.options if k.lower() not in ids]
     names = set(config.layers.get("layers", {}))
-    for kind in ("deny", "allow"):
-        for edge in config.layers.get(kind, []):
-            out += [f"layer edge names unknown layer '{x}'" + did_you_mean(x, names) for x in (edge.get("from", ""), edge.get("to", "")) if x not in names]
+    edges = [(kind, edge) for kind in ("deny", "allow") for edge in config.layers.get(kind, [])]
+    if edges and not names:
+        out.append("layers: edges are given but no layers, so that none can be met")
+    for kind, edge in edges if names else []:
+        for end in ("from", "to"):
+            name = edge.get(end) or ""
+            if not name.strip():
+                out.append(f"layer edge in '{kind}' has no '{end}'")
+            elif name not in names:
+                same = [x for x in sorted(names) if x.lower() == name.lower()]
+                out.append(f"layer edge names unknown layer '{name}'" + (f"; names differ by case, the layer is '{same[0]}'" if same else did_you_mean(name, names)))
     if config.layers.get("deny") and config.layers.get("allow"):
         out.append("layers: both deny and allow are given")
     return out

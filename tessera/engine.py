@@ -89,7 +89,7 @@ def project_parts(files: DataFrame, tree: DataFrame) -> list[Part]:
     read = saved(pr.parsed(projects.select("path", "text")))
 
     def keys() -> DataFrame:
-        own = src.nearest_owner(files.where("language = 'csharp'").select("file_id", "path"), folders)
+        own = src.prefix_owner(files.where("language = 'csharp'").select("file_id", "path"), folders)
         leaves = src.json_leaves(settings.select("file_id", "text")).select(F.col("file_id").alias("_s"), F.col("path").alias("key"))
         by = settings.select("file_id", "project").join(leaves, F.col("file_id") == F.col("_s")).select("project", F.col("key").alias("path"))
         return code.unknown_keys(tree, own, by)

@@ -174,20 +174,31 @@ class Parser:
             if depth <= 0:
                 return
 
+    # brackets: found once, so that looking ahead over a bracket costs nothing, however deep they stand
+
+    def after_bracket(self, i: int) -> int:
+        """Index after the bracket that closes the one at token ``i``, or after all tokens."""
+        if self.closing is None:
+            self.closing, self.breaks, open_at = {}, [0], []
+            for k, t in enumerate(self.t):
+                if t.text == "(":
+                    open_at.append(k)
+                elif t.text == ")" and open_at:
+                    self.closing[open_at.pop()] = k + 1
+                self.breaks.append(self.breaks[-1] + (t.text in (";", "{")))
+        return self.closing.get(i, len(self.t))
+
+    closing: dict[int, int] | None = None
+
     # types
 
     def type_end(self, i: int) -> int | None:
         """Index after a type that starts at token i, or None."""
         get = lambda k: self.t[k] if k < len(self.t) else self.end
         if get(i).text == "(":
-            depth, j = 0, i
-            while get(j).kind != "end":
-                depth += (get(j).text == "(") - (get(j).text == ")")
-                if get(j).text in ";{":
-                    return None
-                j += 1
-                if not depth:
-                    break
+            j = self.after_bracket(i)
+            if self.breaks[j] > self.breaks[i]:
+                return None
             i = j
         else:
             if get(i).text in ("ref", "scoped", "in", "out") and get(i + 1).kind == "word":
@@ -892,13 +903,7 @@ class Parser:
 
     def lambda_ahead(self) -> Node | None:
         start = self.peek().start
-        i = self.i
-        depth = 0
-        while i < len(self.t):
-            depth += (self.t[i].text == "(") - (self.t[i].text == ")")
-            i += 1
-            if not depth:
-                break
+        i = self.after_bracket(self.i)
         if i >= len(self.t) or self.t[i].text != "=>":
             return None
         n = Node("Lambda", start)

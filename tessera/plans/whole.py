@@ -27,6 +27,19 @@ def query(name: str, sql: str):
     return add
 
 
+# --- owners: what a path starts with, not ending at a folder
+
+
+@query(
+    "src_project_prefix",
+    f"WITH {t.FILES}, p AS (SELECT DISTINCT upper(substr(path, 1, CAST(3 + file_id % 9 AS INT))) AS project FROM files WHERE file_id % 20 = 0) SELECT file_id, arg_max(project, length(project)) AS project FROM files JOIN p ON starts_with(lower(path), lower(project)) GROUP BY file_id",
+)
+def project_prefix(spark, d):
+    files = t.document_files(spark, d).select("file_id", "path")
+    start = F.substring("path", F.lit(1), (3 + F.col("file_id") % 9).cast("int"))
+    return src.prefix_owner(files, files.where("file_id % 20 = 0").select(F.upper(start).alias("project")))
+
+
 # --- the store: all documents, then a batch of edits and deletions that comes twice
 
 

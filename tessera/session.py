@@ -89,7 +89,7 @@ class Session:
             files = self.files()
             self.store.sync(files.where("language = 'csharp'"))
             folders = files.where("language = 'project'").select(src.directory(F.col("path")).alias("project")).distinct()
-            own = src.nearest_owner(files.select("file_id", "path"), folders)
+            own = src.prefix_owner(files.select("file_id", "path"), folders)
             place = files.select("file_id", "path").join(own, "file_id", "left").select(F.col("file_id").alias("_f"), "path", F.coalesce("project", src.directory(F.col("path"))).alias("project"))
             self.kept["members"] = saved(self.store.table("members").join(place, F.col("file_id") == F.col("_f")).drop("_f"))
             self.kept["edges"] = self.store.table("edges")

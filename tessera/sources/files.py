@@ -147,6 +147,16 @@ def nearest_owner(files: DataFrame, projects: DataFrame) -> DataFrame:
     return owners(files, projects).groupBy("file_id").agg(F.max_by("project", F.length("project")).alias("project"))
 
 
+def prefix_owner(files: DataFrame, projects: DataFrame) -> DataFrame:
+    """(file_id, project): the longest project folder that a file's path starts with, letter by letter and whatever the case.
+
+    A folder ``a/b`` owns ``a/bc/x`` too, unless a longer one does.
+    """
+    named = projects.select("project").distinct().select("project", F.lower("project").alias("prefix"))
+    ranked = named.groupBy("prefix").agg(F.min("project").alias("project")).withColumn("ord", F.lit(0))
+    return longest_prefix(files.select("file_id", F.lower("path").alias("_low")), "_low", ranked).select("file_id", "project")
+
+
 def longest_prefix(items: DataFrame, key: str, prefixes: DataFrame) -> DataFrame:
     """``items`` with ``prefix`` (and what comes with it): the longest row of ``prefixes`` that starts ``key``, the first on ties.
 
