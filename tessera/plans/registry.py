@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import findings as fi
-from tessera.operators import graph, insights
+from tessera.operators import graph, insights, reports
 from tessera.plans import code_cases, surface, whole
 from tessera.plans import tables as t
 from tessera.sources import files as src
@@ -194,6 +194,25 @@ def engine_reportable(spark, d):
     return baselined(spark, d)[0].select("path", "rule_id", *long("line"), "fingerprint")
 
 
+@query("engine_at_least", f"WITH {EFFECTIVE} SELECT event_id, event_type AS rule_id, severity FROM events JOIN eff ON event_type = rule_id WHERE severity IN ('warning', 'error')")
+def engine_at_least(spark, d):
+    return fi.at_least(fi.stamped(t.commits(spark, d), rules(spark, d)), "warning").select(F.col("commit").alias("event_id"), "rule_id", "severity")
+
+
+@query("engine_exit_codes", f"WITH {EFFECTIVE}, l(level, ord) AS (VALUES ('hint', 1), ('information', 2), ('warning', 3), ('error', 4), ('never', 5)), o AS (SELECT severity, list_position(['hint', 'information', 'warning', 'error'], severity) AS ord FROM events JOIN eff ON event_type = rule_id WHERE severity NOT IN ('off', 'error')) SELECT level, CAST(coalesce(bool_or(o.ord >= l.ord), false) AS BIGINT) AS code FROM l LEFT JOIN o ON true GROUP BY level")
+def engine_exit_codes(spark, d):
+    """What a run without errors ends with, for each level that may be asked to fail it."""
+    found = fi.stamped(t.commits(spark, d), rules(spark, d)).where("severity <> 'error'")
+    return spark.createDataFrame([(level, reports.exit_code(found, level)) for level in ("hint", "information", "warning", "error", "never")], "level string, code long")
+
+
+@query("engine_anchored", f"WITH {FINDINGS} SELECT file_id, rule_id, line, anchor FROM printed")
+def engine_anchored(spark, d):
+    found, _ = text_findings(spark, d)
+    files = t.document_files(spark, d).select("file_id", "text")
+    return fi.anchored(found.drop("anchor"), files).select("file_id", "rule_id", *long("line"), "anchor")
+
+
 @query("engine_gate", f"WITH {EFFECTIVE} SELECT count(*) FILTER (severity IN ('error')) AS errors, count(*) FILTER (severity IN ('error', 'warning')) AS warnings, count(*) FILTER (severity <> 'off') AS n FROM events JOIN eff ON event_type = rule_id")
 def engine_gate(spark, d):
     stamped = fi.stamped(t.commits(spark, d), rules(spark, d))
