@@ -7,8 +7,8 @@ files (``settings``) are looked at.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-from dataclasses import dataclass, field
+from collections.abc import Callable, Collection
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ from tessera.common import saved
 from tessera.config import Config
 from tessera.operators import code_rules as code
 from tessera.operators import findings as fi
-from tessera.operators import graph
+from tessera.operators import fused, graph
 from tessera.parse import nodes as trees
 from tessera.sources import files as src
 from tessera.sources import projects as pr
@@ -39,10 +39,11 @@ class Result:
 
 @dataclass(frozen=True)
 class Part:
-    """Rules that one query answers."""
+    """Rules that one query answers; ``apart`` are queries for a rule or a few each, for when the one fails."""
 
     ids: tuple[str, ...]
     make: Callable[[], DataFrame]
+    apart: tuple[Part, ...] = ()
 
 
 def severities(spark: SparkSession, config: Config, packs: list[pk.Pack] = ()) -> DataFrame:
@@ -108,20 +109,30 @@ def project_parts(files: DataFrame, tree: DataFrame) -> list[Part]:
     ]
 
 
-def parts(files: DataFrame, tree: DataFrame, items: DataFrame, config: Config, packs: list[pk.Pack]) -> list[Part]:
-    literals, embedded = code.embedded_sql(tree, trees.items_of)
+def file_parts(tree: DataFrame, config: Config, active: Collection[str]) -> Part:
+    """Rules that look at one C# file after the other: all that are active in one scan."""
     singles = tuple(sorted({r for r, _, _ in code.predicates()}))
     hosts = names(option(config, "SVC0010", "allowedHosts", list, []))
     plain = {
         code.async_void: ("AR0012",), code.rethrow: ("AR0014",), code.count_compared: ("AR0020",), code.concat_in_loop: ("AR0021",), code.culture_case: ("AR0090",), code.weak_random: ("AR0052",),
         code.nested_quantifiers: ("AR0053",), code.unused_parameters: ("AR0070",), code.unused_locals: ("AR0071",), code.undisposed: ("AR0074",), code.public_fields: ("AR0075",), code.async_names: ("SVC0020",),
-        code.captive: ("AR0002", "AR0003", "AR0004", "AR0005"),
     }
-    out = [Part(ids, lambda f=f: f(tree)) for f, ids in plain.items()]
-    out += [
+    threshold, length, occurrences = option(config, "AR0060", "threshold", int, 15), option(config, "AR0061", "minLength", int, 10), option(config, "AR0061", "minOccurrences", int, 3)
+    apart = [Part(ids, lambda f=f: f(tree)) for f, ids in plain.items()]
+    apart += [
         Part(singles, lambda: code.single_node(tree, hosts)),
-        Part(("AR0060",), lambda: code.too_complex(tree, option(config, "AR0060", "threshold", int, 15))),
-        Part(("AR0061",), lambda: code.duplicate_literals(tree, option(config, "AR0061", "minLength", int, 10), option(config, "AR0061", "minOccurrences", int, 3))),
+        Part(("AR0060",), lambda: code.too_complex(tree, threshold)),
+        Part(("AR0061",), lambda: code.duplicate_literals(tree, length, occurrences)),
+    ]
+    wanted = tuple(r for r in fused.RULES if r in active)
+    return Part(fused.RULES, lambda: fused.findings(tree, wanted, hosts, threshold, length, occurrences), tuple(apart))
+
+
+def parts(files: DataFrame, tree: DataFrame, items: DataFrame, config: Config, packs: list[pk.Pack], active: Collection[str]) -> list[Part]:
+    literals, embedded = code.embedded_sql(tree, trees.items_of)
+    out = [
+        file_parts(tree, config, active),
+        Part(("AR0002", "AR0003", "AR0004", "AR0005"), lambda: code.captive(tree)),
         Part(("AR0023",), lambda: code.inline_star(literals, embedded)),
         Part(("AR0080",), lambda: code.unknown_columns(literals, embedded, code.catalog(items))),
         Part(tuple(r[0] for r in known.TABLE if r[0].startswith("SQ")), lambda: code.sql_rules(items, option(config, "SQ0010", "policy", str), pattern(config, "SQ0011"), pattern(config, "SQ0012"))),
@@ -162,10 +173,19 @@ def ran(chosen: list[Part], empty: DataFrame) -> tuple[DataFrame, list[tuple[str
             try:
                 union = union.unionByName(saved(found))
             except Exception as e:
-                failed.append((", ".join(p.ids), str(e).split("\n")[0]))
+                if p.apart:
+                    some, why = ran([of(x, p.ids) for x in p.apart if set(x.ids) & set(p.ids)], empty)
+                    union, failed = union.unionByName(some), failed + why
+                else:
+                    failed.append((", ".join(p.ids), str(e).split("\n")[0]))
         return union, failed
 
 
+def of(part: Part, active: Collection[str]) -> Part:
+    """``part`` for the active ones of its rules."""
+    return replace(part, ids=tuple(i for i in part.ids if i in active))
+
+
 def check(files: DataFrame, config: Config | None = None, baseline: DataFrame | None = None, mode: str = "workspace", target: str | None = None) -> Result:
     """``mode`` is file, project or workspace; for the first two, ``target`` is the path of a file.
 
@@ -188,7 +208,7 @@ def check(files: DataFrame, config: Config | None = None, baseline: DataFrame |
         alone = None if alone.isEmpty() else alone
     tree = trees.tree_of(files.where("language = 'csharp'"))
     items = trees.items_of(files.where("language = 'sql'"))
-    chosen = [Part(ids, p.make) for p in parts(files, tree, items, config, packs) if (ids := tuple(i for i in p.ids if i in active))]
+    chosen = [p for p in (of(p, active) for p in parts(files, tree, items, config, packs, active)) if p.ids]
     raw, failed = ran(chosen, spark.createDataFrame([], "file_id long, rule_id string, message string, line int, col int"))
     if alone is not None:
         single = F.col("rule_id").isin(*(i for i, scope in active.items() if scope == "file"))
