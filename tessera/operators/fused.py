@@ -13,6 +13,7 @@ come once or more.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,101 +29,121 @@ MARK = dict(rule="string", task="string", k="int", s="string", role="string", at
 c, L = F.col, F.lit
 
 
-def mark(rules: str, task: str, when: Column, role: str = "ask", **values: Column) -> tuple[set[str], Column]:
-    """A mark of the nodes that meet ``when``, in ``task``; left out if none of ``rules`` is asked for."""
+#: Kinds of the nodes that the predicates of ``code_rules`` can hold for.
+KINDS = {
+    "AR0010": "Member Binding Invocation", "AR0011": "Invocation", "AR0013": "Catch", "AR0015": "Invocation", "AR0022": "Invocation", "AR0050": "Declarator Assign", "AR0051": "New Invocation", "AR0054": "Assign New Invocation",
+    "AR0072": "Binary If Conditional", "AR0073": "Invocation", "ACME0001": "New", "SVC0001": "Member", "SVC0002": "Member", "SVC0003": "Invocation", "SVC0010": "Declarator Assign",
+}
+
+
+@dataclass(frozen=True)
+class Mark:
+    """What nodes of some ``kinds`` (any, if empty) say for some ``rules``: a struct of the columns of ``MARK``, or null."""
+
+    rules: frozenset[str]
+    kinds: frozenset[str]
+    cells: Column
+
+
+def mark(rules: str, task: str, kinds: str, when: Column, role: str = "ask", **values: Column) -> Mark:
     values = {"at": c("node"), "task": L(task), "role": L(role), "rule": L(rules if role == "ask" else None)} | values
     cells = (values.get(x, L(None)).cast(kind).alias(x) for x, kind in MARK.items())
-    return set(rules.split()), F.when(F.coalesce(when, L(False)), F.struct(*cells))
+    return Mark(frozenset(rules.split()), frozenset(kinds.split()), F.when(F.coalesce(when, L(False)), F.struct(*cells)))
 
 
 def said(*parts: Column | str) -> Column:
     return F.concat(*(L(p) if isinstance(p, str) else p for p in parts))
 
 
-def at_members() -> list[tuple[set[str], Column]]:
+def at_members() -> list[Mark]:
     """What meets at a method or another member with parameters and a body."""
-    kind, name = c("kind"), c("name")
-    owner = kind.isin("Method", "Constructor", "LocalFunction")
-    parameter = (kind == "Parameter") & (c("role") == "parameter")
+    name, always = c("name"), L(True)
+    parameter = c("role") == "parameter"
     fixed = F.arrays_overlap("modifiers", F.array(L("override"), L("virtual"), L("abstract")))
     attribute = F.regexp_replace(code.last_name(name), "Attribute$", "")
-    waits = (kind == "Method") & ~name.endswith("Async") & (name != "Main") & ~F.array_contains("modifiers", "override")
+    waits = ~name.endswith("Async") & (name != "Main") & ~F.array_contains("modifiers", "override")
     return [
-        mark("AR0012", "member", (kind == "Method") & F.array_contains("modifiers", "async") & (c("type") == "void"), k=c("node"), message=said("async void '", name, "'")),
-        mark("SVC0020", "member", waits, k=c("node"), n=c("type_node"), message=said("'", name, "' awaits and isn't named Async")),
-        mark("AR0060", "member", kind == "Method", k=c("node"), message=said("'", name, "' has cognitive complexity ")),
-        mark("AR0070", "member", parameter & ~name.startswith("_"), k=c("parent"), name=name, message=said("parameter '", name, "' is not used")),
-        mark("AR0012 AR0070 SVC0020", "member", parameter, "parameter", k=c("parent"), flag=code.simple(c("type")).endswith("EventArgs")),
-        mark("AR0070", "member", owner & ~fixed & F.coalesce(c("op") != "explicit", L(True)), "owner", k=c("node")),
-        mark("AR0070", "member", c("role").isin("body", "arrow") & c("parent_kind").isin("Method", "Constructor", "LocalFunction"), "body", k=c("parent"), last=c("last")),
-        mark("SVC0020", "member", (kind == "Await") & c("method").isNotNull(), "await", k=c("method")),
-        mark("SVC0020", "member", (kind == "Attribute") & (attribute.isin(*code.ENTRY_ATTRIBUTES) | attribute.startswith("Http")), "entry", k=c("parent")),
-        mark("AR0060", "member", (c("weight") > 0) & c("method").isNotNull(), "weight", k=c("method"), n=c("weight") + c("nesting")),
+        mark("AR0012", "member", "Method", F.array_contains("modifiers", "async") & (c("type") == "void"), k=c("node"), message=said("async void '", name, "'")),
+        mark("SVC0020", "member", "Method", waits, k=c("node"), n=c("type_node"), message=said("'", name, "' awaits and isn't named Async")),
+        mark("AR0060", "member", "Method", always, k=c("node"), message=said("'", name, "' has cognitive complexity ")),
+        mark("AR0070", "member", "Parameter", parameter & ~name.startswith("_"), k=c("parent"), name=name, message=said("parameter '", name, "' is not used")),
+        mark("AR0012 AR0070 SVC0020", "member", "Parameter", parameter, "parameter", k=c("parent"), flag=code.simple(c("type")).endswith("EventArgs")),
+        mark("AR0070", "member", "Method Constructor LocalFunction", ~fixed & F.coalesce(c("op") != "explicit", always), "owner", k=c("node")),
+        mark("AR0070", "member", "", c("role").isin("body", "arrow") & c("parent_kind").isin("Method", "Constructor", "LocalFunction"), "body", k=c("parent"), last=c("last")),
+        mark("SVC0020", "member", "Await", c("method").isNotNull(), "await", k=c("method")),
+        mark("SVC0020", "member", "Attribute", attribute.isin(*code.ENTRY_ATTRIBUTES) | attribute.startswith("Http"), "entry", k=c("parent")),
+        mark("AR0060", "member", "", (c("weight") > 0) & c("method").isNotNull(), "weight", k=c("method"), n=c("weight") + c("nesting")),
     ]
 
 
-def at_parents() -> list[tuple[set[str], Column]]:
+def at_parents() -> list[Mark]:
     """What a node and its parent tell together."""
-    kind, name = c("kind"), c("name")
-    regex = ((kind == "Invocation") & name.isin(*code.REGEX_CALLS) & (code.last_name(c("receiver")) == "Regex")) | ((kind == "New") & (code.simple(c("type")) == "Regex"))
+    kind, name, always = c("kind"), c("name"), L(True)
+    regex = F.when(kind == "New", code.simple(c("type")) == "Regex").otherwise(name.isin(*code.REGEX_CALLS) & (code.last_name(c("receiver")) == "Regex"))
     bare = F.regexp_replace(F.regexp_replace(c("value"), r"\\.", "x"), r"\[\^?\]?[^\]]*\]", "x")
     open_field = F.array_contains("modifiers", "public") & ~F.arrays_overlap("modifiers", F.array(L("readonly"), L("const")))
     return [
-        mark("AR0014", "throw", (kind == "Throw") & (c("catch_name") != ""), k=c("node"), message=L("throw loses the stack")),
-        mark("AR0014", "throw", (kind == "Ident") & (c("role") == "value") & (name == c("catch_name")), "caught", k=c("parent")),
-        mark("AR0020", "count", (kind == "Binary") & c("op").isin("==", ">", "!=", ">="), k=c("node"), name=F.when(c("op") == ">=", "1").otherwise("0"), message=L("counts to test for emptiness")),
-        mark("AR0020", "count", code.call("Count", 0) & c("receiver").isNotNull(), "counted", k=c("parent")),
-        mark("AR0020", "count", kind == "Number", "number", k=c("parent"), name=c("value")),
-        mark("AR0052", "random", (kind == "New") & (code.simple(c("type")) == "Random") & (c("role") == "initializer"), k=c("parent")),
-        mark("AR0052", "random", (kind == "Declarator") & code.any_of(name, code.RANDOM_SECRETS), "secret", k=c("node"), name=name),
-        mark("AR0053", "regex", (kind == "String") & (c("role") == "argument") & bare.rlike(code.NESTED_QUANTIFIER), k=c("parent"), message=L("expression may backtrack without bound")),
-        mark("AR0053", "regex", regex, "regex", k=c("node")),
-        mark("AR0075", "field", kind == "Declarator", k=c("parent"), message=said("public field '", name, "'")),
-        mark("AR0075", "field", (kind == "Field") & open_field, "field", k=c("node"), n=c("parent")),
-        mark("AR0075 SVC0020", "type", kind == "Type", "type", k=c("node"), name=c("op")),
+        mark("AR0014", "throw", "Throw", c("catch_name") != "", k=c("node"), message=L("throw loses the stack")),
+        mark("AR0014", "throw", "Ident", (c("role") == "value") & (name == c("catch_name")), "caught", k=c("parent")),
+        mark("AR0020", "count", "Binary", c("op").isin("==", ">", "!=", ">="), k=c("node"), name=F.when(c("op") == ">=", "1").otherwise("0"), message=L("counts to test for emptiness")),
+        mark("AR0020", "count", "Invocation", code.call("Count", 0) & c("receiver").isNotNull(), "counted", k=c("parent")),
+        mark("AR0020", "count", "Number", always, "number", k=c("parent"), name=c("value")),
+        mark("AR0052", "random", "New", (code.simple(c("type")) == "Random") & (c("role") == "initializer"), k=c("parent")),
+        mark("AR0052", "random", "Declarator", code.any_of(name, code.RANDOM_SECRETS), "secret", k=c("node"), name=name),
+        mark("AR0053", "regex", "String", (c("role") == "argument") & bare.rlike(code.NESTED_QUANTIFIER), k=c("parent"), message=L("expression may backtrack without bound")),
+        mark("AR0053", "regex", "New Invocation", regex, "regex", k=c("node")),
+        mark("AR0075", "field", "Declarator", c("parent_kind") == "Field", k=c("parent"), message=said("public field '", name, "'")),
+        mark("AR0075", "field", "Field", open_field, "field", k=c("node"), n=c("parent")),
+        mark("AR0075 SVC0020", "type", "Type", always, "type", k=c("node"), name=c("op")),
     ]
 
 
-def in_blocks() -> list[tuple[set[str], Column]]:
+def in_blocks() -> list[Mark]:
     """Locals: a declaration precedes its declarators in its block, and what one is made of follows it."""
-    kind, name = c("kind"), c("name")
-    local = dict(k=c("block"), last=c("last"), name=name, n=c("parent"))
+    name = c("name")
+    local, inside = dict(k=c("block"), last=c("last"), name=name, n=c("parent")), c("parent_kind") == "LocalDeclaration"
     plain = ~F.arrays_overlap("modifiers", F.array(L("using"), L("const")))
-    made = (kind == "New") & code.simple(c("type")).isin(*code.DISPOSABLE) & (c("role") == "initializer")
+    made = code.simple(c("type")).isin(*code.DISPOSABLE) & (c("role") == "initializer")
     return [
-        mark("AR0071", "block", (kind == "Declarator") & ~name.startswith("_"), **local, message=said("local '", name, "' is not used")),
-        mark("AR0074", "block", kind == "Declarator", **local, message=said("'", name, "' is never disposed")),
-        mark("AR0071 AR0074", "block", kind == "LocalDeclaration", "declaration", k=c("block"), flag=plain),
-        mark("AR0071 AR0074", "block", kind == "Block", "block", k=c("node"), last=c("last")),
-        mark("AR0074", "block", made, "made", k=c("block"), n=c("parent")),
+        mark("AR0071", "block", "Declarator", inside & ~name.startswith("_"), **local, message=said("local '", name, "' is not used")),
+        mark("AR0074", "block", "Declarator", inside, **local, message=said("'", name, "' is never disposed")),
+        mark("AR0071 AR0074", "block", "LocalDeclaration", L(True), "declaration", k=c("block"), flag=plain),
+        mark("AR0071 AR0074", "block", "Block", L(True), "block", k=c("node"), last=c("last")),
+        mark("AR0074", "block", "New", made, "made", k=c("block"), n=c("parent")),
     ]
 
 
-def at_names(length: int) -> list[tuple[set[str], Column]]:
+def at_names(length: int) -> list[Mark]:
     """Uses and types of names, and literals by their value."""
     kind, name = c("kind"), c("name")
-    turn = F.when(kind == "Parameter", 0).when((kind == "Declarator") & (c("parent_kind") == "Field"), 1).when(kind == "Declarator", 2).when(kind == "Property", 3)
-    cased = name.isin("ToUpper", "ToLower") & (kind == "Invocation") & (c("arity") == 0)
-    gone = name.isin("Dispose", "DisposeAsync", "Close") & (kind == "Invocation")
-    handed = (kind == "Ident") & (c("role").isin("argument", "right", "value", "resource", "initializer", "element", "arrow") | (c("parent_kind") == "UsingStatement"))
-    alone = (kind == "Ident") & (c("parent_kind") == "ExpressionStatement") & (c("role") == "expression")
-    literal = (kind == "String") & (F.length("value") >= length) & ~c("in_const")
+    turn = F.when(kind == "Parameter", 0).when(kind == "Property", 3).when(c("parent_kind") == "Field", 1).otherwise(2)
+    cased = name.isin("ToUpper", "ToLower") & (c("arity") == 0)
+    handed = c("role").isin("argument", "right", "value", "resource", "initializer", "element", "arrow") | (c("parent_kind") == "UsingStatement") | ((c("parent_kind") == "ExpressionStatement") & (c("role") == "expression"))
     return [
-        mark("AR0021", "declared", (kind == "Assign") & (c("op") == "+=") & c("in_loop") & (c("left_kind") == "Ident"), s=c("left_name"), message=said("adds to string '", c("left_name"), "' in a loop")),
-        mark("AR0090", "found", cased & (c("receiver_kind") == "String"), message=said(name, " depends on the culture")),
-        mark("AR0090", "declared", cased & (c("receiver_kind") == "Ident"), s=c("receiver_name"), message=said(name, " depends on the culture")),
-        mark("AR0021 AR0090", "declared", turn.isNotNull() & name.isNotNull() & c("type").isNotNull() & (c("type") != "var"), "declared", s=name, n=turn, name=c("type")),
-        mark("AR0061", "literal", literal, s=c("value"), message=said("literal repeats: '", c("value"), "'")),
-        mark("AR0070 AR0071", "use", kind == "Ident", "use", s=name),
-        mark("AR0074", "disposed", F.coalesce(handed | alone, L(False)) | F.coalesce(gone, L(False)), "use", s=F.when(gone, c("receiver_name")).otherwise(name)),
+        mark("AR0021", "declared", "Assign", (c("op") == "+=") & c("in_loop") & (c("left_kind") == "Ident"), s=c("left_name"), message=said("adds to string '", c("left_name"), "' in a loop")),
+        mark("AR0090", "found", "Invocation", cased & (c("receiver_kind") == "String"), message=said(name, " depends on the culture")),
+        mark("AR0090", "declared", "Invocation", cased & (c("receiver_kind") == "Ident"), s=c("receiver_name"), message=said(name, " depends on the culture")),
+        mark("AR0021 AR0090", "declared", "Parameter Declarator Property", name.isNotNull() & c("type").isNotNull() & (c("type") != "var"), "declared", s=name, n=turn, name=c("type")),
+        mark("AR0061", "literal", "String", (F.length("value") >= length) & ~c("in_const"), s=c("value"), message=said("literal repeats: '", c("value"), "'")),
+        mark("AR0070 AR0071", "use", "Ident", L(True), "use", s=name),
+        mark("AR0074", "disposed", "Ident", handed, "use", s=name),
+        mark("AR0074", "disposed", "Invocation", name.isin("Dispose", "DisposeAsync", "Close"), "use", s=c("receiver_name")),
     ]
 
 
 def marks(nodes: DataFrame, rules: set[str], hosts: Iterable[str], length: int) -> DataFrame:
-    """One scan: file_id, line, col and the columns of ``MARK``."""
-    single = [mark(rule, "found", met, message=message) for rule, met, message in code.predicates(tuple(hosts))]
-    asked = [m for serves, m in (*single, *at_members(), *at_parents(), *in_blocks(), *at_names(length)) if serves & rules]
-    each = nodes.select("file_id", c("start_line").alias("line"), c("start_col").alias("col"), F.explode(F.array_compact(F.array(*asked))).alias("m"))
+    """One scan: file_id, line, col and the columns of ``MARK``. A node is asked for what its kind can tell alone."""
+    single = [mark(rule, "found", KINDS[rule], met, message=message) for rule, met, message in code.predicates(tuple(hosts))]
+    asked = [m for m in (*single, *at_members(), *at_parents(), *in_blocks(), *at_names(length)) if m.rules & rules]
+    told = lambda kind: F.array(*(m.cells for m in asked if not m.kinds or kind in m.kinds))
+    anywhere = any(not m.kinds for m in asked)
+    kinds = sorted(set().union(*(m.kinds for m in asked)))
+    by_kind = F.when(c("kind") == kinds[0], told(kinds[0]))
+    for kind in kinds[1:]:
+        by_kind = by_kind.when(c("kind") == kind, told(kind))
+    if anywhere:
+        by_kind = by_kind.otherwise(told(None))
+    each = nodes.select("file_id", c("start_line").alias("line"), c("start_col").alias("col"), F.explode(by_kind).alias("m")).where("m is not null")
     return each.select("file_id", "line", "col", "m.*")
 
 

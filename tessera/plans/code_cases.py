@@ -12,8 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.common import by_file, saved
 from tessera.operators import code_rules as code
-from tessera.common import by_file
+from tessera.operators import fused
 from tessera.parse import nodes as trees
 from tessera.plans.tables import table
 
@@ -193,6 +194,21 @@ def literals(spark, d):
     return shown(code.duplicate_literals(tree(spark, d, LITERALS)), "AR0061")
 
 
+#: Cases of rules that are answered together; customer n has a file of case n modulo their number.
+TOGETHER = (*(x for x in PLAIN_CASES if x.rule in fused.RULES), LITERALS)
+TOGETHER_SQL = " UNION ALL ".join(f"SELECT * FROM ({LITERALS_SQL if x is LITERALS else x.sql()}) WHERE file_id % {len(TOGETHER)} = {i}" for i, x in enumerate(TOGETHER))
+
+
+def together(spark, d):
+    out = None
+    for i, case in enumerate(TOGETHER):
+        one = files(spark, d, case).where(F.col("file_id") % len(TOGETHER) == i).withColumn("rule", F.lit(case.rule))
+        out = one if out is None else out.unionByName(one)
+    out = saved(out)
+    found = fused.findings(trees.tree_of(out)).join(out.select("file_id", F.col("rule").alias("rule_id")), ["file_id", "rule_id"])
+    return found.select("file_id", "rule_id", F.col("line").cast("long").alias("line"))
+
+
 def built() -> tuple[dict, dict]:
     """The queries and their SQL."""
     queries = {f"rule_{c.rule.lower()}": plain(c) for c in PLAIN_CASES} | {f"rule_{c.rule.lower()}": sql_case(c) for c in SQL_CASES}
@@ -200,4 +216,5 @@ def built() -> tuple[dict, dict]:
     for case, f in ((LAYER_CASE, layer), (NAMESPACE_CASE, namespace), (STAR_CASE, star), (COLUMN_CASE, column), (KEY_CASE, settings_key)):
         queries[f"rule_{case.rule.lower()}"], oracles[f"rule_{case.rule.lower()}"] = f, case.sql()
     queries["rule_ar0061"], oracles["rule_ar0061"] = literals, LITERALS_SQL
+    queries["rules_together"], oracles["rules_together"] = together, TOGETHER_SQL
     return queries, oracles
