@@ -81,11 +81,11 @@ class Grammar:
                 automaton.add_word(w)
             automaton.make_automaton()
             classes = {w: c for c, said in ((fst.TARGET, TARGETS), (fst.NEGATION, NEGATIONS), (fst.REPORT, REPORTS), (fst.THREAT, THREATS)) for w in said.split()}
-            self.made = automaton, classes, fst.grammar()
+            self.made = automaton, fst.Reader(fst.Lexicon(classes, self.weight), fst.grammar())
         return self.made
 
     def weight(self, word: str) -> float:
-        """The lexicon transducer: 0 for words that it doesn't accept."""
+        """The weight of a word's arc in the lexicon transducer: 0 for words that it doesn't accept."""
         got = self.words.get(word)
         if got is None:
             got = next((self.stems[word[:k]] for k in range(STEM[0], STEM[1] + 1) if word[:k] in self.stems), 0.0)
@@ -97,7 +97,7 @@ class Grammar:
         if not text:
             return out
         low = text.lower()
-        automaton, classes, composed = self.machines()
+        automaton, reader = self.machines()
         done = -1
         for end, _ in automaton.iter(low):
             if end <= done:
@@ -107,15 +107,12 @@ class Grammar:
             hit = CLAUSE.search(low, end + 1)
             hi = hit.start() if hit else len(low)
             done = hi - 1
-            words = WORD.findall(low, lo, hi)
-            weights = [self.weight(w) for w in words]
-            symbols = [fst.INSULT if x else classes.get(w, fst.OTHER) for w, x in zip(words, weights, strict=True)]
-            for i, marks in composed.read(symbols):
+            for _, marks, weight in reader.read(WORD.findall(low, lo, hi)):
                 if "insult" in marks:
                     kind = 3 if "reported" in marks else 2 if "negated" in marks else 1 if "target" in marks else 0
-                    out[kind] += weights[i]
+                    out[kind] += weight
                 elif "threat" in marks and "negated" not in marks and "reported" not in marks:
-                    out[5 if "target" in marks else 4] += 1
+                    out[5 if "target" in marks else 4] += weight
         return out
 
     def score(self, text: str | None) -> float:

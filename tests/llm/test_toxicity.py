@@ -18,6 +18,15 @@ def test_machines_compose():
     assert marks([]) == []
 
 
+def test_weights_are_added_along_composed_arcs():
+    entries = {"glorp": 2.5, "zwick": -1.5}
+    reader = fst.Reader(fst.Lexicon({"you": fst.TARGET, "kill": fst.THREAT, "not": fst.NEGATION, "glorp": fst.THREAT}, lambda w: entries.get(w, 0.0)), fst.grammar())
+    got = [(i, sorted(marks), w) for i, marks, w in reader.read("you glorp and not zwick or kill".split())]
+    assert got == [(1, ["insult", "target"], 2.5), (4, ["insult", "negated", "target"], -1.5), (6, ["negated", "threat"], 1.0)]
+    both = fst.Composed(fst.emits(fst.INSULT, "a", 2.0), fst.emits(fst.INSULT, "b", 0.5))
+    assert both.weighed([(fst.OTHER, 1.0), (fst.INSULT, 1.0)]) == [(1, frozenset("ab"), 3.5)]
+
+
 def corpus(n=900):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice(["ba", "lo", "ni", "re", "tu", "sa", "ke"]) for _ in range(rng.randint(2, 4)))
