@@ -31,13 +31,24 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def by_file(files: DataFrame) -> DataFrame:
+#: Characters of text whose rows a task sorts. A character of code makes rows of about 50 to 120 bytes.
+BUCKET_TEXT = 2_000_000
+
+
+def buckets_of(files: DataFrame) -> int:
+    """As many buckets as the session has partitions, and more for much text: what a task holds doesn't grow with the input."""
+    least = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    text = files.agg(F.sum(F.length("text"))).first()[0] or 0
+    return min(max(least, -(-text // BUCKET_TEXT)), max(least, 100_000))
+
+
+def by_file(files: DataFrame, buckets: int | None = None) -> DataFrame:
     """``files`` (file_id, ...) dealt out as ``laid_out`` writes: what is made of a file stays in the file's task."""
-    spark = files.sparkSession
-    return files.withColumn("file_id", F.col("file_id").cast("long")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file_id")
+    n = buckets or int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.withColumn("file_id", F.col("file_id").cast("long")).repartition(n, "file_id")
 
 
-def laid_out(df: DataFrame, *order: str) -> DataFrame:
+def laid_out(df: DataFrame, *order: str, buckets: int | None = None) -> DataFrame:
     """``df`` (file_id, ...) as a table in buckets by file, sorted by file and ``order``.
 
     Joins on (file_id, ...), groups and windows of a file need no exchange of it. For joins that asks for one setting of
@@ -47,6 +58,6 @@ def laid_out(df: DataFrame, *order: str) -> DataFrame:
     spark = df.sparkSession
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     name = f"tessera_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.option("path", shared_path(spark)).bucketBy(buckets, "file_id").sortBy("file_id", *order).saveAsTable(name)
     return spark.table(name)

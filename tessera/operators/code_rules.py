@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.parse.nodes import Asked
 from tessera.sources.files import longest_prefix, with_prefixes
 
 # Names that the rules know.
@@ -394,6 +395,27 @@ def all_plain(nodes: DataFrame) -> DataFrame:
     return out
 
 
+PLACE = ("file_id", "node", "kind", "start_line", "start_col")
+
+
+def asked(kinds: str, columns: str) -> Asked:
+    return Asked(tuple(kinds.split()), (*PLACE, *columns.split()))
+
+
+#: What rules read, for a table that serves one of them alone (tested: the findings equal those from whole trees).
+READS = {
+    single_node: asked("Member Binding Invocation Catch Declarator Assign New Binary If Conditional", "role parent_kind name op type arity receiver receiver_kind receiver_name left_kind left_name right_kind right_name right_value n_statements in_async in_attribute dynamic"),
+    count_compared: asked("Number Invocation Binary", "parent name op value arity receiver"),
+    concat_in_loop: asked("Assign Parameter Declarator Property", "parent_kind name op type left_kind left_name in_loop"),
+    complexity: asked("Method", "method weight nesting"),
+    too_complex: asked("Method", "name method weight nesting"),
+    unused_locals: asked("LocalDeclaration Block Declarator Ident", "parent last name modifiers block"),
+    undisposed: asked("LocalDeclaration Block Declarator Ident New Invocation", "parent last role parent_kind name type modifiers receiver_name block"),
+    captive: asked("Member Lambda Type Constructor Parameter", "parent role name op type arity modifiers type_node"),
+    layers: asked("Namespace Using Qualified Member", "role parent_kind name op text"),
+}
+
+
 def members(nodes: DataFrame) -> DataFrame:
     """(file_id, node, key, line, col, is_test): callable members; key is name/arity, fields and properties have arity 0."""
     tests = "(^|\\.)(Fact|Theory|Test|TestCase|TestMethod|DataTestMethod)(Attribute)?$"

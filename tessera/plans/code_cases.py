@@ -127,8 +127,9 @@ def files(spark, d, case: Case) -> DataFrame:
     return table(spark, d, "customer").select(F.col("c_custkey").alias("file_id"), text_of(case).alias("text"))
 
 
-def tree(spark, d, case: Case) -> DataFrame:
-    return trees.tree_of(files(spark, d, case))
+def tree(spark, d, case: Case, rule=None) -> DataFrame:
+    """The node table of all files; for ``rule`` alone, what it reads."""
+    return trees.tree_of(files(spark, d, case), code.READS.get(rule))
 
 
 def shown(found: DataFrame, rule: str) -> DataFrame:
@@ -144,7 +145,8 @@ SHIPPED = {
 
 
 def plain(case: Case):
-    return lambda spark, d: shown(SHIPPED.get(case.rule, code.single_node)(tree(spark, d, case)), case.rule)
+    rule = SHIPPED.get(case.rule, code.single_node)
+    return lambda spark, d: shown(rule(tree(spark, d, case, rule)), case.rule)
 
 
 def sql_case(case: Case):
@@ -153,7 +155,7 @@ def sql_case(case: Case):
 
 def layer(spark, d):
     prefixes = spark.createDataFrame([("Shop.Web", "web", 0), ("Shop.Data", "data", 1)], "prefix string, layer string, ord int")
-    return shown(code.layers(tree(spark, d, LAYER_CASE), prefixes, [("web", "data")], False), "AR0001")
+    return shown(code.layers(tree(spark, d, LAYER_CASE, code.layers), prefixes, [("web", "data")], False), "AR0001")
 
 
 def namespace(spark, d):

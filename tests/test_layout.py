@@ -5,8 +5,10 @@ import re
 
 import pytest
 
+from tessera import common
 from tessera.operators import code_rules as r
 from tessera.parse import nodes
+from tessera.plans import code_cases
 from tests.test_code_rules import CODE
 
 
@@ -53,3 +55,23 @@ def test_a_name_that_occurs_very_often(spark):
     code = "class A { " + " ".join(f"void M{i}(int x, int y) {{ F(x); }}" for i in range(n)) + " }"
     found = r.unused_parameters(nodes.tree_of(spark.createDataFrame([(1, code)], "file_id long, text string")))
     assert found.count() == n
+
+
+@pytest.mark.parametrize("rule", list(r.READS))
+def test_what_a_rule_reads_is_enough(spark, rule):
+    texts = list(CODE.values()) + [case.between.join((case.around[0], *case.breaks, *case.keeps, case.around[1])) for case in (*code_cases.PLAIN_CASES, code_cases.LAYER_CASE)]
+    files = spark.createDataFrame(list(enumerate(texts)), "file_id long, text string")
+    prefixes = spark.createDataFrame([("Shop.Web", "web", 0), ("Shop.Data", "data", 1)], "prefix string, layer string, ord int")
+    found = lambda tree: sorted(map(tuple, (rule(tree, prefixes, [("web", "data"), ("data", "web")], False) if rule is r.layers else rule(tree)).collect()))
+    narrow = nodes.tree_of(files, r.READS[rule])
+    assert len(narrow.columns) < 28 and narrow.count() < nodes.tree_of(files).count()
+    assert found(narrow) == found(nodes.tree_of(files)) != []
+
+
+def test_more_text_makes_more_buckets(spark, monkeypatch):
+    files = spark.createDataFrame([(i, f"class A{i} {{ async void M() {{ }} }}") for i in range(600)], "file_id long, text string")
+    assert len(nodes.tree_of(files).inputFiles()) == 8
+    monkeypatch.setattr(common, "BUCKET_TEXT", 1000)
+    tree = nodes.tree_of(files)
+    assert len(tree.inputFiles()) == common.buckets_of(files) > 8
+    assert sorted(x.file_id for x in r.async_void(tree).collect()) == list(range(600))
