@@ -282,13 +282,15 @@ def forbidden_namespaces(nodes: DataFrame, namespaces: list[str]) -> DataFrame:
 def layers(nodes: DataFrame, prefixes: DataFrame, edges: list[tuple[str, str]], allowlist: bool) -> DataFrame:
     """AR0001. ``prefixes``: prefix, layer, ord. ``edges``: (from, to), denied, or with ``allowlist`` the only ones allowed."""
     dot = lambda x: F.concat(x, F.lit("."))
-    pre = prefixes.withColumn("prefix", dot(F.col("prefix")))
+    # settings: few, and nearly all names start with the same ones, so that they are not to be dealt out by them
+    pre = F.broadcast(prefixes.withColumn("prefix", dot(F.col("prefix"))))
     own = nodes.where("kind = 'Namespace'").groupBy("file_id").agg(dot(F.min_by("name", "node")).alias("own"))
     own = longest_prefix(own, "own", pre).select(F.col("file_id").alias("o_file"), F.col("layer").alias("from_layer"))
-    usings = nodes.where("kind = 'Using' and op is null").select("file_id", "start_line", "start_col", "node", dot(c("name")).alias("target"), F.lit(0).alias("turn"))
-    qualified = nodes.where("kind in ('Qualified', 'Member') and parent_kind <> 'Using' and not (parent_kind = 'Member' and role = 'receiver')").where(F.coalesce(c("text"), c("name")).contains("."))
-    qualified = qualified.select("file_id", "start_line", "start_col", "node", F.regexp_replace(F.coalesce("text", "name"), r"[^.]*$", "").alias("target"), F.lit(1).alias("turn"))
-    met = longest_prefix(usings.unionByName(qualified), "target", pre).join(own, c("file_id") == c("o_file")).where(c("layer") != c("from_layer"))
+    using = F.expr("kind = 'Using' and op is null")
+    qualified = F.expr("kind in ('Qualified', 'Member') and parent_kind <> 'Using' and not (parent_kind = 'Member' and role = 'receiver')") & F.coalesce(c("text"), c("name")).contains(".")
+    target = F.when(using, dot(c("name"))).otherwise(F.regexp_replace(F.coalesce("text", "name"), r"[^.]*$", ""))
+    named = nodes.where(using | qualified).select("file_id", "start_line", "start_col", "node", target.alias("target"), F.when(using, 0).otherwise(1).alias("turn"))
+    met = longest_prefix(named, "target", pre).join(own, c("file_id") == c("o_file")).where(c("layer") != c("from_layer"))
     listed = F.lit(False)
     for a, b in edges:
         listed = listed | ((c("from_layer") == a) & (c("layer") == b))

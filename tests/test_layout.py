@@ -75,3 +75,11 @@ def test_more_text_makes_more_buckets(spark, monkeypatch):
     tree = nodes.tree_of(files)
     assert len(tree.inputFiles()) == common.buckets_of(files) > 8
     assert sorted(x.file_id for x in r.async_void(tree).collect()) == list(range(600))
+
+
+def test_layers_meet_their_settings_without_an_exchange(spark):
+    prefixes = spark.createDataFrame([("Shop.Web", "web", 0), ("Shop.Data", "data", 1)], "prefix string, layer string, ord int")
+    tree = nodes.tree_of(spark.createDataFrame(list(CODE.items()), "file_id long, text string"))
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        r.layers(tree, prefixes, [("data", "web")], False).explain()
+    assert "Exchange hashpartitioning" not in out.getvalue()
