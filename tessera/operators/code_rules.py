@@ -105,9 +105,9 @@ def predicates(hosts: tuple[str, ...] = ()) -> list[tuple[str, Column, Column]]:
     ]
 
 
-def single_node(nodes: DataFrame, hosts: tuple[str, ...] = ()) -> DataFrame:
-    """All rules of ``predicates`` in one scan."""
-    met = F.array_compact(F.array(*(F.when(F.coalesce(p, F.lit(False)), F.struct(F.lit(r).alias("rule_id"), m.alias("message"))) for r, p, m in predicates(hosts))))
+def single_node(nodes: DataFrame, hosts: tuple[str, ...] = (), rule: str | None = None) -> DataFrame:
+    """All rules of ``predicates``, or one of them, in one scan."""
+    met = F.array_compact(F.array(*(F.when(F.coalesce(p, F.lit(False)), F.struct(F.lit(r).alias("rule_id"), m.alias("message"))) for r, p, m in predicates(hosts) if rule in (None, r))))
     return nodes.select("file_id", F.explode(met).alias("x"), F.col("start_line").alias("line"), F.col("start_col").alias("col")).select("file_id", "x.rule_id", "x.message", "line", "col")
 
 

@@ -145,7 +145,10 @@ SHIPPED = {
 
 
 def plain(case: Case):
-    rule = SHIPPED.get(case.rule, code.single_node)
+    rule = SHIPPED.get(case.rule)
+    if rule is None:
+        # one scan of nodes: they needn't be written
+        return lambda spark, d: shown(code.single_node(trees.csharp_nodes(by_file(files(spark, d, case)), code.READS[code.single_node]), rule=case.rule), case.rule)
     return lambda spark, d: shown(rule(tree(spark, d, case, rule)), case.rule)
 
 

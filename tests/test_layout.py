@@ -83,3 +83,10 @@ def test_layers_meet_their_settings_without_an_exchange(spark):
     with contextlib.redirect_stdout(io.StringIO()) as out:
         r.layers(tree, prefixes, [("data", "web")], False).explain()
     assert "Exchange hashpartitioning" not in out.getvalue()
+
+
+def test_a_rule_alone_asks_for_its_own_predicates(spark):
+    tree = nodes.csharp_nodes(spark.createDataFrame(list(CODE.items()), "file_id long, text string"))
+    whole, alone = r.single_node(tree), r.single_node(tree, rule="AR0015")
+    assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, whole.where("rule_id = 'AR0015'").collect())) != []
+    assert "Sleep" in alone._jdf.queryExecution().toString() and "GetAwaiter" not in alone._jdf.queryExecution().toString()
