@@ -112,7 +112,10 @@ def single_node(nodes: DataFrame, hosts: tuple[str, ...] = (), rule: str | None
 
 
 def of(nodes: DataFrame, prefix: str, *columns: str) -> DataFrame:
-    return nodes.select(F.col("file_id").alias(f"{prefix}_file"), *(F.col(x).alias(f"{prefix}_{x}") for x in columns))
+    """The side of a join on (file_id, ...). Both sides lie in the same buckets and are merged there: by the size of its
+    files a side may look small enough to be broadcast, but it grows with the input.
+    """
+    return nodes.select(F.col("file_id").alias(f"{prefix}_file"), *(F.col(x).alias(f"{prefix}_{x}") for x in columns)).hint("merge")
 
 
 def parameters(nodes: DataFrame) -> DataFrame:
@@ -151,7 +154,7 @@ def declared_types(nodes: DataFrame) -> DataFrame:
     """(d_file, d_name, d_type): what a name is declared as in its file; the last of parameters, fields, locals, properties holds."""
     turn = F.when(c("kind") == "Parameter", 0).when((c("kind") == "Declarator") & (c("parent_kind") == "Field"), 1).when(c("kind") == "Declarator", 2).when(c("kind") == "Property", 3)
     rows = nodes.where(turn.isNotNull() & c("name").isNotNull() & c("type").isNotNull() & (c("type") != "var"))
-    return rows.groupBy(F.col("file_id").alias("d_file"), F.col("name").alias("d_name")).agg(F.max_by("type", F.struct(turn, "node")).alias("d_type"))
+    return rows.groupBy(F.col("file_id").alias("d_file"), F.col("name").alias("d_name")).agg(F.max_by("type", F.struct(turn, "node")).alias("d_type")).hint("merge")
 
 
 def concat_in_loop(nodes: DataFrame) -> DataFrame:

@@ -131,7 +131,7 @@ def call_edges(spark, d):
 @query("parse_complexity", "SELECT c_custkey AS file_id, CAST(i + 1 AS BIGINT) AS line, CAST(CASE WHEN (c_custkey + i) % 2 = 0 THEN 21 WHEN i % 2 = 0 THEN 15 END AS BIGINT) AS score FROM customer, range(0, 5) t(i) WHERE i < 2 + c_nationkey % 4 AND ((c_custkey + i) % 2 = 0 OR i % 2 = 0)")
 def complexity(spark, d):
     tree = code_cases.tree(spark, d, next(c for c in code_cases.PLAIN_CASES if c.rule == "AR0060"), code.complexity)
-    at = tree.where("kind = 'Method'").select(F.col("file_id").alias("_f"), F.col("node").alias("_n"), "start_line")
+    at = tree.where("kind = 'Method'").select(F.col("file_id").alias("_f"), F.col("node").alias("_n"), "start_line").hint("merge")
     score = code.complexity(tree)
     return score.join(at, (F.col("file_id") == F.col("_f")) & (F.col("method") == F.col("_n"))).select("file_id", F.col("start_line").cast("long").alias("line"), F.col("score").cast("long").alias("score"))
 

@@ -90,3 +90,10 @@ def test_a_rule_alone_asks_for_its_own_predicates(spark):
     whole, alone = r.single_node(tree), r.single_node(tree, rule="AR0015")
     assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, whole.where("rule_id = 'AR0015'").collect())) != []
     assert "Sleep" in alone._jdf.queryExecution().toString() and "GetAwaiter" not in alone._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("rule", [r.unused_locals, r.undisposed, r.count_compared, r.concat_in_loop, r.too_complex])
+def test_no_side_that_grows_is_broadcast(tree, rule):
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        rule(tree).explain()
+    assert "Broadcast" not in out.getvalue() and "Exchange" not in out.getvalue()
