@@ -27,6 +27,9 @@ from tessera.sources import projects as pr
 #: Scopes of the rules that run in each mode.
 MODES = {"file": ("file",), "project": ("file", "project"), "workspace": ("file", "project", "workspace")}
 
+#: What all rules but those of packs read: ``fused`` asks for most, layers for the text of names, settings for arguments.
+READS = replace(fused.READS, columns=(*fused.READS.columns, "text", "argument_kind"))
+
 
 @dataclass
 class Result:
@@ -206,7 +209,8 @@ def check(files: DataFrame, config: Config | None = None, baseline: DataFrame |
         files = files.where(F.lit(folder == "") | F.col("path").startswith(f"{folder}/"))
         alone = src.single_file(files, target)
         alone = None if alone.isEmpty() else alone
-    tree = trees.tree_of(files.where("language = 'csharp'"))
+    # packs may ask for any column, rules of our own for some
+    tree = trees.tree_of(files.where("language = 'csharp'"), None if packs else READS)
     items = trees.items_of(files.where("language = 'sql'"))
     chosen = [p for p in (of(p, active) for p in parts(files, tree, items, config, packs, active)) if p.ids]
     raw, failed = ran(chosen, spark.createDataFrame([], "file_id long, rule_id string, message string, line int, col int"))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import code_rules as code
+from tessera.parse.nodes import Asked
 
 #: Rules that ``findings`` answers: those of one node, and those that look around in a file.
 SINGLE = "ACME0001 AR0010 AR0011 AR0013 AR0015 AR0022 AR0050 AR0051 AR0054 AR0072 AR0073 SVC0001 SVC0002 SVC0003 SVC0010"
@@ -26,6 +27,10 @@ RULES = tuple(f"{SINGLE} AR0012 AR0014 AR0020 AR0021 AR0052 AR0053 AR0060 AR0061
 NEXT_USE = ("AR0070", "AR0071")
 MARK = dict(rule="string", task="string", k="int", s="string", role="string", at="int", last="int", message="string", name="string", n="int", flag="boolean")
 
+#: What the rules read: rows of all kinds, as the body of a member may be any expression.
+READS = Asked(None, tuple("""file_id node parent last role kind parent_kind name op value type arity modifiers start_line start_col receiver receiver_kind receiver_name left_kind left_name
+ right_kind right_name right_value n_statements method block type_node in_async in_loop in_const in_attribute catch_name weight nesting dynamic""".split()))
+
 c, L = F.col, F.lit
 
 
@@ -143,8 +148,9 @@ def marks(nodes: DataFrame, rules: set[str], hosts: Iterable[str], length: int)
         by_kind = by_kind.when(c("kind") == kind, told(kind))
     if anywhere:
         by_kind = by_kind.otherwise(told(None))
-    each = nodes.select("file_id", c("start_line").alias("line"), c("start_col").alias("col"), F.explode(by_kind).alias("m")).where("m is not null")
-    return each.select("file_id", "line", "col", "m.*")
+    # a column of its own before it is exploded: inside a generator the conditions would be interpreted, node by node
+    told_by = nodes.select("file_id", c("start_line").alias("line"), c("start_col").alias("col"), by_kind.alias("_marks"))
+    return told_by.select("file_id", "line", "col", F.explode("_marks").alias("m")).where("m is not null").select("file_id", "line", "col", "m.*")
 
 
 def findings(nodes: DataFrame, rules: Iterable[str] = RULES, hosts: Iterable[str] = (), threshold: int = 15, length: int = 10, occurrences: int = 3) -> DataFrame:
