@@ -210,7 +210,7 @@ def together(spark, d):
         one = files(spark, d, case).where(F.col("file_id") % len(TOGETHER) == i).withColumn("rule", F.lit(case.rule))
         out = one if out is None else out.unionByName(one)
     out = saved(out)
-    found = fused.findings(trees.tree_of(out)).join(out.select("file_id", F.col("rule").alias("rule_id")), ["file_id", "rule_id"])
+    found = fused.findings(trees.tree_of(out, fused.READS)).join(out.select("file_id", F.col("rule").alias("rule_id")), ["file_id", "rule_id"])
     return found.select("file_id", "rule_id", F.col("line").cast("long").alias("line"))
 
 
